@@ -54,11 +54,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word (lower case, split at white space), the same on every machine. Null or empty: none."""
+def word_hashes(text: str | None, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each word (lower case, split at white space), the same on every machine. Null or empty: none.
+
+    With prefixes, a row for the words, and one for the words' first so many bytes of each size given.
+    """
     flat = " ".join((text or "").lower().split())
     if not flat:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty((1 + len(prefixes), 0) if prefixes else 0, dtype=np.uint64)
     raw = np.frombuffer(flat.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     spaces = np.flatnonzero(raw == 32)
     starts = np.concatenate(([0], spaces + 1))
@@ -68,7 +71,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     if len(raw) > 4096 and lengths.max() > 4096:  # a word beyond the power table: its later blocks are told apart by the block's number
         parts *= mix((place >> 12).astype(np.uint64) + np.uint64(1)) | np.uint64(1)
     parts[spaces] = 0
-    return mix(np.add.reduceat(parts, starts) + lengths.astype(np.uint64) * _BASE)
+    whole = mix(np.add.reduceat(parts, starts) + lengths.astype(np.uint64) * _BASE)
+    if not prefixes:
+        return whole
+    cut = [mix(np.add.reduceat(np.where(place < k, parts, np.uint64(0)), starts) + np.uint64(k)) for k in prefixes]
+    return np.stack([whole, *cut])
 
 
 def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:

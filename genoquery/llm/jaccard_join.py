@@ -163,17 +163,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     bands, rows = choose_bands(similarity, recall)
     keyed = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_key"), F.col(text_col).alias("text"))
+    carrier = F.xxhash64("id")  # tells copies of a text apart, so that they don't meet in one task
     id_type = dict(keyed.dtypes)["id"]
     signed = checkpoint(keyed.mapInArrow(_sign(n, bands, rows), f"id {id_type}, text_key string, digest binary, n_grams int, bands array<bigint>"))
 
-    nodes = signed.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("mult"), F.min("id").alias("low"), F.min(F.struct("text_key", "n_grams", "bands")).alias("x"))
-    nodes = nodes.select("digest", "mult", "low", "x.text_key", "x.n_grams", "x.bands")
+    nodes = signed.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("mult"), F.min("id").alias("low"), F.min(F.struct("text_key", carrier.alias("carrier"), "n_grams", "bands")).alias("x"))
+    nodes = nodes.select("digest", "mult", "low", "x.text_key", "x.carrier", "x.n_grams", "x.bands")
     in_band = nodes.select("digest", "n_grams", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.min("digest").alias("first"), F.count("*").alias("k")).filter("k > 1").select("band", "first")
     live = in_band.join(shared, "band").groupBy("digest").agg(F.min("first").alias("root"), F.first("n_grams").alias("n_grams"), F.collect_set("band").alias("live"))
     weights = live.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("parts"))
     dealt = live.join(weights, "root").withColumn("block", F.xxhash64("root", F.pmod(F.xxhash64("digest"), F.col("parts"))))
-    dealt = checkpoint(dealt.join(nodes.select("digest", "mult", "text_key"), "digest").select("digest", "mult", "text_key", "live", "block"))
+    dealt = checkpoint(dealt.join(nodes.select("digest", "mult", "text_key", "carrier"), "digest").select("digest", "mult", "text_key", "carrier", "live", "block"))
 
     band_blocks = dealt.select("block", F.explode("live").alias("band")).groupBy("band", "block").agg(F.count("*").alias("k"))
     here = band_blocks.filter("k > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
@@ -181,8 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = here.unionByName(across).distinct()
     seats = work.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(work.filter("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
 
-    wanted = dealt.select("text_key").distinct()
-    texts = keyed.select("text_key", "text").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = keyed.select("text_key", carrier.alias("carrier"), "text").join(dealt.select("text_key", "carrier"), ["text_key", "carrier"], "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
     sets = texts.mapInArrow(_sets(n), "text_key string, grams binary")
     full = dealt.join(sets, "text_key").select("block", "digest", "mult", "live", "grams")
     found = seats.join(full, "block").groupBy("a", "b").applyInPandas(lambda pdf: verify(pdf, similarity), "digest binary, links bigint, parent binary")

@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from genoquery.llm.decontaminate import op6_string_tiling
 from genoquery.llm.jaccard_join import op9_ngram_jaccard_join
+from genoquery.llm.packing import op8_dynamic_packing
+from genoquery.llm.quality import op3_quality_trees
+from genoquery.llm.substring_dedup import op10_compact_windows
+from genoquery.llm.token_counts import op4_offset_token_counts
+from genoquery.llm.toxicity import op5_toxic_instances
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_ngram_jaccard_join": op9_ngram_jaccard_join}
+    return {
+        "op3_quality_trees": op3_quality_trees,
+        "op4_offset_token_counts": op4_offset_token_counts,
+        "op5_toxic_instances": op5_toxic_instances,
+        "op6_string_tiling": op6_string_tiling,
+        "op8_dynamic_packing": op8_dynamic_packing,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+        "op10_compact_windows": op10_compact_windows,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of its hashed words; a document's is the noisy-or of
+A document is a bag of sentences. A sentence's score is a logistic function of its hashed words and
+word beginnings (inflected forms share those); a document's is the noisy-or of
 its sentences' scores, 1 - prod(1 - p), and that is what the documents' labels train. The sentence scores then locate the
 offending sentences.
 
@@ -27,21 +28,24 @@ from genoquery.llm.quality import sample_labels
 
 PER_CLASS = 4000
 THRESHOLD = 0.5
-BITS = 18
+BITS = 19
+PREFIXES = (4, 5, 6)
+LEAST_ROWS = 3
 _STOP = re.compile(r"[.!?\n]+")
 _OTHER = re.compile(r"[^\w\x01]+")
 _MARK = word_hashes("\x01")[0]
+_ROWS = 1 + len(PREFIXES)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
 def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed words, start of each sentence in them); sentences without words are left out."""
-    words = word_hashes(_OTHER.sub(" ", _STOP.sub(" \x01 ", (text or "").replace("\x01", " ").lower())))
-    ends = words == _MARK
+    """(hashed words and beginnings, start of each sentence in them); sentences without words are left out."""
+    hashes = word_hashes(_OTHER.sub(" ", _STOP.sub(" \x01 ", (text or "").replace("\x01", " ").lower())), PREFIXES)
+    ends = hashes[0] == _MARK
     inside = ~ends
     where = np.cumsum(ends)[inside]
-    kept = (words[inside] >> np.uint64(64 - BITS)).astype(np.int32)
-    starts = np.flatnonzero(np.diff(where, prepend=-1)) if len(kept) else np.empty(0, np.int64)
+    kept = (hashes[:, inside] >> np.uint64(64 - BITS)).astype(np.int32).T.ravel()
+    starts = _ROWS * np.flatnonzero(np.diff(where, prepend=-1)) if len(kept) else np.empty(0, np.int64)
     return kept, starts
 
 
@@ -72,11 +76,15 @@ class Words:
         return found
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 12, batch: int = 32, rate: float = 0.5, level: float = -7.0, shrink: float = 1e-4) -> Words:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 12, batch: int = 32, rate: float = 1.0, level: float = -9.0, shrink: float = 1e-4, least: int = LEAST_ROWS, floor: float | None = 0.0) -> Words:
     """Weights that make the noisy-or of each bag fit its label."""
     model = Words(np.zeros(1 << BITS, np.float32), level)
     if len(y) == 0 or y.min() == y.max():
         return Words(model.weights, -30.0)
+    seen = np.zeros(1 << BITS, np.int32)
+    for words, _ in bags:
+        seen[np.unique(words)] += 1
+    learnt = seen >= least
     power = np.full(1 << BITS, 1e-2, np.float32)
     rng = np.random.Generator(np.random.PCG64(31))
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -97,9 +105,11 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int =
             by_sentence = np.repeat(pull, counts) * p
             by_word = np.repeat(by_sentence, np.diff(np.append(starts, len(words))))
             used, place = np.unique(words, return_inverse=True)
-            slope = np.bincount(place, by_word) + shrink * model.weights[used]
+            slope = (np.bincount(place, by_word) + shrink * model.weights[used]) * learnt[used]
             power[used] += slope**2
             model.weights[used] -= rate * slope / np.sqrt(power[used])
+            if floor is not None:
+                model.weights[used] = np.maximum(model.weights[used], floor)
     return model
 
 
