@@ -84,11 +84,33 @@ def _sign(n: int, bands: int, rows: int):
     return run
 
 
-def _sets(n: int):
+FILTER_BITS = 1 << 26
+
+
+def _places(key: str, carrier: int) -> tuple[int, int, int]:
+    return int(key[:12], 16) % FILTER_BITS, int(key[12:24], 16) % FILTER_BITS, carrier % FILTER_BITS
+
+
+def bloom_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits (8 MB, whatever the input) of (text_key, carrier). It only saves work: what it lets through is joined exactly, and a full one lets all through."""
+    places = F.array(*(F.pmod(F.conv(F.substring("text_key", a, 12), 16, 10).cast("bigint"), F.lit(FILTER_BITS)) for a in (1, 13)), F.pmod("carrier", F.lit(FILTER_BITS)))
+    words = keys.select(F.explode(places).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _sets(n: int, shared):
+    """The n-gram sets of the texts that the filter lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            grams = pa.array([np.unique(shingles(word_hashes(t), n)).tobytes() for t in column(batch, "text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), grams], names=["text_key", "grams"])
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            kept = pa.array([i for i, (k, c) in enumerate(keys) if all(int(bits[p >> 6]) >> (p & 63) & 1 for p in _places(k, c))], pa.int64())
+            own = batch.take(kept)
+            grams = pa.array([np.unique(shingles(word_hashes(t), n)).tobytes() for t in column(own, "text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), grams], names=["text_key", "carrier", "grams"])
 
     return run
 
@@ -169,12 +191,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     nodes = signed.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("mult"), F.min("id").alias("low"), F.min(F.struct("text_key", carrier.alias("carrier"), "n_grams", "bands")).alias("x"))
     nodes = nodes.select("digest", "mult", "low", "x.text_key", "x.carrier", "x.n_grams", "x.bands")
-    in_band = nodes.select("digest", "n_grams", F.explode("bands").alias("band"))
+    in_band = nodes.select("digest", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.min("digest").alias("first"), F.count("*").alias("k")).filter("k > 1").select("band", "first")
-    live = in_band.join(shared, "band").groupBy("digest").agg(F.min("first").alias("root"), F.first("n_grams").alias("n_grams"), F.collect_set("band").alias("live"))
+    live = in_band.join(shared, "band").groupBy("digest").agg(F.min("first").alias("root"), F.collect_set("band").alias("live")).join(nodes.select("digest", "n_grams", "mult", "text_key", "carrier"), "digest")
+    live = checkpoint(live)
     weights = live.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("parts"))
     dealt = live.join(weights, "root").withColumn("block", F.xxhash64("root", F.pmod(F.xxhash64("digest"), F.col("parts"))))
-    dealt = checkpoint(dealt.join(nodes.select("digest", "mult", "text_key", "carrier"), "digest").select("digest", "mult", "text_key", "carrier", "live", "block"))
+    dealt = checkpoint(dealt.select("digest", "mult", "text_key", "carrier", "live", "block"))
 
     band_blocks = dealt.select("block", F.explode("live").alias("band")).groupBy("band", "block").agg(F.count("*").alias("k"))
     here = band_blocks.filter("k > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
@@ -182,9 +205,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = here.unionByName(across).distinct()
     seats = work.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(work.filter("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
 
-    texts = keyed.select("text_key", carrier.alias("carrier"), "text").join(dealt.select("text_key", "carrier"), ["text_key", "carrier"], "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = texts.mapInArrow(_sets(n), "text_key string, grams binary")
-    full = dealt.join(sets, "text_key").select("block", "digest", "mult", "live", "grams")
+    shared = spark.sparkContext.broadcast(bloom_filter(dealt.select("text_key", "carrier")))
+    sets = keyed.select("text_key", carrier.alias("carrier"), "text").mapInArrow(_sets(n, shared), "text_key string, carrier bigint, grams binary")
+    # of rows that repeat a text under one id, one set is enough
+    full = dealt.join(sets, ["text_key", "carrier"]).groupBy("block", "digest").agg(F.first("mult").alias("mult"), F.first("live").alias("live"), F.first("grams").alias("grams"))
     found = seats.join(full, "block").groupBy("a", "b").applyInPandas(lambda pdf: verify(pdf, similarity), "digest binary, links bigint, parent binary")
     found = checkpoint(found)
 
@@ -200,17 +224,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of docs that stay: of each class the row with the smallest id, once. Rows without words or without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, **params)
-    stay = found.filter(F.col("class_id").eqNullSafe(F.col(id_col))).filter(f"not no_words and {id_col} is not null")
-    stay = stay.groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).agg(F.count("*").alias("__n"))
-    first = stay.groupBy("__id").agg(F.min("__key").alias("__key"), F.sum("__n").alias("__n"))
-    keyed = docs.withColumn("__key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    own = keyed.join(first.withColumnRenamed("__id", id_col), [id_col, "__key"]).select(*docs.columns, "__n")
-    once = own.filter("__n = 1").unionByName(own.filter("__n > 1").dropDuplicates([id_col])).drop("__n")
-    blank = found.filter("no_words").select(F.col("text_key").alias("__key")).distinct()
-    rest = keyed.join(blank, "__key", "left_semi").unionByName(keyed.filter(F.col(id_col).isNull()).join(blank, "__key", "left_anti"))
-    return once.unionByName(rest.select(*docs.columns))
+    """The rows of docs that stay: of each class the row with the smallest id. Rows without words or without an id stay. Of rows that repeat an id the one whose text's md5 is smallest stays, once."""
+    found = near_duplicates(docs, id_col, text_col, **params).filter(f"not no_words and {id_col} is not null")
+    found = checkpoint(found.select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), (F.col("class_id") != F.col(id_col)).alias("__gone")))
+    twice = found.filter("not __gone").groupBy("__id").agg(F.count("*").alias("n"), F.min("__key").alias("first")).filter("n > 1")
+    gone = found.filter("__gone").select("__id", "__key").unionByName(found.join(twice, "__id").filter("not __gone and __key <> first").select("__id", "__key")).distinct()
+    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    left = keyed.join(gone, ["__id", "__key"], "left_anti")
+    if not twice.isEmpty():
+        left = checkpoint(left)
+        again = twice.select("__id")
+        left = left.join(again, "__id", "left_anti").unionByName(left.join(again, "__id", "left_semi").dropDuplicates(["__id", "__key"]))
+    return left.select(*docs.columns)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
