@@ -22,9 +22,14 @@ def pack(genotypes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     by_word = words.groupBy("acc_id", *keep, "w").agg(*masks, F.count_if(F.col("dosage").isNull()).alias("missing"))
     width = F.max("w").alias("top")
     rows = by_word.groupBy("acc_id", *keep).agg(F.sort_array(F.collect_list(F.struct("w", *NAMES))).alias("s"), F.sum("missing").cast("bigint").alias("n_missing"), width)
-    at = lambda n: F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("top")), lambda i: F.coalesce(F.element_at(F.filter("s", lambda x: x["w"] == i), 1)[n], F.lit(0).cast("bigint"))).alias(n)
-    dense = F.size("s") == F.col("top") + 1
-    fields = [F.when(dense, F.transform("s", lambda x, n=n: x[n])).otherwise(at(n)).alias(n) for n in NAMES]
+
+    def field(n: str) -> Column:
+        # a word without any row (markers with gaps) is 0
+        return F.when(F.size("s") == F.col("top") + 1, F.transform("s", lambda x: x[n])).otherwise(
+            F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("top")), lambda i: F.coalesce(F.element_at(F.filter("s", lambda x: x["w"] == i), 1)[n], F.lit(0).cast("bigint")))
+        ).alias(n)
+
+    fields = [field(n) for n in NAMES]
     return rows.select("acc_id", *keep, *fields, "n_missing")
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from genoquery.functions.hashing import uniform
 from genoquery.functions.ratios import tally
 
 
@@ -25,7 +26,7 @@ def unique_genotypes(genotypes: DataFrame, found: DataFrame) -> DataFrame:
 
 def keep_share(genotypes: DataFrame, found: DataFrame, share: float, seed: int = 1) -> DataFrame:
     """As U2, but a repeatable random share of the duplicates stays too."""
-    gone = representatives(found).filter("id <> rep").filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) >= int(share * 1_000_000))
+    gone = representatives(found).filter("id <> rep").filter(uniform(seed, "id") >= share)
     return genotypes.join(gone.select(F.col("id").alias("acc_id")), "acc_id", "left_anti")
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from genoquery.functions.hashing import uniform
 from genoquery.functions.ratios import tally
 
 
@@ -53,7 +54,7 @@ def marker_filter(genotypes: DataFrame, max_missing: float = 0.25, min_maf: floa
 
 def thin_markers(genotypes: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
     """a repeatable random share of the markers."""
-    return genotypes.filter(F.pmod(F.xxhash64("marker_id", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return genotypes.filter(uniform(seed, "marker_id") < fraction)
 
 
 def rectify_markers(genotypes: DataFrame) -> DataFrame:

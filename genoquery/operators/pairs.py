@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from genoquery.checkpoints import checkpoint
+from genoquery.functions.hashing import key
 from genoquery.functions.masks import NAMES, bits, pack
 from genoquery.functions.ratios import ratio
 
@@ -107,7 +108,7 @@ def chunk_patterns(genotypes: DataFrame, size: int = 7, passes: int = 1, seed: i
     markers = genotypes.select("marker", "marker_id").distinct()
     found = None
     for p in range(passes):
-        place = F.row_number().over(Window.orderBy(F.xxhash64("marker_id", F.lit(seed + p)), "marker_id")) - 1  # one row per marker
+        place = F.row_number().over(Window.orderBy(key(seed + p, "marker_id"), "marker_id")) - 1  # one row per marker
         ordered = markers.select("marker", place.alias("place"), F.count("*").over(Window.partitionBy()).alias("n"))
         used = ordered.filter(F.col("place") < F.floor(F.col("n") / size) * size)
         used = used.select("marker", (F.expr(f"place div {size}") + F.lit(p) * F.floor(F.col("n") / size)).cast("int").alias("chunk"), F.pow(F.lit(3.0), F.col("place") % size).cast("bigint").alias("weight"))

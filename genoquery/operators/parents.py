@@ -87,7 +87,7 @@ def other_pairs(genotypes: DataFrame, found: DataFrame, pedigrees: DataFrame, mo
     named = pedigrees.select("prog", F.explode(F.array("fpar", "mpar")).alias("par")).filter("par is not null")
     best = top_candidates(found, most).select("prog", "par").join(pedigrees.select("prog"), "prog", "left_semi").unionByName(named).distinct()
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("prog").orderBy("par")))
-    pair = pedigrees.select("prog", F.least("fpar", "mpar").alias("p1"), F.greatest("fpar", "mpar").alias("p2"))
+    pair = pedigrees.filter("fpar is not null and mpar is not null").select("prog", F.least("fpar", "mpar").alias("p1"), F.greatest("fpar", "mpar").alias("p2"))
     return statistics(with_masks(candidate_pairs(ranked).join(pair, ["prog", "p1", "p2"], "left_anti"), pack(genotypes)))
 
 

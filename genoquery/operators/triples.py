@@ -73,12 +73,13 @@ def statistics(triples: DataFrame, means: dict[str, float] | None = None) -> Dat
     for par, t in (("i", 1), ("j", 2)):
         for n in ("n02", "n00_22", "n_hom_1"):
             made.append(F.when(F.col(par).isNotNull(), bits(F.col("k.m0"), lambda get, n=n, par=par: _pair_conditions(get, par)[n])).alias(f"{n}_{t}"))
+    made.append(both.alias("__both"))
     c = F.col
     mean = {"hgmr": 1.0, "r": 1.0, "ftr": 1.0, "z": 1.0} | (means or {})
     out = [c("n_known").alias("n_good"), ratio("n_differ", "n_known").alias("agmr12")]
     for t in (1, 2):
         missed, same, het = c(f"n02_{t}"), c(f"n00_22_{t}"), c(f"n_hom_1_{t}")
-        out += [(ratio(missed, missed + same) / mean["hgmr"]).alias(f"hgmr{t}"), (F.when(both, ratio(het, het + same)).otherwise(ratio(missed + het, missed + het + same)) / mean["r"]).alias(f"r{t}")]
+        out += [(ratio(missed, missed + same) / mean["hgmr"]).alias(f"hgmr{t}"), (F.when(c("__both"), ratio(het, het + same)).otherwise(ratio(missed + het, missed + het + same)) / mean["r"]).alias(f"r{t}")]
     forbidden = c("n_opposed") + c("n_hom_het") + c("n_hom_other")
     out += [(ratio(forbidden, c("n_known")) / mean["ftr"]).alias("ftr"), forbidden.alias("ftr_n"), (ratio("n_hom_het", "n_hom") / mean["z"]).alias("z"), ratio("n_11_1", "n_11").alias("h"), ratio("n_het_1", "n_het").alias("hhr")]
     keep = [x for x in triples.columns if x not in "ijk"]
