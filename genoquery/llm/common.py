@@ -17,8 +17,15 @@ SIMILARITY = 0.8
 _SHIPPED: set[str] = set()
 
 
+#: Arrow batches of the session's defaults hold 10,000 texts or 64 MB on either side of a Python worker; these bound them for long texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 2_000), "spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package whatever their PYTHONPATH: they fetch it from the driver as a zip."""
+    """Let executors import this package whatever their PYTHONPATH: they fetch it from the driver as a zip. Batch sizes that nobody has set are made smaller."""
+    for name, (default, size) in BATCH.items():
+        if str(spark.conf.get(name, str(default))).rstrip("b") == str(default):
+            spark.conf.set(name, str(size))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
