@@ -26,7 +26,7 @@ def pack(genotypes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def field(n: str) -> Column:
         # a word without any row (markers with gaps) is 0
         return F.when(F.size("s") == F.col("top") + 1, F.transform("s", lambda x: x[n])).otherwise(
-            F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("top")), lambda i: F.coalesce(F.element_at(F.filter("s", lambda x: x["w"] == i), 1)[n], F.lit(0).cast("bigint")))
+            F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("top")), lambda i: F.coalesce(F.get(F.filter("s", lambda x: x["w"] == i), F.lit(0))[n], F.lit(0).cast("bigint")))
         ).alias(n)
 
     fields = [field(n) for n in NAMES]

@@ -812,8 +812,8 @@ def agmr_values(spark, d):
 
 @entry("d1_left_boundary")
 def _(spark, d):
-    found = cluster1d.left_boundary(agmr_values(spark, d)) or dict.fromkeys(("n_left", "threshold", "quality", "n_low", "n_high"))
-    return one(spark, found, "n_left bigint, threshold double, quality double, n_low bigint, n_high bigint")
+    found = cluster1d.left_boundary(agmr_values(spark, d)) or dict.fromkeys(("n_left", "threshold", "quality", "n_low", "n_high", "n_smooth"))
+    return one(spark, found, "n_left bigint, threshold double, quality double, n_low bigint, n_high bigint, n_smooth bigint")
 
 
 @entry("d2_two_means", "SELECT CAST(nl AS BIGINT) AS n_left, round((x + nx) / 2, 9) AS threshold, round(w, 6) AS within FROM (SELECT *, ql - sl*sl/nl + (qt - ql) - (st - sl)*(st - sl)/(nt - nl) AS w FROM sp WHERE nx IS NOT NULL) ORDER BY w, x LIMIT 1", PAIRS + SPLITS)

@@ -25,7 +25,7 @@ def geno(spark, rows, chrom=None, phase=None):
 
 
 def rows(df, *columns):
-    return sorted(tuple(r) for r in df.select(*columns).collect())
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=lambda r: [(x is None, x) for x in r])
 
 
 @pytest.mark.parametrize("size", [63, 64, 65, 128])
@@ -63,10 +63,6 @@ def test_maf_bounds_are_inclusive(spark):
 
 def test_ftr_weights_of_all_27_states(spark):
     states = list(itertools.product("012", repeat=3))
-    for s in (states[:9], states[9:18], states[18:]):
-        for i, j, k in s:
-            g = geno(spark, {"i": i, "j": j, "k": k})
-            break
     g = geno(spark, {f"{p}{n:02d}": s[q] for n, s in enumerate(states) for q, p in enumerate("ijk")})
     t = spark.createDataFrame([(f"k{n:02d}", f"i{n:02d}", f"j{n:02d}") for n in range(27)], "prog string, p1 string, p2 string")
     found = {int(r["prog"][1:]): r["ftr_n"] for r in triples.statistics(triples.with_masks(t, pack(g))).collect()}
