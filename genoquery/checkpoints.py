@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +29,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder: later stages don't compute them again, and a lost executor loses none."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are checkpointed: its cleaner follows the driver's garbage collection, which is otherwise too rare to bound the disk that a chain of jobs takes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
