@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genoquery.llm.common import column, ship, table, word_hashes
+from genoquery.llm.common import column, lean, ship, table, word_hashes
 
 # HTML's own element names, by what they do to a run of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -457,7 +457,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = dict(base.dtypes)
-    return base.mapInArrow(_extract(shared), f"id {kinds['id']}, url {kinds['url']}, text string, n_chars bigint, n_blocks int").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    return base.mapInArrow(lean(_extract(shared)), f"id {kinds['id']}, url {kinds['url']}, text string, n_chars bigint, n_blocks int").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 
 def op1_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:

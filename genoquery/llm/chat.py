@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from genoquery.llm.common import column, ship, table
+from genoquery.llm.common import column, lean, ship, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = (START, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -150,7 +150,7 @@ def record_turns(records: DataFrame, id_col: str = "id", json_col: str = "record
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out[0], pa.int64()), *(pa.array(x, pa.string()) for x in out[1:])], names=["conv_id", "turn", "role", "text", "fingerprint"])
 
     base = records.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("record"))
-    return base.mapInArrow(run, f"conv_id {dict(base.dtypes)['conv_id']}, turn bigint, role string, text string, fingerprint string")
+    return base.mapInArrow(lean(run), f"conv_id {dict(base.dtypes)['conv_id']}, turn bigint, role string, text string, fingerprint string")
 
 
 def row_turns(rows: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -179,7 +179,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """One row per turn, in order within a partition that has the whole conversation: conv_id, piece (the conversation's text is its pieces joined) and the span of the piece under the loss mask."""
     ship(turns.sparkSession)
     dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(_format, f"conv_id {dict(turns.dtypes)['conv_id']}, piece string, loss_start int, loss_end int")
+    return dealt.mapInArrow(lean(_format), f"conv_id {dict(turns.dtypes)['conv_id']}, piece string, loss_start int, loss_end int")
 
 
 class _Reader:
@@ -231,7 +231,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(pieces: DataFrame) -> DataFrame:
     """A digest of each formatted conversation, read from its text alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     kind = dict(pieces.dtypes)["conv_id"]
-    return pieces.mapInArrow(_read, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return pieces.mapInArrow(lean(_read), f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def op2_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genoquery.llm.common import column, ship, shingles, table, word_hashes
+from genoquery.llm.common import column, lean, shingles, ship, table, word_hashes
 
 MIN_TILE = 5
 COVERAGE = 0.5
@@ -184,7 +184,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = f"id {dict(base.dtypes)['id']}, item_id bigint, coverage double, n_tiles int, longest_tile int"
     found = None
     for index in _parts(benchmark, item_col, item_text, least, part_words):
-        part = base.mapInArrow(_match(index, least, coverage), schema)
+        part = base.mapInArrow(lean(_match(index, least, coverage)), schema)
         found = part if found is None else found.unionByName(part)
     return found.withColumnRenamed("id", id_col)
 
@@ -202,7 +202,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """The rows of docs that hold no benchmark item, in one pass for each part of the benchmark and without a shuffle."""
     ship(docs.sparkSession)
     for index in _parts(benchmark, item_col, item_text, least, part_words):
-        docs = docs.mapInArrow(_clean(index, text_col, least, coverage), docs.schema)
+        docs = docs.mapInArrow(lean(_clean(index, text_col, least, coverage)), docs.schema)
     return docs
 
 

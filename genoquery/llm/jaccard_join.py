@@ -22,8 +22,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genoquery.checkpoints import checkpoint
-from genoquery.llm.common import SHINGLE, SIMILARITY, column, ship, shingles, table, word_hashes
+from genoquery.checkpoints import checkpoint, sweep
+from genoquery.llm.common import SHINGLE, SIMILARITY, column, lean, shingles, ship, table, word_hashes
 from genoquery.operators.components import connected_components
 
 TARGET_RECALL = 0.9995
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_key"), F.col(text_col).alias("text"))
     carrier = F.xxhash64("id")  # tells copies of a text apart, so that they don't meet in one task
     id_type = dict(keyed.dtypes)["id"]
-    signed = checkpoint(keyed.mapInArrow(_sign(n, bands, rows), f"id {id_type}, text_key string, digest binary, n_grams int, bands array<bigint>"))
+    signed = checkpoint(keyed.mapInArrow(lean(_sign(n, bands, rows)), f"id {id_type}, text_key string, digest binary, n_grams int, bands array<bigint>"))
 
     nodes = signed.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("mult"), F.min("id").alias("low"), F.min(F.struct("text_key", carrier.alias("carrier"), "n_grams", "bands")).alias("x"))
     nodes = nodes.select("digest", "mult", "low", "x.text_key", "x.carrier", "x.n_grams", "x.bands")
@@ -199,6 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = live.join(weights, "root").withColumn("block", F.xxhash64("root", F.pmod(F.xxhash64("digest"), F.col("parts"))))
     dealt = checkpoint(dealt.select("digest", "mult", "text_key", "carrier", "live", "block"))
 
+    sweep(spark)
     band_blocks = dealt.select("block", F.explode("live").alias("band")).groupBy("band", "block").agg(F.count("*").alias("k"))
     here = band_blocks.filter("k > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
     across = band_blocks.select("band", F.col("block").alias("a")).join(band_blocks.select("band", F.col("block").alias("b")), "band").filter("a < b").select("a", "b")
@@ -206,12 +207,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seats = work.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(work.filter("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
 
     shared = spark.sparkContext.broadcast(bloom_filter(dealt.select("text_key", "carrier")))
-    sets = keyed.select("text_key", carrier.alias("carrier"), "text").mapInArrow(_sets(n, shared), "text_key string, carrier bigint, grams binary")
+    sets = keyed.select("text_key", carrier.alias("carrier"), "text").mapInArrow(lean(_sets(n, shared)), "text_key string, carrier bigint, grams binary")
     # of rows that repeat a text under one id, one set is enough
     full = dealt.join(sets, ["text_key", "carrier"]).groupBy("block", "digest").agg(F.first("mult").alias("mult"), F.first("live").alias("live"), F.first("grams").alias("grams"))
     found = seats.join(full, "block").groupBy("a", "b").applyInPandas(lambda pdf: verify(pdf, similarity), "digest binary, links bigint, parent binary")
     found = checkpoint(found)
 
+    sweep(spark)
     classes = connected_components(found.select(F.col("digest").alias("src"), F.col("parent").alias("dst")))
     degree = found.groupBy("digest").agg(F.sum("links").alias("links"))
     linked = nodes.select("digest", "mult", "low").join(degree, "digest", "left").join(classes.select(F.col("node").alias("digest"), "component"), "digest", "left")

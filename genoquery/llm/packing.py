@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genoquery.llm.common import column, ship, table
+from genoquery.llm.common import column, lean, ship, table
 
 WINDOW = 1024
 SENTENCE_CUT = 6
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(base.dtypes)['id']}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return base.mapInArrow(_pack(tokenizer, window), schema).withColumnRenamed("id", id_col)
+    return base.mapInArrow(lean(_pack(tokenizer, window)), schema).withColumnRenamed("id", id_col)
 
 
 def op8_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

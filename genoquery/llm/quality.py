@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genoquery.llm.common import column, held_out, ship, table
+from genoquery.llm.common import column, held_out, lean, ship, table
 
 PER_CLASS = 4000
 THRESHOLD = 0.3
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ship(docs.sparkSession)
     some = F.broadcast(sample_labels(labels, label, id_col, per_class))  # 2 * per_class rows at most
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(some, "__id").select("label", "text")
-    found = rows.mapInArrow(_measure, "label int, x array<double>").orderBy("label", "x").limit(2 * per_class).collect()
+    found = rows.mapInArrow(lean(_measure), "label int, x array<double>").orderBy("label", "x").limit(2 * per_class).collect()
     x = np.array([r["x"] for r in found], dtype=np.float64).reshape(-1, len(STATISTICS))
     return fit(x, np.array([r["label"] for r in found], dtype=np.float64))
 
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared, batch, "text"), pa.float64())], names=["id", "score"])
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, f"id {dict(base.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
+    return base.mapInArrow(lean(run), f"id {dict(base.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -187,7 +187,7 @@ def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold:
         for batch in batches:
             yield batch.filter(pa.array(_scores(shared, batch, text_col) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

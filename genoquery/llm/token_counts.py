@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genoquery.llm.common import column, ship, table
+from genoquery.llm.common import column, lean, ship, table
 from genoquery.llm.packing import encoder
 
 RULES = ("first", "last", "most", "split")
@@ -102,7 +102,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = [F.col(spans_col).alias("spans")] if spans_col else []
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *spans)
     schema = f"id {dict(base.dtypes)['id']}, section int, start int, end int, tokens double, doc_tokens bigint"
-    return base.mapInArrow(_count(tokenizer, rule, bool(spans_col)), schema).withColumnRenamed("id", id_col)
+    return base.mapInArrow(lean(_count(tokenizer, rule, bool(spans_col))), schema).withColumnRenamed("id", id_col)
 
 
 def op4_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from genoquery.llm.common import column, held_out, ship, table, word_hashes
+from genoquery.llm.common import column, held_out, lean, ship, table, word_hashes
 from genoquery.llm.quality import sample_labels
 
 PER_CLASS = 4000
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ship(docs.sparkSession)
     some = F.broadcast(sample_labels(labels, label, id_col, per_class))  # 2 * per_class rows at most
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(some, "__id").select("label", "text")
-    found = rows.mapInArrow(_hash, "label int, words binary, starts binary").orderBy("label", "words").limit(2 * per_class).collect()
+    found = rows.mapInArrow(lean(_hash), "label int, words binary, starts binary").orderBy("label", "words").limit(2 * per_class).collect()
     bags = [(np.frombuffer(r["words"], np.int32), np.frombuffer(r["starts"], np.int32)) for r in found]
     return fit(bags, np.array([r["label"] for r in found], dtype=np.float64))
 
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: Words, id_col: str = "doc_id", text_col: str =
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(base.dtypes)['id']}, score double, sentences array<struct<start:int,end:int,score:double>>"
-    return base.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return base.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def op5_toxic_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
