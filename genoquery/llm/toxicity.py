@@ -34,19 +34,18 @@ LEAST_ROWS = 3
 _STOP = re.compile(r"[.!?\n]+")
 _OTHER = re.compile(r"[^\w\x01]+")
 _MARK = word_hashes("\x01")[0]
-_ROWS = 1 + len(PREFIXES)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
 def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed words and beginnings, start of each sentence in them); sentences without words are left out."""
+    """(distinct hashed words and beginnings, start of each sentence in them); sentences without words are left out."""
     hashes = word_hashes(_OTHER.sub(" ", _STOP.sub(" \x01 ", (text or "").replace("\x01", " ").lower())), PREFIXES)
     ends = hashes[0] == _MARK
     inside = ~ends
     where = np.cumsum(ends)[inside]
-    kept = (hashes[:, inside] >> np.uint64(64 - BITS)).astype(np.int32).T.ravel()
-    starts = _ROWS * np.flatnonzero(np.diff(where, prepend=-1)) if len(kept) else np.empty(0, np.int64)
-    return kept, starts
+    keys = np.unique((where << BITS) | (hashes[:, inside] >> np.uint64(64 - BITS)).astype(np.int64))  # a word counts once in a sentence
+    starts = np.flatnonzero(np.diff(keys >> BITS, prepend=-1)) if len(keys) else np.empty(0, np.int64)
+    return (keys & ((1 << BITS) - 1)).astype(np.int32), starts
 
 
 @dataclass
