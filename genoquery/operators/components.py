@@ -2,7 +2,7 @@
 
 Nothing is collected: a round is two min-aggregations and two joins, and the only value the driver reads is a
 checksum. Stars of any size are fine: aggregations combine before the shuffle, and the joins have one row per
-key on one side, so adaptive execution splits a hot key's rows.
+key on one side, written before the join, so adaptive execution splits a hot key's rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    low = checkpoint(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
     joined = near.join(low, "u")
     if large:
         return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

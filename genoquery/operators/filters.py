@@ -79,12 +79,15 @@ def select_columns(df: DataFrame, places: list[int]) -> DataFrame:
     return df.select(*(df.columns[p - 1 if p > 0 else p] for p in places))
 
 
-def sample_columns(df: DataFrame, share: float, seed: int = 1) -> DataFrame:
-    """F8: the first column and a repeatable random share of the others."""
+def sampled(columns: list[str], share: float, seed: int = 1) -> list[str]:
     import zlib
 
-    rest = [c for c in df.columns[1:] if zlib.crc32(f"{seed}:{c}".encode()) < share * 2**32]
-    return df.select(df.columns[0], *rest)
+    return [columns[0], *(c for c in columns[1:] if zlib.crc32(f"{seed}:{c}".encode()) < share * 2**32)]
+
+
+def sample_columns(df: DataFrame, share: float, seed: int = 1) -> DataFrame:
+    """F8: the first column and a repeatable random share of the others."""
+    return df.select(*sampled(df.columns, share, seed))
 
 
 def select_accessions(genotypes: DataFrame, ids: DataFrame) -> DataFrame:

@@ -182,7 +182,10 @@ def _(spark, d):
     return filters.select_columns(pedigrees(spark, d), [-1, 1])
 
 
-@entry("f8_sample_columns")
+LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+@entry("f8_sample_columns", f"SELECT {', '.join(filters.sampled(LINEITEM, 0.3))} FROM lineitem")
 def _(spark, d):
     return filters.sample_columns(spark.read.parquet(f"{d}/lineitem.parquet"), 0.3)
 
@@ -274,16 +277,24 @@ def _(spark, d):
     return histogram.histogram(both[0].unionByName(both[1]), histogram.Bins(0.0, 6.0, 0.25), series="series")
 
 
-@entry("a11_auto_bins")
+@entry("a11_auto_bins", f"""SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS cumulative, round(lo + bin * width, 9) AS lo FROM (
+  SELECT CAST(floor((o_totalprice - lo) / width) AS INT) AS bin, count(*) AS n, min(lo) AS lo, min(width) AS width FROM orders, hb GROUP BY 1)""",
+       f""", hs AS (SELECT quantile_cont(o_totalprice, 0.05) AS p1, quantile_cont(o_totalprice, 0.95) AS p2, count(*) AS n, min(o_totalprice) AS mn FROM orders),
+hw AS (SELECT max(c * power(10.0, k)) AS width FROM hs, (SELECT unnest({list(histogram.WIDTHS)}) AS c), range(-8, 10) t(k) WHERE c * power(10.0, k) <= (p2 - p1) / 2 / power(n, 1 / 3.0) * (1 + 1e-12)),
+hb AS (SELECT width, width * floor(mn / width) AS lo FROM hs, hw)""")
 def _(spark, d):
     x = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_totalprice").cast("double").alias("x"))
     return histogram.histogram(x, histogram.auto_bins(x))
 
 
-@entry("a12_bin_edits")
+EDITED = histogram.Bins(0.0, 400_000.0, 1000.0).notched(3).expanded(1.1).limited(lo=0.0)
+
+
+@entry("a12_bin_edits", f"""SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS cumulative, round({EDITED.lo} + bin * {EDITED.width}, 9) AS lo FROM (
+  SELECT CAST(CASE WHEN x < {EDITED.lo} THEN -1 WHEN x >= {EDITED.hi} THEN {EDITED.count} ELSE floor((x - {EDITED.lo}) / {EDITED.width}) END AS INT) AS bin, count(*) AS n FROM (SELECT o_totalprice AS x FROM orders) GROUP BY 1)""")
 def _(spark, d):
     x = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_totalprice").cast("double").alias("x"))
-    return histogram.histogram(x, histogram.Bins(0.0, 400_000.0, 1000.0).notched(3).expanded(1.1).limited(lo=0.0))
+    return histogram.histogram(x, EDITED)
 
 
 @entry("a13_summary", """SELECT CASE WHEN l_quantity > 25 THEN 'large' ELSE 'small' END AS series, count(*) AS n, round(avg(CAST(l_extendedprice AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST(l_extendedprice AS DOUBLE)), 6) AS sd,
