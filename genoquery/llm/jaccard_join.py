@@ -192,10 +192,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = signed.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("mult"), F.min("id").alias("low"), F.min(F.struct("text_key", carrier.alias("carrier"), "n_grams", "bands")).alias("x"))
     nodes = nodes.select("digest", "mult", "low", "x.text_key", "x.carrier", "x.n_grams", "x.bands")
     in_band = nodes.select("digest", F.explode("bands").alias("band"))
-    shared = in_band.groupBy("band").agg(F.min("digest").alias("first"), F.count("*").alias("k")).filter("k > 1").select("band", "first")
+    # here and below: a side that is written first, not summed up in the join's own stage, lets adaptive execution split a hot key's rows
+    shared = checkpoint(in_band.groupBy("band").agg(F.min("digest").alias("first"), F.count("*").alias("k")).filter("k > 1").select("band", "first"))
+    sweep(spark)
     live = in_band.join(shared, "band").groupBy("digest").agg(F.min("first").alias("root"), F.collect_set("band").alias("live")).join(nodes.select("digest", "n_grams", "mult", "text_key", "carrier"), "digest")
     live = checkpoint(live)
-    weights = live.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("parts"))
+    weights = checkpoint(live.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("parts")))
     dealt = live.join(weights, "root").withColumn("block", F.xxhash64("root", F.pmod(F.xxhash64("digest"), F.col("parts"))))
     dealt = checkpoint(dealt.select("digest", "mult", "text_key", "carrier", "live", "block"))
 
@@ -217,8 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = connected_components(found.select(F.col("digest").alias("src"), F.col("parent").alias("dst")))
     degree = found.groupBy("digest").agg(F.sum("links").alias("links"))
     linked = nodes.select("digest", "mult", "low").join(degree, "digest", "left").join(classes.select(F.col("node").alias("digest"), "component"), "digest", "left")
-    linked = linked.select("digest", "low", F.coalesce("component", "digest").alias("component"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    lowest = linked.groupBy("component").agg(F.min("low").alias("class_id"))
+    linked = checkpoint(linked.select("digest", "low", F.coalesce("component", "digest").alias("component"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    lowest = checkpoint(linked.groupBy("component").agg(F.min("low").alias("class_id")))
     by_digest = linked.join(lowest, "component").select("digest", "class_id", "n_links")
     return signed.select("id", "text_key", "digest", "n_grams").join(by_digest, "digest", "left").select(
         F.col("id").alias(id_col), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_grams", "text_key", F.col("digest").isNull().alias("no_words")
