@@ -25,9 +25,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder: later stages don't compute them again, and a lost executor loses none."""
+#: Files of a checkpoint per core at most: each costs every local file system without native code a `chmod` process, and small ones add up.
+FILES_PER_CORE = 4
+
+
+def checkpoint(df: DataFrame, wide: bool = False) -> DataFrame:
+    """The rows of df, written once to the shared folder: later stages don't compute them again, and a lost executor loses none. Unless `wide`, partitions beyond FILES_PER_CORE per core are put together."""
     checkpoint_dir(df.sparkSession)
+    if not wide:
+        df = df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
 
 
