@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_key"), F.col(text_col).alias("text"))
     carrier = F.xxhash64("id")  # tells copies of a text apart, so that they don't meet in one task
     id_type = dict(keyed.dtypes)["id"]
-    signed = checkpoint(keyed.mapInArrow(lean(_sign(n, bands, rows)), f"id {id_type}, text_key string, digest binary, n_grams int, bands array<bigint>"))
+    signed = checkpoint(keyed.mapInArrow(lean(_sign(n, bands, rows)), f"id {id_type}, text_key string, digest binary, n_grams int, bands array<bigint>"), wide=True)
 
     nodes = signed.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("mult"), F.min("id").alias("low"), F.min(F.struct("text_key", carrier.alias("carrier"), "n_grams", "bands")).alias("x"))
     nodes = nodes.select("digest", "mult", "low", "x.text_key", "x.carrier", "x.n_grams", "x.bands")
