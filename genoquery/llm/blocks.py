@@ -135,6 +135,7 @@ def numbers(blocks: list[tuple[str, tuple[int, ...], int]]) -> tuple[np.ndarray,
 
 
 SIZES = {"path": 24, "word": 8, "hidden": 24}
+PRIOR = {"path": 0, "word": 6}  # so many zero vectors count in a block's mean: a word or two says little
 
 
 def initial(seed: int = 11) -> dict[str, np.ndarray]:
@@ -148,10 +149,10 @@ def initial(seed: int = 11) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in made.items()}
 
 
-def _means(ids: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def _means(ids: np.ndarray, counts: np.ndarray, weights: np.ndarray, prior: int = 0) -> np.ndarray:
     sums = np.concatenate((np.zeros((1, weights.shape[1]), np.float64), np.cumsum(weights[ids], axis=0, dtype=np.float64)))
     ends = np.cumsum(counts)
-    return ((sums[ends] - sums[ends - counts]) / np.maximum(1, counts)[:, None]).astype(np.float32)
+    return ((sums[ends] - sums[ends - counts]) / np.maximum(1, counts + prior)[:, None]).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -201,7 +202,7 @@ def _lstm_back(grad: np.ndarray, x: np.ndarray, wx: np.ndarray, wh: np.ndarray,
 
 def _inputs(model: dict[str, np.ndarray], pages: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(time, batch, width) inputs, mask, and each page's rows."""
-    rows = [np.concatenate((_means(p, pc, model["path"]), _means(w, wc, model["word"]), x), axis=1) for p, pc, w, wc, x in pages]
+    rows = [np.concatenate((_means(p, pc, model["path"]), _means(w, wc, model["word"], PRIOR["word"]), x), axis=1) for p, pc, w, wc, x in pages]
     steps = max(map(len, rows))
     out, mask = np.zeros((steps, len(rows), rows[0].shape[1]), np.float32), np.zeros((steps, len(rows)), np.float32)
     for i, r in enumerate(rows):
@@ -249,7 +250,7 @@ def fit(pages: list[tuple], labels: list[np.ndarray], rounds: int = 6, batch: in
                 grads[name] = np.zeros_like(model[name])
                 for i, page in enumerate(own):
                     ids, counts = page[slot], page[slot + 1]
-                    each = dx[: len(counts), i, lo : lo + size] / np.maximum(1, counts)[:, None]
+                    each = dx[: len(counts), i, lo : lo + size] / np.maximum(1, counts + PRIOR[name])[:, None]
                     np.add.at(grads[name], ids, np.repeat(each, counts, axis=0))
             step += 1
             now = rate * (0.3 if r >= rounds - 2 else 1.0)
@@ -316,14 +317,14 @@ class _Composer:
         return self.named("header header div", "header masthead banner top branding", inside + (self.menu() if self.odds(0.5) else ""))
 
     def advert(self) -> str:
-        return self.named("div div aside section ins", "ad ads advert advertisement sponsored sponsor promo promotion banner adsbygoogle adbox commercial", self.prose(1, 3, 25), True)
+        return self.named("div div aside section ins", "ad ads advert advertisement sponsored sponsor promo promotion banner adsbygoogle adbox commercial ad-slot adsense outbrain", self.prose(1, 3, 25), True)
 
     def notice(self) -> str:
         more = f"<button>{self.words(1, 2)}</button>" if self.odds(0.4) else ""
-        return self.named("div div section aside p", "notice cookie cookies consent gdpr alert popup modal subscribe newsletter paywall warning message announcement toast disclaimer", self.prose(1, 2, 25) + more, True)
+        return self.named("div div section aside p", "notice cookie cookies consent gdpr alert popup modal subscribe newsletter paywall warning message announcement toast disclaimer cookiebar notification status hint", self.prose(1, 2, 25) + more, True)
 
     def sidebar(self) -> str:
-        return self.named("aside aside div section", "sidebar widget widgets rail secondary aside column side", f"<h3>{self.words(1, 3)}</h3>" + self.pick([lambda: self.links(2, 8), lambda: self.prose(1, 4)])())
+        return self.named("aside aside div section", "sidebar widget widgets rail secondary aside column side complementary sidebar-right", f"<h3>{self.words(1, 3)}</h3>" + self.pick([lambda: self.links(2, 8), lambda: self.prose(1, 4)])())
 
     def related(self) -> str:
         return self.named("div section aside ul", "related recommended popular trending more-stories also-read teaser latest", f"<h2>{self.words(1, 3)}</h2>" + self.links(2, 6), True)
@@ -338,11 +339,11 @@ class _Composer:
     def comments(self) -> str:
         tag = self.pick(["div", "li", "article", "section", "p"])
         each = "".join(f'<{tag}{self.pick(["", " class=comment", " class=reply", " class=comment-body"])}>{self.pick(["", f"<b>{self.word()}</b> ", f"<cite>{self.word()}</cite>", f"<h4>{self.word()}</h4>"])}{self.prose(1, 2)}</{tag}>' for _ in range(int(self.r.integers(1, 7))))
-        return self.named("div section ol ul aside", "comments comment-list commentlist responses discussion disqus replies reviews", f"<h3>{self.words(1, 3)}</h3>" + each + (self.form() if self.odds(0.3) else ""), True)
+        return self.named("div section ol ul aside", "comments comment-list commentlist responses discussion disqus_thread replies reviews user-comments reader-comments comment-section feedback", f"<h3>{self.words(1, 3)}</h3>" + each + (self.form() if self.odds(0.3) else ""), True)
 
     def footer(self) -> str:
         said = self.pick([lambda: f"&copy; {self.word()}.example.com &middot; {self.words(2, 12)}\n{self.words(1, 5)}", lambda: self.links(2, 7), lambda: self.prose(1, 2, 15), lambda: f"<p>Copyright 20{self.r.integers(10, 26)} {self.words(1, 4)}</p>"])()
-        return self.named("footer footer footer div", "footer bottom copyright colophon legal siteinfo", said, self.odds(0.3))
+        return self.named("footer footer footer div", "footer bottom copyright colophon legal siteinfo contentinfo foot", said, self.odds(0.3))
 
     def said(self, lo: int, hi: int) -> str:
         """Main text, with some inline markup."""
@@ -377,6 +378,8 @@ class _Composer:
         if self.odds(0.06):
             n = int(self.r.integers(40, 90))
         body = [self.main_block() for _ in range(n)]
+        if self.odds(0.35):  # a short end
+            body.append(f"<p>{self.said(1, 2)}</p>")
         if self.odds(0.1):  # the same lines again and again
             k = int(self.r.integers(n))
             body[k:k] = [body[k]] * int(self.r.integers(2, 40))
@@ -391,9 +394,9 @@ class _Composer:
             return f"<article{self.pick(['', '', ' class=post', ' id=story'])}>{text}</article>"
         if kind < 0.65:
             return f"<main>{text}</main>"
-        if kind < 0.9:
+        if kind < 0.88:
             return self.named("div div section", "content post entry article article-body story post-content entry-content main body text hentry page-content", text, True)
-        return text if kind < 0.95 else f"<div>{text}</div>"
+        return text if kind < 0.97 else f"<div>{text}</div>"
 
     def page(self) -> str:
         before = [f for f, p in ((self.header, 0.5), (self.menu, 0.75), (self.notice, 0.3), (self.advert, 0.45), (self.form, 0.15), (self.sidebar, 0.15)) if self.odds(p)]
@@ -402,6 +405,8 @@ class _Composer:
         self.r.shuffle(after)
         if self.odds(0.85):
             after.append(self.footer)
+        if self.odds(0.06):
+            before, after = [], []
         inner = "".join(f() for f in before) + self.article() + "".join(f() for f in after)
         for _ in range(int(self.r.integers(0, 3)) if self.odds(0.4) else 0):
             inner = f'<div{self.pick(["", " id=page", " class=wrapper", " class=container", " id=root", " class=layout"])}>{inner}</div>'
@@ -421,7 +426,7 @@ def training_page(seed: int) -> tuple[list[tuple[str, tuple[int, ...], int]], np
 
 
 @lru_cache(1)
-def trained(pages: int = 3200) -> dict[str, np.ndarray]:
+def trained(pages: int = 4000) -> dict[str, np.ndarray]:
     made = [p for p in map(training_page, range(pages)) if len(p[1])]
     return fit([numbers(b) for b, _ in made], [y for _, y in made])
 
