@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="genoquery-"))
+        own = tempfile.mkdtemp(prefix="genoquery-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 
