@@ -37,13 +37,20 @@ _MARK = word_hashes("\x01")[0]
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
-def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct hashed words and beginnings, start of each sentence in them); sentences without words are left out."""
+def _words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed words and, in further rows, their beginnings; number of each word's sentence). Sentences without words have no number."""
     hashes = word_hashes(_OTHER.sub(" ", _STOP.sub(" \x01 ", (text or "").replace("\x01", " ").lower())), PREFIXES)
     ends = hashes[0] == _MARK
     inside = ~ends
     where = np.cumsum(ends)[inside]
-    keys = np.unique((where << BITS) | (hashes[:, inside] >> np.uint64(64 - BITS)).astype(np.int64))  # a word counts once in a sentence
+    number = np.cumsum(np.diff(where, prepend=where[:1]) > 0)
+    return (hashes[:, inside] >> np.uint64(64 - BITS)).astype(np.int64), number
+
+
+def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashed words and beginnings, start of each sentence in them): a word counts once in a sentence."""
+    codes, number = _words(text)
+    keys = np.unique((number << BITS) | codes)
     starts = np.flatnonzero(np.diff(keys >> BITS, prepend=-1)) if len(keys) else np.empty(0, np.int64)
     return (keys & ((1 << BITS) - 1)).astype(np.int32), starts
 
@@ -61,15 +68,25 @@ class Words:
         z = self.level + np.add.reduceat(self.weights[words].astype(np.float64), starts)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def by_sentence(self, text: str | None) -> np.ndarray:
+        """The scores of a text's sentences; only words that weigh anything are made distinct."""
+        codes, number = _words(text)
+        if not len(number):
+            return np.empty(0)
+        row, word = np.nonzero(self.weights[codes])
+        keys = np.unique((number[word] << BITS) | codes[row, word])
+        z = self.level + np.bincount(keys >> BITS, self.weights[keys & ((1 << BITS) - 1)], int(number[-1]) + 1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     def score(self, text: str | None) -> float:
-        p = self.sentence_scores(*sentences(text))
+        p = self.by_sentence(text)
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
     def located(self, text: str | None, threshold: float = THRESHOLD) -> list[dict]:
         """Spans of characters and scores of the sentences that score at least the threshold."""
         found = []
         for m in _SENTENCE.finditer(text or ""):
-            own = self.sentence_scores(*sentences(m[0]))
+            own = self.by_sentence(m[0])
             if len(own) and own.max() >= threshold:
                 found.append({"start": m.start(), "end": m.end(), "score": float(own.max())})
         return found
