@@ -4,7 +4,8 @@ Statistics of the whole text are binned by quantiles of the training rows; trees
 gradients and are stored as flat arrays, which a batch of rows walks through together.
 
 Training rows are at most `per_class` rows of each label, those with the smallest hash of their id (a fixed, documented sample),
-never held-out ones. Only their statistics reach the driver: 2 * per_class rows of len(STATISTICS) numbers, whatever the input.
+never held-out ones. Only their statistics reach the driver: 2 * per_class rows of len(STATISTICS) numbers, whatever the input;
+of documents that repeat a sampled id the one with the least statistics is learnt from.
 
 Defined results: a null or empty text has statistics of 0 and a score like any other. Labels that are null are skipped; of labels
 that differ for one id the smaller counts. With one class only, or without labels, the score is the share of label 1 (0.5
@@ -140,7 +141,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: fl
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in column(batch, "text")], pa.list_(pa.float64()))], names=["label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([statistics(t) for t in column(batch, "text")], pa.list_(pa.float64()))], names=["__id", "label", "x"])
 
 
 def sample_labels(labels: DataFrame, label: str, id_col: str, per_class: int) -> DataFrame:
@@ -153,10 +154,11 @@ def sample_labels(labels: DataFrame, label: str, id_col: str, per_class: int) ->
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Trees:
     ship(docs.sparkSession)
     some = F.broadcast(sample_labels(labels, label, id_col, per_class))  # 2 * per_class rows at most
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(some, "__id").select("label", "text")
-    found = rows.mapInArrow(lean(_measure), "label int, x array<double>").orderBy("label", "x").limit(2 * per_class).collect()
-    x = np.array([r["x"] for r in found], dtype=np.float64).reshape(-1, len(STATISTICS))
-    return fit(x, np.array([r["label"] for r in found], dtype=np.float64))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(some, "__id").select("__id", "label", "text")
+    measured = rows.mapInArrow(lean(_measure), f"__id {dict(rows.dtypes)['__id']}, label int, x array<double>")
+    found = sorted((r["label"], r["x"]) for r in measured.groupBy("__id", "label").agg(F.min("x").alias("x")).collect())
+    x = np.array([x for _, x in found], dtype=np.float64).reshape(-1, len(STATISTICS))
+    return fit(x, np.array([y for y, _ in found], dtype=np.float64))
 
 
 def _scores(model, batch: pa.RecordBatch, text_col: str) -> np.ndarray:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoquery.llm import blocks, chat, quality, topk, toxicity
-from genoquery.llm.common import table
+from genoquery.llm.common import held_out, table
 
 
 # ---- quality ----------------------------------------------------------------------------------------------------------------------
@@ -67,6 +67,19 @@ def test_scores_of_odd_rows_and_missing_labels(spark):
     assert quality.score(docs.limit(0), quality.Trees()).count() == 0 and toxicity.score(docs.limit(0), words).count() == 0
 
 
+def repeated(spark):
+    """100 documents, the good half's first id held by 300 rows more; labels 0 and 1 by turns."""
+    texts = [(i, "calm words of a quiet text. " * 9 if i % 2 == 0 else "$$ || ## BUY!!! vile " * 9) for i in range(100)]
+    learnt = spark.createDataFrame([(i,) for i in range(0, 100, 2)], "i bigint").filter(~held_out(F.col("i"))).first()["i"]
+    return spark.createDataFrame(texts + [(learnt, texts[0][1])] * 300, "doc_id bigint, text string"), labels(spark, [(i, i % 2, i % 2) for i in range(100)])
+
+
+def test_quality_learns_both_labels_where_an_id_repeats(spark):
+    docs, known = repeated(spark)
+    trees = quality.train(docs, known, per_class=50)
+    assert trees.feature and quality.score(docs.filter("doc_id % 2 = 1"), trees).agg(F.min("score")).first()[0] > 0.5
+
+
 # ---- toxicity ---------------------------------------------------------------------------------------------------------------------
 
 def test_sentences_are_located_from_document_labels():
