@@ -6,7 +6,7 @@ its sentences' scores, 1 - prod(1 - p), and that is what the documents' labels t
 offending sentences.
 
 Training rows are at most `per_class` rows of each label (lowest hash of the id, never held-out ones); the driver gets their
-hashed words only. The optimiser is AdaGrad on batches in a fixed order, so a fit is repeatable.
+hashed words only, of documents that repeat a sampled id those of one (the least). The optimiser is AdaGrad on batches in a fixed order, so a fit is repeatable.
 
 Defined results: a null or empty text has no sentence and scores 0. Null labels are skipped; of labels that differ for one id the
 smaller counts. Without both labels every score is 0. Ids may be null or repeat: each row is scored from its text alone. Of equally
@@ -132,16 +132,18 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int =
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [sentences(t) for t in column(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w, _ in bags], pa.binary()), pa.array([s.astype(np.int32).tobytes() for _, s in bags], pa.binary())], names=["label", "words", "starts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.tobytes() for w, _ in bags], pa.binary()), pa.array([s.astype(np.int32).tobytes() for _, s in bags], pa.binary())], names=["__id", "label", "words", "starts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Words:
     ship(docs.sparkSession)
     some = F.broadcast(sample_labels(labels, label, id_col, per_class))  # 2 * per_class rows at most
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(some, "__id").select("label", "text")
-    found = rows.mapInArrow(lean(_hash), "label int, words binary, starts binary").orderBy("label", "words").limit(2 * per_class).collect()
-    bags = [(np.frombuffer(r["words"], np.int32), np.frombuffer(r["starts"], np.int32)) for r in found]
-    return fit(bags, np.array([r["label"] for r in found], dtype=np.float64))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(some, "__id").select("__id", "label", "text")
+    hashed = rows.mapInArrow(lean(_hash), f"__id {dict(rows.dtypes)['__id']}, label int, words binary, starts binary")
+    least = hashed.groupBy("__id", "label").agg(F.min(F.struct("words", "starts")).alias("bag")).select("label", "bag.words", "bag.starts")
+    found = sorted((r["label"], bytes(r["words"]), bytes(r["starts"])) for r in least.collect())
+    bags = [(np.frombuffer(w, np.int32), np.frombuffer(s, np.int32)) for _, w, s in found]
+    return fit(bags, np.array([y for y, _, _ in found], dtype=np.float64))
 
 
 def score(docs: DataFrame, model: Words, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

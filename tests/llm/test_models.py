@@ -80,6 +80,12 @@ def test_quality_learns_both_labels_where_an_id_repeats(spark):
     assert trees.feature and quality.score(docs.filter("doc_id % 2 = 1"), trees).agg(F.min("score")).first()[0] > 0.5
 
 
+def test_toxicity_learns_both_labels_where_an_id_repeats(spark):
+    docs, known = repeated(spark)
+    words = toxicity.train(docs, known, per_class=50)
+    assert words.level > -30 and toxicity.score(docs.filter("doc_id % 2 = 1"), words).agg(F.min("score")).first()[0] > 0.5
+
+
 # ---- toxicity ---------------------------------------------------------------------------------------------------------------------
 
 def test_sentences_are_located_from_document_labels():
