@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +261,39 @@ def test_splits_in_two(spark):
     assert cluster1d.inverse(4.0, 2) == 2
 
 
+def slow_boundary(x, least=32, step=4, most=0.85, window=33):
+    sizes = np.arange(least, int(most * len(x)), step)
+    quarter = np.maximum(1, sizes // 4)
+    middle = np.maximum(x[np.minimum(sizes - 1, 3 * quarter)] - x[quarter], 1e-12)
+    valley = np.maximum(x[np.minimum(len(x) - 1, sizes + quarter // 2)] - x[np.maximum(0, sizes - quarter // 2 - 1)], 1e-12)
+    q = (2 * quarter / middle) / (np.maximum(1, 2 * (quarter // 2) + 1) / valley)
+    best = low = high = int(q.argmax())
+    while low > 0 and q[low - 1] >= q[best] / 2:
+        low -= 1
+    while high + 1 < len(q) and q[high + 1] >= q[best] / 2:
+        high += 1
+    pad = min(window, len(q) // 4 * 2 + 1) // 2
+    smooth = np.array([q[max(0, i - pad) : i + pad + 1].mean() for i in range(len(q))])
+    return {"n_left": sizes[best], "threshold": (x[sizes[best] - 1] + x[sizes[best]]) / 2, "quality": q[best], "n_low": sizes[low], "n_high": sizes[high], "n_smooth": sizes[int(smooth.argmax())]}
+
+
+def test_densities_see_every_value(spark):
+    rng = np.random.Generator(np.random.PCG64(5))
+    x = np.sort(np.round(np.concatenate([rng.normal(0.02, 0.004, 240), rng.normal(0.4, 0.03, 40_000)]), 5))
+    values = spark.createDataFrame([(float(v),) for v in x], "x double")
+    found = cluster1d.left_boundary(values)
+    assert found == pytest.approx(slow_boundary(x)) and 200 <= found["n_left"] <= 240
+    left, right = x[:300], x[300:]
+    span = [np.quantile(v, 0.75) - np.quantile(v, 0.25) for v in (left, right)]
+    a, b = np.quantile(left, 0.875), np.quantile(right, 0.125)
+    want = ((x > a) & (x < b)).sum() / (b - a) / min(len(left) / 2 / span[0], len(right) / 2 / span[1])
+    assert cluster1d.separation(values, 300) == pytest.approx(want)
+    start, width = cluster1d.two_means(values).first()["threshold"], np.std(x) * len(x) ** -0.2 / 2
+    grid = np.linspace(start - 6 * width, start + 6 * width, 121)
+    density = [np.exp(-(((g - x) / width) ** 2) / 2).sum() for g in grid]
+    assert cluster1d.density_split(values) == pytest.approx(grid[int(np.argmin(density))])
+
+
 def test_graph(spark):
     loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("r", "a")], "parent string, child string")
     assert rows(pedigree_graph.cycles(loop), "id") == [("a",), ("b",), ("c",)]
