@@ -144,6 +144,20 @@ def test_planted_passages_are_found(spark):
         assert m.any() or not marks[i].any(), i
 
 
+def test_passages_of_lines_that_stand_alone_in_earlier_texts(spark):
+    r = random.Random(12)
+    texts, later = [], []
+    for k in range(12):
+        lines = [words(r, 49, 10**6) for _ in range(2)]
+        texts += [(100 * k + i, " ".join([*words(r, 20, 10**6), *lines[i % 2], *words(r, 20, 10**6)])) for i in range(6)]
+        later += [(5000 + 2 * k + i, " ".join([*words(r, 20, 10**6), *lines[0], *lines[1], *words(r, 20, 10**6)])) for i in range(2)]
+    marks, wanted = covered(sd.repeated_passages(frame(spark, texts + later)).collect(), texts + later), exact(texts + later)
+    for i, m in wanted.items():
+        assert marks[i][m].all(), i
+        assert m.any() or not marks[i].any(), i
+    assert sum(m.any() for m in wanted.values()) == 12
+
+
 def test_near_passages_are_found_and_clean_texts_left(spark):
     r = random.Random(4)
     base = words(r, 120)
