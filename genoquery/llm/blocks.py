@@ -2,14 +2,19 @@
 
 A page is cut into leaf blocks (runs of text between block-level tags), each with the path of the elements around it. A
 bidirectional LSTM in numpy reads the blocks in page order as vectors of hashed path tokens (tag, class, id, role), hashed words and
-a few numbers, and labels every block main or not with the whole page as context.
+a few numbers, and labels every block main or not with the whole page as context. A path is the set of the tokens of all elements
+around a block that training has seen, however deep: wrappers with unknown class names don't push a footer's or a menu's token out.
 
 The labeller is trained here, on pages that `training_page` composes from a seed: menus, headers, notices, adverts, sidebars, forms,
-comments and footers around and inside articles, in many markups. A fit is repeatable, takes the driver some seconds and is kept for the process;
-executors get its weights as a broadcast of fixed size.
+comments and footers around and inside articles, in many markups. A fit is repeatable; its weights (about 0.3 MB) are kept in
+blocks_weights.npz beside this module, which `python -m genoquery.llm.blocks` writes anew, and executors get them as a broadcast.
+
+Memory: pages are labelled together while blocks x pages stay below CELLS; a longer page goes alone, CHUNK blocks at a time, with the
+LSTM's state carried on, so a page takes a small multiple of its own text.
 
 Defined results: a null, empty or blockless page has an empty text. Tags that don't match are closed at the page's end; an unclosed comment,
-script or style runs to the end. A page of any length is read whole. Repeated rows each give their result.
+script or style runs to the end. A page of any length is read whole. Repeated rows each give their result. A block at the very
+threshold (0.5) is main. Null ids and urls are kept; an empty table gives no rows; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from genoquery.llm.common import column, lean, ship, table, word_hashes
 
 # HTML's own element names, by what they do to a run of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext"
+    " object output q s samp semantics small span strike strong sub sup time tt u var wbr".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = "script style noscript template svg iframe object title textarea select math canvas"
+HIDDEN = "script style noscript template svg iframe title select"
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPE = {"p": "div section article td body", "li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table", "th": "table", "option": "select"}
@@ -42,8 +51,10 @@ _TAG = re.compile(
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
-PATHS, WORDS, TOKENS = 2048, 2048, 24
+PATHS, WORDS = 2048, 2048
 NUMBERS = 8
+CELLS, CHUNK = 1 << 15, 4096
+WEIGHTS = Path(__file__).with_name("blocks_weights.npz")
 
 
 @lru_cache(100_000)
@@ -57,12 +68,13 @@ def _element(name: str, rest: str) -> tuple[int, ...]:
     found = [_token(name)]
     for m in _NAMED.finditer(rest):
         value = m[2] or m[3] or m[4] or ""
-        found += [_token(f".{p}") for p in _PART.findall(_HUMP.sub(" ", value).lower())[:12]]
-    return tuple(found)
+        found += [_token(f".{p}") for p in _PART.findall(_HUMP.sub(" ", value).lower())]
+    return tuple(dict.fromkeys(found))
 
 
-def leaf_blocks(page: str | None) -> list[tuple[str, tuple[int, ...], int]]:
-    """(text, path tokens, characters in links) of each leaf block with text, in page order."""
+def leaf_blocks(page: str | None, seen: np.ndarray | None = None) -> list[tuple[str, tuple[int, ...], int]]:
+    """(text, distinct path tokens, characters in links) of each leaf block with text, in page order. With `seen` (a mark per token) only
+    marked tokens count, so a path has at most PATHS of them however deep it is."""
     blocks: list[tuple[str, tuple[int, ...], int]] = []
     stack: list[tuple[str, tuple[int, ...]]] = [("", ())]
     parts: list[str] = []
@@ -112,7 +124,9 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[int, ...], int]]:
             if name in CLOSES:
                 close(CLOSES[name], SCOPE[name])
             if name not in VOID and not m["rest"].endswith("/"):
-                stack.append((name, (stack[-1][1] + _element(name, m["rest"]))[-TOKENS:]))
+                path = stack[-1][1]
+                new = tuple(t for t in _element(name, m["rest"]) if (seen is None or seen[t]) and t not in path)
+                stack.append((name, path + new if new else path))
     parts.append(page[at:])
     flush()
     return blocks
@@ -159,13 +173,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Hidden states (time, batch, hidden); where the mask is 0 a state stays as it was."""
+def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, mask: np.ndarray, keep: list | None = None, start: tuple | None = None, ends: bool = False):
+    """Hidden states (time, batch, hidden); where the mask is 0 a state stays as it was. `start` is the state and cell to go on from; with `ends`, the last ones are returned too."""
     steps, batch, _ = x.shape
     h = wh.shape[0]
     inner = x @ wx + b
     out = np.zeros((steps, batch, h), np.float32)
-    state, cell = np.zeros((batch, h), np.float32), np.zeros((batch, h), np.float32)
+    state, cell = start or (np.zeros((batch, h), np.float32), np.zeros((batch, h), np.float32))
     for t in range(steps):
         z = inner[t] + state @ wh
         gates = _sigmoid(z[:, : 3 * h])
@@ -178,7 +192,7 @@ def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, mask: np
             keep.append((state, cell, gates, new, squashed, on))
         state, cell = on * state_next + (1 - on) * state, on * cell_next + (1 - on) * cell
         out[t] = state
-    return out
+    return (out, (state, cell)) if ends else out
 
 
 def _lstm_back(grad: np.ndarray, x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -200,9 +214,20 @@ def _lstm_back(grad: np.ndarray, x: np.ndarray, wx: np.ndarray, wh: np.ndarray,
     return x.reshape(-1, x.shape[2]).T @ flat, gwh, flat.sum(0), inner @ wx.T
 
 
+def _rows(model: dict[str, np.ndarray], page: tuple, part: slice = slice(None)) -> np.ndarray:
+    """A page's input vectors, of all blocks or of a part of them."""
+    p, pc, w, wc, x = page
+    if part != slice(None):
+        pe, we = np.cumsum(pc), np.cumsum(wc)
+        lo, hi = part.start, min(part.stop, len(x))
+        p, w = p[pe[lo] - pc[lo] : pe[hi - 1]], w[we[lo] - wc[lo] : we[hi - 1]]
+        pc, wc, x = pc[part], wc[part], x[part]
+    return np.concatenate((_means(p, pc, model["path"]), _means(w, wc, model["word"], PRIOR["word"]), x), axis=1)
+
+
 def _inputs(model: dict[str, np.ndarray], pages: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(time, batch, width) inputs, mask, and each page's rows."""
-    rows = [np.concatenate((_means(p, pc, model["path"]), _means(w, wc, model["word"], PRIOR["word"]), x), axis=1) for p, pc, w, wc, x in pages]
+    rows = [_rows(model, page) for page in pages]
     steps = max(map(len, rows))
     out, mask = np.zeros((steps, len(rows), rows[0].shape[1]), np.float32), np.zeros((steps, len(rows)), np.float32)
     for i, r in enumerate(rows):
@@ -219,6 +244,36 @@ def label(model: dict[str, np.ndarray], pages: list[tuple]) -> list[np.ndarray]:
     return [p[: len(r), i] for i, r in enumerate(rows)]
 
 
+def label_long(model: dict[str, np.ndarray], page: tuple, chunk: int = CHUNK) -> np.ndarray:
+    """The same for one page of any length, in chunks that hand their LSTM's state on: of all blocks only the hidden states are held."""
+    n, h = len(page[4]), SIZES["hidden"]
+    p = np.zeros(n, np.float32)
+    parts = [slice(a, min(n, a + chunk)) for a in range(0, n, chunk)]
+    behind, carried = np.empty((n, h), np.float32), None
+    for part in reversed(parts):
+        x = _rows(model, page, part)[::-1, None]
+        out, carried = _lstm(x, model["bx"], model["bh"], model["bb"], np.ones(x.shape[:2], np.float32), start=carried, ends=True)
+        behind[part] = out[::-1, 0]
+    carried = None
+    for part in parts:
+        x = _rows(model, page, part)[:, None]
+        ahead, carried = _lstm(x, model["fx"], model["fh"], model["fb"], np.ones(x.shape[:2], np.float32), start=carried, ends=True)
+        p[part] = _sigmoid(np.concatenate((ahead[:, 0], behind[part], x[:, 0]), axis=1) @ model["out"] + model["bias"])[:, 0]
+    return p
+
+
+def together(sizes: list[int], cells: int = CELLS) -> Iterator[list[int]]:
+    """Pages (by number, shortest first) in groups whose number times the longest stays within `cells`; a longer page is alone."""
+    group: list[int] = []
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if group and sizes[i] * (len(group) + 1) > cells:
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
 def fit(pages: list[tuple], labels: list[np.ndarray], rounds: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
     """Adam on the cross-entropy of all blocks."""
     model = initial()
@@ -333,7 +388,8 @@ class _Composer:
         return self.named("div ul section", "share sharing social follow tools tags meta byline", self.links(2, 5), True)
 
     def form(self) -> str:
-        fields = "".join(f"<label>{self.words(1, 3)}</label><input name={self.word()}>" + (f"<select><option>{self.words(1, 2)}</select>" if self.odds(0.2) else "") for _ in range(int(self.r.integers(1, 4))))
+        more = lambda: self.pick(["", "", "", f"<select><option>{self.words(1, 2)}</select>", f"<textarea name={self.word()}>{self.words(0, 5)}</textarea>"])
+        fields = "".join(f"<label>{self.words(1, 3)}</label><input name={self.word()}>{more()}" for _ in range(int(self.r.integers(1, 4))))
         return f'<form{self.pick(["", " class=search", " id=signup", " class=login-form", " action=/s"])}>{self.prose(0, 2, 12)}{fields}<button>{self.words(1, 2)}</button></form>'
 
     def comments(self) -> str:
@@ -352,6 +408,8 @@ class _Composer:
             text = f"{text} <{(t := self.pick(['b', 'i', 'em', 'strong', 'a', 'span', 'code']))}>{self.words(1, 4, True)}</{t}> {self.words(1, 6, True)}"
         if self.odds(0.15):
             text = f"<b>{text}" + ("</b>" if self.odds(0.5) else "")
+        if self.odds(0.03):
+            text += f" <math><mi>{self.word()}</mi><mo>=</mo><mn>2</mn></math> {self.word()}"
         return text + ("<br>" + self.words(2, 9, True) if self.odds(0.15) else "")
 
     def main_block(self) -> str:
@@ -410,13 +468,16 @@ class _Composer:
         inner = "".join(f() for f in before) + self.article() + "".join(f() for f in after)
         for _ in range(int(self.r.integers(0, 3)) if self.odds(0.4) else 0):
             inner = f'<div{self.pick(["", " id=page", " class=wrapper", " class=container", " id=root", " class=layout"])}>{inner}</div>'
+        for _ in range(int(self.r.integers(2, 25)) if self.odds(0.1) else 0):  # a page builder's wrappers
+            names = " ".join(self.pick(["row", "flex", "grid", "col", "px", "mt", "w", "inner", self.word()]) for _ in range(int(self.r.integers(1, 6))))
+            inner = f'<div class="{names}">{inner}</div>'
         return f'<!DOCTYPE html><html lang="en"><head><title>{self.words(1, 5)}</title><style>p{{margin:0}}</style></head><body>{inner}' + ("</body></html>" if self.odds(0.9) else "")
 
 
-def training_page(seed: int) -> tuple[list[tuple[str, tuple[int, ...], int]], np.ndarray]:
+def training_page(seed: int, seen: np.ndarray | None = None) -> tuple[list[tuple[str, tuple[int, ...], int]], np.ndarray]:
     """A composed page's blocks and their labels."""
     found, labels = [], []
-    for text, path, linked in leaf_blocks(_Composer(seed).page()):
+    for text, path, linked in leaf_blocks(_Composer(seed).page(), seen):
         labels.append(MAIN in text)
         if plain := " ".join(text.replace(MAIN, "").split()):
             found.append((plain, path, linked))
@@ -425,33 +486,54 @@ def training_page(seed: int) -> tuple[list[tuple[str, tuple[int, ...], int]], np
     return found, np.array(labels, np.float32)
 
 
+LEAST_PAGES = 8
+
+
+def train(pages: int = 5000) -> dict[str, np.ndarray]:
+    """Weights fitted on composed pages; `seen` marks the path tokens that LEAST_PAGES of them have."""
+    counts = np.zeros(PATHS, np.int64)
+    for i in range(pages):
+        counts[list({t for _, path, _ in training_page(i)[0] for t in path})] += 1
+    seen = counts >= LEAST_PAGES
+    made = [p for p in (training_page(i, seen) for i in range(pages)) if len(p[1])]
+    return fit([numbers(b) for b, _ in made], [y for _, y in made]) | {"seen": seen}
+
+
 @lru_cache(1)
-def trained(pages: int = 4000) -> dict[str, np.ndarray]:
-    made = [p for p in map(training_page, range(pages)) if len(p[1])]
-    return fit([numbers(b) for b, _ in made], [y for _, y in made])
+def trained() -> dict[str, np.ndarray]:
+    """The weights beside this module."""
+    with np.load(WEIGHTS) as kept:
+        return {k: kept[k].astype(bool if k == "seen" else np.float32) for k in kept.files}
 
 
-def _extract(shared, together: int = 64):
+def _extract(shared, batch_pages: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             texts, kept, waiting = [""] * batch.num_rows, [0] * batch.num_rows, []
 
             def decide(waiting=waiting, texts=texts, kept=kept) -> None:
-                waiting.sort(key=lambda w: len(w[1]))
-                for a in range(0, len(waiting), together):
-                    part = waiting[a : a + together]
-                    for (i, blocks), p in zip(part, label(shared.value, [numbers(b) for _, b in part]), strict=True):
+                sizes = [len(blocks) for _, blocks in waiting]
+                for group in together(sizes):
+                    pages = [numbers(waiting[g][1]) for g in group]
+                    marks = label(model, pages) if sizes[group[-1]] <= CELLS else [label_long(model, pages[0])]
+                    for g, p in zip(group, marks, strict=True):
+                        i, blocks = waiting[g]
                         main = [b[0] for b, x in zip(blocks, p, strict=True) if x >= 0.5]
                         texts[i], kept[i] = " ".join(main), len(main)
                 waiting.clear()
 
+            held = 0
             for i, page in enumerate(column(batch, "html")):
-                if blocks := leaf_blocks(page):
+                if blocks := leaf_blocks(page, model["seen"]):
                     waiting.append((i, blocks))
-                if len(waiting) >= 8 * together:
+                    held += len(blocks)
+                if len(waiting) >= batch_pages or held >= CELLS:
                     decide()
+                    held = 0
             decide()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(kept, pa.int32())], names=["id", "url", "text", "n_chars", "n_blocks"])
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(kept, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "url", "text", "n_chars", "n_blocks"])
 
     return run
 
@@ -462,9 +544,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = dict(base.dtypes)
-    return base.mapInArrow(lean(_extract(shared)), f"id {kinds['id']}, url {kinds['url']}, text string, n_chars bigint, n_blocks int").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    schema = f"id {kinds['id']}, url {kinds['url']}, text string, n_chars bigint, n_blocks int"
+    return base.mapInArrow(lean(_extract(shared)), schema).withColumnsRenamed({"id": id_col, "url": url_col})
 
 
 def op1_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return main_text(table(spark, sf_dir, "pages"))
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{k: v.astype(bool if k == "seen" else np.float16 if k in ("path", "word") else np.float32) for k, v in train().items()})

@@ -1,19 +1,23 @@
 """Chat formatting by schema fingerprints.
 
-A record's layout is the set of its nested field paths; its hash, the fingerprint, selects a declarative mapping. A mapping names
-either the list of messages and their role and text fields, or the fields that make up a user's, a system's and an assistant's
-turn. Canonical turns (conversation, turn, role, text) go through one template:
+A table's or record's layout is the set of its nested field paths; the hash of that set, the fingerprint, is looked up in a registry
+and selects a declarative mapping. Fields that a mapping doesn't know are left out by hashing once more over the paths that it does
+know (its required and optional ones), largest mapping first; the mapping found must be the one whose paths those are. A mapping names
+the columns of a table with a row per turn, or the list of messages and their role and text fields, or the fields that make up a
+user's, a system's and an assistant's turn. Canonical turns (conversation, turn, role, text) go through one template:
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
 Control strings in texts and roles are broken by a backslash after their first character, and backslashes are doubled, so no text
 can end a turn and every text can be read back. The loss mask covers the (escaped) text of each assistant turn and nothing else.
 
-Formatting goes turn by turn over rows sorted by conversation and turn: a conversation of any length takes the memory of one turn.
+Formatting goes turn by turn over rows sorted by conversation and turn: a conversation of any length takes the memory of one turn, but
+is one task's work, as its digest is a running one (the rows of null id are one conversation, too).
 
 Defined results: null texts and roles are empty; a null conversation id is a conversation of its own; rows that share a turn number
 are ordered by role, then text; repeated rows each count. An empty table gives no rows. A record whose fingerprint has no mapping
-gives no turns, but its fingerprint is reported.
+gives no turns, but its fingerprint is reported; a table without one raises. Other columns, whatever their names, are left out; a table
+of messages or parts without an id has a number per row.
 """
 
 from __future__ import annotations
@@ -24,9 +28,10 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from genoquery.llm.common import column, lean, ship, table
 
@@ -87,23 +92,48 @@ class Mapping:
             return {f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"}
         return {f for _, fields in self.parts for f in fields} - set(self.maybe)
 
+    def vocabulary(self) -> frozenset[str]:
+        return frozenset(self.paths()) | frozenset(self.maybe)
+
     def fingerprints(self) -> Iterator[str]:
         for n in range(len(self.maybe) + 1):
             for extra in itertools.combinations(self.maybe, n):
                 yield fingerprint(self.paths() | set(extra))
 
     def turns(self, record: dict) -> list[tuple[str, str]]:
+        """A record's (role, text) pairs."""
         if self.messages:
-            found = [(x.get(self.role) or "", x.get(self.text) or "") for x in _get(record, self.messages) or ()]
-            first = [("system", record["system"])] if "system" in self.maybe and record.get("system") else []
+            found = [(_text(_get(x, self.role)), _text(_get(x, self.text))) for x in _get(record, self.messages) or ()]
+            first = [("system", _text(record["system"]))] if "system" in self.maybe and record.get("system") else []
             return first + [(self.names.get(r, r), t) for r, t in found]
-        found = [(role, "\n\n".join(str(v) for f in fields if (v := _get(record, f)) not in (None, ""))) for role, fields in self.parts]
+        found = [(role, "\n\n".join(_text(v) for f in fields if (v := _get(record, f)) not in (None, ""))) for role, fields in self.parts]
         return [(r, t) for r, t in found if t or r != "system"]
 
+    def column_turns(self, has: set[str]) -> Column:
+        """The same as an array of structs, of a table with the fields `has`."""
+        turn = lambda role, text: F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+        if self.messages:
+            named = lambda r: reduce(lambda c, n: F.when(r == n, self.names[n]).otherwise(c), self.names, r)
+            found = F.transform(F.coalesce(F.col(self.messages), F.array()), lambda x: turn(named(x[self.role].cast("string")), x[self.text].cast("string")))
+            if "system" not in has & set(self.maybe):
+                return found
+            return F.when(F.col("system") != "", F.concat(F.array(turn(F.lit("system"), F.col("system"))), found)).otherwise(found)
+        made = []
+        for role, fields in self.parts:
+            known = [F.nullif(F.col(f).cast("string"), F.lit("")) for f in fields if f in has]
+            made.append(turn(F.lit(role), F.concat_ws("\n\n", *known) if known else F.lit("")))
+        return F.filter(F.array(*made), lambda x: (x["text"] != "") | (x["role"] != "system"))
+
+
+def _text(value) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value)
+
 
 SHARE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 MAPPINGS = (
     Mapping(rows=True, key="conv_id", order="turn", role="role", text="text"),
+    Mapping(rows=True, key="conversation_id", order="turn", role="role", text="content", names=SHARE_NAMES),
+    Mapping(rows=True, key="thread", order="position", role="from", text="value", names=SHARE_NAMES),
     Mapping(messages="messages", maybe=("id", "system", "source")),
     Mapping(messages="messages", text="text", maybe=("id", "system", "source")),
     Mapping(messages="conversations", role="from", text="value", maybe=("id", "system", "source"), names=SHARE_NAMES),
@@ -121,6 +151,16 @@ def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
     return {f: m for m in reversed(mappings) for f in m.fingerprints()}
 
 
+def select(paths: set[str], known: dict[str, Mapping]) -> Mapping | None:
+    """The mapping of a layout, by its fingerprint; of one with more fields than any mapping knows, by that of the fields known."""
+    found = known.get(fingerprint(paths))
+    for words in sorted({m.vocabulary() for m in known.values()}, key=lambda v: (-len(v), sorted(v))) if found is None else ():
+        by_known = known.get(fingerprint(paths & words))
+        if by_known is not None and by_known.vocabulary() == words:
+            return by_known
+    return found
+
+
 def _get(record, path: str):
     for name in path.split("."):
         record = record.get(name) if isinstance(record, dict) else None
@@ -133,15 +173,23 @@ def record_turns(records: DataFrame, id_col: str = "id", json_col: str = "record
     known = registry(mappings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen: dict[str, Mapping | None] = {}
         for batch in batches:
             rows, out = [], [[], [], [], []]
+            if len(chosen) > 10_000:  # layouts are few; data that isn't laid out at all must not fill the memory
+                chosen.clear()
             for i, raw in enumerate(column(batch, "record")):
                 try:
                     record = json.loads(raw or "null")
                 except ValueError:
                     record = None
-                print_ = fingerprint(field_paths(record)) if isinstance(record, dict) else None
-                mapping = known.get(print_)
+                print_, mapping = None, None
+                if isinstance(record, dict):
+                    paths = field_paths(record)
+                    print_ = fingerprint(paths)
+                    if print_ not in chosen:
+                        chosen[print_] = select(paths, known)
+                    mapping = chosen[print_]
                 turns = [(k, r, t) for k, (r, t) in enumerate(mapping.turns(record))] if mapping and not mapping.rows else []
                 for k, role, text in turns or [(None, None, None)]:
                     rows.append(i)
@@ -153,14 +201,18 @@ def record_turns(records: DataFrame, id_col: str = "id", json_col: str = "record
     return base.mapInArrow(lean(run), f"conv_id {dict(base.dtypes)['conv_id']}, turn bigint, role string, text string, fingerprint string")
 
 
-def row_turns(rows: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Canonical turns of a table with one row per turn; the fingerprint of its schema selects the mapping. Columns that no mapping of rows names are left out."""
-    known = registry(mappings)
-    for mapping in mappings:
-        if mapping.rows and mapping.paths() <= schema_paths(rows.schema):
-            chosen = known[fingerprint(schema_paths(rows.select(*mapping.paths()).schema))]
-            return rows.select(F.col(chosen.key).alias("conv_id"), F.col(chosen.order).alias("turn"), F.col(chosen.role).alias("role"), F.col(chosen.text).alias("text"))
-    raise ValueError(f"no mapping for a table with {sorted(schema_paths(rows.schema))}")
+def table_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """Canonical turns (conv_id, turn, role, text) of a table in any layout that a mapping describes: the fingerprint of its schema selects it."""
+    has = schema_paths(df.schema)
+    mapping = select(has, registry(mappings))
+    if mapping is None:
+        raise ValueError(f"no mapping for a table with the fingerprint {fingerprint(has)} of {sorted(has)}")
+    if mapping.rows:
+        role = reduce(lambda c, n: F.when(F.col(mapping.role) == n, mapping.names[n]).otherwise(c), mapping.names, F.col(mapping.role))
+        return df.select(F.col(mapping.key).alias("conv_id"), F.col(mapping.order).alias("turn"), role.alias("role"), F.col(mapping.text).alias("text"))
+    key = F.col("id") if "id" in has else F.monotonically_increasing_id()
+    each = df.select(key.alias("conv_id"), F.posexplode(mapping.column_turns(has)).alias("turn", "said"))
+    return each.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "said.role", "said.text")
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +288,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
 
 def op2_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that is made of control strings, formatted and read back."""
-    turns = row_turns(table(spark, sf_dir, "conversations"))
+    turns = table_turns(table(spark, sf_dir, "conversations"))
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
     return read_back(format_turns(turns.unionByName(more)))

@@ -136,18 +136,46 @@ def test_leaf_blocks():
     assert texts("<table><tr><td>1<td>2<tr><th>3</table><style>p{}</style><p>") == ["1", "2", "3"]
     assert texts("<p>cut <!-- open") == ["cut"] and texts("<p>cut <script>open") == ["cut"] and texts("") == [] and texts(None) == []
     assert texts("<DIV CLASS=x>Up</DIV><img src='a>b'>per") == ["Up", "per"]
+    assert texts("<p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here</p>") == ["We have x=2 here"]
     deep = blocks.leaf_blocks("<div>" * 5000 + "x")
-    assert deep[0][0] == "x" and len(deep[0][1]) <= blocks.TOKENS
+    assert deep == [("x", (blocks._token("div"),), 0)]
+    under = blocks.leaf_blocks("<footer class=footer>" + "".join(f'<div class="a{i} b c d e f g h i j k l m n o">' for i in range(30)) + "x", blocks.trained()["seen"])
+    assert {blocks._token("footer"), blocks._token(".footer")} <= set(under[0][1])
     assert blocks.leaf_blocks("<p>ab <a>cd</a></p>")[0][2] == 2
 
 
-def test_gradients():
-    pages = [blocks.numbers(b) for b, _ in (blocks.training_page(i) for i in range(3))]
-    ys = [y for _, y in (blocks.training_page(i) for i in range(3))]
-    before = blocks.initial()
+def test_gradients(monkeypatch):
+    """A step of the fit goes along the loss's slope, as differences of the loss give it."""
+    made = [blocks.training_page(i) for i in range(3)]
+    pages, ys = [blocks.numbers(b) for b, _ in made], [y for _, y in made]
+    model = {k: v.astype(np.float64) for k, v in blocks.initial().items()}
+    monkeypatch.setattr(blocks, "initial", lambda: {k: v.copy() for k, v in model.items()})
+    steps = blocks.fit(pages, ys, rounds=1, batch=3, rate=1e-3)  # Adam's first step is the sign of the slope, at 0.3 of the rate
+    total = sum(map(len, ys))
+
+    def loss(m):
+        return sum(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum() for y, p in zip(ys, blocks.label(m, pages), strict=True)) / total
+
+    rng, checked = np.random.default_rng(3), 0
+    for name, weights in model.items():
+        for at in rng.integers(0, weights.size, 40):
+            slope = []
+            for e in (0.02, -0.02):
+                moved = weights.copy()
+                moved.flat[at] += e
+                slope.append(loss(model | {name: moved}) / e)
+            slope = sum(slope) / 2
+            if abs(slope) > 3e-4:
+                checked += 1
+                assert np.sign(steps[name].flat[at] - np.float32(weights.flat[at])) == -np.sign(slope), (name, at, slope)
+    assert checked > 40
+
+
+def test_a_fit_lowers_the_loss():
+    made = [blocks.training_page(i) for i in range(3)]
+    pages, ys = [blocks.numbers(b) for b, _ in made], [y for _, y in made]
     loss = lambda m: np.mean([-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean() for y, p in zip(ys, blocks.label(m, pages), strict=True)])
-    after = blocks.fit(pages, ys, rounds=30, batch=3)
-    assert loss(after) < 0.2 * loss(before)
+    assert loss(blocks.fit(pages, ys, rounds=30, batch=3)) < 0.2 * loss(blocks.initial())
 
 
 def test_batches_and_single_pages_agree():
@@ -155,6 +183,24 @@ def test_batches_and_single_pages_agree():
     pages = [blocks.numbers(b) for b, _ in map(blocks.training_page, range(6))]
     for one, many in zip((blocks.label(model, [p])[0] for p in pages), blocks.label(model, pages), strict=True):
         assert one == pytest.approx(many, abs=1e-5)
+    for page in pages:
+        assert blocks.label_long(model, page, chunk=3) == pytest.approx(blocks.label(model, [page])[0], abs=1e-5)
+    groups = list(blocks.together([5, 1, 100, 7, 2], 20))
+    assert sorted(i for g in groups for i in g) == list(range(5)) and [2] in groups and all(len(g) * max([5, 1, 100, 7, 2][i] for i in g) <= 20 for g in groups if g != [2])
+
+
+def test_a_page_of_100_000_blocks_takes_bounded_memory(labeller):
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = blocks.leaf_blocks("<article>" + "<p>One more block of the page.</p>" * 100_000, labeller["seen"])
+    assert len(blocks.label_long(labeller, blocks.numbers(found))) == 100_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # kilobytes
+
+
+def test_the_weights_are_those_of_a_fit(labeller):
+    made = blocks.train(200)
+    assert {k: v.shape for k, v in made.items()} == {k: v.shape for k, v in labeller.items()} and blocks.WEIGHTS.stat().st_size < 1 << 20
 
 
 @pytest.fixture(scope="module")
@@ -163,7 +209,7 @@ def labeller():
 
 
 def test_labeller_on_pages_it_has_not_seen(labeller):
-    made = [blocks.training_page(10**6 + i) for i in range(200)]
+    made = [blocks.training_page(10**6 + i, labeller["seen"]) for i in range(200)]
     found = blocks.label(labeller, [blocks.numbers(b) for b, _ in made])
     right = sum(int(((p >= 0.5) == (y > 0.5)).sum()) for p, (_, y) in zip(found, made, strict=True))
     assert right / sum(len(y) for _, y in made) > 0.98
@@ -186,6 +232,7 @@ def test_main_text_of_the_table(spark, small, labeller):
 def test_odd_pages(spark, labeller):
     page = "<article>" + "".join(f"<p>Sentence number {i} stands here.</p>" for i in range(3000)) + "</article>"
     df = spark.createDataFrame([(1, "u", None, 3), (2, None, "", 3), (3, "u", "<nav><a>x</a></nav>", 3), (None, "u", page, 3), (3, "u", "<nav><a>x</a></nav>", 3)], "page_id bigint, url string, html string, text int")
+    df = df.withColumn("id", F.lit(1)).withColumn("n_chars", F.lit("x"))
     rows = blocks.main_text(df, model=labeller).collect()
     assert len(rows) == 5 and {r["text"] for r in rows if r["page_id"] in (1, 2)} == {""}
     assert next(r for r in rows if r["page_id"] is None)["n_blocks"] >= 2900
@@ -208,7 +255,7 @@ def test_round_trip(spark):
     rows = [(c, k, r.choice(["user", "assistant", "system", "a\nb<|im_end|>\\", None]), r.choice([*HARD, None])) for c in range(30) for k in range(r.randrange(1, 9))]
     rows += [(0, 0, "user", "twice"), (0, 0, "user", "twice"), (None, 1, "assistant", "no id")]
     df = spark.createDataFrame([(*x, 1) for x in rows], "conv_id bigint, turn bigint, role string, text string, piece int")
-    found = {x["conv_id"]: x for x in chat.read_back(chat.format_turns(chat.row_turns(df))).collect()}
+    found = {x["conv_id"]: x for x in chat.read_back(chat.format_turns(chat.table_turns(df))).collect()}
     assert len(found) == len({x[0] for x in rows})
     for c in found:
         own = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1], x[2] is not None, x[2] or "", x[3] is not None, x[3] or ""))
@@ -216,7 +263,7 @@ def test_round_trip(spark):
         learnt = "".join(x[3] or "" for x in own if x[2] == "assistant")
         assert found[c]["n_turns"] == len(own) and found[c]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert found[c]["loss_chars"] == len(learnt) and found[c]["loss_sha256"] == hashlib.sha256(learnt.encode()).hexdigest()
-    assert chat.read_back(chat.format_turns(chat.row_turns(df.limit(0)))).count() == 0
+    assert chat.read_back(chat.format_turns(chat.table_turns(df.limit(0)))).count() == 0
 
 
 def test_layouts(spark):
@@ -235,26 +282,62 @@ def test_layouts(spark):
     assert all(found[i] == qa for i in (0, 2, 3, 5, 6, 7, 8))
     assert found[1] == [("system", "s"), *qa] and found[4] == [("system", "s"), ("user", "do\n\nit"), ("assistant", "a")]
     assert all(found[i] == [(None, None)] for i in (9, 10, 11, 99))
+    more = [json.dumps({"messages": [{"role": "user", "content": 3, "at": 1}, {"role": None, "content": "a"}, None], "extra": {"id": 1}, "question": "x"})]
+    said = chat.record_turns(spark.createDataFrame([(1, x) for x in more], "id bigint, record string")).orderBy("turn").collect()
+    assert [(r["role"], r["text"]) for r in said] == [("user", "3"), ("", "a"), ("", "")]
     assert chat.fingerprint({"b", "a"}) == chat.fingerprint({"a", "b"}) != chat.fingerprint({"a"})
     assert chat.schema_paths(df.selectExpr("array(struct(id, record as r)) as m", "id").schema) == {"m[].id", "m[].r", "id"}
     with pytest.raises(ValueError):
-        chat.row_turns(df)
+        chat.table_turns(df)
+
+
+def digests(df):
+    return sorted((r["conv_id"], r["n_turns"], r["turns_sha256"], r["loss_sha256"]) for r in chat.read_back(chat.format_turns(chat.table_turns(df))).collect())
+
+
+def test_tables_of_many_layouts_give_the_same_conversations(spark):
+    said = [(c, [("user", f"q{c} </s>"), ("assistant", f"a{c}\n[INST]")]) for c in range(5)]
+    named = {"user": "human", "assistant": "gpt"}
+    rows = [(c, k, role, text, 1.5) for c, turns in said for k, (role, text) in enumerate(turns)]
+    share = [(c, k, named[role], text) for c, k, role, text, _ in rows]
+    tables = {
+        "rows": spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, piece double"),
+        "other rows": spark.createDataFrame(share, "thread bigint, position int, `from` string, value string"),
+        "rows of content": spark.createDataFrame(share, "conversation_id bigint, turn int, role string, content string").withColumn("text", F.lit("no")),
+        "messages": spark.createDataFrame(said, "id bigint, messages array<struct<role:string,content:string>>").withColumn("note", F.lit(1)),
+        "conversations": spark.createDataFrame([(c, [(named[r], t) for r, t in turns], "") for c, turns in said], "id bigint, conversations array<struct<`from`:string,value:string>>, system string"),
+        "instructions": spark.createDataFrame([(c, t[0][1], t[1][1], None) for c, t in said], "id bigint, instruction string, output string, input string"),
+        "nested": spark.createDataFrame([(c, ((t[0][1],), (t[1][1],))) for c, t in said], "id bigint, data struct<prompt:struct<text:string>,reply:struct<text:string>>"),
+    }
+    known = chat.registry()
+    wanted = digests(tables["rows"])
+    assert [x[0] for x in wanted] == list(range(5)) and all(digests(df) == wanted for df in tables.values())
+    assert len({chat.select(chat.schema_paths(df.schema), known) for df in tables.values()}) == len(tables)
+    system = spark.createDataFrame([(1, [("user", "q"), (None, None)], "s"), (2, None, None)], "id bigint, messages array<struct<role:string,content:string>>, system string")
+    assert [tuple(r)[2:] for r in chat.table_turns(system).orderBy("turn").collect()] == [("system", "s"), ("user", "q"), ("", "")]
+
+
+def test_a_long_conversation(spark):
+    df = spark.range(30_000).select(F.lit(4).alias("conv_id"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text")).withColumnRenamed("id", "turn")
+    row = chat.read_back(chat.format_turns(chat.table_turns(df))).collect()[0]
+    assert row["n_turns"] == 30_000 and row["loss_sha256"] == hashlib.sha256("".join(f"t{i}" for i in range(1, 30_000, 2)).encode()).hexdigest()
 
 
 # ---- search -----------------------------------------------------------------------------------------------------------------------
 
 def slow_top(vectors, k=10):
-    whole = {}
-    for i, v in vectors:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            w = [int(np.floor(1024 * x)) for x in v]
-            whole[i] = min(whole.get(i, w), w)
-    found = set()
-    for q in whole:
-        if q % 100 == 0:
-            scored = sorted(((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i) for i, v in whole.items() if i != q))[:k]
-            found |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)}
-    return found
+    """(query, rank, id, score) rows, in plain Python; rows are told apart by their place."""
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    found = []
+    for n, (q, own) in enumerate(whole):
+        if q is not None and q % 100 == 0:
+            scored = sorted((-max(-topk.LIMIT, min(topk.LIMIT, sum(a * b for a, b in zip(own, v, strict=False)))), i is None, i or 0) for m, (i, v) in enumerate(whole) if m != n)[:k]
+            found += [(q, rank + 1, None if none else i, -s) for rank, (s, none, i) in enumerate(scored)]
+    return sorted(found, key=str)
+
+
+def fast_top(df):
+    return sorted(((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(df, F.col("id") % 100 == 0).collect()), key=str)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -263,19 +346,33 @@ def test_top_k_matches_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(topk, "CELL_QUERIES", 3)
     r = np.random.default_rng(seed)
     rows = [(int(i), [float(np.float32(x)) for x in (r.integers(-2, 3, 8) / 4 if i % 2 else r.normal(size=8) / 4)]) for i in range(700)]
-    rows += [(700, None), (701, []), (800, [1.0, None]), (900, [float("nan")] * 8), (901, [float("inf")] * 8), (None, [1.0] * 8), (100, [9.0] * 8), (1000, [0.5, 0.25])]
+    rows += [(700, None), (701, []), (800, [1.0, None]), (900, [float("nan")] * 8), (901, [float("inf")] * 8), (None, [1.0] * 8), (1000, [0.5, 0.25])]
+    rows += [(100, [9.0] * 8), (100, [9.0] * 8), (1100, [])]  # ids and whole rows that repeat, and an empty query
     df = spark.createDataFrame([(*x, 3) for x in rows], "vec_id bigint, embedding array<double>, rank int")
-    found = {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(df, F.col("id") % 100 == 0).collect()}
-    assert found == slow_top(rows)
+    assert fast_top(df) == slow_top(rows)
     assert topk.top_k(df.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_top_k_over_all_ids_and_one_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL_VECTORS", 64)
+    r = np.random.default_rng(7)
+    ids = [-(2**63), 2**63 - 1, 10**12, -(10**18), *range(200), *[77] * 100]
+    rows = [(i, r.normal(size=4).tolist()) for i in ids]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert fast_top(df) == slow_top(rows)
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e12, -1e12]), (1, [1e12, 1.0]), (2, [1e12, -1e12]), (3, [-1e12, 1e12]), (100, [1e15, 1e15])]
+    assert fast_top(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")) == slow_top(rows)
+
+
 def test_pruning_skips_blocks_but_no_result():
     r = np.random.default_rng(4)
     centres = r.integers(-500, 500, (20, 16))
     vectors = np.concatenate([c + r.integers(-20, 20, (64, 16)) for c in centres])
     ids = np.arange(len(vectors))
-    found = topk.search(ids[::64], vectors[::64], ids, vectors, 5, block=64)
+    found = topk.search(ids[::64], vectors[::64], ids, ids, vectors, 5, block=64)
     for q in ids[::64]:
         s = vectors @ vectors[q]
         s[q] = -(10**12)
