@@ -58,6 +58,14 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,7 +78,7 @@ def held_out(doc_id):
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 _BYTES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(4096, _BASE, dtype=np.uint64), dtype=np.uint64)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _STEPS = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -81,27 +89,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_INSIDE = np.ones(256, np.int8)
+_INSIDE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = 0  # ASCII's white space, as str.split has it
+#: How the UTF-8 of all other white space begins.
+_WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+KEPT_POWERS = 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base to the powers 1 to n, and to 0 to -(n - 1), modulo 2**64. Tables of up to KEPT_POWERS are kept."""
+    if not _powers or len(_powers[0]) < n:
+        size = min(KEPT_POWERS, 1 << n.bit_length()) if n <= KEPT_POWERS else n
+        made = [np.cumprod(np.full(size, b, np.uint64), dtype=np.uint64) for b in (_BASE, _INVERSE)]
+        made[1] = np.concatenate((np.ones(1, np.uint64), made[1][:-1]))
+        if size > KEPT_POWERS:
+            return made[0], made[1]
+        _powers[:] = made
+    return _powers[0][:n], _powers[1][:n]
+
+
 def word_hashes(text: str | None, prefixes: tuple[int, ...] = ()) -> np.ndarray:
     """A 64-bit hash of each word (lower case, split at white space), the same on every machine. Null or empty: none.
 
-    With prefixes, a row for the words, and one for the words' first so many bytes of each size given.
+    With prefixes, a row for the words, and one for the words' first so many bytes of each size given. A word's hash is a polynomial
+    of its bytes, taken from one running sum over the text.
     """
-    flat = " ".join((text or "").lower().split())
-    if not flat:
+    data = (text or "").lower().encode("utf-8", "surrogatepass")
+    if len(data) != len(text or "") and any(x in data for x in _WIDE):  # white space beyond ASCII may be in it
+        data = " ".join((text or "").lower().split()).encode("utf-8", "surrogatepass")
+    raw = np.frombuffer(data, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(_INSIDE[raw], prepend=np.int8(0), append=np.int8(0)))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
         return np.empty((1 + len(prefixes), 0) if prefixes else 0, dtype=np.uint64)
-    raw = np.frombuffer(flat.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    spaces = np.flatnonzero(raw == 32)
-    starts = np.concatenate(([0], spaces + 1))
-    lengths = np.diff(np.concatenate((starts, [len(raw) + 1]))) - 1
-    place = np.arange(len(raw)) - np.repeat(starts, lengths + 1)[: len(raw)]
-    parts = _BYTES[raw] * _POWERS[place & 4095]
-    if len(raw) > 4096 and lengths.max() > 4096:  # a word beyond the power table: its later blocks are told apart by the block's number
-        parts *= mix((place >> 12).astype(np.uint64) + np.uint64(1)) | np.uint64(1)
-    parts[spaces] = 0
-    whole = mix(np.add.reduceat(parts, starts) + lengths.astype(np.uint64) * _BASE)
+    up, down = powers(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * up, out=sums[1:])
+    before, back = sums[starts], down[starts]
+    whole = mix((sums[ends] - before) * back + (ends - starts).astype(np.uint64) * _BASE)
     if not prefixes:
         return whole
-    cut = [mix(np.add.reduceat(np.where(place < k, parts, np.uint64(0)), starts) + np.uint64(k)) for k in prefixes]
+    cut = [mix((sums[np.minimum(starts + k, ends)] - before) * back + np.uint64(k)) for k in prefixes]
     return np.stack([whole, *cut])
 
 

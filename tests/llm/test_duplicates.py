@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genoquery.llm import jaccard_join as jj, substring_dedup as sd
 from genoquery.llm.common import shingles, word_hashes
@@ -206,3 +207,77 @@ def test_compact_windows_are_all_windows_with_that_minimum():
             assert {int(c): (int(a), int(b)) for c, a, b in zip(cs, ls, rs, strict=True)} == wanted
         if length < width:
             assert not list(sd.compact_windows(grams, width, 2))
+
+
+def test_enough_functions_for_the_recall():
+    assert sd.hash_count(0.8, 0.998, 1) == 4 and sd.hash_count(0.8, 0.998, 2) == 6
+    with pytest.raises(ValueError):
+        sd.hash_count(0.1, 0.9999, 30)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_laid_over_ranges_match_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    f, lo = rng.integers(0, 3, 30), rng.integers(0, 600, 30)
+    hi = lo + rng.integers(8, 30, 30)
+    joined = np.zeros(700, bool)
+    for a, b in zip(lo, hi, strict=True):
+        joined[a : b + 1] = True
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], joined.view(np.int8), [0])))).reshape(-1, 2)
+    wanted = []
+    for a, b in edges.tolist():  # neighbours that touch but don't overlap are apart
+        inside = [(x, y, z) for x, y, z in zip(f.tolist(), lo.tolist(), hi.tolist(), strict=True) if a <= y < b]
+        cuts = [a, *sorted({c for c in range(a + 1, b) if not any(y < c <= z for _, y, z in inside)}), b]
+        for c, d in zip(cuts, cuts[1:], strict=False):
+            own = [x for x in inside if c <= x[1] < d]
+            if any(len({x for x, y, z in own if y <= p and z >= p + 9}) >= 2 for p in range(c, d)):
+                wanted.append((c, d - 1))
+    assert sd.overlaid(f, lo, hi, 10, 2) == wanted
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    r = random.Random(21)
+    p, own = words(r, 80), words(r, 300)
+    texts = [(1, " ".join(p)), (2, " ".join([*p, *words(r, 30)])), (2, " ".join(own)), (2, " ".join(own)), (3, " ".join([*words(r, 20), *own]))]
+    kept = [(x["doc_id"], x["text"]) for x in sd.remove_repeats(frame(spark, texts)).collect()]
+    assert sorted(i for i, _ in kept) == [1, 2, 2, 2, 3] and kept.count((2, " ".join(own))) == 2
+    assert [t for i, t in kept if i == 2 and t != " ".join(own)] == [" ".join(texts[1][1].split()[80:])] and dict(kept)[3] == " ".join(texts[4][1].split()[:20])
+    found = sd.repeated_passages(frame(spark, texts)).collect()
+    assert {(x["doc_id"], x["source_id"]) for x in found} == {(2, 1), (3, 2)} and dict(frame(spark, texts).dtypes)["doc_id"] == "bigint"
+
+
+def test_repeats_with_clashing_names_and_null_columns(spark):
+    r = random.Random(22)
+    p = " ".join(words(r, 70))
+    df = spark.createDataFrame([(i, p if i else None, None, None, 0, "s") for i in range(4)], "doc_id bigint, text string, key string, spans array<int>, n_chars int, __text string").withColumn("ID", F.lit(1))
+    kept = sd.remove_repeats(df)
+    assert kept.columns == df.columns and [x["doc_id"] for x in kept.orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_passages_with_a_wide_gap(spark):
+    r = random.Random(23)
+    one, two = words(r, 49, 10**6), words(r, 75, 10**6)
+    texts = [(1, " ".join([*one, *words(r, 10, 10**6), *two])), (2, " ".join([*one, *words(r, 10, 10**6), *two]))]
+    a, b = (word_hashes(t) >> np.uint64(32) for _, t in texts)
+    assert sd.passages(b.astype(np.uint32), a.astype(np.uint32), 5, 50, 0.7)[0][:2] == (0, 134)
+    long = [words(r, 300, 10**6) for _ in range(2)]
+    t = [" ".join([*long[0], *words(r, 30, 10**6), *long[1]]) for _ in range(2)]
+    c, d = ((word_hashes(x) >> np.uint64(32)).astype(np.uint32) for x in t)
+    assert sorted(x[:2] for x in sd.passages(d, c, 5, 50, 0.8)) == [(0, 300), (330, 630)]
+
+
+def test_a_very_long_and_a_repetitive_text_have_their_passages(spark):
+    r = random.Random(24)
+    long, p = words(r, 120_000, 10**6), words(r, 60, 10**6)
+    texts = [(1, " ".join([*long[:60_000], *p, *long[60_000:]])), (2, " ".join(p)), (3, "w " * 100_000), (4, "w " * 60)]
+    marks = covered(sd.repeated_passages(frame(spark, texts)).collect(), texts)
+    assert marks[2].all() and marks[4].all() and not marks[1].any() and not marks[3].any()
+
+
+def test_windows_are_deleted_after_use(spark):
+    from pathlib import Path
+
+    from genoquery.checkpoints import checkpoint_dir
+
+    sd.repeated_passages(frame(spark, [(1, "a b"), (2, "a b")])).collect()
+    assert not list(Path(checkpoint_dir(spark).removeprefix("file:")).rglob("windows-*"))
