@@ -6,11 +6,14 @@ running Karp-Rabin hashes, so that reordered parts of an item all count. An item
 COVERAGE contaminates the text.
 
 The benchmark is broadcast only in parts of at most PART_WORDS words (about 32 MB of hashes): a larger one takes a pass over the
-texts for each part. Nothing else goes to the driver, and texts are never shuffled.
+texts for each part. Nothing else goes to the driver, and texts are never shuffled. A text's distinct seeds are looked up CHUNK
+entries of the index at a time and only mark the items' words, so a text takes memory in proportion to itself and to a part of the
+benchmark, however often either repeats itself; items are judged one by one.
 
 Tokens are runs of letters, digits and underscores in lower case, so punctuation and case don't matter. Defined results: null or
-empty texts match nothing; items that are null or under MIN_TILE tokens are never matched; null ids are kept as ids; repeated
-rows each give their own result; equal items each match.
+empty texts match nothing, texts of any length are read whole; items that are null or under MIN_TILE tokens are never matched; null ids
+are kept as ids; repeated rows each give their own result; equal items each match; of equally long matches the earliest in the item is
+marked first. An empty table gives no rows, an empty benchmark matches nothing; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from genoquery.llm.common import column, lean, shingles, ship, table, word_hashe
 MIN_TILE = 5
 COVERAGE = 0.5
 PART_WORDS = 4_000_000
+CHUNK = 1 << 18
 _OTHER = re.compile(r"\W+")
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
@@ -109,6 +113,28 @@ class Items:
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.owner, self.place = seeds[order], owner[order], place[order]
 
+        self.starts = np.cumsum([0, *map(len, self.words)])
+
+    def _seeded(self, seeds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(items, number of their words that are in one of the text's distinct seeds). The seeds' entries are marked in chunks."""
+        first = np.searchsorted(self.seeds, seeds, side="left")
+        count = np.searchsorted(self.seeds, seeds, side="right") - first
+        ends = np.cumsum(count)
+        if ends[-1] <= CHUNK:
+            rows = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
+            words = np.unique((self.starts[self.owner[rows]] + self.place[rows])[:, None] + np.arange(least))
+        else:
+            marks = np.zeros(int(self.starts[-1]) + 1, np.int32)
+            for a in range(0, int(ends[-1]), CHUNK):
+                entry = np.arange(a, min(a + CHUNK, int(ends[-1])))
+                which = np.searchsorted(ends, entry, side="right")
+                rows = first[which] + entry - (ends[which] - count[which])
+                spot = self.starts[self.owner[rows]] + self.place[rows]
+                np.add.at(marks, spot, 1)
+                np.add.at(marks, spot + least, -1)
+            words = np.flatnonzero(np.cumsum(marks) > 0)
+        return np.unique(np.searchsorted(self.starts, words, side="right") - 1, return_counts=True)
+
     def matched(self, words: np.ndarray, least: int, coverage: float) -> Iterator[tuple]:
         """(item's id, share covered, number of tiles, longest tile) of each item that the text holds."""
         if len(words) < least or not len(self.seeds):
@@ -116,28 +142,18 @@ class Items:
         grams = shingles(words, least)
         lo = np.searchsorted(self.seeds, grams)
         lo[lo == len(self.seeds)] = 0
-        hits = np.flatnonzero(self.seeds[lo] == grams)
-        if not len(hits):
+        hit = self.seeds[lo] == grams
+        if not hit.any():
             return
-        first = np.searchsorted(self.seeds, grams[hits], side="left")
-        count = np.searchsorted(self.seeds, grams[hits], side="right") - first
-        rows = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        who, where, at = self.owner[rows], self.place[rows], np.repeat(hits, count)
-        order = np.argsort(who, kind="stable")
-        who, where, at = who[order], where[order], at[order]
-        starts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-        for a, b in zip(starts, [*starts[1:], len(who)], strict=True):
-            item = self.words[who[a]]
-            seeded = np.zeros(len(item) + 1, np.int64)
-            spots = np.unique(where[a:b])
-            np.add.at(seeded, spots, 1)
-            np.add.at(seeded, spots + least, -1)
-            if (np.cumsum(seeded[:-1]) > 0).sum() < coverage * len(item):
+        for i, covered in zip(*(x.tolist() for x in self._seeded(np.unique(grams[hit]), least)), strict=True):
+            item = self.words[i]
+            if covered < coverage * len(item):
                 continue
-            found = tiles(item, self._near(words, np.unique(at[a:b]), least), least)
+            at = np.flatnonzero(np.isin(grams, shingles(item, least)))
+            found = tiles(item, self._near(words, at, least), least)
             share = sum(t[2] for t in found) / len(item)
             if share >= coverage:
-                yield self.ids[who[a]], share, len(found), max(t[2] for t in found)
+                yield self.ids[i], share, len(found), max(t[2] for t in found)
 
     @staticmethod
     def _near(words: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:

@@ -3,13 +3,18 @@
 1. One Python pass reads each text and leaves a digest of its set of word 5-grams and its band hashes.
 2. Texts with equal sets are one node from here on (aggregated before any join, so a group of copies costs one row).
 3. Band hashes are shuffled; a band that two nodes share makes them candidates. Nodes of shared bands are dealt into blocks
-   of bounded weight; a pair of blocks that share a band is one task's work, so no pair of nodes ever is a row.
+   of bounded weight (larger ones where a class would have more than FEW_PARTS, so fewer blocks meet); a pair of blocks that share a
+   band is one task's work, so no pair of nodes ever is a row.
 4. Each pair of blocks gets its nodes' full n-gram sets, verifies every two nodes that share a band, and returns for each node
    the copies it links to and one parent in the verified graph. Components of those parents are the classes.
 
+Counting the links of N different texts that are all near copies of each other compares N * N / 2 sets by definition; that work is done by
+matrix products over the n-grams that sets of a pair of blocks share, and is spread over about (N / BLOCK_NODES)^2 / 2 tasks.
+
 Defined results: a null or empty text (no words) has no n-grams, links to nothing and is a class of its own. A text of 1 to 4
-words has one n-gram of all its words. Repeated rows are copies: each row is returned, and a copy counts as a link. Null ids are
-kept; a class's id is the smallest id in it (null if it has none). Ties don't arise: all counts are exact.
+words has one n-gram of all its words; a text of any length is read whole. Repeated rows are copies: each row is returned, and a copy counts as a link. Null ids are
+kept; a class's id is the smallest id in it (null if it has none). Ties don't arise: all counts are exact. An empty table gives no rows;
+other columns, whatever their names, are left out (`near_duplicates`) or kept as they are (`keep_one`).
 """
 
 from __future__ import annotations
@@ -23,18 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from genoquery.checkpoints import checkpoint, sweep
-from genoquery.llm.common import SHINGLE, SIMILARITY, column, lean, shingles, ship, table, word_hashes
+from genoquery.llm.common import SHINGLE, SIMILARITY, column, lean, shingles, ship, table, unused, word_hashes
 from genoquery.operators.components import connected_components
 
 TARGET_RECALL = 0.9995
 MAX_HASHES = 160
 BLOCK_NODES = 128
 BLOCK_GRAMS = 200_000
+FEW_PARTS, LARGE_NODES, LARGE_GRAMS = 64, 1024, 1_000_000
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = TARGET_RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows per band whose band count reaches the recall at the similarity within `most` hashes."""
-    best = (most, 1)
+    """(bands, rows): the most rows per band whose band count reaches the recall at the similarity within `most` hashes. Raises where none does."""
+    best = None
     for rows in range(1, most + 1):
         hit = similarity**rows
         if hit >= 1:
@@ -43,6 +49,8 @@ def choose_bands(similarity: float = SIMILARITY, recall: float = TARGET_RECALL,
         if bands * rows > most:
             break
         best = (bands, rows)
+    if best is None:
+        raise ValueError(f"a recall of {recall} at a similarity of {similarity} takes more than {most} hashes")
     return best
 
 
@@ -119,20 +127,36 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     """Sizes of the intersections of sets[left[i]] and sets[right[i]]."""
     if len(left) <= 256:
         return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right, strict=True)], dtype=np.int64)
-    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, what, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows, i = np.unique(left, return_inverse=True)
+    columns, j = np.unique(right, return_inverse=True)
+    used = np.union1d(rows, columns)
+    who = np.repeat(used, [len(sets[u]) for u in used])
+    _, what, times = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True, return_counts=True)
     shared = times[what] > 1
     who, what = who[shared], np.unique(what[shared], return_inverse=True)[1]
     order = np.argsort(what, kind="stable")
     who, what = who[order], what[order]
-    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    width = 8192
+    both = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    width = 4096
     for a in range(0, int(what[-1]) + 1 if len(what) else 0, width):
         lo, hi = np.searchsorted(what, [a, a + width])
         has = np.zeros((len(sets), width), dtype=np.float32)
         has[who[lo:hi], what[lo:hi] - a] = 1
-        both += has @ has.T
-    return both[left, right].astype(np.int64)
+        both += has[rows] @ has[columns].T
+    return both[i, j].astype(np.int64)
+
+
+def _parents(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component."""
+    found = np.arange(n)
+    while True:
+        low, new = np.minimum(found[left], found[right]), found.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if np.array_equal(new, found):
+            return found
+        found = new
 
 
 def verify(block: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -143,40 +167,33 @@ def verify(block: pd.DataFrame, similarity: float) -> pd.DataFrame:
     block = block.sort_values(["side", "digest"], ignore_index=True)
     sets = [np.frombuffer(x, dtype=np.uint64) for x in block["grams"]]
     side, sizes = block["side"].to_numpy(), np.array([len(s) for s in sets])
+    own = int((side == 0).sum())
+    alone = own == len(sets)
     by_band: dict[int, list[int]] = {}
-    for i, own in enumerate(block["live"]):
-        for b in own:
+    for i, bands in enumerate(block["live"]):
+        for b in bands:
             by_band.setdefault(b, []).append(i)
-    met: list[np.ndarray] = []
-    alone = side.max() == 0
+    # nodes of the first block by nodes of the second (or of itself) that share a band
+    met, base = np.zeros((own, len(sets) if alone else len(sets) - own), bool), 0 if alone else own
     for members in by_band.values():
         if len(members) > 1:
             m = np.array(members)
-            a, b = np.triu_indices(len(m), 1)
-            met.append(np.unique(m[a].astype(np.int64) * len(sets) + m[b]))
-    pairs = np.unique(np.concatenate(met)) if met else np.empty(0, dtype=np.int64)
-    left, right = pairs // len(sets), pairs % len(sets)
+            met[np.ix_(m[m < own], m[m >= base] - base)] = True
+    if alone:
+        met = np.triu(met, 1)
+    left, right = np.nonzero(met)
+    right = right + base
     fits = np.minimum(sizes[left], sizes[right]) >= similarity * np.maximum(sizes[left], sizes[right]) - 1e-9
-    fits &= True if alone else side[left] != side[right]
     left, right = left[fits], right[fits]
     inter = _overlaps(sets, left, right) if len(left) else np.empty(0, dtype=np.int64)
     ok = inter / np.maximum(1, sizes[left] + sizes[right] - inter) >= similarity
     left, right = left[ok], right[ok]
-    mult, links, root = block["mult"].to_numpy(), np.zeros(len(sets), dtype=np.int64), list(range(len(sets)))
+    mult, links = block["mult"].to_numpy(), np.zeros(len(sets), dtype=np.int64)
     np.add.at(links, left, mult[right])
     np.add.at(links, right, mult[left])
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, j in zip(left.tolist(), right.tolist(), strict=True):
-        a, b = find(i), find(j)
-        root[max(a, b)] = min(a, b)
-    some = np.flatnonzero(links)
-    return pd.DataFrame({"digest": block["digest"].iloc[some].to_numpy(), "links": links[some], "parent": [block["digest"].iloc[find(i)] for i in some]})
+    some, parents = np.flatnonzero(links), _parents(len(sets), left, right)
+    digests = block["digest"].to_numpy()
+    return pd.DataFrame({"digest": digests[some], "links": links[some], "parent": digests[parents[some]]})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
@@ -197,7 +214,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sweep(spark)
     live = in_band.join(shared, "band").groupBy("digest").agg(F.min("first").alias("root"), F.collect_set("band").alias("live")).join(nodes.select("digest", "n_grams", "mult", "text_key", "carrier"), "digest")
     live = checkpoint(live)
-    weights = checkpoint(live.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("parts")))
+    parts = lambda nodes, grams: F.greatest(F.lit(1), F.ceil(F.count("*") / nodes), F.ceil(F.sum("n_grams") / grams)).cast("int")
+    few, large = parts(BLOCK_NODES, BLOCK_GRAMS), F.greatest(F.lit(FEW_PARTS), parts(LARGE_NODES, LARGE_GRAMS))
+    weights = checkpoint(live.groupBy("root").agg(F.least(few, large).alias("parts")))
     dealt = live.join(weights, "root").withColumn("block", F.xxhash64("root", F.pmod(F.xxhash64("digest"), F.col("parts"))))
     dealt = checkpoint(dealt.select("digest", "mult", "text_key", "carrier", "live", "block"))
 
@@ -229,16 +248,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of docs that stay: of each class the row with the smallest id. Rows without words or without an id stay. Of rows that repeat an id the one whose text's md5 is smallest stays, once."""
-    found = near_duplicates(docs, id_col, text_col, **params).filter(f"not no_words and {id_col} is not null")
-    found = checkpoint(found.select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), (F.col("class_id") != F.col(id_col)).alias("__gone")))
-    twice = found.filter("not __gone").groupBy("__id").agg(F.count("*").alias("n"), F.min("__key").alias("first")).filter("n > 1")
-    gone = found.filter("__gone").select("__id", "__key").unionByName(found.join(twice, "__id").filter("not __gone and __key <> first").select("__id", "__key")).distinct()
-    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    left = keyed.join(gone, ["__id", "__key"], "left_anti")
+    found = near_duplicates(docs, id_col, text_col, **params).filter(~F.col("no_words") & F.col(id_col).isNotNull())
+    key, text_key = unused(docs, "id"), unused(docs, "text_key")
+    found = checkpoint(found.select(F.col(id_col).alias(key), F.col("text_key").alias(text_key), (F.col("class_id") != F.col(id_col)).alias("gone")))
+    twice = found.filter("not gone").groupBy(key).agg(F.count("*").alias("n"), F.min(text_key).alias("first")).filter("n > 1")
+    gone = found.filter("gone").select(key, text_key).unionByName(found.join(twice, key).filter(~F.col("gone") & (F.col(text_key) != F.col("first"))).select(key, text_key)).distinct()
+    keyed = docs.withColumn(key, F.col(id_col)).withColumn(text_key, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    left = keyed.join(gone, [key, text_key], "left_anti")
     if not twice.isEmpty():
-        left = checkpoint(left)
-        again = twice.select("__id")
-        left = left.join(again, "__id", "left_anti").unionByName(left.join(again, "__id", "left_semi").dropDuplicates(["__id", "__key"]))
+        left = checkpoint(left, wide=True)
+        again = twice.select(key)
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key, text_key]))
     return left.select(*docs.columns)
 
 

@@ -5,12 +5,13 @@ word beginnings (inflected forms share those); a document's is the noisy-or of
 its sentences' scores, 1 - prod(1 - p), and that is what the documents' labels train. The sentence scores then locate the
 offending sentences.
 
-Training rows are at most `per_class` rows of each label (lowest hash of the id, never held-out ones); the driver gets their
-hashed words only, of documents that repeat a sampled id those of one (the least). The optimiser is AdaGrad on batches in a fixed order, so a fit is repeatable.
+Training rows are at most `per_class` rows of each label (lowest hash of the id, never held-out ones), and of those the first in that
+order whose hashed words take `label_bytes` together; the driver gets these hashed words only, 2 * label_bytes at most (and one text
+more), of documents that repeat a sampled id those of one (the least). The optimiser is AdaGrad on batches in a fixed order, so a fit is repeatable.
 
 Defined results: a null or empty text has no sentence and scores 0. Null labels are skipped; of labels that differ for one id the
-smaller counts. Without both labels every score is 0. Ids may be null or repeat: each row is scored from its text alone. Of equally
-bad sentences all are located.
+smaller counts. Without both labels every score is 0. Ids may be null or repeat: each row is scored from its text alone, whatever its
+length. Of equally bad sentences all are located. An empty table gives no rows; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from genoquery.checkpoints import checkpoint
 from genoquery.llm.common import column, held_out, lean, ship, table, word_hashes
 from genoquery.llm.quality import sample_labels
 
 PER_CLASS = 4000
+LABEL_BYTES = 32 << 20
 THRESHOLD = 0.5
 BITS = 19
 PREFIXES = (4, 5, 6)
@@ -135,13 +138,22 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.tobytes() for w, _ in bags], pa.binary()), pa.array([s.astype(np.int32).tobytes() for _, s in bags], pa.binary())], names=["__id", "label", "words", "starts"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Words:
+def sample_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, per_class: int, label_bytes: int) -> DataFrame:
+    """(label, words, starts) of the training rows. Only the few columns of at most 2 * per_class rows meet in a window."""
     ship(docs.sparkSession)
     some = F.broadcast(sample_labels(labels, label, id_col, per_class))  # 2 * per_class rows at most
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(some, "__id").select("__id", "label", "text")
     hashed = rows.mapInArrow(lean(_hash), f"__id {dict(rows.dtypes)['__id']}, label int, words binary, starts binary")
-    least = hashed.groupBy("__id", "label").agg(F.min(F.struct("words", "starts")).alias("bag")).select("label", "bag.words", "bag.starts")
-    found = sorted((r["label"], bytes(r["words"]), bytes(r["starts"])) for r in least.collect())
+    least = checkpoint(hashed.groupBy("__id", "label").agg(F.min(F.struct("words", "starts")).alias("bag")).select("__id", "label", "bag.words", "bag.starts"))
+    before = Window.partitionBy("label").orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, -1)
+    held = least.select("__id", "label", (F.length("words") + F.length("starts")).cast("bigint").alias("bytes")).withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    kept = held.filter(F.col("before") < label_bytes).select("__id")
+    return least.join(F.broadcast(kept), "__id").select("label", "words", "starts")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = PER_CLASS, label_bytes: int = LABEL_BYTES) -> Words:
+    rows = sample_bags(docs, labels, id_col, text_col, label, per_class, label_bytes).collect()  # bounded by label_bytes
+    found = sorted((r["label"], bytes(r["words"]), bytes(r["starts"])) for r in rows)
     bags = [(np.frombuffer(w, np.int32), np.frombuffer(s, np.int32)) for _, w, s in found]
     return fit(bags, np.array([y for y, _, _ in found], dtype=np.float64))
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,43 @@ def test_bands_reach_the_recall():
     for similarity, recall in ((0.8, 0.9995), (0.9, 0.99), (0.5, 0.95)):
         bands, rows = jj.choose_bands(similarity, recall)
         assert 1 - (1 - similarity**rows) ** bands >= recall and bands * rows <= jj.MAX_HASHES
+    with pytest.raises(ValueError):
+        jj.choose_bands(0.01, 0.999)
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_pairs_of_blocks_match_brute_force(alone):
+    rng = np.random.default_rng(3)
+    grams = [np.unique(rng.choice(60, rng.integers(1, 30)).astype(np.uint64)) for _ in range(40)]
+    grams[20:] = [np.unique(np.append(g, np.uint64(99))) for g in grams[:20]]
+    live = [rng.choice(6, 3, replace=False).tolist() for _ in grams]
+    block = pd.DataFrame({"side": 0 if alone else [0] * 20 + [1] * 20, "digest": [i.to_bytes(2, "big") for i in range(40)], "mult": 2, "live": live, "grams": [g.tobytes() for g in grams]})
+    found = {r.digest: (r.links, r.parent) for r in jj.verify(block, 0.6).itertuples()}
+    links = {}
+    for i in range(40):
+        for j in range(40):
+            if i != j and (alone or i // 20 != j // 20) and set(live[i]) & set(live[j]):
+                a, b = set(grams[i].tolist()), set(grams[j].tolist())
+                if len(a & b) >= 0.6 * len(a | b):
+                    links.setdefault(i, []).append(j)
+    assert {d: v[0] for d, v in found.items()} == {i.to_bytes(2, "big"): 2 * len(x) for i, x in links.items()} and len(links) > 10
+    assert all(found[j.to_bytes(2, "big")][1] == found[i.to_bytes(2, "big")][1] for i, x in links.items() for j in x)
+
+
+def test_the_same_links_in_larger_blocks(spark, monkeypatch):
+    texts = corpus(9, groups=3, alone=5) + [(1000 + i, " ".join([f"t{k}" for k in range(60)] + [f"own{i}"])) for i in range(90)]
+    monkeypatch.setattr(jj, "BLOCK_NODES", 4)
+    few = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jj.near_duplicates(frame(spark, texts)).collect()}
+    monkeypatch.setattr(jj, "FEW_PARTS", 2)
+    monkeypatch.setattr(jj, "LARGE_NODES", 32)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jj.near_duplicates(frame(spark, texts)).collect()} == few == brute(texts)
+
+
+def test_clashing_names_stay_as_they_are(spark):
+    texts = [(i, f"{i // 2} " + " ".join(f"w{k}" for k in range(8)) if i < 4 else None) for i in range(6)]
+    odd = spark.createDataFrame([(i, t, "x", "y", i, None) for i, t in texts], "doc_id bigint, text string, __id string, text_key string, id bigint, gone string")
+    kept = jj.keep_one(odd)
+    assert kept.columns == odd.columns and {tuple(r)[2:] for r in kept.collect()} == {("x", "y", i, None) for i in (0, 2, 4, 5)}
 
 
 def test_keep_one(spark):

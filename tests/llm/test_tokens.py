@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from genoquery.llm import decontaminate as dc, packing, token_counts as tc
@@ -32,6 +33,57 @@ def test_ids_equal_the_tokenizers_library():
         assert b"".join(pieces[i] for i in ids) == (t or "").encode()
 
 
+def test_ids_equal_on_a_table_and_on_every_kind_of_character():
+    import pyarrow.parquet as pq
+
+    encode, _ = packing.encoder("byte_bpe_50k.tiktoken")
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(points[a : a + 256]) for a in range(0, 0x30000, 256)]  # every character of the first three planes beside its neighbours
+    texts += [f"a{c}b {c} {c}1{c}{c}" for c in points[:0x3000:7] + points[0xFB00:0x10000:11]]
+    texts += ["e\u0301 \u0301\u0301 n\u0303o", "'s 'S 'Ll I'VE don't", "<|endoftext|><|endoftext|>x", "<|endoftext", "1234567 1,000.5", "\u200b \u2028\u2029\x85", "  \n \r\n\t x", "\ufeff\ufffe"]
+    for t, own in zip(texts, HF.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(t).tolist() == own.ids, t[:40]
+
+
+def check_pieces(rows, texts, ids_of_text, window=1024):
+    """Every id in exactly one piece, sequences gapless and within the window; (ids wasted, ids)."""
+    by_sequence, at = {}, {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        whole = ids_of_text[r["doc_id"]]
+        assert r["start"] == at.get(r["doc_id"], 0) and zlib.crc32(whole[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+        at[r["doc_id"]] = r["start"] + r["length"]
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert at == {i: len(w) for i, w in ids_of_text.items()}
+    sizes = []
+    for own in by_sequence.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        sizes.append(end)
+    assert max(sizes) <= window
+    return sum(0 if n & (n - 1) == 0 else window - n for n in sizes), sum(sizes)
+
+
+def test_a_line_longer_than_a_stretch(spark, monkeypatch):
+    """A partition is packed stretch by stretch: all ids are there once, and padding stays small."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(("word", "stop.", "other", "x1")) for _ in range(r.randrange(1, 900))) for _ in range(900)]
+    whole = {i: np.array([*ids_of(t), 0], "<u4") for i, t in enumerate(texts)}
+    assert sum(map(len, whole.values())) > packing.STRETCH
+    rows = packing.pack(frame(spark, texts).coalesce(1)).collect()
+    wasted, ids = check_pieces(rows, texts, whole)
+    assert wasted < 0.005 * ids + 1024 and max(r["start"] for r in rows) > 0
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a b c."), (None, None), (3, "same"), (3, "same"), (3, "other text")], "doc_id bigint, text string").withColumn("sequence_id", F.lit("x"))
+    rows = packing.pack(df.coalesce(1)).collect()
+    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in rows if r["start"] == 0) == sorted([(0, len(ids_of("a b c.")) + 1), (0, 1), (3, len(ids_of("same")) + 1), (3, len(ids_of("same")) + 1), (3, len(ids_of("other text")) + 1)])
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
 def test_packing_covers_every_id_once(spark):
     texts = TEXTS * 6
     rows = packing.pack(frame(spark, texts)).collect()
@@ -207,3 +259,50 @@ def test_leaks(spark):
     assert parts == set(found)  # a benchmark in parts gives the same
     assert dc.leaks(frame(spark, []), bench).count() == 0 and dc.leaks(docs, benchmark(spark, [])).count() == 0
     assert dc.drop_leaks(docs, benchmark(spark, [])).count() == len(texts)
+
+
+def test_repetitive_texts_take_bounded_memory(spark):
+    """200 items of one repeated word, and a text of 8000 such words."""
+    import tracemalloc
+
+    items = dc.Items([(i, "word " * 8000) for i in range(200)], dc.MIN_TILE)
+    text = dc.tokens("word " * 8000)
+    tracemalloc.start()
+    found = list(items.matched(text, dc.MIN_TILE, dc.COVERAGE))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 200 and all(x[1:] == (1.0, 1, 8000) for x in found) and peak < 300e6
+
+
+def test_seeded_words_match_brute_force(monkeypatch):
+    r = random.Random(4)
+    monkeypatch.setattr(dc, "CHUNK", 7)
+    rows = [(i, " ".join(f"w{r.randrange(8)}" for _ in range(r.randrange(0, 40)))) for i in range(30)]
+    items, text = dc.Items(rows, 3), dc.tokens(" ".join(f"w{r.randrange(8)}" for _ in range(60)))
+    grams = set(zip(text, text[1:], text[2:], strict=False))
+    wanted = {}
+    for i, words in enumerate(items.words):
+        inside = {k + d for k in range(len(words) - 2) if tuple(words[k : k + 3]) in grams for d in range(3)}
+        if inside:
+            wanted[i] = len(inside)
+    for chunk in (7, 1 << 18):
+        monkeypatch.setattr(dc, "CHUNK", chunk)
+        where, counts = items._seeded(np.unique([g for g in dc.shingles(text, 3) if g in items.seeds]), 3)
+        assert dict(zip(where.tolist(), counts.tolist(), strict=True)) == wanted
+
+
+def test_leaks_of_repeated_rows_and_clashing_names(spark):
+    item = " ".join(f"t{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, item, 5), (1, item, 5), (None, item, 6), (2, None, 7)], "doc_id bigint, text string, item_id int")
+    bench = benchmark(spark, [(9, item), (None, item), (9, item)]).withColumn("doc_id", F.lit(1))
+    assert sorted((str(x["doc_id"]), str(x["item_id"])) for x in dc.leaks(docs, bench).collect()) == sorted([(d, i) for d in ("1", "1", "None") for i in ("9", "9", "None")])
+    assert [tuple(x) for x in dc.drop_leaks(docs, bench).collect()] == [(2, None, 7)]
+
+
+def test_token_counts_of_repeated_null_and_long_rows(spark):
+    long = "word and more.\n" * 30_000
+    df = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "a\nb"), (2, long)], "doc_id bigint, text string").withColumn("section", F.lit("x"))
+    rows = tc.token_counts(df).collect()
+    for i, n, t in ((1, 2, "a\nb"), (None, 1, "a\nb"), (2, 1, long)):
+        assert sum(r["tokens"] for r in rows if r["doc_id"] == i) == pytest.approx(n * len(ids_of(t)))
+    assert tc.token_counts(df.limit(0)).count() == 0
