@@ -270,7 +270,13 @@ def test_laid_over_ranges_match_brute_force(seed):
             own = [x for x in inside if c <= x[1] < d]
             if any(len({x for x, y, z in own if y <= p and z >= p + 9}) >= 2 for p in range(c, d)):
                 wanted.append((c, d - 1))
-    assert sd.overlaid(f, lo, hi, 10, 2) == wanted
+    groups = np.repeat([4, 1], 30)
+    got = sd.overlaid(groups, *(np.concatenate((x, x)) for x in (f, lo, hi)), 10, 2)
+    assert [(g, a, b) for g, a, b in zip(*(x.tolist() for x in got), strict=True)] == [(g, a, b) for g in (1, 4) for a, b in wanted]
+    for agree in (1, 2, 3):
+        places = {p for p in range(700) if len({x for x, y, z in zip(f.tolist(), lo.tolist(), hi.tolist(), strict=True) if y <= p and z >= p + 9}) >= agree}
+        _, first, last = sd.agreed(np.zeros(30, np.int64), f, lo, hi, 10, agree)
+        assert {p for a, b in zip(first.tolist(), last.tolist(), strict=True) for p in range(a, b + 1)} == places
 
 
 def test_rows_of_one_id_are_told_apart(spark):
