@@ -5,6 +5,7 @@ Distances are rows (id1, md1, id2, md2, d), in either direction and possibly rep
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from genoquery.checkpoints import checkpoint
@@ -103,11 +104,11 @@ def consensus_distance(genotypes: DataFrame, found: DataFrame, share: float = 2
     return rows.groupBy("cluster", "acc_id").agg(tally("dosage <> c").alias("n"), F.count("*").alias("d")).withColumn("agmr", ratio("n", "d"))
 
 
-def linkage_tree(pairs: DataFrame, limit: int = 100_000) -> list[tuple[str, str, float]]:
-    """Merges (smaller name, larger name, height) of the single-linkage tree, by Kruskal's rule; a part is named by its smallest id. Only a graph of at most `limit` edges is taken to the driver; a larger one is refused."""
-    rows = pairs.orderBy("d", "a", "b").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} edges")
+FOREST_EDGES = 200_000
+
+
+def _kruskal(rows: pd.DataFrame) -> tuple[list[int], list[tuple[str, str, float]]]:
+    """The edges (by place, rows come in order) that join two parts, and the merges: smaller name, larger name, height; a part is named by its smallest id."""
     root: dict[str, str] = {}
 
     def find(x: str) -> str:
@@ -116,13 +117,46 @@ def linkage_tree(pairs: DataFrame, limit: int = 100_000) -> list[tuple[str, str,
             x = root[x]
         return x
 
-    merges = []
-    for r in rows:
-        a, b = sorted((find(r["a"]), find(r["b"])))
+    kept, merges = [], []
+    for i, (x, y, d) in enumerate(zip(rows["a"], rows["b"], rows["d"], strict=True)):
+        a, b = sorted((find(x), find(y)))
         if a != b:
             root[b] = a
-            merges.append((a, b, r["d"]))
-    return merges
+            kept.append(i)
+            merges.append((a, b, d))
+    return kept, merges
+
+
+def _forest(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["d", "a", "b"], ignore_index=True)
+    return rows.iloc[_kruskal(rows)[0]][["cluster", "a", "b", "d"]]
+
+
+def _merges(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["d", "a", "b"], ignore_index=True)
+    return pd.DataFrame(_kruskal(rows)[1], columns=["a", "b", "height"])
+
+
+def linkage_tree(pairs: DataFrame, most: int = FOREST_EDGES) -> DataFrame:
+    """Merges (a: smaller name, b: larger name, height) of the single-linkage tree, by Kruskal's rule; a part is named by its smallest id.
+
+    Each component is split into parts of about `most` edges, and only the edges of a part's minimum spanning forest are kept, until a component is one
+    part; its merges are then read off in one task. So no task holds more than `most` edges or two edges for each accession of one component, and none reach the driver."""
+    edges = pairs.select("a", "b", "d").filter("a <> b and d is not null")
+    parts = components(edges).withColumnRenamed("id", "a")
+    rows = checkpoint(edges.join(parts, "a").select("cluster", "a", "b", "d"))
+    spread = None
+    while True:
+        # half as many parts each time, and no more than the edges left ask for
+        sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / most).alias("parts"))
+        largest = sizes.agg(F.max("parts")).first()[0] or 1
+        if largest == 1 or spread == 1:
+            break
+        spread = int(largest if spread is None else max(1, min(largest, spread // 2)))
+        lot = F.pmod(F.xxhash64("a", "b"), F.least("parts", F.lit(spread)))
+        dealt = rows.join(checkpoint(sizes), "cluster").withColumn("lot", lot)
+        rows = checkpoint(dealt.groupBy("cluster", "lot").applyInPandas(_forest, "cluster string, a string, b string, d double"))
+    return rows.groupBy("cluster").applyInPandas(_merges, "a string, b string, height double")
 
 
 def newick(merges: list[tuple[str, str, float]]) -> list[str]:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from genoquery.operators.prefix import running
+
 # The bin widths that are tried, times a power of ten.
 WIDTHS = (100, 125, 200, 250, 400, 500, 800)
 
@@ -123,7 +125,6 @@ def nearest(pairs: DataFrame) -> DataFrame:
 
 
 def error_curve(rows: DataFrame, score: str, is_null: str, order: str) -> DataFrame:
-    """Rows by falling score (then `order`), with running counts of null and other ids. Counts per score are summed first; only distinct scores pass the running window."""
-    per = rows.groupBy(score).agg(F.count_if(F.col(is_null)).alias("f"), F.count_if(~F.col(is_null)).alias("t"))
-    upto = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.select(score, F.sum("f").over(upto).alias("n_null"), F.sum("t").over(upto).alias("n_other"))
+    """Rows by falling score (then `order`), with running counts of null and other ids. Counts per score are summed first; rows without a score are left out."""
+    per = rows.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(is_null)).alias("f"), F.count_if(~F.col(is_null)).alias("t"))
+    return running(per, score, {"n_null": F.col("f"), "n_other": F.col("t")}, descending=True).drop("f", "t")

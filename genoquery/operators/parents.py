@@ -8,6 +8,7 @@ from genoquery.checkpoints import checkpoint
 from genoquery.functions.masks import pack
 from genoquery.operators.candidates import MAX_CANDIDATES, MAX_HGMR, candidates, recorded_candidates, top_candidates
 from genoquery.operators.phasing import parent_crossovers
+from genoquery.operators.prefix import running
 from genoquery.operators.triples import statistics, with_masks
 
 MAX_FTR, OK_FTR, SOLUTIONS = 0.5, 0.025, 3
@@ -102,15 +103,15 @@ def wide_output(rows: DataFrame, most: int = SOLUTIONS) -> DataFrame:
 
 
 def normalizing_means(genotypes: DataFrame, samples: int = 100_000, seed: int = 1) -> dict[str, float]:
-    """H9: means of hgmr, r, ftr and z over random triples (parents differ from the progeny), chosen by hash."""
-    rows = genotypes.select("acc_id").distinct().select("acc_id", F.row_number().over(Window.orderBy("acc_id")).alias("k"))
+    """H9: means of hgmr, r, ftr and z over random triples (parents differ from the progeny), chosen by hash. Accessions are numbered in order of ids."""
+    rows = checkpoint(running(genotypes.select("acc_id").distinct(), "acc_id", {"k": F.lit(1)}))
     n = rows.count()
     if n < 2:
         return {}
-    draw = lambda s: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), F.lit(n - 1)) + 1).cast("int")
-    picks = genotypes.sparkSession.range(samples).withColumn("o", (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) + 1).cast("int"))
+    number = lambda what, m: F.expr(f"cast(conv(substring(md5(concat_ws(':', '{seed}', '{what}', id)), 1, 8), 16, 10) as bigint) % {m}")
+    picks = genotypes.sparkSession.range(samples).withColumn("o", number("o", n) + 1)
     for c in ("a", "b"):
-        picks = picks.withColumn(c, F.pmod(F.col("o") - 1 + draw(c), F.lit(n)).cast("int") + 1)
+        picks = picks.withColumn(c, F.pmod(F.col("o") + number(c, n - 1), F.lit(n)) + 1)
     for c, name in (("o", "prog"), ("a", "p1"), ("b", "p2")):
         picks = picks.join(rows.select(F.col("k").alias(c), F.col("acc_id").alias(name)), c)
     s = statistics(with_masks(picks.select("prog", "p1", "p2"), pack(genotypes)))

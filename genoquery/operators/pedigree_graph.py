@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from genoquery.checkpoints import checkpoint
 from genoquery.functions.hashing import key, uniform
-
-MAX_DEPTH = 100
+from genoquery.operators.prefix import running
 
 
 def edges(pedigrees: DataFrame) -> DataFrame:
@@ -36,32 +35,48 @@ def family_triples(links: DataFrame) -> DataFrame:
 
 
 def random_triples(links: DataFrame, seed: int = 1) -> DataFrame:
-    """G1: of each accession and case one triple, by hash."""
-    order = F.row_number().over(Window.partitionBy("case", "acc").orderBy(key(seed, "case", "acc", "x", "y"), "x", "y"))
-    return family_triples(links).withColumn("__k", order).filter("__k = 1").drop("__k")
-
-
-def ancestors(links: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, ancestor, depth) with the least depth. An accession that is its own ancestor shows a cycle."""
-    found = checkpoint(links.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    new = found
-    for depth in range(2, max_depth + 1):
-        step = new.select("id", F.col("ancestor").alias("child")).join(links, "child").select("id", F.col("parent").alias("ancestor")).distinct()
-        new = checkpoint(step.join(found, ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
+    """G1: of each accession and case one triple, by hash: two parents, two different offspring, or a parent and an offspring. The two members are
+    drawn from the ordered relatives, so no pair of relatives is formed but the one kept."""
+    up = links.select(F.col("child").alias("acc"), F.col("parent").alias("x"))
+    down = links.select(F.col("parent").alias("acc"), F.col("child").alias("x"))
+
+    def drawn(df: DataFrame, what: str, name: str, other: str | None = None) -> DataFrame:
+        """Of each accession one relative, the least by hash; and a second one."""
+        lots = df.select("acc", F.struct(key(f"{seed}{what}", "acc", "x").alias("k"), F.col("x")).alias("s")).groupBy("acc").agg(F.min_by("s", "s").alias("one"), *([F.max_by("s", "s").alias("two")] if other else []))
+        return lots.select("acc", F.col("one.x").alias(name), *([F.col("two.x").alias(other)] if other else []))
+
+    both = lambda df, case: drawn(df, str(case), "a", "b").filter("a <> b").select(F.lit(case).alias("case"), "acc", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    three = drawn(up, "3u", "x").join(drawn(down, "3d", "y"), "acc").select(F.lit(3).alias("case"), "acc", "x", "y")
+    return both(up, 1).unionByName(both(down, 2)).unionByName(three)
+
+
+def ancestors(links: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id, ancestor, depth) with the least depth, of all ancestors, or up to max_depth. An accession that is its own ancestor is on a cycle.
+
+    Depths double: after round r all paths of up to 2^r steps are known, so a pedigree of any depth takes few rounds."""
+    found = checkpoint(links.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    reach, n = 1, found.count()
+    while max_depth is None or reach < max_depth:
+        on = found.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
+        further = found.join(on, "ancestor").select("id", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        more = found.unionByName(further).groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
+        found, reach, before = checkpoint(more if max_depth is None else more.filter(F.col("depth") <= max_depth)), 2 * reach, n
+        n = found.count()
+        if n == before:
             break
-        found = checkpoint(found.unionByName(new))
     return found
 
 
 def cycles(links: DataFrame) -> DataFrame:
     """Accessions on a cycle; none if the graph is acyclic. Accessions without parents, or without offspring, are taken off until none is left to take; what remains is searched."""
     rest = checkpoint(links)
+    n = rest.count()
     while True:
-        kept = checkpoint(rest.join(rest.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(rest.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"))
-        if kept.count() == rest.count():
+        kept = rest.join(rest.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        rest = checkpoint(kept.join(rest.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"))
+        before, n = n, rest.count()
+        if n == before:
             break
-        rest = kept
     return ancestors(rest.select("parent", "child")).filter("id = ancestor").select("id").distinct()
 
 
@@ -78,7 +93,8 @@ def grandparents(pedigrees: DataFrame) -> DataFrame:
 
 def random_pedigrees(accessions: DataFrame, selfing: bool = False, seed: int = 1) -> DataFrame:
     """Two parents for each accession by hash, neither itself, and the same one twice only if selfing is allowed."""
-    rows = accessions.select("acc_id").distinct().select("acc_id", (F.row_number().over(Window.orderBy("acc_id")) - 1).alias("k"))
+    numbered = running(accessions.select("acc_id").distinct(), "acc_id", {"k": F.lit(1)})
+    rows = checkpoint(numbered.select("acc_id", (F.col("k") - 1).alias("k")))
     n = rows.count()
     if n < 3:
         return rows.select(F.col("acc_id").alias("prog"), F.lit(None).cast("string").alias("fpar"), F.lit(None).cast("string").alias("mpar"))

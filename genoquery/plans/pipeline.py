@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from genoquery.checkpoints import checkpoint
 from genoquery.operators import clusters, dedup, filters, histogram, pairs, parents
-from genoquery.operators.cluster1d import left_boundary
+from genoquery.operators.cluster1d import auto_threshold
 from genoquery.sources import matrix, vcf
 
 
@@ -56,8 +56,8 @@ def find_duplicates(lines: DataFrame, p: Parameters = FINDER) -> dict[str, DataF
     loaded = clusters.load_pairs(found.select(F.col("q_id").alias("id1"), F.col("m_id").alias("id2"), F.col("agmr").alias("d")))
     threshold = p.threshold
     if threshold is None:
-        best = left_boundary(loaded.select(F.col("d").alias("x")))
-        threshold = best["threshold"] if best else clusters.THRESHOLD
+        best = auto_threshold(loaded.select(F.col("d").alias("x")))
+        threshold = clusters.THRESHOLD if best is None else best
     own = checkpoint(clusters.members(loaded, missing.withColumnRenamed("acc_id", "id"), threshold, p.prune))
     values = loaded.select(F.col("d").alias("x"))
     return {"genotypes": g, "pairs": found, "members": own, "clusters": clusters.ordered(clusters.cluster_table(loaded, own, threshold)), "histogram": histogram.histogram(values, histogram.Bins(0.0, p.max_distance, 0.002))}

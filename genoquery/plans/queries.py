@@ -185,7 +185,8 @@ def _(spark, d):
 LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
 
 
-@entry("f8_sample_columns", f"SELECT {', '.join(filters.sampled(LINEITEM, 0.3))} FROM lineitem")
+# the first column and those whose crc32 of "1:name" is below 0.3 * 2**32, worked out by hand
+@entry("f8_sample_columns", "SELECT l_orderkey, l_linenumber FROM lineitem")
 def _(spark, d):
     return filters.sample_columns(spark.read.parquet(f"{d}/lineitem.parquet"), 0.3)
 
@@ -290,8 +291,9 @@ def _(spark, d):
 EDITED = histogram.Bins(0.0, 400_000.0, 1000.0).notched(3).expanded(1.1).limited(lo=0.0)
 
 
-@entry("a12_bin_edits", f"""SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS cumulative, round({EDITED.lo} + bin * {EDITED.width}, 9) AS lo FROM (
-  SELECT CAST(CASE WHEN x < {EDITED.lo} THEN -1 WHEN x >= {EDITED.hi} THEN {EDITED.count} ELSE floor((x - {EDITED.lo}) / {EDITED.width}) END AS INT) AS bin, count(*) AS n FROM (SELECT o_totalprice AS x FROM orders) GROUP BY 1)""")
+# by hand: 1000 three notches up is 2500; 0..400000 stretched by 1.1 is -20000..420000 in whole bins; cut at 0 leaves 168 bins
+@entry("a12_bin_edits", """SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS cumulative, CAST(bin * 2500 AS DOUBLE) AS lo FROM (
+  SELECT CAST(CASE WHEN x < 0 THEN -1 WHEN x >= 420000 THEN 168 ELSE floor(x / 2500) END AS INT) AS bin, count(*) AS n FROM (SELECT CAST(o_totalprice AS DOUBLE) AS x FROM orders) GROUP BY 1)""")
 def _(spark, d):
     x = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_totalprice").cast("double").alias("x"))
     return histogram.histogram(x, EDITED)
@@ -404,6 +406,19 @@ def _(spark, d):
     return pairs.phase_switches(g, pairs.similar_pairs(g, 0.5))
 
 
+RANKED = ", vr AS (SELECT agmr AS x, row_number() OVER (ORDER BY agmr) - 1 AS k, count(*) OVER () AS n FROM pr)"
+#: The boundary of the cluster at the left: qualities of sizes (kq), the best (bq), those of 2 or more (gq) and the best window's end (tq).
+LEFT = PAIRS + RANKED + """, sz AS (SELECT i FROM (SELECT unnest(generate_series(8, n // 4 - 1)) AS i, n FROM (SELECT max(n) AS n FROM vr)) WHERE 80 * i < 17 * n),
+rk AS (SELECT i, 'q1' AS w, unnest([i - 1, i]) AS k FROM sz UNION ALL SELECT i, 'q3', unnest([3 * i - 1, 3 * i]) FROM sz UNION ALL SELECT i, 'h', unnest([4 * i - 1, 4 * i]) FROM sz
+  UNION ALL SELECT i, 'v1', unnest(CASE WHEN i % 2 = 0 THEN [7 * i // 2 - 1, 7 * i // 2] ELSE [(7 * i - 1) // 2] END) FROM sz
+  UNION ALL SELECT i, 'v2', unnest(CASE WHEN i % 2 = 0 THEN [9 * i // 2 - 1, 9 * i // 2] ELSE [(9 * i - 1) // 2] END) FROM sz),
+qy AS (SELECT i, avg(x) FILTER (w = 'q1') AS q1, avg(x) FILTER (w = 'q3') AS q3, avg(x) FILTER (w = 'h') AS h, avg(x) FILTER (w = 'v1') AS v1, avg(x) FILTER (w = 'v2') AS v2 FROM rk JOIN vr USING (k) GROUP BY i),
+qs AS (SELECT i, h, CAST(2 * greatest(v2 - v1, 0) / greatest(q3 - q1, 1e-9) AS DECIMAL(28, 6)) AS q FROM qy),
+ps AS (SELECT min(i) AS s FROM qs WHERE q >= 3), pe AS (SELECT min(i) AS e FROM qs, ps WHERE q < 2 AND i > s), pp2 AS (SELECT min(i) AS p FROM qs, pe WHERE q < 2 AND i > 1.5 * e),
+kq AS (SELECT qs.* FROM qs, pp2 WHERE p IS NULL OR i <= p), bq AS (SELECT * FROM kq ORDER BY q DESC, i LIMIT 1), gq AS (SELECT *, row_number() OVER (ORDER BY i) AS place FROM kq WHERE q >= 2),
+tq AS (SELECT * FROM (SELECT place, sum(q) OVER (ORDER BY place ROWS 32 PRECEDING) AS s FROM gq) WHERE place >= 34 ORDER BY s DESC, place LIMIT 1)"""
+
+
 # ---- clusters and duplicates ------------------------------------------------------------------------------------------------------
 
 def distances(spark, d) -> DataFrame:
@@ -423,11 +438,10 @@ def _(spark, d):
     return clusters.load_pairs(rows.unionByName(back))
 
 
-@entry("c2_auto_threshold")
+@entry("c2_auto_threshold", "SELECT round(coalesce((SELECT h FROM gq, tq WHERE gq.place = tq.place - 16), h), 9) AS t FROM bq", LEFT)
 def _(spark, d):
     x = pairs.similar_pairs(genotypes(spark, d), 1.0).select(F.col("agmr").alias("x"))
-    found = cluster1d.left_boundary(x) or {}
-    return one(spark, {"t": found.get("threshold"), "n": found.get("n_left")}, "threshold double, n_left bigint")
+    return one(spark, {"t": cluster1d.auto_threshold(x)}, "t double").select(F.round("t", 9).alias("t"))
 
 
 @entry("c3_c4_components", "SELECT id, cluster FROM cc", DIST + COMPONENTS.format(e="ds"))
@@ -470,7 +484,7 @@ def _(spark, d):
 
 @entry("c12_linkage_tree")
 def _(spark, d):
-    return spark.createDataFrame(clusters.linkage_tree(clusters.load_pairs(distances(spark, d))), "a string, b string, height double")
+    return clusters.linkage_tree(clusters.load_pairs(distances(spark, d)))
 
 
 @entry("u1_u2_unique_genotypes", "SELECT acc_id, marker, dosage FROM g WHERE acc_id NOT IN (SELECT id FROM rp WHERE id <> rep)", threshold_clusters(0.035))
@@ -575,9 +589,17 @@ def _(spark, d):
     return cand.top_candidates(cand.candidates(genotypes(spark, d)), 2).select("prog", "par", "hgmr", "rank")
 
 
-@entry("h9_normalizing_means")
+NUMBER = "CAST('0x' || substr(md5(concat_ws(':', '1', '{w}', id)), 1, 8) AS BIGINT)"
+DRAWN = f""", an AS (SELECT acc_id, row_number() OVER (ORDER BY acc_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT acc_id FROM g)),
+dr AS (SELECT o, (o + {NUMBER.format(w='a')} % (n - 1)) % n + 1 AS a, (o + {NUMBER.format(w='b')} % (n - 1)) % n + 1 AS b FROM (SELECT id, n, {NUMBER.format(w='o')} % n + 1 AS o FROM range(100000) t(id), (SELECT max(n) AS n FROM an))),
+rd AS (SELECT x.acc_id AS prog, y.acc_id AS p1, z.acc_id AS p2, count(*) AS times FROM dr JOIN an x ON x.k = o JOIN an y ON y.k = a JOIN an z ON z.k = b GROUP BY 1, 2, 3)"""
+
+
+@entry("h9_normalizing_means", """SELECT round(sum(times * hgmr1) / sum(times) FILTER (hgmr1 IS NOT NULL), 9) AS hgmr, round(sum(times * r1) / sum(times) FILTER (r1 IS NOT NULL), 9) AS r, round(sum(times * ftr) / sum(times) FILTER (ftr IS NOT NULL), 9) AS ftr,
+  round(sum(times * z) / sum(times) FILTER (z IS NOT NULL), 9) AS z, round(sum(times * ftr_n) / sum(times) FILTER (ftr_n IS NOT NULL), 9) AS ftc FROM ts JOIN rd USING (prog, p1, p2)""", DRAWN + TRIPLE.format(t="rd"))
 def _(spark, d):
-    return one(spark, parents.normalizing_means(genotypes(spark, d), 5000), "hgmr double, r double, ftr double, z double, ftc double")
+    row = one(spark, parents.normalizing_means(genotypes(spark, d)), "hgmr double, r double, ftr double, z double, ftc double")
+    return row.select(*(F.round(c, 9).alias(c) for c in row.columns))
 
 
 @entry("h10_h11_expected_hgmr", """SELECT prog, par, seen, round(e, 6) AS expected, CASE WHEN e > 0 THEN round(seen / e, 6) END AS xhgmr FROM (
@@ -821,10 +843,13 @@ def agmr_values(spark, d):
     return pairs.similar_pairs(genotypes(spark, d), 1.0).select(F.col("agmr").alias("x"))
 
 
-@entry("d1_left_boundary")
+@entry("d1_left_boundary", """SELECT 4 * bq.i AS n_left, round(bq.h, 9) AS threshold, round(CAST(bq.q AS DOUBLE), 6) AS quality, round((SELECT h FROM gq, tq WHERE gq.place = tq.place - 16), 9) AS smooth,
+  round((SELECT CAST(s AS DOUBLE) / 33 FROM tq), 3) AS smooth_quality, round((SELECT min(gq.h) FROM gq, bq WHERE gq.q >= bq.q / 2), 9) AS left_edge, round((SELECT max(gq.h) FROM gq, bq WHERE gq.q >= bq.q / 2), 9) AS right_edge FROM bq""", LEFT)
 def _(spark, d):
-    found = cluster1d.left_boundary(agmr_values(spark, d)) or dict.fromkeys(("n_left", "threshold", "quality", "n_low", "n_high", "n_smooth"))
-    return one(spark, found, "n_left bigint, threshold double, quality double, n_low bigint, n_high bigint, n_smooth bigint")
+    names = ("n_left", "threshold", "quality", "smooth", "smooth_quality", "left_edge", "right_edge")
+    found = cluster1d.left_boundary(agmr_values(spark, d)) or dict.fromkeys(names)
+    row = one(spark, found, "n_left bigint, threshold double, quality double, smooth double, smooth_quality double, left_edge double, right_edge double")
+    return row.select("n_left", *(F.round(n, {"quality": 6, "smooth_quality": 3}.get(n, 9)).alias(n) for n in names[1:]))
 
 
 @entry("d2_two_means", "SELECT CAST(nl AS BIGINT) AS n_left, round((x + nx) / 2, 9) AS threshold, round(w, 6) AS within FROM (SELECT *, ql - sl*sl/nl + (qt - ql) - (st - sl)*(st - sl)/(nt - nl) AS w FROM sp WHERE nx IS NOT NULL) ORDER BY w, x LIMIT 1", PAIRS + SPLITS)
@@ -834,7 +859,8 @@ def _(spark, d):
 
 @entry("d3_density_split")
 def _(spark, d):
-    return one(spark, {"t": cluster1d.density_split(agmr_values(spark, d))}, "threshold double")
+    found = cluster1d.density_split(agmr_values(spark, d)) or dict.fromkeys(("n_left", "threshold", "density", "quality"))
+    return one(spark, found, "n_left bigint, threshold double, density double, quality double")
 
 
 @entry("d4_jenks", "SELECT CAST(nl AS BIGINT) AS n_left, round((x + nx) / 2, 9) AS threshold, round(w, 6) AS between FROM (SELECT *, sl*sl/nl + (st - sl)*(st - sl)/(nt - nl) AS w FROM sp WHERE nx IS NOT NULL) ORDER BY w DESC, x LIMIT 1".replace("AS between", 'AS "between"'), PAIRS + SPLITS)
@@ -842,10 +868,13 @@ def _(spark, d):
     return cluster1d.jenks(agmr_values(spark, d))
 
 
-@entry("d5_separation")
+@entry("d5_separation", """SELECT round(4 * 0.05 * (max(x) FILTER (k = CAST(floor(0.75 * l) AS BIGINT)) - max(x) FILTER (k = CAST(floor(0.25 * l) AS BIGINT)))
+  / greatest(max(x) FILTER (k = l + CAST(floor(0.05 * l) AS BIGINT)) - max(x) FILTER (k = l - CAST(floor(0.05 * l) AS BIGINT)), 1e-9), 9) AS quality
+  FROM vr, (SELECT CAST(nl AS BIGINT) AS l FROM (SELECT *, ql - sl*sl/nl + (qt - ql) - (st - sl)*(st - sl)/(nt - nl) AS w FROM sp WHERE nx IS NOT NULL) ORDER BY w, x LIMIT 1)""", PAIRS + SPLITS + RANKED)
 def _(spark, d):
     x = agmr_values(spark, d)
-    return one(spark, {"q": cluster1d.separation(x, int(cluster1d.two_means(x).first()["n_left"]))}, "quality double")
+    row = one(spark, {"q": cluster1d.separation(x, int(cluster1d.two_means(x).first()["n_left"]))}, "quality double")
+    return row.select(F.round("quality", 9).alias("quality"))
 
 
 @entry("d6_transform", "SELECT round(ln(greatest(agmr, 0.001)), 9) AS x, count(*) AS n FROM pr WHERE agmr <= 0.2 GROUP BY 1", PAIRS)
@@ -854,10 +883,42 @@ def _(spark, d):
     return cluster1d.transform(x, "log").select(F.round("x", 9).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
 
 
-@entry("d7_categories", "SELECT (CASE WHEN agmr12 IS NULL THEN 'x' WHEN agmr12 <= 0.04 THEN '0' ELSE '1' END) || (CASE WHEN hgmr1 IS NULL THEN 'x' WHEN hgmr1 <= 0.05 THEN '0' ELSE '1' END) || (CASE WHEN ftr IS NULL THEN 'x' WHEN ftr <= 0.05 THEN '0' ELSE '1' END) AS category, count(*) AS n FROM ts GROUP BY 1", PEDT + TRIPLE.format(t="pt"))
+def log_split(name: str, *columns: str) -> str:
+    """Common tables that end in {name} with a threshold t: the two-means split of the columns' logarithms."""
+    each = " UNION ALL ".join(f"SELECT ln(greatest({c}, 0.001)) AS x FROM ts WHERE {c} IS NOT NULL" for c in columns)
+    return f""", {name}v AS (SELECT x, count(*) AS n FROM ({each}) GROUP BY x), {name}s AS (
+  SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(n) OVER l AS nl, sum(n*x) OVER l AS sl, sum(n*x*x) OVER l AS ql, sum(n) OVER () AS nt, sum(n*x) OVER () AS st, sum(n*x*x) OVER () AS qt FROM {name}v WINDOW l AS (ORDER BY x ROWS UNBOUNDED PRECEDING)),
+{name} AS (SELECT exp(round((x + nx) / 2, 9)) AS t FROM {name}s WHERE nx IS NOT NULL ORDER BY round(ql - sl*sl/nl + (qt - ql) - (st - sl)*(st - sl)/(nt - nl), 9), x LIMIT 1)"""
+
+
+MARKED = "".join(log_split(n, *cols) for n, cols in {"ta": ["agmr12"], "th": ["hgmr1", "hgmr2"], "tr": ["r1", "r2"], "tz": ["z"], "tf": ["ftr"]}.items())
+_MARK = "CASE WHEN {c} IS NULL THEN 'x' WHEN {c} <= {t}.t THEN '0' ELSE '1' END"
+_MARKS = [_MARK.format(c=c, t=t) for c, t in (("agmr12", "ta"), ("hgmr1", "th"), ("r1", "tr"), ("hgmr2", "th"), ("r2", "tr"), ("z", "tz"), ("ftr", "tf"))]
+CATEGORY = f"({_MARKS[0]}) || ' ' || ({_MARKS[1]}) || ({_MARKS[2]}) || ' ' || ({_MARKS[3]}) || ({_MARKS[4]}) || ' ' || ({_MARKS[5]}) || ({_MARKS[6]})"
+
+
+@entry("d7_categories", f"SELECT {CATEGORY} AS category, count(*) AS n FROM ts, ta, th, tr, tz, tf GROUP BY 1", PEDT + TRIPLE.format(t="pt") + MARKED)
+def _(spark, d):
+    rows = checkpoint(triples.statistics(triples.with_masks(recorded_triples(spark, d), pack(genotypes(spark, d)))))
+    return cluster1d.categories(rows, cluster1d.category_thresholds(rows)).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@entry("d7_best_pedigrees", f"""SELECT prog, n_good, CASE v WHEN 2 THEN 'ped' WHEN 1 THEN 'alt' ELSE 'none' END AS verdict, max(p) FILTER (k = 1) AS first, max(p) FILTER (k = 2) AS second FROM (
+  SELECT *, CASE WHEN shown THEN row_number() OVER (PARTITION BY prog ORDER BY CASE WHEN shown THEN 0 ELSE 1 END, CASE WHEN kind = 'P' AND v = 2 THEN 0 ELSE 1 END, length(category) - length(replace(category, 'x', '')), ftr, p1, p2) END AS k,
+    concat_ws(' ', kind, p1, p2, category) AS p FROM (
+    SELECT *, kind = 'P' AND v = 2 OR ftr IS NOT NULL AND (v = 0 OR good AND kind = 'A') AS shown FROM (
+      SELECT *, coalesce(max(CASE WHEN good AND kind = 'P' THEN 2 WHEN good AND ftr IS NOT NULL THEN 1 END) OVER (PARTITION BY prog), 0) AS v, count(*) FILTER (good) OVER (PARTITION BY prog) AS n_good FROM (
+        SELECT prog, p1, p2, ftr, kind, category, category IN ('0 00 00 00', '1 01 01 00') AS good FROM (
+          SELECT all_.*, {CATEGORY} AS category FROM (SELECT *, 'P' AS kind FROM ts UNION ALL SELECT *, 'A' FROM (SELECT * EXCLUDE (rank) FROM bs) WHERE prog IN (SELECT prog FROM ts)) all_, ta, th, tr, tz, tf))))) GROUP BY prog, n_good, v""", BEST.replace("ts AS (", "ta_ AS (").replace("FROM ts WHERE ftr", "FROM ta_ WHERE ftr").replace("tk AS (", "tk_ AS (").replace("FROM tk ", "FROM tk_ ").replace("tc AS (", "tc_ AS (").replace("FROM tc)", "FROM tc_)") + PEDT + TRIPLE.format(t="pt") + MARKED)
 def _(spark, d):
-    rows = triples.statistics(triples.with_masks(recorded_triples(spark, d), pack(genotypes(spark, d))))
-    return cluster1d.categories(rows, {"agmr12": 0.04, "hgmr1": 0.05, "ftr": 0.05}).groupBy("category").agg(F.count("*").alias("n"))
+    g = genotypes(spark, d)
+    wide = checkpoint(pack(g))
+    recorded = checkpoint(triples.statistics(triples.with_masks(recorded_triples(spark, d), wide)))
+    found = parents.alternatives(g, cand.candidates(g), phased=False, wide=wide).join(recorded.select("prog"), "prog", "left_semi")
+    rows = recorded.withColumn("kind", F.lit("P")).unionByName(found.drop("rank").withColumn("kind", F.lit("A")))
+    best = cluster1d.best_pedigrees(cluster1d.categories(rows, cluster1d.category_thresholds(recorded)))
+    said = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(" ", *(F.col(f"{c}.{n}") for n in ("kind", "p1", "p2", "category")))).alias(c)
+    return best.select("prog", "n_good", "verdict", said("first"), said("second"))
 
 
 # ---- pedigree graph and side tools ------------------------------------------------------------------------------------------------

@@ -1,12 +1,14 @@
 """Hand-written cases for the rules of each operator."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from genoquery.functions.masks import pack
+from genoquery.operators.prefix import running
 from genoquery.operators import candidates, clusters, cluster1d, counts, dedup, filters, histogram, pairs, parents, pedigree_graph, phasing, triples
 from genoquery.operators.components import connected_components
 from genoquery.plans import pipeline
@@ -247,51 +249,146 @@ def test_histogram_bins(spark):
     assert histogram.Bins(0.0, 10.0, 1.0).expanded(1.5).hi == 13 and histogram.Bins(0, 10, 1.0).limited(hi=5).count == 5
 
 
-def test_linkage_tree():
+def test_linkage_tree(spark):
     merges = [("a", "b", 0.1), ("a", "c", 0.3)]
     assert clusters.newick(merges) == ["((a:0.05,b:0.05):0.1,c:0.15);"]
+    rng = np.random.default_rng(3)
+    edges = {(f"n{i:02}", f"n{j:02}"): float(round(rng.random(), 2)) for i, j in (sorted(rng.choice(40, 2, replace=False)) for _ in range(90))}
+    root, wanted = {}, []
+    for (a, b), d in sorted(edges.items(), key=lambda x: (x[1], x[0])):  # every step relabels all members
+        x, y = sorted((root.get(a, a), root.get(b, b)))
+        if x != y:
+            wanted.append((x, y, d))
+            root |= {k: x for k in [*(k for k, v in root.items() if v == y), y, x]}
+    df = spark.createDataFrame([(a, b, d) for (a, b), d in edges.items()], "a string, b string, d double")
+    for most in (10, 1000):
+        assert rows(clusters.linkage_tree(df, most), "height", "a", "b") == sorted((d, a, b) for a, b, d in wanted)
+    assert clusters.linkage_tree(df.limit(0)).count() == 0
 
 
 def test_splits_in_two(spark):
     x = spark.createDataFrame([(float(v),) for v in [1, 1.1, 1.2, 5, 5.1, 5.2, 5.3]], "x double")
     assert cluster1d.two_means(x).first()["n_left"] == 3 and cluster1d.jenks(x).first()["threshold"] == pytest.approx(3.1)
     y = spark.createDataFrame([(0.01 + 0.0001 * i,) for i in range(60)] + [(0.5 + 0.005 * i,) for i in range(60)], "x double")
-    found = cluster1d.left_boundary(y)
-    assert 40 <= found["n_left"] <= 70 and cluster1d.left_boundary(x) is None
+    assert 40 <= cluster1d.left_boundary(y)["n_left"] <= 70 and cluster1d.left_boundary(x) is None and cluster1d.auto_threshold(x) is None
     assert cluster1d.inverse(4.0, 2) == 2
-
-
-def slow_boundary(x, least=32, step=4, most=0.85, window=33):
-    sizes = np.arange(least, int(most * len(x)), step)
-    quarter = np.maximum(1, sizes // 4)
-    middle = np.maximum(x[np.minimum(sizes - 1, 3 * quarter)] - x[quarter], 1e-12)
-    valley = np.maximum(x[np.minimum(len(x) - 1, sizes + quarter // 2)] - x[np.maximum(0, sizes - quarter // 2 - 1)], 1e-12)
-    q = (2 * quarter / middle) / (np.maximum(1, 2 * (quarter // 2) + 1) / valley)
-    best = low = high = int(q.argmax())
-    while low > 0 and q[low - 1] >= q[best] / 2:
-        low -= 1
-    while high + 1 < len(q) and q[high + 1] >= q[best] / 2:
-        high += 1
-    pad = min(window, len(q) // 4 * 2 + 1) // 2
-    smooth = np.array([q[max(0, i - pad) : i + pad + 1].mean() for i in range(len(q))])
-    return {"n_left": sizes[best], "threshold": (x[sizes[best] - 1] + x[sizes[best]]) / 2, "quality": q[best], "n_low": sizes[low], "n_high": sizes[high], "n_smooth": sizes[int(smooth.argmax())]}
-
-
-def test_densities_see_every_value(spark):
-    rng = np.random.Generator(np.random.PCG64(5))
-    x = np.sort(np.round(np.concatenate([rng.normal(0.02, 0.004, 240), rng.normal(0.4, 0.03, 40_000)]), 5))
+    same = spark.createDataFrame([(1.0,)] * 50, "x double")
+    assert cluster1d.two_means(same).first()["n_left"] is None and cluster1d.density_split(same) is None and cluster1d.left_boundary(same)["quality"] == 0
+
+
+def slow_boundary(x):
+    """The boundary of the cluster at the left, size by size."""
+    n, sizes, best, start, end = len(x), [], None, None, None
+    middle = lambda k: (x[k - 1] + x[k]) / 2
+    for i in range(8, n // 4):
+        if 4 * i >= 0.85 * n:
+            break
+        ends = [middle(k * i // 2) if i % 2 == 0 else x[(k * i - 1) // 2] for k in (7, 9)]
+        q = round(2 * (ends[1] - ends[0]) / max(middle(3 * i) - middle(i), cluster1d.TINY), 6)
+        h = middle(4 * i)
+        if best is None or q > best[0]:
+            best = (q, 4 * i, h)
+        if q >= 2:
+            sizes.append((h, q))
+            if start is None and q >= 3:
+                start = i
+        elif start is not None:
+            if end is None:
+                end = i
+            elif i > 1.5 * end:
+                break
+    above = [h for h, q in sizes if q >= best[0] / 2]
+    sums = [(round(sum(q for _, q in sizes[i : i + 33]), 6), -i) for i in range(1, len(sizes) - 32)]
+    top = max(sums, default=None)
+    return {
+        "n_left": best[1], "threshold": best[2], "quality": best[0], "smooth": sizes[-top[1] + 16][0] if top else None, "smooth_quality": top[0] / 33 if top else None,
+        "left_edge": min(above, default=None), "right_edge": max(above, default=None),
+    }
+
+
+def slow_separation(x, n_left, share=0.05):
+    out = int(share * n_left)
+    return 4 * share * (x[int(0.75 * n_left)] - x[int(0.25 * n_left)]) / max(x[n_left + out] - x[n_left - out], cluster1d.TINY)
+
+
+def slow_density_split(x):
+    """The lowest density around the two-means split, gap by gap."""
+    n = len(x)
+    within = lambda v: ((v - v.mean()) ** 2).sum()
+    n_left = min(range(1, n), key=lambda k: (round(within(x[:k]) + within(x[k:]), 9), k) if x[k] > x[k - 1] else (math.inf, k))
+    at = n_left - 1
+    width = 0.7 * max(x[i + 15] - x[i] for i in range(int(0.7 * at), int(0.7 * at + 0.3 * (n - 1)) - 15))
+
+    def density(v):
+        z = np.abs(x - v)
+        return ((1 / (1 + (math.pi * z / (2 * width)) ** 2) - 0.1) / 0.9)[z < width].sum()
+
+    best = [density(x[at]), x[at], at]
+    for js in (range(at, max(0, at - n_left // 4) - 1, -1), range(at + 1, min(at + (n - n_left) // 4, n - 2) + 1)):
+        for j in js:
+            done = False
+            for e in (1 / 6, 0.5, 5 / 6):
+                v = (1 - e) * x[j] + e * x[j + 1]
+                d = density(v)
+                if d < best[0] - 1e-12:
+                    best = [d, v, j]
+                elif d > 10 * best[0]:
+                    done = True
+            if done:
+                break
+    return {"n_left": best[2] + 1, "threshold": best[1], "density": best[0], "quality": slow_separation(x, best[2] + 1)}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_densities_match_plain_loops(spark, seed):
+    rng = np.random.Generator(np.random.PCG64(seed))
+    x = np.sort(np.round(np.concatenate([rng.normal(0.02, 0.004, 340), rng.normal(0.4, 0.03, 2_500), rng.uniform(0, 0.4, 60)]), 4 if seed == 5 else 9))
     values = spark.createDataFrame([(float(v),) for v in x], "x double")
     found = cluster1d.left_boundary(values)
-    assert found == pytest.approx(slow_boundary(x)) and 200 <= found["n_left"] <= 240
-    left, right = x[:300], x[300:]
-    span = [np.quantile(v, 0.75) - np.quantile(v, 0.25) for v in (left, right)]
-    a, b = np.quantile(left, 0.875), np.quantile(right, 0.125)
-    want = ((x > a) & (x < b)).sum() / (b - a) / min(len(left) / 2 / span[0], len(right) / 2 / span[1])
-    assert cluster1d.separation(values, 300) == pytest.approx(want)
-    start, width = cluster1d.two_means(values).first()["threshold"], np.std(x) * len(x) ** -0.2 / 2
-    grid = np.linspace(start - 6 * width, start + 6 * width, 121)
-    density = [np.exp(-(((g - x) / width) ** 2) / 2).sum() for g in grid]
-    assert cluster1d.density_split(values) == pytest.approx(grid[int(np.argmin(density))])
+    assert found == pytest.approx(slow_boundary(x)) and 200 <= found["n_left"] <= 400
+    assert cluster1d.auto_threshold(values) == pytest.approx(found["smooth"])
+    assert cluster1d.separation(values, 300) == pytest.approx(slow_separation(x, 300)) and cluster1d.separation(values, len(x)) is None
+    assert cluster1d.density_split(values) == pytest.approx(slow_density_split(x))
+    logs = cluster1d.left_boundary(values.filter("x > 0.002"), power="log")
+    assert logs["threshold"] == pytest.approx(math.exp(slow_boundary(np.log(x[x > 0.002]))["threshold"]))
+
+
+def test_best_pedigrees(spark):
+    good, self_, bad, part = "0 00 00 00", "1 01 01 00", "1 11 00 11", "0 0x 00 00"
+    data = [
+        ("a", "P", "x", "y", good, 0.01), ("a", "A", "u", "v", self_, 0.02), ("a", "A", "u", "w", bad, 0.001),
+        ("b", "P", "x", "y", bad, 0.4), ("b", "A", "u", "v", good, 0.03), ("b", "A", "s", "t", good, 0.02), ("b", "A", "q", "r", good, None),
+        ("c", "P", "x", "y", bad, 0.4), ("c", "A", "u", "v", part, 0.01), ("c", "A", "u", "w", bad, 0.3), ("d", "P", "x", None, "x 00 xx xx", None),
+    ]
+    found = {r["prog"]: (r["n_good"], r["verdict"], r["first"] and r["first"]["p1"], r["second"] and r["second"]["p1"]) for r in cluster1d.best_pedigrees(spark.createDataFrame(data, "prog string, kind string, p1 string, p2 string, category string, ftr double")).collect()}
+    assert found == {"a": (2, "ped", "x", "u"), "b": (3, "alt", "s", "u"), "c": (0, "none", "u", "x"), "d": (0, "none", None, None)}
+
+
+def test_running_sums(spark):
+    data = [(i * 7 % 101, float(i)) for i in range(101)]
+    df = spark.createDataFrame(data, "k int, v double")
+    for down in (False, True):
+        got = sorted((r["k"], r["s"], r["m"], r["next"]) for r in running(df, "k", {"s": F.col("v")}, {"m": F.col("v")}, following="next", descending=down).collect())
+        order = sorted(data, reverse=down)
+        wanted = [(k, sum(v for _, v in order[: i + 1]), min(v for _, v in order[: i + 1]), order[i + 1][0] if i < 100 else None) for i, (k, _) in enumerate(order)]
+        assert got == sorted(wanted, key=lambda x: x[0])
+    assert running(df.limit(0), "k", {"s": F.col("v")}).count() == 0
+
+
+def test_ancestors_of_deep_pedigrees_and_long_cycles(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(260)], "parent bigint, child bigint")
+    found = {(r["id"], r["ancestor"]): r["depth"] for r in pedigree_graph.ancestors(chain).collect()}
+    assert found == {(i, j): i - j for i in range(261) for j in range(i)}
+    assert {r["id"]: r["depth"] for r in pedigree_graph.ancestors(chain, 3).filter("ancestor = 0").collect()} == {1: 1, 2: 2, 3: 3}
+    loop = chain.unionByName(spark.createDataFrame([(150, 0), (150, 300)], "parent bigint, child bigint"))
+    assert rows(pedigree_graph.cycles(loop), "id") == [(i,) for i in range(151)]
+
+
+def test_one_triple_of_each_accession_and_case(spark):
+    links = spark.createDataFrame([("f", "a"), ("m", "a"), ("a", "x"), ("a", "y"), ("a", "z"), ("f", "s")], "parent string, child string")
+    every = {tuple(r) for r in pedigree_graph.family_triples(links).collect()}
+    drawn = [tuple(r) for r in pedigree_graph.random_triples(links).collect()]
+    assert set(drawn) <= every and {r[:2] for r in drawn} == {r[:2] for r in every} and len(drawn) == len({r[:2] for r in drawn})
 
 
 def test_graph(spark):
