@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from genoquery.functions.masks import NAMES, bits, pack
 from genoquery.functions.ratios import ratio, tally
 from genoquery.operators.counts import accession_counts
 from genoquery.operators.filters import marker_counts
@@ -53,11 +54,31 @@ def candidates_of(found: DataFrame, accessions: DataFrame) -> DataFrame:
     return found.join(accessions.select(F.col("acc_id").alias("prog")).distinct(), "prog", "left_semi")
 
 
+def paired(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (prog, par), each once, with the masks of both as structs k and i: one row of words a pair instead of one row a marker."""
+    wide = pack(genotypes).select("acc_id", F.struct(*NAMES).alias("x"))
+    rows = pairs.select("prog", "par").distinct()
+    for c, name in (("prog", "k"), ("par", "i")):
+        rows = rows.join(wide.select(F.col("acc_id").alias(c), F.col("x").alias(name)), c)
+    return rows
+
+
+def pair_tallies(rows: DataFrame, **conditions) -> DataFrame:
+    """prog, par and the number of markers that meet each condition, given as an expression of words: get('k.m0') and so on; k is the progeny, i the parent.
+    Pairs without a marker known in both are left out."""
+    any_ = lambda get, s: get(f"{s}.m0").bitwiseOR(get(f"{s}.m1")).bitwiseOR(get(f"{s}.m2"))
+    known = bits(F.col("k.m0"), lambda get: any_(get, "k").bitwiseAND(any_(get, "i")))
+    return rows.filter(known > 0).select("prog", "par", *(bits(F.col("k.m0"), lambda get, f=f: f(get, lambda s: any_(get, s))).alias(n) for n, f in conditions.items()))
+
+
 def het_overlap(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Markers heterozygous in both, and in each with the other known, of given pairs (prog, par)."""
-    own = genotypes.filter("dosage is not null").select("acc_id", "marker", "dosage")
-    rows = pairs.select("prog", "par").join(own.withColumnsRenamed({"acc_id": "prog", "dosage": "k"}), "prog").join(own.select(F.col("acc_id").alias("par"), "marker", F.col("dosage").alias("i")), ["par", "marker"])
-    return rows.groupBy("prog", "par").agg(tally("k = 1 and i = 1").alias("n11"), tally("k = 1").alias("n_het_prog"), tally("i = 1").alias("n_het_par"))
+    return pair_tallies(
+        paired(genotypes, pairs),
+        n11=lambda get, known: get("k.m1").bitwiseAND(get("i.m1")),
+        n_het_prog=lambda get, known: get("k.m1").bitwiseAND(known("i")),
+        n_het_par=lambda get, known: get("i.m1").bitwiseAND(known("k")),
+    )
 
 
 def reject_het_het(found: DataFrame, overlap: DataFrame, least: int = 100, share: float = 0.05) -> DataFrame:
@@ -73,18 +94,30 @@ def top_candidates(found: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
 
 
 def generalized_hgmr(genotypes: DataFrame, pairs: DataFrame, ploidy: int = 2) -> DataFrame:
-    """For any ploidy: forbidden if dosages differ by more than half the ploidy, over markers where neither is half of it."""
+    """For any ploidy: forbidden if dosages differ by more than half the ploidy, over markers where neither is half of it. Diploids go by masks."""
+    if ploidy == 2:
+        apart = lambda get, known: get("k.m0").bitwiseAND(get("i.m2")).bitwiseOR(get("k.m2").bitwiseAND(get("i.m0")))
+        same = lambda get, known: get("k.m0").bitwiseAND(get("i.m0")).bitwiseOR(get("k.m2").bitwiseAND(get("i.m2")))
+        counted = pair_tallies(paired(genotypes, pairs), n=apart, s=same).select("prog", "par", "n", (F.col("n") + F.col("s")).alias("d"))
+        return counted.withColumn("hgmr", ratio("n", "d"))
     own = genotypes.filter("dosage is not null").select("acc_id", "marker", "dosage")
-    rows = pairs.select("prog", "par").join(own.withColumnsRenamed({"acc_id": "prog", "dosage": "k"}), "prog").join(own.select(F.col("acc_id").alias("par"), "marker", F.col("dosage").alias("i")), ["par", "marker"])
+    rows = pairs.select("prog", "par").distinct().join(own.withColumnsRenamed({"acc_id": "prog", "dosage": "k"}), "prog").join(own.select(F.col("acc_id").alias("par"), "marker", F.col("dosage").alias("i")), ["par", "marker"])
     counted = rows.groupBy("prog", "par").agg(tally(2 * F.abs(F.col("k") - F.col("i")) > ploidy).alias("n"), tally((2 * F.col("k") != ploidy) & (2 * F.col("i") != ploidy)).alias("d"))
     return counted.withColumn("hgmr", ratio("n", "d"))
 
 
 def expected_hgmr(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Opposite homozygotes seen, over those expected from marker frequencies where the parent is homozygous."""
+    """Opposite homozygotes seen, over those expected from marker frequencies where the parent is homozygous. Frequencies weigh markers, so the
+    masks are unpacked in the task: one row a pair, and the weights once (two numbers a marker)."""
     known = F.col("n0") + F.col("n1") + F.col("n2")
-    share = marker_counts(genotypes).select("marker", ratio("n0", known).alias("f0"), ratio("n2", known).alias("f2"))
-    own = genotypes.filter("dosage is not null").select("acc_id", "marker", "dosage")
-    rows = pairs.select("prog", "par").join(own.withColumnsRenamed({"acc_id": "prog", "dosage": "k"}), "prog").join(own.select(F.col("acc_id").alias("par"), "marker", F.col("dosage").alias("i")), ["par", "marker"]).join(share, "marker")
-    counted = rows.groupBy("prog", "par").agg(tally("(i = 0 and k = 2) or (i = 2 and k = 0)").alias("seen"), F.sum(F.expr("case i when 0 then f2 when 2 then f0 else 0.0 end")).alias("expected"))
+    share = marker_counts(genotypes).select((F.col("marker")).alias("m"), F.coalesce(ratio("n0", known), F.lit(0.0)).alias("f0"), F.coalesce(ratio("n2", known), F.lit(0.0)).alias("f2"))
+    rows = paired(genotypes, pairs)
+    rows = rows.crossJoin(F.broadcast(share.agg(F.sort_array(F.collect_list(F.struct("m", "f0", "f2"))).alias("f"))))  # a row with two numbers a marker, as a mask has bits
+    get = lambda n: f"getbit(element_at({n}, cast(x.m div 64 as int) + 1), cast(x.m % 64 as int))"
+    chance = f"case when {get('k.m0')} + {get('k.m1')} + {get('k.m2')} = 0 then 0D when {get('i.m0')} = 1 then x.f2 when {get('i.m2')} = 1 then x.f0 else 0D end"
+    expected = F.expr(f"aggregate(f, 0D, (s, x) -> s + {chance})")
+    any_ = lambda get_, s: get_(f"{s}.m0").bitwiseOR(get_(f"{s}.m1")).bitwiseOR(get_(f"{s}.m2"))
+    both = bits(F.col("k.m0"), lambda g: any_(g, "k").bitwiseAND(any_(g, "i")))
+    seen = bits(F.col("k.m0"), lambda g: g("k.m0").bitwiseAND(g("i.m2")).bitwiseOR(g("k.m2").bitwiseAND(g("i.m0"))))
+    counted = rows.filter(both > 0).select("prog", "par", seen.alias("seen"), expected.alias("expected"))
     return counted.select("prog", "par", "seen", F.round("expected", 6).alias("expected"), F.when(F.col("expected") > 0, F.round(F.col("seen") / F.nullif(F.col("expected"), F.lit(0.0)), 6)).alias("xhgmr"))

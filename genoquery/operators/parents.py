@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from genoquery.checkpoints import checkpoint
-from genoquery.functions.masks import pack
+from genoquery.functions.masks import NAMES, pack
 from genoquery.operators.candidates import MAX_CANDIDATES, MAX_HGMR, candidates, recorded_candidates, top_candidates
 from genoquery.operators.phasing import parent_crossovers
 from genoquery.operators.prefix import running
@@ -28,6 +30,59 @@ def rank_pairs(rows: DataFrame, by: str = "ftr", max_ftr: float = MAX_FTR, most:
     return rows.filter(F.coalesce("ftr", F.lit(100.0)) <= max_ftr).withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
+_PAIR_ROWS = "prog string, p1 string, p2 string"
+PAIR_CELLS = 1 << 18
+
+
+def _best_of_one(max_ftr: float, most: int):
+    """The best pairs of one progeny's candidates, in numpy; rows of the triangle of pairs are taken in strips of about PAIR_CELLS pairs."""
+
+    def masks(rows: pd.DataFrame) -> list[np.ndarray]:
+        return [np.array(rows[n].tolist(), dtype=np.int64).view(np.uint64) for n in NAMES]
+
+    def run(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(found):
+            return pd.DataFrame(np.empty((0, 3), object), columns=["prog", "p1", "p2"])
+        found = found.sort_values("rank", ignore_index=True)
+        k, c, names = [x[0] for x in masks(own)], masks(found), found["par"].to_numpy()
+        n, words = c[0].shape
+        best: list[tuple] = []
+        strip = max(1, PAIR_CELLS // n)
+        for lo in range(0, n, strip):
+            hi = min(n, lo + strip)
+            known, forbidden = np.zeros((hi - lo, n - lo), np.int32), np.zeros((hi - lo, n - lo), np.int32)
+            for w in range(words):
+                i0, i1, i2 = (x[lo:hi, w][:, None] for x in c)
+                j0, j1, j2 = (x[lo:, w][None, :] for x in c)
+                k0, k1, k2 = (x[w] for x in k)
+                both = (i0 | i1 | i2) & (j0 | j1 | j2) & (k0 | k1 | k2)
+                h0, h2 = i0 & j0, i2 & j2
+                known += np.bitwise_count(both)
+                forbidden += np.bitwise_count(((k2 & (i0 | j0)) | (k0 & (i2 | j2))) & both)
+                forbidden += np.bitwise_count((h0 | h2) & k1)
+                forbidden += np.bitwise_count((h0 & k2) | (h2 & k0))
+            ftr = np.where(known > 0, forbidden / np.maximum(known, 1), 100.0)
+            x, y = np.nonzero((ftr <= max_ftr) & (np.arange(lo, n)[None, :] >= np.arange(lo, hi)[:, None]))
+            if len(x):
+                scores, one, two = ftr[x, y], names[lo + x], names[lo + y]
+                if len(scores) > most:  # nothing above the most-th score can be among the best
+                    near = scores <= np.partition(scores, most - 1)[most - 1]
+                    scores, one, two = scores[near], one[near], two[near]
+                best = sorted([*best, *zip(scores.tolist(), one.tolist(), two.tolist(), strict=True)])[:most]
+        prog = own["prog"].iloc[0]
+        return pd.DataFrame(np.array([(prog, one, two) for _, one, two in best], object).reshape(-1, 3), columns=["prog", "p1", "p2"])
+
+    return run
+
+
+def best_pairs(found: DataFrame, wide: DataFrame, max_ftr: float = MAX_FTR, most: int = SOLUTIONS) -> DataFrame:
+    """Q1, Q2, Q4 in one: the best `most` pairs (prog, p1, p2) by ftr, p1, p2 of each progeny's ranked candidates. A candidate's masks go to its
+    progeny's task once, and only the best pairs become rows; ranks bound a task's candidates."""
+    own = wide.select(F.col("acc_id").alias("prog"), *NAMES).join(found.select("prog").distinct(), "prog", "left_semi")
+    each = found.select("prog", "par", "rank").join(wide.select(F.col("acc_id").alias("par"), *NAMES), "par")
+    return own.groupBy("prog").cogroup(each.groupBy("prog")).applyInPandas(_best_of_one(max_ftr, most), _PAIR_ROWS)
+
+
 def check_pedigrees(genotypes: DataFrame, pedigrees: DataFrame, phased: bool = True, wide: DataFrame | None = None) -> DataFrame:
     """Q5: a row for each genotyped progeny with a genotyped recorded parent: prog, fpar, mpar, statistics, and crossovers if phased."""
     wide = wide if wide is not None else pack(genotypes)
@@ -42,9 +97,9 @@ def check_pedigrees(genotypes: DataFrame, pedigrees: DataFrame, phased: bool = T
 
 
 def alternatives(genotypes: DataFrame, found: DataFrame, max_ftr: float = MAX_FTR, most: int = SOLUTIONS, max_candidates: int = MAX_CANDIDATES, phased: bool = True, wide: DataFrame | None = None) -> DataFrame:
-    """The best parent pairs from candidates (prog, par, hgmr); crossovers are counted for those only."""
-    wide = wide if wide is not None else pack(genotypes)
-    pairs = candidate_pairs(top_candidates(found, max_candidates))
+    """The best parent pairs from candidates (prog, par, hgmr); statistics and crossovers are counted for those only."""
+    wide = wide if wide is not None else checkpoint(pack(genotypes))
+    pairs = checkpoint(best_pairs(top_candidates(found, max_candidates), wide, max_ftr, most))
     best = rank_pairs(statistics(with_masks(pairs, wide)), max_ftr=max_ftr, most=most)
     return parent_crossovers(genotypes, checkpoint(best)) if phased else best
 

@@ -139,9 +139,11 @@ def pair_rows(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def one_parent(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Hgmr and both forms of R of pairs (prog, par)."""
-    rows = pair_rows(genotypes, pairs).groupBy("prog", "par").agg(tally("abs(i - k) = 2").alias("n02"), tally("i = k and i <> 1").alias("same"), tally("i <> 1 and k = 1").alias("het"))
-    missed, same, het = F.col("n02"), F.col("same"), F.col("het")
+    """Hgmr and both forms of R of pairs (prog, par), from masks."""
+    from genoquery.operators.candidates import pair_tallies, paired
+
+    rows = pair_tallies(paired(genotypes, pairs), **{n: (lambda get, known, n=n: _pair_conditions(get, "i")[n]) for n in ("n02", "n00_22", "n_hom_1")})
+    missed, same, het = F.col("n02"), F.col("n00_22"), F.col("n_hom_1")
     return rows.select("prog", "par", ratio(missed, missed + same).alias("hgmr"), ratio(missed + het, missed + het + same).alias("r_all"), ratio(het, het + same).alias("r"))
 
 
