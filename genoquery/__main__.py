@@ -1,4 +1,4 @@
-"""Commands: matrix (VCF to dosage matrix), duplicates, clusters, uniquify, parents, histogram. `python -m genoquery COMMAND --help` lists the parameters.
+"""Commands: matrix (VCF to dosage matrix), duplicates, clusters, uniquify, parents, histogram; and whole runs: duplicate-finder and vcf-to-parents. `python -m genoquery COMMAND --help` lists the parameters.
 
 Inputs and outputs are paths that Spark reads and writes; an output is a folder of text files whose names sort in the order of the lines.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from genoquery.checkpoints import checkpoint
 from genoquery.operators import candidates, clusters, cluster1d, dedup, filters, histogram, pairs, parents
-from genoquery.plans.pipeline import Parameters, load
+from genoquery.plans.pipeline import FINDER, Parameters, find_duplicates, load, vcf_to_parents
 from genoquery.sources import matrix, tables, vcf
 
 
@@ -63,8 +63,8 @@ def cluster(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = checkpoint(rows.withColumn("d", F.pow("d", F.lit(float(a.pow)))) if a.pow != 1 else rows)
     loaded = clusters.load_pairs(rows, a.maxd)
     if a.cluster_distance == "auto":
-        best = cluster1d.left_boundary(loaded.select(F.col("d").alias("x")))
-        threshold = best["threshold"] if best else clusters.THRESHOLD
+        best = cluster1d.auto_threshold(loaded.select(F.col("d").alias("x")))
+        threshold = clusters.THRESHOLD if best is None else best
     else:
         threshold = float(a.cluster_distance)
     found = checkpoint(clusters.members(loaded, clusters.missing_counts(rows), threshold, a.prune_factor))
@@ -121,6 +121,44 @@ def find(spark: SparkSession, a: argparse.Namespace) -> None:
     sorted_lines(out, out.columns, ["prog", F.desc("kind"), "rank"]).write.text(a.output)
 
 
+CLUSTER_COLUMNS = ["size", "min_d", "avg_d", "max_d", "gap", "n_near", "n_pts_near", "n_far_or_unknown", "min_degree", "ids"]
+
+
+def write_run(out: dict[str, DataFrame], folder: str) -> None:
+    """The tables of a whole run, each in a folder of its own."""
+    sorted_lines(out["pairs"], ["q_id", "m_id", "agmr", "hgmr"], ["q_id", "agmr", "m_id"]).write.text(f"{folder}/pairs")
+    table = out["clusters"].withColumn("n_far_or_unknown", F.col("n_far") + F.col("n_unknown")).withColumn("ids", F.replace("ids", F.lit(","), F.lit("\t")))
+    sorted_lines(table, CLUSTER_COLUMNS, ["size", "avg_d", "max_d", F.desc("gap"), "ids"]).write.text(f"{folder}/clusters")
+    sorted_lines(out["histogram"], ["bin", "lo", "n", "cumulative"], ["bin"]).write.text(f"{folder}/histogram")
+    if "unique" in out:
+        matrix.write(out["unique"], f"{folder}/unique")
+    if "parents" in out:
+        sorted_lines(out["parents"], out["parents"].columns, ["prog", F.desc("kind"), "rank"]).write.text(f"{folder}/parents")
+    if out.get("pedigrees") is not None:
+        sorted_lines(out["pedigrees"].na.fill("NA", ["fpar", "mpar"]), ["prog", "fpar", "mpar"], ["prog"]).write.text(f"{folder}/pedigrees")
+
+
+def parameters(a: argparse.Namespace) -> Parameters:
+    threshold = None if a.cluster_distance == "auto" else float(a.cluster_distance)
+    given = {n: getattr(a, n) for n in ("vote",) if hasattr(a, n)}
+    level = {"level": a.alternative_pedigrees_level} if hasattr(a, "alternative_pedigrees_level") else {}
+    return Parameters(
+        min_gp=a.prob_min, chunk_size=a.chunk_size, max_marker_missing=a.marker_max_missing_data, max_accession_missing=a.accession_max_missing_data, min_maf=a.maf_min,
+        max_distance=a.distance_max, exact=not a.prefilter, threshold=threshold, prune=a.prune_factor, seed=a.seed, **given, **level,
+    )
+
+
+def duplicate_finder(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Pairs, clusters and a histogram of the distances, from a VCF or a matrix."""
+    write_run(find_duplicates(spark.read.text(a.input), parameters(a)), a.output)
+
+
+def whole_run(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Duplicates are found and reduced, then parents are checked and looked for."""
+    records = tables.pedigree_records(spark.read.text(a.pedigrees)) if a.pedigrees else None
+    write_run(vcf_to_parents(spark.read.text(a.input), records, parameters(a)), a.output)
+
+
 def histogram_of(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = spark.read.text(a.input).filter(~F.startswith("value", F.lit("#")))
     at = lambda i: F.try_element_at(F.split(F.trim("value"), r"\s+"), F.lit(i)).try_cast("double")
@@ -158,6 +196,10 @@ def parser() -> argparse.ArgumentParser:
         ("--alternative-pedigrees-level", int, 0), ("--unphased", bool, False), ("--normalize-by-means", bool, False), ("--use-heterozygosity", bool, False), ("--threshold-heterozygosity", float, 0.02),
         ("--heterozygosity-range-factor", float, 1.0), ("--thin-marker-fraction", float, 1.0), filtered=(0.9, 0.25, 1.0, 0.05),
     )
+    runs = (("--chunk-size", int, 7), ("--distance-max", float, 0.2), ("--prefilter", bool, False), ("--prune-factor", float, 0.2))
+    f = FINDER
+    command("duplicate-finder", duplicate_finder, *runs[1:], ("--chunk-size", int, f.chunk_size), ("--cluster-distance", str, "auto"), filtered=(f.min_gp, f.max_marker_missing, f.max_accession_missing, f.min_maf))
+    command("vcf-to-parents", whole_run, *runs, ("--cluster-distance", str, "0.035"), ("--pedigrees", str, None), ("--vote", bool, False), ("--alternative-pedigrees-level", int, 0), filtered=(0.9, 0.25, 0.5, 0.05))
     command("histogram", histogram_of, ("--columns", str, "1"), ("--binwidth", float, None), ("--lo", float, None), ("--hi", float, None))
     return top
 

@@ -37,14 +37,14 @@ PAIR_CELLS = 1 << 18
 def _best_of_one(max_ftr: float, most: int):
     """The best pairs of one progeny's candidates, in numpy; rows of the triangle of pairs are taken in strips of about PAIR_CELLS pairs."""
 
-    def masks(rows: pd.DataFrame) -> list[np.ndarray]:
-        return [np.array(rows[n].tolist(), dtype=np.int64).view(np.uint64) for n in NAMES]
+    def masks(rows: pd.DataFrame, names) -> list[np.ndarray]:
+        return [np.array(rows[n].tolist(), dtype=np.int64).view(np.uint64) for n in names]
 
     def run(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(found):
             return pd.DataFrame(np.empty((0, 3), object), columns=["prog", "p1", "p2"])
         found = found.sort_values("rank", ignore_index=True)
-        k, c, names = [x[0] for x in masks(own)], masks(found), found["par"].to_numpy()
+        k, c, names = [x[0] for x in masks(own, [f"k_{n}" for n in NAMES])], masks(found, NAMES), found["par"].to_numpy()
         n, words = c[0].shape
         best: list[tuple] = []
         strip = max(1, PAIR_CELLS // n)
@@ -78,7 +78,7 @@ def _best_of_one(max_ftr: float, most: int):
 def best_pairs(found: DataFrame, wide: DataFrame, max_ftr: float = MAX_FTR, most: int = SOLUTIONS) -> DataFrame:
     """Q1, Q2, Q4 in one: the best `most` pairs (prog, p1, p2) by ftr, p1, p2 of each progeny's ranked candidates. A candidate's masks go to its
     progeny's task once, and only the best pairs become rows; ranks bound a task's candidates."""
-    own = wide.select(F.col("acc_id").alias("prog"), *NAMES).join(found.select("prog").distinct(), "prog", "left_semi")
+    own = wide.select(F.col("acc_id").alias("prog"), *(F.col(n).alias(f"k_{n}") for n in NAMES)).join(found.select("prog").distinct(), "prog", "left_semi")
     each = found.select("prog", "par", "rank").join(wide.select(F.col("acc_id").alias("par"), *NAMES), "par")
     return own.groupBy("prog").cogroup(each.groupBy("prog")).applyInPandas(_best_of_one(max_ftr, most), _PAIR_ROWS)
 

@@ -78,16 +78,84 @@ def annotate_pairs(pairs: DataFrame, pedigrees: DataFrame) -> DataFrame:
     return rows.withColumn("recorded", F.when(f & m, "FM").when(f, "F").when(m, "M")).drop("fpar", "mpar")
 
 
+def _known_triples(genotypes: DataFrame, triples: DataFrame) -> DataFrame:
+    """prog, p1, p2, chrom, marker, k, kp (progeny's dosage and phase), i, ip, j, jp (those of its parents) at markers known in all three."""
+    own = genotypes.filter("dosage is not null").select("acc_id", "marker", "chrom", "dosage", "phase")
+    rows = triples.select("prog", "p1", "p2").filter("p1 is not null and p2 is not null").distinct().join(own.withColumnsRenamed({"acc_id": "prog", "dosage": "k", "phase": "kp"}), "prog")
+    for p, name in (("p1", "i"), ("p2", "j")):
+        rows = rows.join(own.select(F.col("acc_id").alias(p), "marker", F.col("dosage").alias(name), F.col("phase").alias(f"{name}p")), [p, "marker"])
+    return rows
+
+
+def triple_hypotheses(genotypes: DataFrame, triples: DataFrame) -> DataFrame:
+    """Per (prog, p1, p2, chrom), at markers known in all three, which of the progeny's chromosomes (a or b) comes from which parent.
+
+    For parent 1 and 2: xa and xb (changes of the inherited parental chromosome if it is the parent of a, or of b), n_het (markers heterozygous in the
+    parent), f02 (opposite homozygotes), fa and fb (heterozygous progeny whose a, or b, the homozygous parent can't have given) and n_hom. x_ab and
+    f_ab are the sums with parent 1 for a and parent 2 for b, x_ba and f_ba those the other way; `ab` says that x_ab is smaller (else the other way
+    is taken), min and max are the parents' changes in the way taken and in the other, and `agrees` says that the forbidden counts choose alike.
+    Heterozygous progeny without a phase, and phaseless heterozygous parents, count in no change and no fa or fb."""
+    rows = _known_triples(genotypes, triples)
+    along = Window.partitionBy("prog", "p1", "p2", "chrom").orderBy("marker")
+    counts = []
+    for t, (g, ph) in enumerate((("i", "ip"), ("j", "jp")), 1):
+        for c, plus in (("a", 1), ("b", -1)):
+            side = F.expr(f"case when {g} = 1 and {ph} is not null then case when k = 0 then {ph} = -1 when k = 2 then {ph} = 1 when kp = {plus} then {ph} = -1 when kp = {-plus} then {ph} = 1 end end")
+            rows = rows.withColumn(f"{c}{t}", side)
+            rows = rows.withColumn(f"{c}{t}_before", F.last(f"{c}{t}", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+            counts.append(tally(F.col(f"{c}{t}") != F.col(f"{c}{t}_before")).alias(f"x{c}{t}"))
+            # plus: a has the reference allele, b the other one
+            counts.append(tally(f"k = 1 and (({g} = 0 and kp = {-plus}) or ({g} = 2 and kp = {plus}))").alias(f"f{c}{t}"))
+        counts += [tally(f"{g} = 1").alias(f"n_het{t}"), tally(f"abs({g} - k) = 2").alias(f"f02_{t}"), tally(f"{g} <> 1").alias(f"n_hom{t}")]
+    found = rows.groupBy("prog", "p1", "p2", "chrom").agg(*counts)
+    for kind in "xf":
+        found = found.withColumn(f"{kind}_ab", F.col(f"{kind}a1") + F.col(f"{kind}b2")).withColumn(f"{kind}_ba", F.col(f"{kind}b1") + F.col(f"{kind}a2"))
+    found = found.withColumn("ab", F.col("x_ab") < F.col("x_ba")).withColumn("agrees", F.col("ab") == (F.col("f_ab") < F.col("f_ba")))
+    for t, (first, second) in ((1, "ab"), (2, "ba")):
+        x, y = F.col(f"x{first}{t}"), F.col(f"x{second}{t}")
+        found = found.withColumn(f"min{t}", F.when(F.col("ab"), x).otherwise(y)).withColumn(f"max{t}", F.when(F.col("ab"), y).otherwise(x))
+    return found
+
+
+def hypothesis_totals(by_chrom: DataFrame) -> DataFrame:
+    """Per triple and parent, sums over chromosomes: the smaller and larger of xa and xb chosen for each parent alone, and those of the way taken for both."""
+    made = []
+    for t in (1, 2):
+        made += [F.sum(F.least(f"xa{t}", f"xb{t}")).alias(f"alone_min{t}"), F.sum(F.greatest(f"xa{t}", f"xb{t}")).alias(f"alone_max{t}")]
+        made += [F.sum(f"n_het{t}").alias(f"n_het{t}"), F.sum(f"min{t}").alias(f"min{t}"), F.sum(f"max{t}").alias(f"max{t}")]
+    return by_chrom.groupBy("prog", "p1", "p2").agg(*made)
+
+
 def phase_correction(genotypes: DataFrame, triples: DataFrame) -> DataFrame:
-    """Per (prog, p1, p2, chrom), where the progeny's phase is best flipped. At heterozygous, phased progeny and homozygous p1, the first chromosome either fits p1 or its complement; for each cut the misfits before it as they are and after it flipped are counted. Gives the markers, misfits without a flip, and the best cut (the first marker flipped; null if none helps) with its misfits."""
-    child = genotypes.filter("dosage = 1 and phase is not null").select(F.col("acc_id").alias("prog"), "marker", "chrom", F.col("phase").alias("kp"))
-    parent = genotypes.filter("dosage in (0, 2)").select(F.col("acc_id").alias("p1"), "marker", F.col("dosage").alias("i"))
-    rows = triples.select("prog", "p1", "p2").join(child, "prog").join(parent, ["p1", "marker"])
+    """Per (prog, p1, p2, chrom) where the progeny's phase is best flipped.
+
+    At phased heterozygous progeny whose parents allow that by its phase only (n markers), a parent is forbidden for a chromosome whose allele it doesn't
+    have; ab counts that with parent 1 for a and parent 2 for b, ba the other way, and misfits is the smaller of the two. A switch after the first markers
+    changes from one way to the other: ab_ba and ba_ab are the least counts with one, misfits_left the smaller of those. switch_from is the marker
+    halfway between the switch's neighbours, from where phases are flipped (null: nowhere); of two ways as good the later switch counts."""
+    rows = _known_triples(genotypes, triples).filter("k = 1 and kp is not null and not (i = j)")
+    wrong = lambda g, allele: F.when(F.col(g) == 0, allele).when(F.col(g) == 2, 1 - allele).otherwise(0)
+    a = F.when(F.col("kp") == -1, 1).otherwise(0)  # whether chromosome a has the alternative allele; b has the other one
+    rows = rows.select("prog", "p1", "p2", "chrom", "marker", (wrong("i", a) + wrong("j", 1 - a)).alias("ab"), (wrong("i", 1 - a) + wrong("j", a)).alias("ba"))
     part = Window.partitionBy("prog", "p1", "p2", "chrom")
-    rows = rows.withColumn("bad", F.expr("case when (i = 0) <> (kp = 1) then 1 else 0 end"))
-    before = F.coalesce(F.sum("bad").over(part.orderBy("marker").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.sum(1 - F.col("bad")).over(part.orderBy("marker").rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("cut", before + after)
-    best = rows.groupBy("prog", "p1", "p2", "chrom").agg(F.count("*").alias("n"), F.sum("bad").alias("misfits"), F.min(F.struct("cut", "marker")).alias("x"))
-    better = F.col("x.cut") < F.col("misfits")
-    return best.select("prog", "p1", "p2", "chrom", "n", "misfits", F.when(better, F.col("x.marker")).alias("flip_from"), F.when(better, F.col("x.cut")).otherwise(F.col("misfits")).alias("misfits_left"))
+    upto = part.orderBy("marker").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("*", F.sum("ab").over(part).alias("all_ab"), F.sum("ba").over(part).alias("all_ba"), F.sum("ab").over(upto).alias("to_ab"), F.sum("ba").over(upto).alias("to_ba"), F.row_number().over(part.orderBy("marker")).alias("at"), F.lead("marker").over(part.orderBy("marker")).alias("next"))
+    cut = lambda count, at, low, high: F.struct(count.alias("count"), at.alias("at"), low.alias("low"), high.alias("high"))
+    forth, back = F.col("to_ab") + F.col("all_ba") - F.col("to_ba"), F.col("to_ba") + F.col("all_ab") - F.col("to_ab")
+    each = rows.groupBy("prog", "p1", "p2", "chrom").agg(
+        F.count("*").alias("n"), F.sum("ab").alias("ab"), F.sum("ba").alias("ba"), F.min("marker").alias("first"),
+        F.min(cut(forth, F.col("at"), F.col("marker"), F.col("next"))).alias("forth"), F.min(cut(back, F.col("at"), F.col("marker"), F.col("next"))).alias("back"),
+    )
+    start = lambda total: cut(F.col(total), F.lit(0), F.lit(-1), F.col("first"))
+    each = each.withColumn("forth", F.least("forth", start("ba"))).withColumn("back", F.least("back", start("ab")))
+    one, two = F.col("forth.count"), F.col("back.count")
+    taken = F.when(one < two, F.col("forth")).when(two < one, F.col("back")).when(F.col("forth.at") >= F.col("back.at"), F.col("forth")).otherwise(F.col("back"))
+    switch = F.when(taken["high"].isNotNull(), F.floor((taken["low"] + taken["high"]) / 2).cast("int"))
+    return each.select("prog", "p1", "p2", "chrom", "n", "ab", "ba", F.least("ab", "ba").alias("misfits"), one.alias("ab_ba"), two.alias("ba_ab"), F.least(one, two).alias("misfits_left"), switch.alias("switch_from"))
+
+
+def flip_phases(genotypes: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Genotypes with the phases of a progeny's chromosome flipped from its switch on; of several corrections of one chromosome the one with the least misfits left, then the first parents, counts."""
+    best = corrections.groupBy(F.col("prog").alias("acc_id"), "chrom").agg(F.min(F.struct("misfits_left", "p1", "p2", "switch_from")).alias("b")).select("acc_id", "chrom", F.col("b.switch_from").alias("__from")).filter("__from is not null")
+    rows = genotypes.join(best, ["acc_id", "chrom"], "left")
+    return rows.withColumn("phase", F.when(F.col("marker") >= F.col("__from"), -F.col("phase")).otherwise(F.col("phase"))).select(*genotypes.columns)

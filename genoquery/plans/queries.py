@@ -39,6 +39,17 @@ def text(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns)).alias("value"))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """The rows with their place in the output, for a checkpointed table whose partitions are written in order."""
+    numbered = rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id"))
+    before = {r["__part"]: r["n"] for r in numbered.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # a row per partition
+    starts, total = {}, 0
+    for part in sorted(before):
+        starts[part], total = total, total + before[part]
+    first = F.create_map(*(F.lit(x) for kv in (starts or {0: 0}).items() for x in kv))
+    return numbered.withColumn("place", F.col("__id") - F.shiftleft(F.col("__part").cast("bigint"), 33) + first[F.col("__part")]).drop("__part", "__id")
+
+
 # ---- common tables of the oracles -------------------------------------------------------------------------------------------------
 
 def u(seed: str, *columns: str) -> str:
@@ -346,6 +357,13 @@ def _(spark, d):
     return pairs.ordered(pairs.similar_pairs(genotypes(spark, d), NEAR))
 
 
+@entry("p11_order", f"""SELECT q_id, m_id, row_number() OVER (ORDER BY q_id, agmr, m_id) - 1 AS place FROM pr WHERE agmr <= {NEAR}""", PAIRS)
+def _(spark, d):
+    # the place of each row as the sorted output has it: partitions of a sort are in order, and so are the rows in them
+    rows = checkpoint(pairs.ordered(pairs.similar_pairs(genotypes(spark, d), NEAR)), wide=True)
+    return in_order(rows.select("q_id", "m_id"))
+
+
 @entry("p_reference_pairs", f"""SELECT CASE WHEN rq AND NOT rm THEN m_id ELSE q_id END AS q_id, CASE WHEN rq AND NOT rm THEN q_id ELSE m_id END AS m_id, agmr FROM (
   SELECT *, q_id IN (SELECT mpar FROM ped) AS rq, m_id IN (SELECT mpar FROM ped) AS rm FROM pr WHERE agmr <= 0.5) WHERE NOT (rq AND rm)""", PAIRS)
 def _(spark, d):
@@ -461,19 +479,29 @@ for _name, _threshold in (("c9_members", 0.035), ("c9_members_wide", NEAR)):
         return found_clusters(spark, d, threshold)[1]
 
 
-for _name, _threshold in (("c6_c7_c8_cluster_table", 0.035), ("c10_ordered_wide", NEAR)):
-
-    @entry(_name, f"""SELECT cluster, size, min_d, round(avg_d, 9) AS avg_d, max_d, gap, n_near, n_pts_near, n_far, size * (size - 1) // 2 - n_known AS n_unknown, min_degree, ids FROM (
+def cluster_sql(threshold: float) -> str:
+    return f"""SELECT cluster, size, min_d, round(avg_d, 9) AS avg_d, max_d, gap, n_near, n_pts_near, n_far, size * (size - 1) // 2 - n_known AS n_unknown, min_degree, ids FROM (
       SELECT cluster, count(*) AS size, min(degree) AS min_degree, string_agg(id, ',' ORDER BY rank) AS ids FROM cl GROUP BY cluster)
-      JOIN (SELECT cluster, min(d) AS min_d, avg(d) AS avg_d, max(d) AS max_d, count(*) FILTER (d > {_threshold}) AS n_far, count(*) AS n_known FROM ins GROUP BY cluster) USING (cluster)
-      JOIN (SELECT c.cluster, coalesce(min(o.d), 100.0) AS gap, count(DISTINCT CASE WHEN o.d < 1.2 * {_threshold} THEN o.b END) AS n_near, count(DISTINCT CASE WHEN o.d < 1.2 * {_threshold} THEN o.a END) AS n_pts_near
+      JOIN (SELECT cluster, min(d) AS min_d, avg(d) AS avg_d, max(d) AS max_d, count(*) FILTER (d > {threshold}) AS n_far, count(*) AS n_known FROM ins GROUP BY cluster) USING (cluster)
+      JOIN (SELECT c.cluster, coalesce(min(o.d), 100.0) AS gap, count(DISTINCT CASE WHEN o.d < 1.2 * {threshold} THEN o.b END) AS n_near, count(DISTINCT CASE WHEN o.d < 1.2 * {threshold} THEN o.a END) AS n_pts_near
         FROM c1 c LEFT JOIN (SELECT s.a, s.b, s.d, y.cluster AS oc FROM (SELECT a, b, d FROM ds UNION ALL SELECT b, a, d FROM ds) s LEFT JOIN c1 y ON y.id = s.b) o
-        ON o.a = c.id AND (o.oc IS NULL OR o.oc <> c.cluster) GROUP BY c.cluster) USING (cluster)""", threshold_clusters(_threshold))
+        ON o.a = c.id AND (o.oc IS NULL OR o.oc <> c.cluster) GROUP BY c.cluster) USING (cluster)"""
+
+
+for _name, _threshold in (("c6_c7_c8_cluster_table", 0.035), ("c10_ordered_wide", NEAR)):
+
+    @entry(_name, cluster_sql(_threshold), threshold_clusters(_threshold))
     def _(spark, d, threshold=_threshold):
         loaded, found = found_clusters(spark, d, threshold)
         return clusters.ordered(clusters.cluster_table(loaded, found, threshold))
 
 
+@entry("c10_order", f"SELECT cluster, row_number() OVER (ORDER BY size, avg_d, max_d, gap DESC, ids) - 1 AS place FROM ({cluster_sql(NEAR)})", threshold_clusters(NEAR))
+def _(spark, d):
+    loaded, found = found_clusters(spark, d, NEAR)
+    return in_order(checkpoint(clusters.ordered(clusters.cluster_table(loaded, found, NEAR)), wide=True).select("cluster"))
+
+
 @entry("c11_consensus", """SELECT cluster, acc_id, count(*) FILTER (dosage <> c) AS n, count(*) AS d, count(*) FILTER (dosage <> c) / CAST(count(*) AS DOUBLE) AS agmr FROM (
   SELECT cl.cluster, g.acc_id, g.dosage, k.c FROM g JOIN cl ON cl.id = g.acc_id JOIN (
     SELECT cluster, marker, CASE WHEN count(*) FILTER (dosage = 0) >= 2/3 * count(*) THEN 0 WHEN count(*) FILTER (dosage = 1) >= 2/3 * count(*) THEN 1 WHEN count(*) FILTER (dosage = 2) >= 2/3 * count(*) THEN 2 END AS c
@@ -797,10 +825,53 @@ def _(spark, d):
     return phasing.chromosome_hypotheses(genotypes(spark, d), recorded_pairs(spark, d))
 
 
-@entry("x4_phase_correction", """SELECT prog, p1, p2, chrom, n, misfits, CASE WHEN cut < misfits THEN marker END AS flip_from, least(cut, misfits) AS misfits_left FROM (
-  SELECT prog, p1, p2, chrom, marker, count(*) OVER a AS n, CAST(sum(bad) OVER a AS BIGINT) AS misfits, CAST(coalesce(sum(bad) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(1 - bad) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS cut
-  FROM (SELECT t.*, k.marker, k.chrom, CASE WHEN (i.dosage = 0) <> (k.phase = 1) THEN 1 ELSE 0 END AS bad FROM pt t JOIN g k ON k.acc_id = prog AND k.dosage = 1 AND k.phase IS NOT NULL JOIN g i ON i.acc_id = p1 AND i.marker = k.marker AND i.dosage IN (0, 2))
-  WINDOW a AS (PARTITION BY prog, p1, p2, chrom), w AS (PARTITION BY prog, p1, p2, chrom ORDER BY marker)) QUALIFY row_number() OVER (PARTITION BY prog, p1, p2, chrom ORDER BY cut, marker) = 1""", PEDT)
+KNOWN3 = PEDT + """, k3 AS (SELECT t.prog, t.p1, t.p2, k.chrom, k.marker, k.dosage AS k, k.phase AS kp, i.dosage AS i, i.phase AS ip, j.dosage AS j, j.phase AS jp FROM pt t
+  JOIN g k ON k.acc_id = t.prog AND k.dosage IS NOT NULL JOIN g i ON i.acc_id = t.p1 AND i.marker = k.marker AND i.dosage IS NOT NULL JOIN g j ON j.acc_id = t.p2 AND j.marker = k.marker AND j.dosage IS NOT NULL)"""
+
+
+def sides() -> str:
+    """Changes (x), by parent and hypothesis, each from the rows where the parent is a phased heterozygote and the side is known."""
+    out, joined = "", []
+    for t, g in ((1, "i"), (2, "j")):
+        for c, plus in (("a", 1), ("b", -1)):
+            side = f"CASE WHEN k = 0 THEN {g}p = -1 WHEN k = 2 THEN {g}p = 1 WHEN kp = {plus} THEN {g}p = -1 ELSE {g}p = 1 END"
+            out += f""", s{c}{t} AS (SELECT prog, p1, p2, chrom, count(*) FILTER (s <> b) AS x FROM (SELECT *, lag(s) OVER (PARTITION BY prog, p1, p2, chrom ORDER BY marker) AS b FROM (
+              SELECT *, {side} AS s FROM k3 WHERE {g} = 1 AND {g}p IS NOT NULL AND (k <> 1 OR kp IS NOT NULL))) GROUP BY ALL)"""
+            joined.append(f"LEFT JOIN s{c}{t} USING (prog, p1, p2, chrom)")
+    counts = ", ".join(
+        f"count(*) FILTER (k = 1 AND ({g} = 0 AND kp = -1 OR {g} = 2 AND kp = 1)) AS fa{t}, count(*) FILTER (k = 1 AND ({g} = 0 AND kp = 1 OR {g} = 2 AND kp = -1)) AS fb{t}, "
+        f"count(*) FILTER ({g} = 1) AS n_het{t}, count(*) FILTER (abs({g} - k) = 2) AS f02_{t}, count(*) FILTER ({g} <> 1) AS n_hom{t}"
+        for t, g in ((1, "i"), (2, "j"))
+    )
+    x = ", ".join(f"coalesce(s{c}{t}.x, 0) AS x{c}{t}" for t in (1, 2) for c in "ab")
+    return out + f""", c3 AS (SELECT prog, p1, p2, chrom, {counts} FROM k3 GROUP BY 1, 2, 3, 4),
+x3 AS (SELECT c3.*, {x} FROM c3 {' '.join(joined)}),
+y3 AS (SELECT *, xa1 + xb2 AS x_ab, xb1 + xa2 AS x_ba, fa1 + fb2 AS f_ab, fb1 + fa2 AS f_ba FROM x3),
+z3 AS (SELECT *, x_ab < x_ba AS ab, (x_ab < x_ba) = (f_ab < f_ba) AS agrees, CASE WHEN x_ab < x_ba THEN xa1 ELSE xb1 END AS min1, CASE WHEN x_ab < x_ba THEN xb1 ELSE xa1 END AS max1,
+  CASE WHEN x_ab < x_ba THEN xb2 ELSE xa2 END AS min2, CASE WHEN x_ab < x_ba THEN xa2 ELSE xb2 END AS max2 FROM y3)"""
+
+
+@entry("x3_two_parents", "SELECT * FROM z3", KNOWN3 + sides())
+def _(spark, d):
+    return phasing.triple_hypotheses(genotypes(spark, d), recorded_triples(spark, d))
+
+
+@entry("x3_totals", "SELECT prog, p1, p2, " + ", ".join(f"CAST(sum(least(xa{t}, xb{t})) AS BIGINT) AS alone_min{t}, CAST(sum(greatest(xa{t}, xb{t})) AS BIGINT) AS alone_max{t}, CAST(sum(n_het{t}) AS BIGINT) AS n_het{t}, CAST(sum(min{t}) AS BIGINT) AS min{t}, CAST(sum(max{t}) AS BIGINT) AS max{t}" for t in (1, 2)) + " FROM z3 GROUP BY 1, 2, 3", KNOWN3 + sides())
+def _(spark, d):
+    return phasing.hypothesis_totals(phasing.triple_hypotheses(genotypes(spark, d), recorded_triples(spark, d)))
+
+
+@entry("x4_phase_correction", """SELECT m.prog, m.p1, m.p2, m.chrom, n, CAST(ab AS BIGINT) AS ab, CAST(ba AS BIGINT) AS ba, CAST(least(ab, ba) AS BIGINT) AS misfits, CAST(f.c AS BIGINT) AS ab_ba, CAST(r.c AS BIGINT) AS ba_ab, CAST(least(f.c, r.c) AS BIGINT) AS misfits_left,
+  CAST(CASE WHEN f.c < r.c OR f.c = r.c AND f.spot >= r.spot THEN floor((f.low + f.high) / 2) ELSE floor((r.low + r.high) / 2) END AS INT) AS switch_from
+  FROM m JOIN f USING (prog, p1, p2, chrom) JOIN r USING (prog, p1, p2, chrom)""", KNOWN3 + """, w AS (
+  SELECT prog, p1, p2, chrom, marker, CASE WHEN i = 1 THEN 0 ELSE CAST((i = 0) = (kp = -1) AS INT) END + CASE WHEN j = 1 THEN 0 ELSE CAST((j = 0) = (kp = 1) AS INT) END AS ab,
+    CASE WHEN i = 1 THEN 0 ELSE CAST((i = 0) = (kp = 1) AS INT) END + CASE WHEN j = 1 THEN 0 ELSE CAST((j = 0) = (kp = -1) AS INT) END AS ba
+  FROM k3 WHERE k = 1 AND kp IS NOT NULL AND i <> j),
+m AS (SELECT prog, p1, p2, chrom, count(*) AS n, sum(ab) AS ab, sum(ba) AS ba FROM w GROUP BY 1, 2, 3, 4),
+e AS (SELECT prog, p1, p2, chrom, marker, row_number() OVER o AS spot, sum(ab) OVER o AS sab, sum(ba) OVER o AS sba, marker AS low, lead(marker) OVER o AS high FROM w WINDOW o AS (PARTITION BY prog, p1, p2, chrom ORDER BY marker)
+  UNION ALL SELECT prog, p1, p2, chrom, -1, 0, 0, 0, -1, min(marker) FROM w GROUP BY prog, p1, p2, chrom),
+f AS (SELECT prog, p1, p2, chrom, sab + ba - sba AS c, spot, low, high FROM e JOIN m USING (prog, p1, p2, chrom) QUALIFY row_number() OVER (PARTITION BY prog, p1, p2, chrom ORDER BY sab + ba - sba, spot) = 1),
+r AS (SELECT prog, p1, p2, chrom, sba + ab - sab AS c, spot, low, high FROM e JOIN m USING (prog, p1, p2, chrom) QUALIFY row_number() OVER (PARTITION BY prog, p1, p2, chrom ORDER BY sba + ab - sab, spot) = 1)""")
 def _(spark, d):
     return phasing.phase_correction(genotypes(spark, d), recorded_triples(spark, d))
 
@@ -1056,9 +1127,18 @@ def _(spark, d):
     return tables.roles(text(cand.roles_by_heterozygosity(genotypes(spark, d), 0.3, 1.3, 50), "acc_id", "role"))
 
 
-@entry("s18_sniff", "SELECT 'vcf' AS first, 'matrix' AS second")
+@entry("s18_sniff", "SELECT 'vcf' AS first, 'matrix' AS second, 'error' AS third, 'vcf' AS fourth")
 def _(spark, d):
-    return one(spark, {"a": matrix.sniff(vcf_lines(spark, d)), "b": matrix.sniff(matrix.to_lines(genotypes(spark, d)))}, "first string, second string")
+    def kind(df: DataFrame) -> str:
+        try:
+            return matrix.sniff(df)
+        except ValueError:
+            return "error"
+
+    files = vcf_lines(spark, d), matrix.to_lines(genotypes(spark, d)), spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("text").alias("value"))
+    # lines of both kinds: the #CHROM line decides
+    found = [kind(x) for x in (*files, files[1].select("value").unionByName(files[0].select("value")))]
+    return one(spark, dict(enumerate(found)), "first string, second string, third string, fourth string")
 
 
 @entry("s19_distance_matrix", """SELECT 'v' || a.vec_id AS id1, 'v' || (c - 1) AS id2, CAST(a.embedding[c] AS DOUBLE) AS d FROM embeddings a, range(1, 65) t(c) WHERE c - 1 < a.vec_id AND CAST(a.embedding[c] AS DOUBLE) <= -0.2""")
@@ -1089,6 +1169,16 @@ def _(spark, d):
     return vcf.check_format(vcf_lines(spark, d))
 
 
+# a line per document whose token, by the number's remainder, is sound or broken in one way
+@entry("s22_bad_tokens", """SELECT 'GT:DS:GP' AS format, kind, count(*) AS n FROM (SELECT CASE n_chars % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'colons' WHEN 2 THEN 'GT' WHEN 3 THEN 'DS' WHEN 4 THEN 'GP' WHEN 5 THEN 'colons' WHEN 6 THEN 'GT' WHEN 7 THEN 'ok' ELSE 'DS' END AS kind FROM documents WHERE n_chars IS NOT NULL) GROUP BY kind""")
+def _(spark, d):
+    tokens = ["0/1:1.0:0,1,0", "0/1:1.0", "0-1:1.0:0,1,0", "0/1:x:0,1,0", "0/1:1:0;1;0", "0/1:1:0,1,0:7", ":1:0,1,0", "1|1:.5:1e-3,0.9,0", "./.::0,1,0"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("n_chars is not null")
+    token = F.element_at(F.array(*map(F.lit, tokens)), (F.col("n_chars") % 9 + 1).cast("int"))
+    fields = ["1", "5", ".", "A", "G", ".", ".", ".", "GT:DS:GP"]
+    return vcf.check_format(docs.select(F.concat_ws("\t", *map(F.lit, fields), token).alias("value")))
+
+
 @entry("s23_phased_vcf", "SELECT acc_id, count(*) FILTER (phase = 1 AND dosage = 1) AS plus, count(*) FILTER (phase = -1 AND dosage = 1) AS minus FROM g GROUP BY acc_id")
 def _(spark, d):
     return vcf.parse(vcf_lines(spark, d), None, vcf.Options(fields=("GT",))).groupBy("acc_id").agg(F.count_if(F.col("phase") == 1).alias("plus"), F.count_if(F.col("phase") == -1).alias("minus"))

@@ -364,6 +364,33 @@ def test_best_pedigrees(spark):
     assert found == {"a": (2, "ped", "x", "u"), "b": (3, "alt", "s", "u"), "c": (0, "none", "u", "x"), "d": (0, "none", None, None)}
 
 
+def test_best_pairs_of_many_candidates_match_the_ranking_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 60
+    dosages = {f"c{i:03}": "".join(rng.choice(list("012X"), 70, p=[0.35, 0.3, 0.3, 0.05])) for i in range(n)}
+    g = geno(spark, dosages)
+    found = spark.createDataFrame([(p, c, r + 1) for p in ("c000", "c001") for r, c in enumerate(sorted(dosages)[2:])], "prog string, par string, rank int")
+    wide = pack(g)
+    every = parents.rank_pairs(triples.statistics(triples.with_masks(parents.candidate_pairs(found), wide)), max_ftr=0.9, most=5)
+    for cells in (100, 1 << 18):
+        monkeypatch.setattr(parents, "PAIR_CELLS", cells)
+        assert rows(parents.best_pairs(found, wide, 0.9, 5), "prog", "p1", "p2") == rows(every, "prog", "p1", "p2")
+    assert parents.best_pairs(found, wide, -1.0).count() == 0
+
+
+def test_phases_are_flipped_from_the_switch_on(spark):
+    # a progeny whose first chromosome is its first parent's up to marker 9, and its second parent's from marker 10 on
+    data = [("p", m, "m", 1, 0, None) for m in range(20)] + [("q", m, "m", 1, 2, None) for m in range(20)] + [("k", m, "m", 1, 1, 1 if m < 10 else -1) for m in range(20)]
+    g = spark.createDataFrame(data, GENO)
+    family = spark.createDataFrame([("k", "p", "q")], "prog string, p1 string, p2 string")
+    row = phasing.phase_correction(g, family).collect()[0].asDict()
+    assert {c: row[c] for c in ("n", "ab", "ba", "misfits", "ab_ba", "ba_ab", "misfits_left", "switch_from")} == {"n": 20, "ab": 20, "ba": 20, "misfits": 20, "ab_ba": 0, "ba_ab": 20, "misfits_left": 0, "switch_from": 9}
+    flipped = phasing.flip_phases(g, phasing.phase_correction(g, family)).filter("acc_id = 'k'")
+    assert [r["phase"] for r in flipped.orderBy("marker").collect()] == [1] * 9 + [-1] + [1] * 10
+    same = phasing.phase_correction(g.withColumn("phase", F.abs("phase")), family).collect()[0]
+    assert same["misfits"] == 0 and same["switch_from"] is None
+
+
 def test_running_sums(spark):
     data = [(i * 7 % 101, float(i)) for i in range(101)]
     df = spark.createDataFrame(data, "k int, v double")
