@@ -15,8 +15,9 @@ partition is packed again from its rows alone, with the same sequences. The line
 continuing from the last settled cut, so memory is bounded whatever the partition's size; a document of any length only ever has
 its own ids in memory.
 
-Defined results: a null or empty text is one token (id 0). A null id, repeated rows and extra columns don't matter: each row is a
-document of its own, and its pieces carry its id.
+Defined results: a null or empty text is one token (id 0). A null id, repeated rows and extra columns, whatever their names, don't matter: each
+row is a document of its own, and its pieces carry its id. Of equally cheap cuts the one whose sequence began earliest is kept, except that a
+power of two is taken only if it is cheaper. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,9 +7,10 @@ Training rows are at most `per_class` rows of each label, those with the smalles
 never held-out ones. Only their statistics reach the driver: 2 * per_class rows of len(STATISTICS) numbers, whatever the input;
 of documents that repeat a sampled id the one with the least statistics is learnt from.
 
-Defined results: a null or empty text has statistics of 0 and a score like any other. Labels that are null are skipped; of labels
-that differ for one id the smaller counts. With one class only, or without labels, the score is the share of label 1 (0.5
-without). Ids may be null or repeat: each row is scored from its text alone.
+Defined results: a null or empty text has statistics of 0 and a score like any other; a text of any length is measured whole. Labels that are
+null are skipped; of labels that differ for one id the smaller counts. With one class only, or without labels, the score is the share of
+label 1 (0.5 without). Ids may be null or repeat: each row is scored from its text alone. Of splits with equal gain the one of the first
+statistic and the lowest cut is taken. An empty table gives no rows; other columns, whatever their names, are left out (`score`) or kept as they are (`keep_good`).
 """
 
 from __future__ import annotations

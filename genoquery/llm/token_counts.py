@@ -11,8 +11,10 @@ the text. A token that crosses a boundary goes by an explicit rule:
 Sections are either the lines of the text (each with its line break), or spans given as a column: an array of structs (start, end)
 in characters, ascending and without overlap. Tokens in no given section are counted as section null.
 
-Defined results: a null or empty text, or one without a section, has one row, section 0 from 0 to 0 with no tokens. Null ids are kept, repeated
-rows are counted each. Counts of a document's rows add up to its tokens under each rule.
+Defined results: a null or empty text, or one without a section, has one row, section 0 from 0 to 0 with no tokens. A text of any length is
+encoded whole, and takes memory in proportion to itself. Null ids are kept, repeated rows are counted each. Counts of a document's rows add
+up to its tokens under each rule; of equal shares (most) the earliest section counts. An empty table gives no rows; other columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
