@@ -93,6 +93,31 @@ def similar_pairs(genotypes: DataFrame, max_distance: float = 0.2) -> DataFrame:
     return with_ratios(grid(_wide(genotypes)).groupBy("bi", "bj").applyInPandas(_kernel(keep), PAIR))
 
 
+def _counting(cell: pd.DataFrame) -> pd.DataFrame:
+    """How often each (agmr's numerator, denominator) occurs in a pair of blocks."""
+    one = cell["side"].max() == 0
+    left, right = cell[cell["side"] == 0], cell if one else cell[cell["side"] == 1]
+    a, b = ([np.array(s[n].tolist(), dtype=np.int64).view(np.uint64) for n in NAMES] for s in (left, right))
+    apart, known = (np.zeros((len(left), len(right)), np.int32) for _ in range(2))
+    for w in range(a[0].shape[1] if len(left) and len(right) else 0):
+        (a0, a1, a2), (b0, b1, b2) = [x[:, w][:, None] for x in a], [x[:, w][None, :] for x in b]
+        both = (a0 | a1 | a2) & (b0 | b1 | b2)
+        known += np.bitwise_count(both)
+        apart += np.bitwise_count(both & ~((a0 & b0) | (a1 & b1) | (a2 & b2)))
+    wanted = known > 0
+    if one:
+        wanted &= left["acc_id"].to_numpy()[:, None] > right["acc_id"].to_numpy()[None, :]
+    wanted &= ~(left["is_ref"].to_numpy(bool)[:, None] & right["is_ref"].to_numpy(bool)[None, :])
+    keys, times = np.unique(apart[wanted].astype(np.int64) << 32 | known[wanted], return_counts=True)
+    return pd.DataFrame({"num": keys >> 32, "den": keys & 0xFFFFFFFF, "n": times})
+
+
+def distance_counts(genotypes: DataFrame) -> DataFrame:
+    """All pairs' distances, as counts: x (agmr) and n (pairs that have it). Pairs never become rows: a task gives the fractions of its two blocks."""
+    found = grid(_wide(genotypes)).groupBy("bi", "bj").applyInPandas(_counting, "num bigint, den bigint, n bigint")
+    return found.groupBy(ratio("num", "den").alias("x")).agg(F.sum("n").alias("n"))
+
+
 def related_pairs(genotypes: DataFrame, max_hgmr: float) -> DataFrame:
     """H1: every pair with hgmr <= max_hgmr, exactly, by the same block join."""
 

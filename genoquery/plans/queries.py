@@ -407,7 +407,7 @@ def _(spark, d):
 
 @entry("p13_all_distances", "SELECT count(*) AS n, round(sum(agmr), 6) AS total FROM pr", PAIRS)
 def _(spark, d):
-    return pairs.similar_pairs(genotypes(spark, d), 1.0).agg(F.count("*").alias("n"), F.round(F.sum("agmr"), 6).alias("total"))
+    return pairs.distance_counts(genotypes(spark, d)).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("x") * F.col("n")), 6).alias("total"))
 
 
 @entry("p14_chunk_statistics", """SELECT chunk, n * (n - 1) // 2 AS possible, n * (n - 1) // 2 - ok * (ok - 1) // 2 AS lost, CAST(coalesce(m, 0) AS BIGINT) AS matching FROM (SELECT chunk, count(*) AS n, count(pattern) AS ok FROM cp GROUP BY chunk)
@@ -458,7 +458,7 @@ def _(spark, d):
 
 @entry("c2_auto_threshold", "SELECT round(coalesce((SELECT h FROM gq, tq WHERE gq.place = tq.place - 16), h), 9) AS t FROM bq", LEFT)
 def _(spark, d):
-    x = pairs.similar_pairs(genotypes(spark, d), 1.0).select(F.col("agmr").alias("x"))
+    x = pairs.distance_counts(genotypes(spark, d))
     return one(spark, {"t": cluster1d.auto_threshold(x)}, "t double").select(F.round("t", 9).alias("t"))
 
 
@@ -911,7 +911,7 @@ SPLITS = """, vx AS (SELECT agmr AS x, count(*) AS n FROM pr GROUP BY agmr), sp
 
 
 def agmr_values(spark, d):
-    return pairs.similar_pairs(genotypes(spark, d), 1.0).select(F.col("agmr").alias("x"))
+    return checkpoint(pairs.distance_counts(genotypes(spark, d)))
 
 
 @entry("d1_left_boundary", """SELECT 4 * bq.i AS n_left, round(bq.h, 9) AS threshold, round(CAST(bq.q AS DOUBLE), 6) AS quality, round((SELECT h FROM gq, tq WHERE gq.place = tq.place - 16), 9) AS smooth,

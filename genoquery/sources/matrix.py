@@ -30,23 +30,38 @@ def token_phase(token: Column) -> Column:
     return F.when(F.startswith(F.trim(token), F.lit("+")), 1).when(F.startswith(F.trim(token), F.lit("-")), -1)
 
 
+SMALL_HEADER = 1_000_000
+
+
+def named(rows: DataFrame, names: DataFrame, on: str, size: int) -> DataFrame:
+    """rows with the columns of a header table; up to SMALL_HEADER names (some 20 MB) are broadcast, more are joined by a shuffle."""
+    return rows.join(F.broadcast(names) if size <= SMALL_HEADER else names, on)
+
+
 def parse(lines: DataFrame, separator: str = "\t") -> DataFrame:
     """Rows (acc_id, marker, marker_id, chrom, dosage, phase). A line with another number of tokens than there are markers is an error. Without a CHROMOSOME line all chromosomes are 0."""
     real = lines.filter(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
-    heads = {r["value"].split(separator)[0]: r["value"].split(separator)[1:] for r in real.filter(F.startswith("value", F.lit("MARKER")) | F.startswith("value", F.lit("CHROMOSOME"))).collect()}
-    if "MARKER" not in heads:
+    cols = F.split("value", separator)
+    rest = real.select(cols[0].alias("acc_id"), F.slice(cols, 2, F.greatest(F.size(cols) - 1, F.lit(0))).alias("t"))
+    heads = rest.filter(F.startswith("acc_id", F.lit("MARKER")) | F.startswith("acc_id", F.lit("CHROMOSOME")))
+    sizes = {r["acc_id"]: r["n"] for r in heads.groupBy("acc_id").agg(F.max(F.size("t")).alias("n")).collect()}  # two rows
+    if "MARKER" not in sizes:
         raise ValueError("no MARKER line")
-    names = heads["MARKER"]
-    chroms = [int(c) if c.isdigit() else 0 for c in heads.get("CHROMOSOME", ["0"] * len(names))]
-    if len(chroms) != len(names):
+    n = sizes["MARKER"]
+    if sizes.get("CHROMOSOME", n) != n:
         raise ValueError("MARKER and CHROMOSOME lines differ in length")
-    cols = F.split("value", separator)
-    body = real.filter(~F.startswith("value", F.lit("MARKER")) & ~F.startswith("value", F.lit("CHROMOSOME"))).select(cols[0].alias("acc_id"), F.slice(cols, 2, F.greatest(F.size(cols) - 1, F.lit(0))).alias("t"))
-    checked = body.withColumn("t", F.when(F.size("t") == len(names), F.col("t")).otherwise(F.raise_error(F.concat(F.lit("wrong number of dosages: "), F.col("acc_id"))).cast("array<string>")))
-    rows = checked.select("acc_id", F.posexplode("t").alias("marker", "token"))
+    head = lambda name: heads.filter(F.col("acc_id") == name).limit(1)
+    names = head("MARKER").select(F.posexplode("t").alias("marker", "marker_id"))
+    if "CHROMOSOME" in sizes:
+        number = F.when(F.col("c").rlike(r"^\d+$"), F.col("c").try_cast("int")).otherwise(0)
+        names = names.join(head("CHROMOSOME").select(F.posexplode("t").alias("marker", "c")), "marker").select("marker", "marker_id", number.alias("chrom"))
+    else:
+        names = names.withColumn("chrom", F.lit(0))
+    body = rest.filter(~F.startswith("acc_id", F.lit("MARKER")) & ~F.startswith("acc_id", F.lit("CHROMOSOME")))
+    checked = body.withColumn("t", F.when(F.size("t") == n, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("wrong number of dosages: "), F.col("acc_id"))).cast("array<string>")))
+    rows = named(checked.select("acc_id", F.posexplode("t").alias("marker", "token")), names, "marker", n)
     dosage = token_dosage(F.col("token"))
-    at = lambda values: F.element_at(F.lit(values), F.col("marker") + 1)
-    return rows.select("acc_id", "marker", at(names).alias("marker_id"), at(chroms).cast("int").alias("chrom"), dosage.alias("dosage"), F.when(dosage == 1, token_phase(F.col("token"))).alias("phase"))
+    return rows.select("acc_id", "marker", "marker_id", "chrom", dosage.alias("dosage"), F.when(dosage == 1, token_phase(F.col("token"))).alias("phase"))
 
 
 def read(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:

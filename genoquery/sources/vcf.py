@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from genoquery.functions.ratios import tally
+from genoquery.sources.matrix import named
 
 
 @dataclass(frozen=True)
@@ -69,11 +70,19 @@ def chromosome(chrom: Column) -> Column:
 
 def parse(lines: DataFrame, accessions: list[str] | None = None, options: Options = Options()) -> DataFrame:
     """Rows acc_id, marker_id, chrom, pos, dosage, phase. FORMAT is read line by line; the first of the options' fields that it has gives the dosage."""
-    ids = accessions if accessions is not None else header(lines)
     cols = F.split("value", "\t")
+    if accessions is None:
+        first = lines.filter(F.startswith("value", F.lit("#CHROM"))).orderBy("value").limit(1).select(F.split(F.rtrim(F.col("value")), "\t").alias("c"))
+        size = first.select(F.size("c")).first()
+        if size is None:
+            raise ValueError("no #CHROM line")
+        n = max(0, size[0] - 9)
+        names = first.select(F.posexplode(F.slice("c", 10, n or 1)).alias("k", "acc_id"))
+    else:
+        n, names = len(accessions), lines.sparkSession.createDataFrame(list(enumerate(accessions)), "k int, acc_id string")
     body = lines.filter(~F.startswith("value", F.lit("#")) & (F.trim("value") != "")).select(cols.alias("c"))
-    named = F.concat_ws("_", F.col("c")[0], F.col("c")[1]) if options.chrom_pos_ids else F.when((F.col("c")[2] == ".") | (F.col("c")[2] == ""), F.concat_ws("_", F.col("c")[0], F.col("c")[1])).otherwise(F.col("c")[2])
-    rows = body.select(named.alias("marker_id"), chromosome(F.col("c")[0]).alias("chrom"), F.col("c")[1].try_cast("bigint").alias("pos"), F.split(F.col("c")[8], ":").alias("format"), F.posexplode(F.slice("c", 10, len(ids) or 1)).alias("k", "token"))
+    marker = F.concat_ws("_", F.col("c")[0], F.col("c")[1]) if options.chrom_pos_ids else F.when((F.col("c")[2] == ".") | (F.col("c")[2] == ""), F.concat_ws("_", F.col("c")[0], F.col("c")[1])).otherwise(F.col("c")[2])
+    rows = body.select(marker.alias("marker_id"), chromosome(F.col("c")[0]).alias("chrom"), F.col("c")[1].try_cast("bigint").alias("pos"), F.split(F.col("c")[8], ":").alias("format"), F.posexplode(F.slice("c", 10, n or 1)).alias("k", "token"))
     field = lambda name: F.when(F.array_position("format", name) > 0, F.try_element_at(F.split("token", ":"), F.array_position("format", name).cast("int")))
     readers = {"GT": lambda f: gt_dosage(f), "DS": lambda f: ds_dosage(f, options.delta, options.ploidy), "AD": lambda f: ad_dosage(f, options.min_depth, options.ploidy)}
     dosage = F.lit(None).cast("int")
@@ -85,8 +94,7 @@ def parse(lines: DataFrame, accessions: list[str] | None = None, options: Option
         good &= ~F.array_contains("format", "GP") | F.coalesce(gp_good(field("GP"), options.min_gp), F.lit(False))
     if options.min_gq > 0:
         good &= ~F.array_contains("format", "GQ") | F.coalesce(field("GQ").try_cast("double") >= options.min_gq, F.lit(False))
-    named_ids = F.element_at(F.lit(ids) if ids else F.array(F.lit("")), F.col("k") + 1)
-    return rows.select(named_ids.alias("acc_id"), "marker_id", "chrom", "pos", F.when(good, dosage).alias("dosage"), F.when(good & (dosage == 1), phase).alias("phase"))
+    return named(rows, names, "k", n).select("acc_id", "marker_id", "chrom", "pos", F.when(good, dosage).alias("dosage"), F.when(good & (dosage == 1), phase).alias("phase"))
 
 
 def read(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:
