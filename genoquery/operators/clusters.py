@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from genoquery.checkpoints import checkpoint
 from genoquery.functions.ratios import ratio, tally
-from genoquery.operators.components import connected_components
+from genoquery.operators.components import SMALL_EDGES, connected_components
 
 THRESHOLD, PRUNE, NEAR = 0.035, 0.2, 1.2
 
@@ -36,7 +36,7 @@ def link(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """C4: (id, cluster); a cluster is named by its smallest id."""
-    return connected_components(edges, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    return connected_components(edges, "a", "b", SMALL_EDGES).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
 
 def prune(edges: DataFrame, factor: float = PRUNE) -> DataFrame:

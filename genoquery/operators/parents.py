@@ -30,6 +30,13 @@ def rank_pairs(rows: DataFrame, by: str = "ftr", max_ftr: float = MAX_FTR, most:
     return rows.filter(F.coalesce("ftr", F.lit(100.0)) <= max_ftr).withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
+def pedigree_test(genotypes: DataFrame, pedigrees: DataFrame) -> DataFrame:
+    """Q11: recorded pedigrees (prog, p1, p2) of genotyped progeny with each statistic and its denominator, and the progeny's missing dosages."""
+    wide = checkpoint(pack(genotypes))
+    rows = statistics(with_masks(pedigrees.select("prog", F.col("fpar").alias("p1"), F.col("mpar").alias("p2")), wide), denominators=True)
+    return rows.join(wide.select(F.col("acc_id").alias("prog"), F.col("n_missing").alias("md")), "prog")
+
+
 _PAIR_ROWS = "prog string, p1 string, p2 string"
 PAIR_CELLS = 1 << 18
 

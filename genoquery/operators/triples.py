@@ -60,12 +60,13 @@ def _pair_conditions(get, par: str) -> dict[str, Column]:
     return {"n02": _any(_all(p0, k2), _all(p2, k0)), "n00_22": _any(_all(p0, k0), _all(p2, k2)), "n_hom_1": _all(_any(p0, p2), k1)}
 
 
-def statistics(triples: DataFrame, means: dict[str, float] | None = None) -> DataFrame:
+def statistics(triples: DataFrame, means: dict[str, float] | None = None, denominators: bool = False) -> DataFrame:
     """T1 to T7 of triples with masks: n_good, agmr12, hgmr1, r1, hgmr2, r2, ftr, ftr_n, z, h, hhr.
 
     ftr counts opposed homozygotes, heterozygotes of equal homozygous parents, and once more the opposite homozygote of such
     parents. With one parent (T6), R has the opposite homozygotes in both its parts; the statistics of two parents are null.
-    `means` divide hgmr, r, ftr and z (T7).
+    `means` divide hgmr, r, ftr and z (T7). With `denominators`, agmr12_d, hgmr1_d, r1_d, hgmr2_d, r2_d, ftr_d and z_d are there too (null
+    where a parent that the statistic needs is unknown).
     """
     both = F.col("i").isNotNull() & F.col("j").isNotNull()
     names = list(_conditions(lambda n: F.lit(0).cast("bigint")))
@@ -80,6 +81,11 @@ def statistics(triples: DataFrame, means: dict[str, float] | None = None) -> Dat
     for t in (1, 2):
         missed, same, het = c(f"n02_{t}"), c(f"n00_22_{t}"), c(f"n_hom_1_{t}")
         out += [(ratio(missed, missed + same) / mean["hgmr"]).alias(f"hgmr{t}"), (F.when(c("__both"), ratio(het, het + same)).otherwise(ratio(missed + het, missed + het + same)) / mean["r"]).alias(f"r{t}")]
+        if denominators:
+            known = F.when(c("__both"), het + same).otherwise(missed + het + same)
+            out += [(missed + same).alias(f"hgmr{t}_d"), known.alias(f"r{t}_d")]
+    if denominators:
+        out += [c("n_known").alias("agmr12_d"), c("n_known").alias("ftr_d"), c("n_hom").alias("z_d")]
     forbidden = c("n_opposed") + c("n_hom_het") + c("n_hom_other")
     out += [(ratio(forbidden, c("n_known")) / mean["ftr"]).alias("ftr"), forbidden.alias("ftr_n"), (ratio("n_hom_het", "n_hom") / mean["z"]).alias("z"), ratio("n_11_1", "n_11").alias("h"), ratio("n_het_1", "n_het").alias("hhr")]
     keep = [x for x in triples.columns if x not in "ijk"]

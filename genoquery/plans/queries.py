@@ -85,7 +85,7 @@ COMPONENTS = """, bw AS (SELECT a, b FROM {e} UNION SELECT b, a FROM {e}), reach
 cc AS (SELECT id, min(other) AS cluster FROM reach GROUP BY id)"""
 
 
-def threshold_clusters(threshold: float) -> str:
+def threshold_clusters(threshold: float | str) -> str:
     """Clusters at a threshold, pruned, with degrees and ranks (cl)."""
     return DIST + f""", e0 AS (SELECT a, b, d FROM ds WHERE d <= {threshold}),
 s0 AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), r0 AS (SELECT a AS id, a AS other FROM s0 UNION SELECT r.id, e.b FROM r0 r JOIN s0 e ON e.a = r.other),
@@ -479,7 +479,7 @@ for _name, _threshold in (("c9_members", 0.035), ("c9_members_wide", NEAR)):
         return found_clusters(spark, d, threshold)[1]
 
 
-def cluster_sql(threshold: float) -> str:
+def cluster_sql(threshold: float | str) -> str:
     return f"""SELECT cluster, size, min_d, round(avg_d, 9) AS avg_d, max_d, gap, n_near, n_pts_near, n_far, size * (size - 1) // 2 - n_known AS n_unknown, min_degree, ids FROM (
       SELECT cluster, count(*) AS size, min(degree) AS min_degree, string_agg(id, ',' ORDER BY rank) AS ids FROM cl GROUP BY cluster)
       JOIN (SELECT cluster, min(d) AS min_d, avg(d) AS avg_d, max(d) AS max_d, count(*) FILTER (d > {threshold}) AS n_far, count(*) AS n_known FROM ins GROUP BY cluster) USING (cluster)
@@ -785,6 +785,14 @@ def _(spark, d):
     return parents.wide_output(rows, 1).select("prog", "fpar", "mpar", "ftr", "fpar_1", "mpar_1", "ftr_1")
 
 
+@entry("q11_pedigree_test", """SELECT ts.*, ac.n_missing AS md, CASE WHEN p1 IS NOT NULL AND p2 IS NOT NULL THEN tc.n_good END AS agmr12_d, CASE WHEN p1 IS NOT NULL AND p2 IS NOT NULL THEN tc.n_good END AS ftr_d, CASE WHEN p1 IS NOT NULL AND p2 IS NOT NULL THEN n_hom END AS z_d,
+  CASE WHEN p1 IS NOT NULL THEN m1 + s1 END AS hgmr1_d, CASE WHEN p2 IS NOT NULL THEN m2 + s2 END AS hgmr2_d,
+  CASE WHEN p1 IS NOT NULL THEN CASE WHEN p2 IS NULL THEN m1 ELSE 0 END + h1 + s1 END AS r1_d, CASE WHEN p2 IS NOT NULL THEN CASE WHEN p1 IS NULL THEN m2 ELSE 0 END + h2 + s2 END AS r2_d
+  FROM ts JOIN (SELECT * EXCLUDE (p1, p2) FROM tc) tc USING (prog) JOIN ac ON ac.acc_id = prog""", ACC + PEDT + TRIPLE.format(t="pt"))
+def _(spark, d):
+    return parents.pedigree_test(genotypes(spark, d), pedigrees(spark, d))
+
+
 @entry("q12_other_pairs", "SELECT prog, p1, p2, ftr FROM ts", CAND + """, r80 AS (SELECT prog, par FROM (SELECT *, row_number() OVER (PARTITION BY prog ORDER BY hgmr, par) AS rank FROM cd WHERE prog IN (SELECT prog FROM ped)) WHERE rank <= 80
   UNION SELECT prog, fpar FROM ped WHERE fpar IS NOT NULL UNION SELECT prog, mpar FROM ped),
 o12 AS (SELECT a.prog, a.par AS p1, b.par AS p2 FROM r80 a JOIN r80 b ON a.prog = b.prog AND a.par <= b.par ANTI JOIN (SELECT prog, least(fpar, mpar) AS p1, greatest(fpar, mpar) AS p2 FROM ped WHERE fpar IS NOT NULL) r ON r.prog = a.prog AND r.p1 = a.par AND r.p2 = b.par)""" + TRIPLE.format(t="o12"))
@@ -1198,14 +1206,32 @@ def _(spark, d):
 
 # ---- whole pipelines --------------------------------------------------------------------------------------------------------------
 
-@entry("w1_vcf_to_parents")
+def whole_run_sql() -> str:
+    """The level 0 check of q5_q6_level0 over the accessions and pedigrees that u1_u2 and u4_u7 leave at 0.035; inner names hide outer ones."""
+    check = ENTRIES["q5_q6_level0"][1].removeprefix(PREFIX)
+    return f"SELECT * FROM (WITH g AS (SELECT * FROM gu), ped AS (SELECT * FROM pu){check})"
+
+
+UNIQUE = threshold_clusters(0.035) + UPED + """, gu AS (SELECT * FROM g WHERE acc_id NOT IN (SELECT id FROM rp WHERE id <> rep)),
+pu AS (SELECT prog, fpar, mpar FROM (SELECT *, row_number() OVER (PARTITION BY prog ORDER BY CAST(fpar IS NULL AS INT) + CAST(mpar IS NULL AS INT), line) AS k FROM ur) WHERE k = 1)"""
+
+
+@entry("w1_vcf_to_parents", whole_run_sql(), UNIQUE)
 def _(spark, d):
     from genoquery.plans.pipeline import vcf_to_parents
 
     return vcf_to_parents(vcf_lines(spark, d), pedigrees(spark, d))["parents"]
 
 
-@entry("w2_duplicate_finder")
+FOUND = "(SELECT t FROM th)"
+FINDER_SQL = (
+    LEFT.replace("count(*) OVER () AS n FROM pr", f"count(*) OVER () AS n FROM pr WHERE agmr <= {NEAR}")
+    + ", th AS (SELECT coalesce((SELECT h FROM gq, tq WHERE gq.place = tq.place - 16), (SELECT h FROM bq), 0.035) AS t)"
+    + threshold_clusters(FOUND).removeprefix(PAIRS)
+)
+
+
+@entry("w2_duplicate_finder", cluster_sql(FOUND), FINDER_SQL)
 def _(spark, d):
     from genoquery.plans.pipeline import find_duplicates
 

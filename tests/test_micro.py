@@ -93,6 +93,7 @@ def test_components_of_chains_stars_and_repeats(spark):
     df = spark.createDataFrame([*chain, *star, (3, 2), (200, 200), (None, 5)], "src int, dst int")
     found = dict(rows(connected_components(df), "node", "component"))
     assert {found[i] for i in range(61)} == {0} and {found[i] for i in range(100, 160)} == {100} and found[200] == 200 and len(found) == 61 + 60 + 1
+    assert dict(rows(connected_components(df, small=10**6), "node", "component")) == found and connected_components(df.limit(0), small=5).count() == 0
     assert connected_components(df.limit(0)).count() == 0
 
 

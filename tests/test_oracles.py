@@ -15,6 +15,7 @@ SOME = [
     "p_pairs", "p_reference_pairs", "p6_filtered_pairs", "p15_phase_switches", "c3_c4_components", "c10_ordered_wide", "u3_vote_wide", "u4_u7_unique_pedigrees", "h2_candidates_by_role",
     "h10_h11_expected_hgmr", "t1_t7_triple_statistics", "t12_t13_t15_direction", "q6_q7_q8_level2", "q12_other_pairs", "x2_parent_crossovers", "x4_phase_correction", "x8_triple_quality",
     "d2_two_means", "d4_jenks", "g2_ancestors", "g4_random_pedigrees", "s1_s7_vcf_scan", "s8_s9_vcf_filters", "s12_s13_matrix_scan", "s19_distance_matrix",
+    "d1_left_boundary", "x3_two_parents", "q11_pedigree_test", "s22_bad_tokens", "h9_normalizing_means", "w2_duplicate_finder",
 ]
 
 
