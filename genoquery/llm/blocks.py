@@ -39,9 +39,17 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = "script style noscript template svg iframe title select"
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SCOPE = {"p": "div section article td body", "li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table", "th": "table", "option": "select"}
+CLOSES = {
+    "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+    "option": {"option"}
+}
+ENDS_P = frozenset(
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
+)
+SCOPE = {
+    "p": "div section article td body", "li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table", "th": "table",
+    "option": "select"
+}
 
 _TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{HIDDEN.replace(' ', '|')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=hidden)\s*>|\Z)"
@@ -144,7 +152,10 @@ def numbers(blocks: list[tuple[str, tuple[int, ...], int]]) -> tuple[np.ndarray,
     counts = np.array([len(b[1]) for b in blocks])
     x = np.empty((n, NUMBERS), np.float32)
     for i, (text, _, linked) in enumerate(blocks):
-        x[i] = (np.log1p(sizes[i]) / 4, min(1.0, linked / len(text)), text[-1] in ".!?", len(text) / (10 * max(1, sizes[i])), i / n, (i + 1) == n, "©" in text or "·" in text or "|" in text, text.count(",") / max(1, sizes[i]))
+        x[i] = (
+            np.log1p(sizes[i]) / 4, min(1.0, linked / len(text)), text[-1] in ".!?", len(text) / (10 * max(1, sizes[i])), i / n,
+            (i + 1) == n, "©" in text or "·" in text or "|" in text, text.count(",") / max(1, sizes[i])
+        )
     return paths, counts, (words % np.uint64(WORDS)).astype(np.int64), sizes, x
 
 
@@ -155,7 +166,10 @@ PRIOR = {"path": 0, "word": 6}  # so many zero vectors count in a block's mean:
 def initial(seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
     width, h = SIZES["path"] + SIZES["word"] + NUMBERS, SIZES["hidden"]
-    made = {"path": rng.normal(0, 0.3, (PATHS, SIZES["path"])), "word": rng.normal(0, 0.1, (WORDS, SIZES["word"])), "out": rng.normal(0, 0.1, (2 * h + width, 1)), "bias": np.zeros(1)}
+    made = {
+        "path": rng.normal(0, 0.3, (PATHS, SIZES["path"])), "word": rng.normal(0, 0.1, (WORDS, SIZES["word"])),
+        "out": rng.normal(0, 0.1, (2 * h + width, 1)), "bias": np.zeros(1)
+    }
     for side in "fb":
         made[f"{side}x"] = rng.normal(0, 0.2, (width, 4 * h))
         made[f"{side}h"] = rng.normal(0, 0.2, (h, 4 * h))
@@ -173,8 +187,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, mask: np.ndarray, keep: list | None = None, start: tuple | None = None, ends: bool = False):
-    """Hidden states (time, batch, hidden); where the mask is 0 a state stays as it was. `start` is the state and cell to go on from; with `ends`, the last ones are returned too."""
+def _lstm(
+    x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, mask: np.ndarray, keep: list | None = None, start: tuple | None = None,
+    ends: bool = False
+):
+    """Hidden states (time, batch, hidden); where the mask is 0 a state stays as it was. `start` is the state and cell to go on from; with
+    `ends`, the last ones are returned too."""
     steps, batch, _ = x.shape
     h = wh.shape[0]
     inner = x @ wx + b
@@ -195,7 +213,9 @@ def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, mask: np
     return (out, (state, cell)) if ends else out
 
 
-def _lstm_back(grad: np.ndarray, x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lstm_back(
+    grad: np.ndarray, x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: list
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     steps, batch, h = grad.shape
     inner = np.zeros((steps, batch, 4 * h), np.float32)
     gwh = np.zeros_like(wh)
@@ -274,7 +294,9 @@ def together(sizes: list[int], cells: int = CELLS) -> Iterator[list[int]]:
         yield group
 
 
-def fit(pages: list[tuple], labels: list[np.ndarray], rounds: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
+def fit(
+    pages: list[tuple], labels: list[np.ndarray], rounds: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 5
+) -> dict[str, np.ndarray]:
     """Adam on the cross-entropy of all blocks."""
     model = initial()
     first, second = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
@@ -299,7 +321,9 @@ def fit(pages: list[tuple], labels: list[np.ndarray], rounds: int = 6, batch: in
             dj = dz @ model["out"].T
             h = SIZES["hidden"]
             grads["fx"], grads["fh"], grads["fb"], dx = _lstm_back(np.ascontiguousarray(dj[:, :, :h]), x, model["fx"], model["fh"], keep_f)
-            grads["bx"], grads["bh"], grads["bb"], dxb = _lstm_back(np.ascontiguousarray(dj[::-1, :, h : 2 * h]), back, model["bx"], model["bh"], keep_b)
+            grads["bx"], grads["bh"], grads["bb"], dxb = _lstm_back(
+                np.ascontiguousarray(dj[::-1, :, h : 2 * h]), back, model["bx"], model["bh"], keep_b
+            )
             dx = dx + dxb[::-1] + dj[:, :, 2 * h :]
             for name, slot, lo, size in (("path", 0, 0, SIZES["path"]), ("word", 2, SIZES["path"], SIZES["word"])):
                 grads[name] = np.zeros_like(model[name])
@@ -324,7 +348,11 @@ MAIN = "\ue000"  # marks the text of main blocks while a page is composed
 class _Composer:
     def __init__(self, seed: int):
         self.r = np.random.Generator(np.random.PCG64(seed))
-        self.syllables = ["".join(self.pick("bcdfghklmnprstvwzéñß") + self.pick("aeiouéüöa")) + (self.pick("nrstl") if self.odds(0.3) else "") for _ in range(40)]
+        self.syllables = [
+            "".join(
+                self.pick("bcdfghklmnprstvwzéñß") + self.pick("aeiouéüöa")
+            ) + (self.pick("nrstl") if self.odds(0.3) else "") for _ in range(40)
+        ]
         self.tail = self.pick(["", "", "", "", "!!", "###", "&amp;&amp;", " |", "***"]) if self.odds(0.4) else ""
 
     def pick(self, options):
@@ -354,7 +382,12 @@ class _Composer:
     def links(self, lo: int, hi: int) -> str:
         n = int(self.r.integers(lo, hi + 1))
         said = [f'<a href="/{self.word()}">{self.words(1, 3)}</a>' for _ in range(n)]
-        return self.pick([lambda: "<ul>" + "".join(f"<li>{s}</li>" for s in said) + "</ul>", lambda: " ".join(said), lambda: " | ".join(said), lambda: "".join(f"<div>{s}</div>" for s in said), lambda: "".join(f"<li>{s}" for s in said)])()
+        return self.pick(
+            [
+                lambda: "<ul>" + "".join(f"<li>{s}</li>" for s in said) + "</ul>", lambda: " ".join(said), lambda: " | ".join(said),
+                lambda: "".join(f"<div>{s}</div>" for s in said), lambda: "".join(f"<li>{s}" for s in said)
+            ]
+        )()
 
     def prose(self, lo: int, hi: int, size: int = 30) -> str:
         tag = self.pick(["p", "p", "p", "div", ""])
@@ -365,41 +398,80 @@ class _Composer:
         return self.pick([self.menu, self.advert, self.notice, self.sidebar, self.form, self.social, self.related])()
 
     def menu(self) -> str:
-        return self.named("nav nav div ul", "nav menu navbar navigation breadcrumb breadcrumbs topnav topbar links pagination toc", self.links(2, 9), self.odds(0.4))
+        return self.named(
+            "nav nav div ul", "nav menu navbar navigation breadcrumb breadcrumbs topnav topbar links pagination toc", self.links(2, 9),
+            self.odds(0.4)
+        )
 
     def header(self) -> str:
-        inside = self.pick([lambda: f"<h1>{self.words(1, 4)}</h1>", lambda: f"<div class=logo>{self.words(1, 3)}</div>", lambda: self.prose(1, 2, 10), lambda: f"<a href='/'>{self.words(1, 3)}</a>"])()
+        inside = self.pick(
+            [
+                lambda: f"<h1>{self.words(1, 4)}</h1>", lambda: f"<div class=logo>{self.words(1, 3)}</div>", lambda: self.prose(1, 2, 10),
+                lambda: f"<a href='/'>{self.words(1, 3)}</a>"
+            ]
+        )()
         return self.named("header header div", "header masthead banner top branding", inside + (self.menu() if self.odds(0.5) else ""))
 
     def advert(self) -> str:
-        return self.named("div div aside section ins", "ad ads advert advertisement sponsored sponsor promo promotion banner adsbygoogle adbox commercial ad-slot adsense outbrain", self.prose(1, 3, 25), True)
+        return self.named(
+            "div div aside section ins",
+            "ad ads advert advertisement sponsored sponsor promo promotion banner adsbygoogle adbox commercial ad-slot adsense outbrain",
+            self.prose(1, 3, 25), True
+        )
 
     def notice(self) -> str:
         more = f"<button>{self.words(1, 2)}</button>" if self.odds(0.4) else ""
-        return self.named("div div section aside p", "notice cookie cookies consent gdpr alert popup modal subscribe newsletter paywall warning message announcement toast disclaimer cookiebar notification status hint", self.prose(1, 2, 25) + more, True)
+        return self.named(
+            "div div section aside p",
+            "notice cookie cookies consent gdpr alert popup modal subscribe newsletter paywall warning message announcement toast disclaimer cookiebar notification status hint",
+            self.prose(1, 2, 25) + more, True
+        )
 
     def sidebar(self) -> str:
-        return self.named("aside aside div section", "sidebar widget widgets rail secondary aside column side complementary sidebar-right", f"<h3>{self.words(1, 3)}</h3>" + self.pick([lambda: self.links(2, 8), lambda: self.prose(1, 4)])())
+        return self.named(
+            "aside aside div section", "sidebar widget widgets rail secondary aside column side complementary sidebar-right",
+            f"<h3>{self.words(1, 3)}</h3>" + self.pick([lambda: self.links(2, 8), lambda: self.prose(1, 4)])()
+        )
 
     def related(self) -> str:
-        return self.named("div section aside ul", "related recommended popular trending more-stories also-read teaser latest", f"<h2>{self.words(1, 3)}</h2>" + self.links(2, 6), True)
+        return self.named(
+            "div section aside ul", "related recommended popular trending more-stories also-read teaser latest",
+            f"<h2>{self.words(1, 3)}</h2>" + self.links(2, 6), True
+        )
 
     def social(self) -> str:
         return self.named("div ul section", "share sharing social follow tools tags meta byline", self.links(2, 5), True)
 
     def form(self) -> str:
-        more = lambda: self.pick(["", "", "", f"<select><option>{self.words(1, 2)}</select>", f"<textarea name={self.word()}>{self.words(0, 5)}</textarea>"])
+        more = lambda: self.pick(
+            ["", "", "", f"<select><option>{self.words(1, 2)}</select>", f"<textarea name={self.word()}>{self.words(0, 5)}</textarea>"]
+        )
         fields = "".join(f"<label>{self.words(1, 3)}</label><input name={self.word()}>{more()}" for _ in range(int(self.r.integers(1, 4))))
         return f'<form{self.pick(["", " class=search", " id=signup", " class=login-form", " action=/s"])}>{self.prose(0, 2, 12)}{fields}<button>{self.words(1, 2)}</button></form>'
 
     def comments(self) -> str:
         tag = self.pick(["div", "li", "article", "section", "p"])
-        each = "".join(f'<{tag}{self.pick(["", " class=comment", " class=reply", " class=comment-body"])}>{self.pick(["", f"<b>{self.word()}</b> ", f"<cite>{self.word()}</cite>", f"<h4>{self.word()}</h4>"])}{self.prose(1, 2)}</{tag}>' for _ in range(int(self.r.integers(1, 7))))
-        return self.named("div section ol ul aside", "comments comment-list commentlist responses discussion disqus_thread replies reviews user-comments reader-comments comment-section feedback", f"<h3>{self.words(1, 3)}</h3>" + each + (self.form() if self.odds(0.3) else ""), True)
+        each = "".join(
+            f'<{tag}{self.pick(["", " class=comment", " class=reply", " class=comment-body"])}>{self.pick(["", f"<b>{self.word()}</b> ", f"<cite>{self.word()}</cite>", f"<h4>{self.word()}</h4>"])}{self.prose(1, 2)}</{tag}>' for _ in range(
+                int(self.r.integers(1, 7))
+            )
+        )
+        return self.named(
+            "div section ol ul aside",
+            "comments comment-list commentlist responses discussion disqus_thread replies reviews user-comments reader-comments comment-section feedback",
+            f"<h3>{self.words(1, 3)}</h3>" + each + (self.form() if self.odds(0.3) else ""), True
+        )
 
     def footer(self) -> str:
-        said = self.pick([lambda: f"&copy; {self.word()}.example.com &middot; {self.words(2, 12)}\n{self.words(1, 5)}", lambda: self.links(2, 7), lambda: self.prose(1, 2, 15), lambda: f"<p>Copyright 20{self.r.integers(10, 26)} {self.words(1, 4)}</p>"])()
-        return self.named("footer footer footer div", "footer bottom copyright colophon legal siteinfo contentinfo foot", said, self.odds(0.3))
+        said = self.pick(
+            [
+                lambda: f"&copy; {self.word()}.example.com &middot; {self.words(2, 12)}\n{self.words(1, 5)}", lambda: self.links(2, 7),
+                lambda: self.prose(1, 2, 15), lambda: f"<p>Copyright 20{self.r.integers(10, 26)} {self.words(1, 4)}</p>"
+            ]
+        )()
+        return self.named(
+            "footer footer footer div", "footer bottom copyright colophon legal siteinfo contentinfo foot", said, self.odds(0.3)
+        )
 
     def said(self, lo: int, hi: int) -> str:
         """Main text, with some inline markup."""
@@ -420,11 +492,17 @@ class _Composer:
             return f"<h{(n := self.pick('2234'))}>{self.said(1, 8)}</h{n}>"
         if k < 0.81:
             tag = self.pick(["ul", "ol"])
-            return f"<{tag}>" + "".join(f"<li>{self.said(1, 14)}" + ("</li>" if self.odds(0.8) else "") for _ in range(int(self.r.integers(1, 7)))) + f"</{tag}>"
+            return f"<{tag}>" + "".join(
+                f"<li>{self.said(1, 14)}" + ("</li>" if self.odds(0.8) else "") for _ in range(int(self.r.integers(1, 7)))
+            ) + f"</{tag}>"
         if k < 0.86:
             return f"<blockquote>{self.pick(['', '<p>'])}{self.said(3, 30)}</blockquote>"
         if k < 0.90:
-            return "<table>" + "".join("<tr>" + "".join(f"<td>{self.said(1, 4)}</td>" for _ in range(int(self.r.integers(1, 4)))) + "</tr>" for _ in range(int(self.r.integers(1, 4)))) + "</table>"
+            return "<table>" + "".join(
+                "<tr>" + "".join(
+                    f"<td>{self.said(1, 4)}</td>" for _ in range(int(self.r.integers(1, 4)))
+                ) + "</tr>" for _ in range(int(self.r.integers(1, 4)))
+            ) + "</table>"
         if k < 0.93:
             return f"<pre>{self.said(2, 30)}</pre>"
         if k < 0.96:
@@ -442,7 +520,10 @@ class _Composer:
             k = int(self.r.integers(n))
             body[k:k] = [body[k]] * int(self.r.integers(2, 40))
         for _ in range(int(self.r.integers(1, 3)) if self.odds(0.35) else 0):
-            body.insert(int(self.r.integers(len(body) + 1)), self.pick([self.advert, self.notice, self.related, self.social, self.form, self.sidebar])())
+            body.insert(
+                int(self.r.integers(len(body) + 1)),
+                self.pick([self.advert, self.notice, self.related, self.social, self.form, self.sidebar])()
+            )
         title = f"<h1>{self.said(2, 12)}</h1>" if self.odds(0.85) else ""
         if title and self.odds(0.2):
             title = f"<header>{title}</header>"
@@ -453,12 +534,26 @@ class _Composer:
         if kind < 0.65:
             return f"<main>{text}</main>"
         if kind < 0.88:
-            return self.named("div div section", "content post entry article article-body story post-content entry-content main body text hentry page-content", text, True)
+            return self.named(
+                "div div section",
+                "content post entry article article-body story post-content entry-content main body text hentry page-content", text, True
+            )
         return text if kind < 0.97 else f"<div>{text}</div>"
 
     def page(self) -> str:
-        before = [f for f, p in ((self.header, 0.5), (self.menu, 0.75), (self.notice, 0.3), (self.advert, 0.45), (self.form, 0.15), (self.sidebar, 0.15)) if self.odds(p)]
-        after = [f for f, p in ((self.comments, 0.4), (self.sidebar, 0.3), (self.related, 0.3), (self.advert, 0.25), (self.form, 0.15), (self.social, 0.2), (self.notice, 0.2), (self.menu, 0.15)) if self.odds(p)]
+        before = [
+            f for f,
+            p in (
+                (self.header, 0.5), (self.menu, 0.75), (self.notice, 0.3), (self.advert, 0.45), (self.form, 0.15), (self.sidebar, 0.15)
+            ) if self.odds(p)
+        ]
+        after = [
+            f for f,
+            p in (
+                (self.comments, 0.4), (self.sidebar, 0.3), (self.related, 0.3), (self.advert, 0.25), (self.form, 0.15),
+                (self.social, 0.2), (self.notice, 0.2), (self.menu, 0.15)
+            ) if self.odds(p)
+        ]
         self.r.shuffle(before)
         self.r.shuffle(after)
         if self.odds(0.85):
@@ -469,9 +564,15 @@ class _Composer:
         for _ in range(int(self.r.integers(0, 3)) if self.odds(0.4) else 0):
             inner = f'<div{self.pick(["", " id=page", " class=wrapper", " class=container", " id=root", " class=layout"])}>{inner}</div>'
         for _ in range(int(self.r.integers(2, 25)) if self.odds(0.1) else 0):  # a page builder's wrappers
-            names = " ".join(self.pick(["row", "flex", "grid", "col", "px", "mt", "w", "inner", self.word()]) for _ in range(int(self.r.integers(1, 6))))
+            names = " ".join(
+                self.pick(
+                    ["row", "flex", "grid", "col", "px", "mt", "w", "inner", self.word()]
+                ) for _ in range(int(self.r.integers(1, 6)))
+            )
             inner = f'<div class="{names}">{inner}</div>'
-        return f'<!DOCTYPE html><html lang="en"><head><title>{self.words(1, 5)}</title><style>p{{margin:0}}</style></head><body>{inner}' + ("</body></html>" if self.odds(0.9) else "")
+        return f'<!DOCTYPE html><html lang="en"><head><title>{self.words(1, 5)}</title><style>p{{margin:0}}</style></head><body>{inner}' + (
+            "</body></html>" if self.odds(0.9) else ""
+        )
 
 
 def training_page(seed: int, seen: np.ndarray | None = None) -> tuple[list[tuple[str, tuple[int, ...], int]], np.ndarray]:
@@ -532,13 +633,18 @@ def _extract(shared, batch_pages: int = 512):
                     decide()
                     held = 0
             decide()
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(kept, pa.int32())]
+            columns = [
+                batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()),
+                pa.array(kept, pa.int32())
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "url", "text", "n_chars", "n_blocks"])
 
     return run
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: dict[str, np.ndarray] | None = None) -> DataFrame:
+def main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: dict[str, np.ndarray] | None = None
+) -> DataFrame:
     """id, url, text (main blocks joined by a space), n_chars, n_blocks of every page."""
     ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
@@ -554,4 +660,6 @@ def op1_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 if __name__ == "__main__":
-    np.savez_compressed(WEIGHTS, **{k: v.astype(bool if k == "seen" else np.float16 if k in ("path", "word") else np.float32) for k, v in train().items()})
+    np.savez_compressed(
+        WEIGHTS, **{k: v.astype(bool if k == "seen" else np.float16 if k in ("path", "word") else np.float32) for k, v in train().items()}
+    )

@@ -36,7 +36,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from genoquery.llm.common import column, lean, ship, table
 
 START, END = "<|im_start|>", "<|im_end|>"
-CONTROL = (START, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+CONTROL = (
+    START, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
+)
 _ESCAPED = re.compile("|".join([r"\\", *map(re.escape, CONTROL)]))
 _BACK = re.compile(r"\\(\\?)")
 
@@ -73,7 +75,8 @@ def fingerprint(paths: set[str]) -> str:
 
 @dataclass(frozen=True)
 class Mapping:
-    """How a layout gives turns: `messages` with `role` and `text` for a list, or `parts`: (role, fields joined by a blank line) in order. `maybe`: paths that may be there or not. `rows`: one row per turn, with `key` and `order`."""
+    """How a layout gives turns: `messages` with `role` and `text` for a list, or `parts`: (role, fields joined by a blank line) in order.
+    `maybe`: paths that may be there or not. `rows`: one row per turn, with `key` and `order`."""
 
     messages: str = ""
     role: str = "role"
@@ -114,7 +117,10 @@ class Mapping:
         turn = lambda role, text: F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
         if self.messages:
             named = lambda r: reduce(lambda c, n: F.when(r == n, self.names[n]).otherwise(c), self.names, r)
-            found = F.transform(F.coalesce(F.col(self.messages), F.array()), lambda x: turn(named(x[self.role].cast("string")), x[self.text].cast("string")))
+            found = F.transform(
+                F.coalesce(F.col(self.messages), F.array()),
+                lambda x: turn(named(x[self.role].cast("string")), x[self.text].cast("string"))
+            )
             if "system" not in has & set(self.maybe):
                 return found
             return F.when(F.col("system") != "", F.concat(F.array(turn(F.lit("system"), F.col("system"))), found)).otherwise(found)
@@ -168,7 +174,8 @@ def _get(record, path: str):
 
 
 def record_turns(records: DataFrame, id_col: str = "id", json_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Canonical turns of JSON records: conv_id, turn, role, text, fingerprint. A record that no mapping fits, or that isn't JSON, has one row with a null turn."""
+    """Canonical turns of JSON records: conv_id, turn, role, text, fingerprint. A record that no mapping fits, or that isn't JSON, has one
+    row with a null turn."""
     ship(records.sparkSession)
     known = registry(mappings)
 
@@ -195,21 +202,30 @@ def record_turns(records: DataFrame, id_col: str = "id", json_col: str = "record
                     rows.append(i)
                     for x, v in zip(out, (k, role, text, print_), strict=True):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out[0], pa.int64()), *(pa.array(x, pa.string()) for x in out[1:])], names=["conv_id", "turn", "role", "text", "fingerprint"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out[0], pa.int64()),
+                    *(pa.array(x, pa.string()) for x in out[1:])
+                ],
+                names=["conv_id", "turn", "role", "text", "fingerprint"]
+            )
 
     base = records.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("record"))
     return base.mapInArrow(lean(run), f"conv_id {dict(base.dtypes)['conv_id']}, turn bigint, role string, text string, fingerprint string")
 
 
 def table_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Canonical turns (conv_id, turn, role, text) of a table in any layout that a mapping describes: the fingerprint of its schema selects it."""
+    """Canonical turns (conv_id, turn, role, text) of a table in any layout that a mapping describes: the fingerprint of its schema
+    selects it."""
     has = schema_paths(df.schema)
     mapping = select(has, registry(mappings))
     if mapping is None:
         raise ValueError(f"no mapping for a table with the fingerprint {fingerprint(has)} of {sorted(has)}")
     if mapping.rows:
         role = reduce(lambda c, n: F.when(F.col(mapping.role) == n, mapping.names[n]).otherwise(c), mapping.names, F.col(mapping.role))
-        return df.select(F.col(mapping.key).alias("conv_id"), F.col(mapping.order).alias("turn"), role.alias("role"), F.col(mapping.text).alias("text"))
+        return df.select(
+            F.col(mapping.key).alias("conv_id"), F.col(mapping.order).alias("turn"), role.alias("role"), F.col(mapping.text).alias("text")
+        )
     key = F.col("id") if "id" in has else F.monotonically_increasing_id()
     each = df.select(key.alias("conv_id"), F.posexplode(mapping.column_turns(has)).alias("turn", "said"))
     return each.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "said.role", "said.text")
@@ -222,13 +238,19 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = f"{START}{escape(role or '').replace(chr(10), chr(92) + 'n')}\n"
             body = escape(text or "")
             learnt = role == "assistant"
-            for x, v in zip(out, (f"{head}{body}{END}\n", len(head) if learnt else None, len(head) + len(body) if learnt else None), strict=True):
+            for x, v in zip(
+                out, (f"{head}{body}{END}\n", len(head) if learnt else None, len(head) + len(body) if learnt else None), strict=True
+            ):
                 x.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["conv_id", "piece", "loss_start", "loss_end"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())],
+            names=["conv_id", "piece", "loss_start", "loss_end"]
+        )
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """One row per turn, in order within a partition that has the whole conversation: conv_id, piece (the conversation's text is its pieces joined) and the span of the piece under the loss mask."""
+    """One row per turn, in order within a partition that has the whole conversation: conv_id, piece (the conversation's text is its
+    pieces joined) and the span of the piece under the loss mask."""
     ship(turns.sparkSession)
     dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(lean(_format), f"conv_id {dict(turns.dtypes)['conv_id']}, piece string, loss_start int, loss_end int")
@@ -263,9 +285,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader, kind = None, None
 
     def done(readers: list[_Reader]) -> pa.RecordBatch:
-        cols = [[r.conv for r in readers], [r.n_turns for r in readers], [r.turns.hexdigest() for r in readers], [r.loss_chars for r in readers], [r.loss.hexdigest() for r in readers], [r.chars for r in readers]]
+        cols = [
+            [r.conv for r in readers], [r.n_turns for r in readers], [r.turns.hexdigest() for r in readers],
+            [r.loss_chars for r in readers], [r.loss.hexdigest() for r in readers], [r.chars for r in readers]
+        ]
         types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        )
 
     for batch in batches:
         kind, out = batch.schema.field(0).type, []
@@ -281,16 +309,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """A digest of each formatted conversation, read from its text alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """A digest of each formatted conversation, read from its text alone: n_turns, turns_sha256, loss_chars, loss_sha256,
+    formatted_chars."""
     kind = dict(pieces.dtypes)["conv_id"]
-    return pieces.mapInArrow(lean(_read), f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return pieces.mapInArrow(
+        lean(_read), f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    )
 
 
 def op2_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that is made of control strings, formatted and read back."""
     turns = table_turns(table(spark, sf_dir, "conversations"))
     hard = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    more = spark.createDataFrame(
+        [(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string"
+    )
     return read_back(format_turns(turns.unionByName(more)))
 
 

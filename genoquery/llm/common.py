@@ -26,7 +26,8 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 2_000), "spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package whatever their PYTHONPATH: they fetch it from the driver as a zip. Batch sizes that nobody has set are made smaller."""
+    """Let executors import this package whatever their PYTHONPATH: they fetch it from the driver as a zip. Batch sizes that nobody has
+    set are made smaller."""
     for name, (default, size) in BATCH.items():
         if str(spark.conf.get(name, str(default))).rstrip("b") == str(default):
             spark.conf.set(name, str(size))
@@ -71,7 +72,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out(doc_id):
-    """The contract's split: rows whose crc32 of the id's text leaves remainder 0 by 5 are never learnt from. A null id counts as text ''."""
+    """The contract's split: rows whose crc32 of the id's text leaves remainder 0 by 5 are never learnt from. A null id counts as text
+    ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 

@@ -56,7 +56,8 @@ class _Rolling:
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in item, start in text, length), longest first; ties go to the earliest place in the item, then in the text. No token is in two tiles."""
+    """Greedy string tiling: (start in item, start in text, length), longest first; ties go to the earliest place in the item, then in the
+    text. No token is in two tiles."""
     marks = [np.zeros(len(item), bool), np.zeros(len(text), bool)]
     rolling = [_Rolling(item), _Rolling(text)]
 
@@ -193,8 +194,12 @@ def _parts(benchmark: DataFrame, item_col: str, item_text: str, least: int, part
         yield benchmark.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in own.collect()], least))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = MIN_TILE, coverage: float = COVERAGE, part_words: int = PART_WORDS) -> DataFrame:
-    """One row per text and benchmark item that it holds: id, item_id, coverage (share of the item's tokens in tiles), n_tiles, longest_tile."""
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text: str = "text", least: int = MIN_TILE, coverage: float = COVERAGE, part_words: int = PART_WORDS
+) -> DataFrame:
+    """One row per text and benchmark item that it holds: id, item_id, coverage (share of the item's tokens in tiles), n_tiles,
+    longest_tile."""
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(base.dtypes)['id']}, item_id bigint, coverage double, n_tiles int, longest_tile int"
@@ -209,12 +214,17 @@ def _clean(items, text_col: str, least: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = items.value
         for batch in batches:
-            yield batch.filter(pa.array([next(index.matched(tokens(t), least, coverage), None) is None for t in column(batch, text_col)], pa.bool_()))
+            yield batch.filter(
+                pa.array([next(index.matched(tokens(t), least, coverage), None) is None for t in column(batch, text_col)], pa.bool_())
+            )
 
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = MIN_TILE, coverage: float = COVERAGE, part_words: int = PART_WORDS) -> DataFrame:
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    least: int = MIN_TILE, coverage: float = COVERAGE, part_words: int = PART_WORDS
+) -> DataFrame:
     """The rows of docs that hold no benchmark item, in one pass for each part of the benchmark and without a shuffle."""
     ship(docs.sparkSession)
     for index in _parts(benchmark, item_col, item_text, least, part_words):

@@ -15,8 +15,10 @@ partition is packed again from its rows alone, with the same sequences. The line
 continuing from the last settled cut, so memory is bounded whatever the partition's size; a document of any length only ever has
 its own ids in memory.
 
-Defined results: a null or empty text is one token (id 0). A null id, repeated rows and extra columns, whatever their names, don't matter: each
-row is a document of its own, and its pieces carry its id. Of equally cheap cuts the one whose sequence began earliest is kept, except that a
+Defined results: a null or empty text is one token (id 0). A null id, repeated rows and extra columns, whatever their names, don't matter:
+each
+row is a document of its own, and its pieces carry its id. Of equally cheap cuts the one whose sequence began earliest is kept, except
+that a
 power of two is taken only if it is cheaper. An empty table gives no rows.
 """
 
@@ -44,7 +46,8 @@ _ENCODERS: dict[str, tuple] = {}
 
 
 def encoder(path: str):
-    """(encode to an array of ids, bytes of each id) of a byte-level BPE. It's read as ranks, which are the vocabulary's ids; the results equal the tokenizers library's with add_special_tokens=False, five times as fast."""
+    """(encode to an array of ids, bytes of each id) of a byte-level BPE. It's read as ranks, which are the vocabulary's ids; the results
+    equal the tokenizers library's with add_special_tokens=False, five times as fast."""
     if path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
@@ -160,7 +163,10 @@ class _Line:
     def take(self, kind: pa.DataType) -> pa.RecordBatch:
         out, self.out = self.out, [[] for _ in range(7)]
         types = [kind] + [pa.int64()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(out, types, strict=True)],
+            names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        )
 
 
 def _pack(path: str, window: int):
@@ -184,8 +190,11 @@ def _pack(path: str, window: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.tiktoken", window: int = WINDOW) -> DataFrame:
-    """One row per piece: id, start and length in its document's ids, ids_crc32, doc_tokens, sequence_id, offset. `tokenizer` names a ranks file of public_tokenizers."""
+def pack(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.tiktoken", window: int = WINDOW
+) -> DataFrame:
+    """One row per piece: id, start and length in its document's ids, ids_crc32, doc_tokens, sequence_id, offset. `tokenizer` names a
+    ranks file of public_tokenizers."""
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(base.dtypes)['id']}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"

@@ -7,10 +7,12 @@ Training rows are at most `per_class` rows of each label, those with the smalles
 never held-out ones. Only their statistics reach the driver: 2 * per_class rows of len(STATISTICS) numbers, whatever the input;
 of documents that repeat a sampled id the one with the least statistics is learnt from.
 
-Defined results: a null or empty text has statistics of 0 and a score like any other; a text of any length is measured whole. Labels that are
+Defined results: a null or empty text has statistics of 0 and a score like any other; a text of any length is measured whole. Labels that
+are
 null are skipped; of labels that differ for one id the smaller counts. With one class only, or without labels, the score is the share of
 label 1 (0.5 without). Ids may be null or repeat: each row is scored from its text alone. Of splits with equal gain the one of the first
-statistic and the lowest cut is taken. An empty table gives no rows; other columns, whatever their names, are left out (`score`) or kept as they are (`keep_good`).
+statistic and the lowest cut is taken. An empty table gives no rows; other columns, whatever their names, are left out (`score`) or kept
+as they are (`keep_good`).
 """
 
 from __future__ import annotations
@@ -69,7 +71,8 @@ def statistics(text: str | None) -> list[float]:
 
 @dataclass
 class Trees:
-    """Boosted trees as flat arrays: node i of a tree goes to child[i] if x[feature[i]] <= cut[i], else to child[i] + 1; a leaf's child is itself, by an infinite cut."""
+    """Boosted trees as flat arrays: node i of a tree goes to child[i] if x[feature[i]] <= cut[i], else to child[i] + 1; a leaf's child is
+    itself, by an infinite cut."""
 
     base: float = 0.0
     depth: int = 4
@@ -91,7 +94,10 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 2.0, least: float = 3.0) -> Trees:
+def fit(
+    x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 2.0,
+    least: float = 3.0
+) -> Trees:
     """Newton boosting of the logistic loss from histograms of at most `bins` bins a feature."""
     if len(y) == 0 or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.5, 0.001, 0.999)
@@ -142,17 +148,26 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: fl
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([statistics(t) for t in column(batch, "text")], pa.list_(pa.float64()))], names=["__id", "label", "x"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([statistics(t) for t in column(batch, "text")], pa.list_(pa.float64()))],
+            names=["__id", "label", "x"]
+        )
 
 
 def sample_labels(labels: DataFrame, label: str, id_col: str, per_class: int) -> DataFrame:
     """At most per_class learnable rows (id, label) of each label: those whose ids hash lowest."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.min(label).cast("int").alias("label"))
+    known = labels.filter(
+        F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))
+    ).groupBy(F.col(id_col).alias("__id")).agg(F.min(label).cast("int").alias("label"))
     order = F.xxhash64("__id")
-    return known.filter("label = 0").orderBy(order, "__id").limit(per_class).unionByName(known.filter("label = 1").orderBy(order, "__id").limit(per_class))
+    return known.filter("label = 0").orderBy(order, "__id").limit(per_class).unionByName(
+        known.filter("label = 1").orderBy(order, "__id").limit(per_class)
+    )
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Trees:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", per_class: int = PER_CLASS
+) -> Trees:
     ship(docs.sparkSession)
     some = F.broadcast(sample_labels(labels, label, id_col, per_class))  # 2 * per_class rows at most
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(some, "__id").select("__id", "label", "text")
@@ -175,7 +190,9 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared, batch, "text"), pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(_scores(shared, batch, "text"), pa.float64())], names=["id", "score"]
+            )
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return base.mapInArrow(lean(run), f"id {dict(base.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
@@ -197,4 +214,6 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )

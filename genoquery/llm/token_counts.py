@@ -84,7 +84,9 @@ def _count(path: str, rule: str, given: bool):
                 lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # a character's first byte
                 at_byte = np.append(lead, len(raw))
                 edges = np.array(spans, np.int64).reshape(-1, 2).clip(0, len(text))
-                counts, rest = attribute(np.cumsum(sizes[ids]), at_byte[edges[:, 0]], at_byte[edges[:, 1]], rule) if len(edges) else (np.zeros(0), float(len(ids)))
+                counts, rest = attribute(
+                    np.cumsum(sizes[ids]), at_byte[edges[:, 0]], at_byte[edges[:, 1]], rule
+                ) if len(edges) else (np.zeros(0), float(len(ids)))
                 found = [(k, a, b, n, len(ids)) for k, ((a, b), n) in enumerate(zip(edges.tolist(), counts.tolist(), strict=True))]
                 if rest > 1e-9:
                     found.append((None, None, None, rest, len(ids)))
@@ -93,12 +95,18 @@ def _count(path: str, rule: str, given: bool):
                     for x, v in zip(out, row, strict=True):
                         x.append(v)
             types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=["id", "section", "start", "end", "tokens", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, t) for x, t in zip(out, types, strict=True))],
+                names=["id", "section", "start", "end", "tokens", "doc_tokens"]
+            )
 
     return run
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None, rule: str = "first", tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def token_counts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None, rule: str = "first",
+    tokenizer: str = "byte_bpe_50k.tiktoken"
+) -> DataFrame:
     """One row per document and section: id, section, start, end (characters), tokens, doc_tokens."""
     ship(docs.sparkSession)
     spans = [F.col(spans_col).alias("spans")] if spans_col else []

@@ -13,7 +13,8 @@ Defined results: rows whose vector is null, or holds a null or non-finite compon
 of vectors of different lengths the missing components count as 0. Every row is a candidate of every query but its own, also one with the
 same id, and each row whose id is asked for is a query, whose result is its own. Null ids are candidates, after all others in ties. Ties
 go to the smaller id, and equal rows are all there. With fewer than k candidates all are returned. Components are clamped to 62 bits and
-scores to 63 (sums beyond 64 bits are formed exactly, then clamped). An empty table gives no rows; other columns, whatever their names, are left out.
+scores to 63 (sums beyond 64 bits are formed exactly, then clamped). An empty table gives no rows; other columns, whatever their names,
+are left out.
 """
 
 from __future__ import annotations
@@ -46,8 +47,11 @@ def _kind(queries: np.ndarray, vectors: np.ndarray):
     return np.float64 if top < 2**53 else np.int64 if top < 2**63 else object
 
 
-def search(query_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[int, int, int]]:
-    """(query's row, number of the vector, score): each query's k best of the vectors but the one of its own row. The vectors come in order of ids; ties go to the first."""
+def search(
+    query_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, block: int = BLOCK
+) -> list[tuple[int, int, int]]:
+    """(query's row, number of the vector, score): each query's k best of the vectors but the one of its own row. The vectors come in
+    order of ids; ties go to the first."""
     kind = _kind(queries, vectors)
     queries, vectors = queries.astype(kind), vectors.astype(kind)
     starts = np.arange(0, len(ids), block)
@@ -88,18 +92,28 @@ def _cell(k: int):
         query_id = dict(zip(left["row"].tolist(), left["id"].tolist(), strict=True))
         vec_id = pd.array(ids[at], dtype="Int64")
         vec_id[right["none"].to_numpy(bool)[at]] = pd.NA
-        return pd.DataFrame({"query_row": own, "query_id": np.array([query_id[r] for r in own.tolist()], np.int64), "vec_id": vec_id, "score": scores})
+        return pd.DataFrame(
+            {"query_row": own, "query_id": np.array([query_id[r] for r in own.tolist()], np.int64), "vec_id": vec_id, "score": scores}
+        )
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score (integer inner product) of each query's k best vectors; is_query is a condition on the column `id`."""
+def top_k(
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE
+) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score (integer inner product) of each query's k best vectors; is_query is a condition on the
+    column `id`."""
     ship(vectors.sparkSession)
-    raw = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("e")).filter("e is not null")
+    raw = vectors.select(
+        F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("e")
+    ).filter("e is not null")
     sound = raw.filter(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     top = float(2**62)
-    whole = sound.select("id", F.transform("e", lambda x: F.floor(F.greatest(F.lit(-top), F.least(F.lit(top), x * float(scale)))).cast("bigint")).alias("v"))
+    whole = sound.select(
+        "id",
+        F.transform("e", lambda x: F.floor(F.greatest(F.lit(-top), F.least(F.lit(top), x * float(scale)))).cast("bigint")).alias("v")
+    )
     size = vectors.count()
     rows, cols = -(-size // CELL_VECTORS) or 1, -(-size // CELL_QUERIES) or 1
     if rows > 1:
@@ -113,7 +127,9 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
         cols = -(-queries.count() // CELL_QUERIES) or 1
     col = F.pmod(F.xxhash64("row"), F.lit(cols)).cast("int")
     left = queries.drop("r").withColumn("c", col).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    right = whole.withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("bigint"))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    right = whole.withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("bigint"))).withColumn(
+        "c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))
+    )
     found = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(_cell(k), FOUND)
     place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,7 +7,8 @@ offending sentences.
 
 Training rows are at most `per_class` rows of each label (lowest hash of the id, never held-out ones), and of those the first in that
 order whose hashed words take `label_bytes` together; the driver gets these hashed words only, 2 * label_bytes at most (and one text
-more), of documents that repeat a sampled id those of one (the least). The optimiser is AdaGrad on batches in a fixed order, so a fit is repeatable.
+more), of documents that repeat a sampled id those of one (the least). The optimiser is AdaGrad on batches in a fixed order, so a fit is
+repeatable.
 
 Defined results: a null or empty text has no sentence and scores 0. Null labels are skipped; of labels that differ for one id the
 smaller counts. Without both labels every score is 0. Ids may be null or repeat: each row is scored from its text alone, whatever its
@@ -95,7 +96,10 @@ class Words:
         return found
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 12, batch: int = 32, rate: float = 1.0, level: float = -9.0, shrink: float = 1e-4, least: int = LEAST_ROWS, floor: float | None = 0.0) -> Words:
+def fit(
+    bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 12, batch: int = 32, rate: float = 1.0, level: float = -9.0,
+    shrink: float = 1e-4, least: int = LEAST_ROWS, floor: float | None = 0.0
+) -> Words:
     """Weights that make the noisy-or of each bag fit its label."""
     model = Words(np.zeros(1 << BITS, np.float32), level)
     if len(y) == 0 or y.min() == y.max():
@@ -135,7 +139,13 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int =
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [sentences(t) for t in column(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.tobytes() for w, _ in bags], pa.binary()), pa.array([s.astype(np.int32).tobytes() for _, s in bags], pa.binary())], names=["__id", "label", "words", "starts"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), batch.column(1), pa.array([w.tobytes() for w, _ in bags], pa.binary()),
+                pa.array([s.astype(np.int32).tobytes() for _, s in bags], pa.binary())
+            ],
+            names=["__id", "label", "words", "starts"]
+        )
 
 
 def sample_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, per_class: int, label_bytes: int) -> DataFrame:
@@ -144,14 +154,23 @@ def sample_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     some = F.broadcast(sample_labels(labels, label, id_col, per_class))  # 2 * per_class rows at most
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(some, "__id").select("__id", "label", "text")
     hashed = rows.mapInArrow(lean(_hash), f"__id {dict(rows.dtypes)['__id']}, label int, words binary, starts binary")
-    least = checkpoint(hashed.groupBy("__id", "label").agg(F.min(F.struct("words", "starts")).alias("bag")).select("__id", "label", "bag.words", "bag.starts"))
+    least = checkpoint(
+        hashed.groupBy("__id", "label").agg(
+            F.min(F.struct("words", "starts")).alias("bag")
+        ).select("__id", "label", "bag.words", "bag.starts")
+    )
     before = Window.partitionBy("label").orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, -1)
-    held = least.select("__id", "label", (F.length("words") + F.length("starts")).cast("bigint").alias("bytes")).withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    held = least.select(
+        "__id", "label", (F.length("words") + F.length("starts")).cast("bigint").alias("bytes")
+    ).withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
     kept = held.filter(F.col("before") < label_bytes).select("__id")
     return least.join(F.broadcast(kept), "__id").select("label", "words", "starts")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = PER_CLASS, label_bytes: int = LABEL_BYTES) -> Words:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = PER_CLASS,
+    label_bytes: int = LABEL_BYTES
+) -> Words:
     rows = sample_bags(docs, labels, id_col, text_col, label, per_class, label_bytes).collect()  # bounded by label_bytes
     found = sorted((r["label"], bytes(r["words"]), bytes(r["starts"])) for r in rows)
     bags = [(np.frombuffer(w, np.int32), np.frombuffer(s, np.int32)) for _, w, s in found]
@@ -170,7 +189,9 @@ def score(docs: DataFrame, model: Words, id_col: str = "doc_id", text_col: str =
                 scores.append(shared.value.score(text))
                 spans.append(shared.value.located(text, threshold) if scores[-1] >= threshold else [])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["id", "score", "sentences"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["id", "score", "sentences"]
+            )
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(base.dtypes)['id']}, score double, sentences array<struct<start:int,end:int,score:double>>"
@@ -181,4 +202,7 @@ def op5_toxic_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score, and how many of its sentences offend."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("sentences").alias("n_sentences"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.size("sentences").alias("n_sentences")
+    )

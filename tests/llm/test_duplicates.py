@@ -38,7 +38,11 @@ def corpus(seed, groups=12, alone=40):
 
 def brute(texts, similarity=0.8):
     sets = {i: set(shingles(word_hashes(t)).tolist()) for i, t in texts}
-    links = {i: [j for j in sets if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity] for i in sets}
+    links = {
+        i: [
+            j for j in sets if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity
+        ] for i in sets
+    }
     classes = {}
     for i in sorted(links):
         if i not in classes:
@@ -87,7 +91,12 @@ def test_pairs_of_blocks_match_brute_force(alone):
     grams = [np.unique(rng.choice(60, rng.integers(1, 30)).astype(np.uint64)) for _ in range(40)]
     grams[20:] = [np.unique(np.append(g, np.uint64(99))) for g in grams[:20]]
     live = [rng.choice(6, 3, replace=False).tolist() for _ in grams]
-    block = pd.DataFrame({"side": 0 if alone else [0] * 20 + [1] * 20, "digest": [i.to_bytes(2, "big") for i in range(40)], "mult": 2, "live": live, "grams": [g.tobytes() for g in grams]})
+    block = pd.DataFrame(
+        {
+            "side": 0 if alone else [0] * 20 + [1] * 20, "digest": [i.to_bytes(2, "big") for i in range(40)], "mult": 2, "live": live,
+            "grams": [g.tobytes() for g in grams]
+        }
+    )
     found = {r.digest: (r.links, r.parent) for r in jj.verify(block, 0.6).itertuples()}
     links = {}
     for i in range(40):
@@ -111,14 +120,19 @@ def test_the_same_links_in_larger_blocks(spark, monkeypatch):
 
 def test_clashing_names_stay_as_they_are(spark):
     texts = [(i, f"{i // 2} " + " ".join(f"w{k}" for k in range(8)) if i < 4 else None) for i in range(6)]
-    odd = spark.createDataFrame([(i, t, "x", "y", i, None) for i, t in texts], "doc_id bigint, text string, __id string, text_key string, id bigint, gone string")
+    odd = spark.createDataFrame(
+        [(i, t, "x", "y", i, None) for i, t in texts], "doc_id bigint, text string, __id string, text_key string, id bigint, gone string"
+    )
     kept = jj.keep_one(odd)
     assert kept.columns == odd.columns and {tuple(r)[2:] for r in kept.collect()} == {("x", "y", i, None) for i in (0, 2, 4, 5)}
 
 
 def test_keep_one(spark):
     text = " ".join(f"a{i}" for i in range(60))
-    texts = [(5, text), (3, text), (9, text + " more"), (9, text + " more"), (4, None), (6, ""), (None, text), (7, "quite another text of seven words"), (7, "quite another text of seven words")]
+    texts = [
+        (5, text), (3, text), (9, text + " more"), (9, text + " more"), (4, None), (6, ""), (None, text),
+        (7, "quite another text of seven words"), (7, "quite another text of seven words")
+    ]
     kept = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["text"]) for r in jj.keep_one(frame(spark, texts)).collect())
     assert kept == [(-1, text), (3, text), (4, None), (6, ""), (7, "quite another text of seven words")]
 
@@ -126,8 +140,12 @@ def test_keep_one(spark):
 def test_empty_table_and_clashing_columns(spark):
     empty = frame(spark, [])
     assert jj.near_duplicates(empty).count() == 0 and jj.keep_one(empty).columns == empty.columns
-    odd = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f")]).withColumnsRenamed({"lang": "id", "source": "digest", "n_chars": "class_id"})
-    assert {(r["doc_id"], r["class_id"]) for r in jj.near_duplicates(odd.select("doc_id", "text", "id", "digest")).collect()} == {(1, 1), (2, 1)}
+    odd = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f")]).withColumnsRenamed(
+        {"lang": "id", "source": "digest", "n_chars": "class_id"}
+    )
+    assert {
+        (r["doc_id"], r["class_id"]) for r in jj.near_duplicates(odd.select("doc_id", "text", "id", "digest")).collect()
+    } == {(1, 1), (2, 1)}
     assert [r["doc_id"] for r in jj.keep_one(odd).collect()] == [1] and jj.keep_one(odd).columns == odd.columns
 
 
@@ -203,7 +221,10 @@ def test_near_passages_are_found_and_clean_texts_left(spark):
     near = list(base)
     for k in (30, 90):
         near[k] = "changed"
-    texts = [(1, " ".join([*words(r, 40), *base, *words(r, 40)])), (2, " ".join([*words(r, 70), *near, *words(r, 10)])), (3, " ".join(words(r, 300)))]
+    texts = [
+        (1, " ".join([*words(r, 40), *base, *words(r, 40)])), (2, " ".join([*words(r, 70), *near, *words(r, 10)])),
+        (3, " ".join(words(r, 300)))
+    ]
     found = sd.repeated_passages(frame(spark, texts)).collect()
     assert {x["doc_id"] for x in found} == {2}
     assert covered(found, texts)[2][70:190].mean() > 0.95 and all(x["similarity"] >= 0.8 for x in found)
@@ -220,7 +241,10 @@ def test_one_passage_in_many_texts(spark):
 def test_removal(spark):
     r = random.Random(7)
     p, q = words(r, 60), words(r, 25)
-    texts = [(1, " ".join(p)), (2, "Start here.\n" + " ".join(p) + "\nand  end"), (3, " ".join(p)), (4, " ".join(q)), (5, None), (6, ""), (None, " ".join(p)), (8, " ".join(p[:40]))]
+    texts = [
+        (1, " ".join(p)), (2, "Start here.\n" + " ".join(p) + "\nand  end"), (3, " ".join(p)), (4, " ".join(q)), (5, None), (6, ""),
+        (None, " ".join(p)), (8, " ".join(p[:40]))
+    ]
     kept = {x["doc_id"]: (x["text"], x["n_chars"]) for x in sd.remove_repeats(frame(spark, texts)).collect()}
     assert kept[1][0] == " ".join(p) and kept[2] == ("Start here.\nand  end", 20) and 3 not in kept
     assert kept[4][0] == " ".join(q) and kept[5] == (None, None) and kept[6][0] == "" and kept[None][0] == " ".join(p) and kept[8][0] == " ".join(p[:40])
@@ -274,7 +298,11 @@ def test_laid_over_ranges_match_brute_force(seed):
     got = sd.overlaid(groups, *(np.concatenate((x, x)) for x in (f, lo, hi)), 10, 2)
     assert [(g, a, b) for g, a, b in zip(*(x.tolist() for x in got), strict=True)] == [(g, a, b) for g in (1, 4) for a, b in wanted]
     for agree in (1, 2, 3):
-        places = {p for p in range(700) if len({x for x, y, z in zip(f.tolist(), lo.tolist(), hi.tolist(), strict=True) if y <= p and z >= p + 9}) >= agree}
+        places = {
+            p for p in range(700) if len(
+                {x for x, y, z in zip(f.tolist(), lo.tolist(), hi.tolist(), strict=True) if y <= p and z >= p + 9}
+            ) >= agree
+        }
         _, first, last = sd.agreed(np.zeros(30, np.int64), f, lo, hi, 10, agree)
         assert {p for a, b in zip(first.tolist(), last.tolist(), strict=True) for p in range(a, b + 1)} == places
 
@@ -282,10 +310,14 @@ def test_laid_over_ranges_match_brute_force(seed):
 def test_rows_of_one_id_are_told_apart(spark):
     r = random.Random(21)
     p, own = words(r, 80), words(r, 300)
-    texts = [(1, " ".join(p)), (2, " ".join([*p, *words(r, 30)])), (2, " ".join(own)), (2, " ".join(own)), (3, " ".join([*words(r, 20), *own]))]
+    texts = [
+        (1, " ".join(p)), (2, " ".join([*p, *words(r, 30)])), (2, " ".join(own)), (2, " ".join(own)), (3, " ".join([*words(r, 20), *own]))
+    ]
     kept = [(x["doc_id"], x["text"]) for x in sd.remove_repeats(frame(spark, texts)).collect()]
     assert sorted(i for i, _ in kept) == [1, 2, 2, 2, 3] and kept.count((2, " ".join(own))) == 2
-    assert [t for i, t in kept if i == 2 and t != " ".join(own)] == [" ".join(texts[1][1].split()[80:])] and dict(kept)[3] == " ".join(texts[4][1].split()[:20])
+    assert [
+        t for i, t in kept if i == 2 and t != " ".join(own)
+    ] == [" ".join(texts[1][1].split()[80:])] and dict(kept)[3] == " ".join(texts[4][1].split()[:20])
     found = sd.repeated_passages(frame(spark, texts)).collect()
     assert {(x["doc_id"], x["source_id"]) for x in found} == {(2, 1), (3, 2)} and dict(frame(spark, texts).dtypes)["doc_id"] == "bigint"
 
@@ -293,7 +325,10 @@ def test_rows_of_one_id_are_told_apart(spark):
 def test_repeats_with_clashing_names_and_null_columns(spark):
     r = random.Random(22)
     p = " ".join(words(r, 70))
-    df = spark.createDataFrame([(i, p if i else None, None, None, 0, "s") for i in range(4)], "doc_id bigint, text string, key string, spans array<int>, n_chars int, __text string").withColumn("ID", F.lit(1))
+    df = spark.createDataFrame(
+        [(i, p if i else None, None, None, 0, "s") for i in range(4)],
+        "doc_id bigint, text string, key string, spans array<int>, n_chars int, __text string"
+    ).withColumn("ID", F.lit(1))
     kept = sd.remove_repeats(df)
     assert kept.columns == df.columns and [x["doc_id"] for x in kept.orderBy("doc_id").collect()] == [0, 1]
 

@@ -47,7 +47,9 @@ def test_a_tree_is_that_of_a_plain_split_search():
             for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])):
                 left, right = rows & (x[:, f] <= cut), rows & (x[:, f] > cut)
                 if min(curve[left].sum(), curve[right].sum()) >= 0.75:
-                    gain = sum(slope[s].sum() ** 2 / (curve[s].sum() + ridge) for s in (left, right)) - slope[rows].sum() ** 2 / (curve[rows].sum() + ridge)
+                    gain = sum(
+                        slope[s].sum() ** 2 / (curve[s].sum() + ridge) for s in (left, right)
+                    ) - slope[rows].sum() ** 2 / (curve[rows].sum() + ridge)
                     if gain > found[0] + 1e-12:
                         found = (gain, f, cut)
         return found[1:]
@@ -55,7 +57,9 @@ def test_a_tree_is_that_of_a_plain_split_search():
     def walk(node, rows, depth):
         f, cut = best_split(rows) if depth < 2 else (None, None)
         if f is None:
-            assert tree.child[0][node] == node and tree.value[0][node] == pytest.approx(-rate * slope[rows].sum() / (curve[rows].sum() + ridge))
+            assert tree.child[0][node] == node and tree.value[0][node] == pytest.approx(
+                -rate * slope[rows].sum() / (curve[rows].sum() + ridge)
+            )
             return
         assert (tree.feature[0][node], tree.cut[0][node]) == (f, pytest.approx(cut))
         walk(tree.child[0][node], rows & (x[:, f] <= cut), depth + 1)
@@ -74,7 +78,9 @@ def test_every_row_twice_gives_the_same_models(spark):
 
 
 def accuracy(spark, found, column, sf_dir):
-    rows = found.filter("held_out").join(table(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("y")), "doc_id").filter("y is not null").collect()
+    rows = found.filter("held_out").join(
+        table(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("y")), "doc_id"
+    ).filter("y is not null").collect()
     return sum(r["predicted"] == r["y"] for r in rows) / len(rows), rows
 
 
@@ -86,7 +92,10 @@ def test_quality_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
 
 
-ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "word " * 200_000), (None, "a text"), (5, "same"), (5, "same"), (6, "\x00 \x85   odd."), (7, "!!!"), (8, "漢字" * 50)]
+ODD = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "word " * 200_000), (None, "a text"), (5, "same"), (5, "same"), (6, "\x00 \x85   odd."),
+    (7, "!!!"), (8, "漢字" * 50)
+]
 
 
 def odd(spark):
@@ -104,7 +113,9 @@ def test_scores_of_odd_rows_and_missing_labels(spark):
         for found in (quality.score(docs, trees), toxicity.score(docs, words)):
             got = found.collect()
             assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
-    assert quality.keep_good(docs, quality.Trees(5.0)).columns == docs.columns and quality.keep_good(docs, quality.Trees(5.0)).count() == len(ODD)
+    assert quality.keep_good(
+        docs, quality.Trees(5.0)
+    ).columns == docs.columns and quality.keep_good(docs, quality.Trees(5.0)).count() == len(ODD)
     assert quality.score(docs.limit(0), quality.Trees()).count() == 0 and toxicity.score(docs.limit(0), words).count() == 0
 
 
@@ -112,7 +123,9 @@ def repeated(spark):
     """100 documents, the good half's first id held by 300 rows more; labels 0 and 1 by turns."""
     texts = [(i, "calm words of a quiet text. " * 9 if i % 2 == 0 else "$$ || ## BUY!!! vile " * 9) for i in range(100)]
     learnt = spark.createDataFrame([(i,) for i in range(0, 100, 2)], "i bigint").filter(~held_out(F.col("i"))).first()["i"]
-    return spark.createDataFrame(texts + [(learnt, texts[0][1])] * 300, "doc_id bigint, text string"), labels(spark, [(i, i % 2, i % 2) for i in range(100)])
+    return spark.createDataFrame(
+        texts + [(learnt, texts[0][1])] * 300, "doc_id bigint, text string"
+    ), labels(spark, [(i, i % 2, i % 2) for i in range(100)])
 
 
 def test_quality_learns_both_labels_where_an_id_repeats(spark):
@@ -185,13 +198,18 @@ def test_a_step_goes_along_the_slope_of_the_noisy_or():
 
 
 def test_the_sample_is_bounded_in_bytes(spark):
-    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("calm words "), F.col("id").cast("string"), F.when(F.col("id") % 2 == 1, " vile").otherwise("")).alias("text"))
+    docs = spark.range(400).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("calm words "), F.col("id").cast("string"), F.when(F.col("id") % 2 == 1, " vile").otherwise("")).alias("text")
+    )
     known = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
     whole = toxicity.sample_bags(docs, known, "doc_id", "text", "toxic", 1000, 1 << 20).collect()
     part = toxicity.sample_bags(docs, known, "doc_id", "text", "toxic", 1000, 1000).collect()
     size = lambda rows, y: sum(len(r["words"]) + len(r["starts"]) for r in rows if r["label"] == y)
     largest = max(len(r["words"]) + len(r["starts"]) for r in whole)
-    assert len(whole) > 250 and all(0 < size(part, y) < 1000 + largest for y in (0, 1)) and {tuple(r) for r in part} <= {tuple(r) for r in whole}
+    assert len(whole) > 250 and all(
+        0 < size(part, y) < 1000 + largest for y in (0, 1)
+    ) and {tuple(r) for r in part} <= {tuple(r) for r in whole}
 
 
 def test_noisy_or():
@@ -215,7 +233,9 @@ def texts(page):
 
 
 def test_leaf_blocks():
-    assert texts("<p>a<b>b</b> c<br>d<p>e &amp;&lt;&#228;&nbsp;f</p><!-- x --><script>var a='<p>no</p>'</script>g") == ["ab c d", "e &<ä f", "g"]
+    assert texts(
+        "<p>a<b>b</b> c<br>d<p>e &amp;&lt;&#228;&nbsp;f</p><!-- x --><script>var a='<p>no</p>'</script>g"
+    ) == ["ab c d", "e &<ä f", "g"]
     assert texts("<ul><li>a<li>b <a href='x>y'>c</a></ul>d < e <3") == ["a", "b c", "d < e <3"]
     assert texts("<table><tr><td>1<td>2<tr><th>3</table><style>p{}</style><p>") == ["1", "2", "3"]
     assert texts("<p>cut <!-- open") == ["cut"] and texts("<p>cut <script>open") == ["cut"] and texts("") == [] and texts(None) == []
@@ -223,7 +243,10 @@ def test_leaf_blocks():
     assert texts("<p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here</p>") == ["We have x=2 here"]
     deep = blocks.leaf_blocks("<div>" * 5000 + "x")
     assert deep == [("x", (blocks._token("div"),), 0)]
-    under = blocks.leaf_blocks("<footer class=footer>" + "".join(f'<div class="a{i} b c d e f g h i j k l m n o">' for i in range(30)) + "x", blocks.trained()["seen"])
+    under = blocks.leaf_blocks(
+        "<footer class=footer>" + "".join(f'<div class="a{i} b c d e f g h i j k l m n o">' for i in range(30)) + "x",
+        blocks.trained()["seen"]
+    )
     assert {blocks._token("footer"), blocks._token(".footer")} <= set(under[0][1])
     assert blocks.leaf_blocks("<p>ab <a>cd</a></p>")[0][2] == 2
 
@@ -258,7 +281,9 @@ def test_gradients(monkeypatch):
 def test_a_fit_lowers_the_loss():
     made = [blocks.training_page(i) for i in range(3)]
     pages, ys = [blocks.numbers(b) for b, _ in made], [y for _, y in made]
-    loss = lambda m: np.mean([-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean() for y, p in zip(ys, blocks.label(m, pages), strict=True)])
+    loss = lambda m: np.mean(
+        [-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean() for y, p in zip(ys, blocks.label(m, pages), strict=True)]
+    )
     assert loss(blocks.fit(pages, ys, rounds=30, batch=3)) < 0.2 * loss(blocks.initial())
 
 
@@ -270,7 +295,9 @@ def test_batches_and_single_pages_agree():
     for page in pages:
         assert blocks.label_long(model, page, chunk=3) == pytest.approx(blocks.label(model, [page])[0], abs=1e-5)
     groups = list(blocks.together([5, 1, 100, 7, 2], 20))
-    assert sorted(i for g in groups for i in g) == list(range(5)) and [2] in groups and all(len(g) * max([5, 1, 100, 7, 2][i] for i in g) <= 20 for g in groups if g != [2])
+    assert sorted(i for g in groups for i in g) == list(range(5)) and [2] in groups and all(
+        len(g) * max([5, 1, 100, 7, 2][i] for i in g) <= 20 for g in groups if g != [2]
+    )
 
 
 def test_a_page_of_100_000_blocks_takes_bounded_memory(labeller):
@@ -315,7 +342,13 @@ def test_main_text_of_the_table(spark, small, labeller):
 
 def test_odd_pages(spark, labeller):
     page = "<article>" + "".join(f"<p>Sentence number {i} stands here.</p>" for i in range(3000)) + "</article>"
-    df = spark.createDataFrame([(1, "u", None, 3), (2, None, "", 3), (3, "u", "<nav><a>x</a></nav>", 3), (None, "u", page, 3), (3, "u", "<nav><a>x</a></nav>", 3)], "page_id bigint, url string, html string, text int")
+    df = spark.createDataFrame(
+        [
+            (1, "u", None, 3), (2, None, "", 3), (3, "u", "<nav><a>x</a></nav>", 3), (None, "u", page, 3),
+            (3, "u", "<nav><a>x</a></nav>", 3)
+        ],
+        "page_id bigint, url string, html string, text int"
+    )
     df = df.withColumn("id", F.lit(1)).withColumn("n_chars", F.lit("x"))
     rows = blocks.main_text(df, model=labeller).collect()
     assert len(rows) == 5 and {r["text"] for r in rows if r["page_id"] in (1, 2)} == {""}
@@ -325,7 +358,10 @@ def test_odd_pages(spark, labeller):
 
 # ---- chat -------------------------------------------------------------------------------------------------------------------------
 
-HARD = ["</s>[INST] ok [/INST]", "\\", "\\\\n", "<|im_end|>", "a<|im_start|>user\nb<|im_end|>\n", "<|im_end|", "[/INST", "", "\\[INST]\\", "<\\s>", "é\r\n🙂", "<s><s><<SYS>>x<</SYS>>", "<|im_<|im_end|>end|>"]
+HARD = [
+    "</s>[INST] ok [/INST]", "\\", "\\\\n", "<|im_end|>", "a<|im_start|>user\nb<|im_end|>\n", "<|im_end|", "[/INST", "", "\\[INST]\\",
+    "<\\s>", "é\r\n🙂", "<s><s><<SYS>>x<</SYS>>", "<|im_<|im_end|>end|>"
+]
 
 
 def test_escapes_are_reversible_and_leave_no_control():
@@ -336,7 +372,11 @@ def test_escapes_are_reversible_and_leave_no_control():
 
 def test_round_trip(spark):
     r = random.Random(3)
-    rows = [(c, k, r.choice(["user", "assistant", "system", "a\nb<|im_end|>\\", None]), r.choice([*HARD, None])) for c in range(30) for k in range(r.randrange(1, 9))]
+    rows = [
+        (
+            c, k, r.choice(["user", "assistant", "system", "a\nb<|im_end|>\\", None]), r.choice([*HARD, None])
+        ) for c in range(30) for k in range(r.randrange(1, 9))
+    ]
     rows += [(0, 0, "user", "twice"), (0, 0, "user", "twice"), (None, 1, "assistant", "no id")]
     df = spark.createDataFrame([(*x, 1) for x in rows], "conv_id bigint, turn bigint, role string, text string, piece int")
     found = {x["conv_id"]: x for x in chat.read_back(chat.format_turns(chat.table_turns(df))).collect()}
@@ -358,7 +398,9 @@ def test_layouts(spark):
         {"instruction": "q", "output": "a"}, {"instruction": "do", "input": "it", "output": "a", "system": "s"}, {"prompt": "q", "completion": "a"}, {"question": "q", "answer": "a"},
         {"data": {"prompt": {"text": "q"}, "reply": {"text": "a"}}}, {"system_prompt": "", "question": "q", "response": "a"}, {"what": 1}, [1], "not an object",
     ]
-    df = spark.createDataFrame([(i, json.dumps(x) if x != "not an object" else "{") for i, x in enumerate(records)] + [(99, None)], "id bigint, record string")
+    df = spark.createDataFrame(
+        [(i, json.dumps(x) if x != "not an object" else "{") for i, x in enumerate(records)] + [(99, None)], "id bigint, record string"
+    )
     found = {}
     for r in sorted(chat.record_turns(df).collect(), key=lambda r: (r["conv_id"], r["turn"] or 0)):
         found.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
@@ -366,7 +408,14 @@ def test_layouts(spark):
     assert all(found[i] == qa for i in (0, 2, 3, 5, 6, 7, 8))
     assert found[1] == [("system", "s"), *qa] and found[4] == [("system", "s"), ("user", "do\n\nit"), ("assistant", "a")]
     assert all(found[i] == [(None, None)] for i in (9, 10, 11, 99))
-    more = [json.dumps({"messages": [{"role": "user", "content": 3, "at": 1}, {"role": None, "content": "a"}, None], "extra": {"id": 1}, "question": "x"})]
+    more = [
+        json.dumps(
+            {
+                "messages": [{"role": "user", "content": 3, "at": 1}, {"role": None, "content": "a"}, None], "extra": {"id": 1},
+                "question": "x"
+            }
+        )
+    ]
     said = chat.record_turns(spark.createDataFrame([(1, x) for x in more], "id bigint, record string")).orderBy("turn").collect()
     assert [(r["role"], r["text"]) for r in said] == [("user", "3"), ("", "a"), ("", "")]
     assert chat.fingerprint({"b", "a"}) == chat.fingerprint({"a", "b"}) != chat.fingerprint({"a"})
@@ -376,7 +425,11 @@ def test_layouts(spark):
 
 
 def digests(df):
-    return sorted((r["conv_id"], r["n_turns"], r["turns_sha256"], r["loss_sha256"]) for r in chat.read_back(chat.format_turns(chat.table_turns(df))).collect())
+    return sorted(
+        (
+            r["conv_id"], r["n_turns"], r["turns_sha256"], r["loss_sha256"]
+        ) for r in chat.read_back(chat.format_turns(chat.table_turns(df))).collect()
+    )
 
 
 def test_tables_of_many_layouts_give_the_same_conversations(spark):
@@ -397,25 +450,39 @@ def test_tables_of_many_layouts_give_the_same_conversations(spark):
     wanted = digests(tables["rows"])
     assert [x[0] for x in wanted] == list(range(5)) and all(digests(df) == wanted for df in tables.values())
     assert len({chat.select(chat.schema_paths(df.schema), known) for df in tables.values()}) == len(tables)
-    system = spark.createDataFrame([(1, [("user", "q"), (None, None)], "s"), (2, None, None)], "id bigint, messages array<struct<role:string,content:string>>, system string")
+    system = spark.createDataFrame(
+        [(1, [("user", "q"), (None, None)], "s"), (2, None, None)],
+        "id bigint, messages array<struct<role:string,content:string>>, system string"
+    )
     assert [tuple(r)[2:] for r in chat.table_turns(system).orderBy("turn").collect()] == [("system", "s"), ("user", "q"), ("", "")]
 
 
 def test_a_long_conversation(spark):
-    df = spark.range(30_000).select(F.lit(4).alias("conv_id"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text")).withColumnRenamed("id", "turn")
+    df = spark.range(30_000).select(
+        F.lit(4).alias("conv_id"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("t"), "id").alias("text")
+    ).withColumnRenamed("id", "turn")
     row = chat.read_back(chat.format_turns(chat.table_turns(df))).collect()[0]
-    assert row["n_turns"] == 30_000 and row["loss_sha256"] == hashlib.sha256("".join(f"t{i}" for i in range(1, 30_000, 2)).encode()).hexdigest()
+    assert row["n_turns"] == 30_000 and row["loss_sha256"] == hashlib.sha256(
+        "".join(f"t{i}" for i in range(1, 30_000, 2)).encode()
+    ).hexdigest()
 
 
 # ---- search -----------------------------------------------------------------------------------------------------------------------
 
 def slow_top(vectors, k=10):
     """(query, rank, id, score) rows, in plain Python; rows are told apart by their place."""
-    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [
+        (i, [int(np.floor(1024 * x)) for x in v]) for i,
+        v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
     found = []
     for n, (q, own) in enumerate(whole):
         if q is not None and q % 100 == 0:
-            scored = sorted((-max(-topk.LIMIT, min(topk.LIMIT, sum(a * b for a, b in zip(own, v, strict=False)))), i is None, i or 0) for m, (i, v) in enumerate(whole) if m != n)[:k]
+            scored = sorted(
+                (-max(-topk.LIMIT, min(topk.LIMIT, sum(a * b for a, b in zip(own, v, strict=False)))), i is None, i or 0) for m,
+                (i, v) in enumerate(whole) if m != n
+            )[:k]
             found += [(q, rank + 1, None if none else i, -s) for rank, (s, none, i) in enumerate(scored)]
     return sorted(found, key=str)
 
@@ -430,7 +497,10 @@ def test_top_k_matches_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(topk, "CELL_QUERIES", 3)
     r = np.random.default_rng(seed)
     rows = [(int(i), [float(np.float32(x)) for x in (r.integers(-2, 3, 8) / 4 if i % 2 else r.normal(size=8) / 4)]) for i in range(700)]
-    rows += [(700, None), (701, []), (800, [1.0, None]), (900, [float("nan")] * 8), (901, [float("inf")] * 8), (None, [1.0] * 8), (1000, [0.5, 0.25])]
+    rows += [
+        (700, None), (701, []), (800, [1.0, None]), (900, [float("nan")] * 8), (901, [float("inf")] * 8), (None, [1.0] * 8),
+        (1000, [0.5, 0.25])
+    ]
     rows += [(100, [9.0] * 8), (100, [9.0] * 8), (1100, [])]  # ids and whole rows that repeat, and an empty query
     df = spark.createDataFrame([(*x, 3) for x in rows], "vec_id bigint, embedding array<double>, rank int")
     assert fast_top(df) == slow_top(rows)
@@ -474,11 +544,17 @@ def test_pipeline_of_odd_and_of_no_documents(spark, tmp_path):
     whole = table(spark, sf_dir, "documents")
     some = whole.limit(60)
     null = some.limit(1)
-    more = [null.withColumn("text", F.lit(None).cast("string")), null.withColumn("doc_id", F.lit(None).cast("bigint")), some.limit(1).withColumn("text", F.lit("another text of this id, with words of its own.")), some.limit(5)]
+    more = [
+        null.withColumn("text", F.lit(None).cast("string")), null.withColumn("doc_id", F.lit(None).cast("bigint")),
+        some.limit(1).withColumn("text", F.lit("another text of this id, with words of its own.")), some.limit(5)
+    ]
     docs = some
     for df in more:
         docs = docs.unionByName(df)
-    for name, start in (("odd", docs.withColumn("__text", F.lit("x")).withColumn("key", F.lit(1))), ("none", whole.limit(0).withColumn("__text", F.lit("x")).withColumn("key", F.lit(1)))):
+    for name, start in (
+        ("odd", docs.withColumn("__text", F.lit("x")).withColumn("key", F.lit(1))),
+        ("none", whole.limit(0).withColumn("__text", F.lit("x")).withColumn("key", F.lit(1)))
+    ):
         at = start
         for k, (_, stage) in enumerate(cp.STAGES):
             path = str(tmp_path / f"{name}{k}")
@@ -495,7 +571,11 @@ def test_pipeline_stages(spark, tmp_path):
 
     sf_dir = "/root/testdata/sf0.01"
     docs = table(spark, sf_dir, "documents")
-    bench = [set(zip(*[(r["text"] or "").lower().split()[k:] for k in range(5)], strict=False)) for r in table(spark, sf_dir, "benchmark").collect()]
+    bench = [
+        set(
+            zip(*[(r["text"] or "").lower().split()[k:] for k in range(5)], strict=False)
+        ) for r in table(spark, sf_dir, "benchmark").collect()
+    ]
     kept = {r["doc_id"]: r for r in docs.collect()}
     for k, (name, stage) in enumerate(cp.STAGES):
         stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
@@ -531,4 +611,6 @@ def test_sql_of_the_queries(spark, small):
     for name, sql in queries.oracle_sql().items():
         found = con.execute(sql)
         columns = [c[0] for c in found.description]
-        assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r)) for r in queries.queries()[name](spark, small).select(*columns).collect())
+        assert sorted(map(str, found.fetchall())) == sorted(
+            str(tuple(r)) for r in queries.queries()[name](spark, small).select(*columns).collect()
+        )

@@ -41,7 +41,10 @@ def test_ids_equal_on_a_table_and_on_every_kind_of_character():
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts += ["".join(points[a : a + 256]) for a in range(0, 0x30000, 256)]  # every character of the first three planes beside its neighbours
     texts += [f"a{c}b {c} {c}1{c}{c}" for c in points[:0x3000:7] + points[0xFB00:0x10000:11]]
-    texts += ["e\u0301 \u0301\u0301 n\u0303o", "'s 'S 'Ll I'VE don't", "<|endoftext|><|endoftext|>x", "<|endoftext", "1234567 1,000.5", "\u200b \u2028\u2029\x85", "  \n \r\n\t x", "\ufeff\ufffe"]
+    texts += [
+        "e\u0301 \u0301\u0301 n\u0303o", "'s 'S 'Ll I'VE don't", "<|endoftext|><|endoftext|>x", "<|endoftext", "1234567 1,000.5",
+        "\u200b \u2028\u2029\x85", "  \n \r\n\t x", "\ufeff\ufffe"
+    ]
     for t, own in zip(texts, HF.encode_batch(texts, add_special_tokens=False), strict=True):
         assert encode(t).tolist() == own.ids, t[:40]
 
@@ -78,9 +81,16 @@ def test_a_line_longer_than_a_stretch(spark, monkeypatch):
 
 
 def test_packing_of_null_and_repeated_ids(spark):
-    df = spark.createDataFrame([(None, "a b c."), (None, None), (3, "same"), (3, "same"), (3, "other text")], "doc_id bigint, text string").withColumn("sequence_id", F.lit("x"))
+    df = spark.createDataFrame(
+        [(None, "a b c."), (None, None), (3, "same"), (3, "same"), (3, "other text")], "doc_id bigint, text string"
+    ).withColumn("sequence_id", F.lit("x"))
     rows = packing.pack(df.coalesce(1)).collect()
-    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in rows if r["start"] == 0) == sorted([(0, len(ids_of("a b c.")) + 1), (0, 1), (3, len(ids_of("same")) + 1), (3, len(ids_of("same")) + 1), (3, len(ids_of("other text")) + 1)])
+    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in rows if r["start"] == 0) == sorted(
+        [
+            (0, len(ids_of("a b c.")) + 1), (0, 1), (3, len(ids_of("same")) + 1), (3, len(ids_of("same")) + 1),
+            (3, len(ids_of("other text")) + 1)
+        ]
+    )
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
 
 
@@ -144,7 +154,9 @@ def test_boundaries_are_dense_enough():
     ends[7] = True
     for ids in (np.zeros(1, int), np.full(5000, 3), np.array([7, 7, 1, 7, 0]), np.tile([1] * 50 + [7], 40)):
         where, cost = packing.boundaries(ids, ends)
-        assert where[-1] == len(ids) and cost[-1] == 0 and (np.diff(np.concatenate(([0], where))) > 0).all() and np.diff(np.concatenate(([0], where))).max() <= packing.STRIDE
+        assert where[-1] == len(ids) and cost[-1] == 0 and (
+            np.diff(np.concatenate(([0], where))) > 0
+        ).all() and np.diff(np.concatenate(([0], where))).max() <= packing.STRIDE
 
 
 # ---- token counts -----------------------------------------------------------------------------------------------------------------
@@ -191,7 +203,10 @@ def test_counts_match_brute_force(spark, rule):
 @pytest.mark.parametrize("rule", tc.RULES)
 def test_given_sections_with_gaps(spark, rule):
     text, spans = "Prompt: tell me. Answer: nothing at all, 漢字!", [(0, 11), (11, 16), (24, 44)]
-    df = spark.createDataFrame([(1, text, [{"start": a, "end": b} for a, b in spans]), (2, text, None), (3, None, None)], "doc_id int, text string, s array<struct<start:int,end:int>>")
+    df = spark.createDataFrame(
+        [(1, text, [{"start": a, "end": b} for a, b in spans]), (2, text, None), (3, None, None)],
+        "doc_id int, text string, s array<struct<start:int,end:int>>"
+    )
     found = {(r["doc_id"], r["section"]): r["tokens"] for r in tc.token_counts(df, spans_col="s", rule=rule).collect()}
     out, rest = slow_counts(text, spans, rule)
     assert [found[1, k] for k in range(3)] == pytest.approx(out) and found[1, None] == pytest.approx(rest)
@@ -295,13 +310,17 @@ def test_leaks_of_repeated_rows_and_clashing_names(spark):
     item = " ".join(f"t{k}" for k in range(20))
     docs = spark.createDataFrame([(1, item, 5), (1, item, 5), (None, item, 6), (2, None, 7)], "doc_id bigint, text string, item_id int")
     bench = benchmark(spark, [(9, item), (None, item), (9, item)]).withColumn("doc_id", F.lit(1))
-    assert sorted((str(x["doc_id"]), str(x["item_id"])) for x in dc.leaks(docs, bench).collect()) == sorted([(d, i) for d in ("1", "1", "None") for i in ("9", "9", "None")])
+    assert sorted(
+        (str(x["doc_id"]), str(x["item_id"])) for x in dc.leaks(docs, bench).collect()
+    ) == sorted([(d, i) for d in ("1", "1", "None") for i in ("9", "9", "None")])
     assert [tuple(x) for x in dc.drop_leaks(docs, bench).collect()] == [(2, None, 7)]
 
 
 def test_token_counts_of_repeated_null_and_long_rows(spark):
     long = "word and more.\n" * 30_000
-    df = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "a\nb"), (2, long)], "doc_id bigint, text string").withColumn("section", F.lit("x"))
+    df = spark.createDataFrame(
+        [(1, "a\nb"), (1, "a\nb"), (None, "a\nb"), (2, long)], "doc_id bigint, text string"
+    ).withColumn("section", F.lit("x"))
     rows = tc.token_counts(df).collect()
     for i, n, t in ((1, 2, "a\nb"), (None, 1, "a\nb"), (2, 1, long)):
         assert sum(r["tokens"] for r in rows if r["doc_id"] == i) == pytest.approx(n * len(ids_of(t)))
