@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
 documents; the last returns the pieces of the packed sequences. An empty table passes through every stage as an empty table. Null texts and
-ids, repeated rows and texts of any length are allowed in all of them; each operator's docstring says what they give. Extra columns stay until the last stage.
+ids, repeated rows and texts of any length are allowed in all of them; each operator's docstring says what they give. Extra columns stay
+until the last stage.
 """
 
 from __future__ import annotations

@@ -29,20 +29,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-#: A checkpoint's files: each costs a file system without native code a `chmod` process, and small ones add up. Up to so many per core are fine, and so is a quarter of the session's shuffle partitions, which users set by the size of their data.
+#: A checkpoint's files: each costs a file system without native code a `chmod` process, and small ones add up. Up to so many per core are
+#: fine, and so is a quarter of the session's shuffle partitions, which users set by the size of their data.
 FILES_PER_CORE, SHARE_OF_SHUFFLE = 4, 4
 
 
 def checkpoint(df: DataFrame, wide: bool = False) -> DataFrame:
-    """The rows of df, written once to the shared folder: later stages don't compute them again, and a lost executor loses none. Unless `wide` (for rows that hold texts), more partitions than the bounds above are put together."""
+    """The rows of df, written once to the shared folder: later stages don't compute them again, and a lost executor loses none. Unless
+    `wide` (for rows that hold texts), more partitions than the bounds above are put together."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     if not wide:
-        df = df.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARE_OF_SHUFFLE)))
+        df = df.coalesce(
+            max(
+                FILES_PER_CORE * spark.sparkContext.defaultParallelism,
+                -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARE_OF_SHUFFLE)
+            )
+        )
     return df.checkpoint(eager=True)
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose results are checkpointed: its cleaner follows the driver's garbage collection, which is otherwise too rare to bound the disk that a chain of jobs takes."""
+    """Let Spark delete the shuffle files of jobs whose results are checkpointed: its cleaner follows the driver's garbage collection,
+    which is otherwise too rare to bound the disk that a chain of jobs takes."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()

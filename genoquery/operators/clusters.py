@@ -17,12 +17,16 @@ THRESHOLD, PRUNE, NEAR = 0.035, 0.2, 1.2
 
 def load_pairs(rows: DataFrame, max_d: float = 1.0) -> DataFrame:
     """The smallest distance of each unordered pair (a < b), up to max_d."""
-    return rows.filter((F.col("d") <= max_d) & (F.col("id1") != F.col("id2"))).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "d").groupBy("a", "b").agg(F.min("d").alias("d"))
+    return rows.filter((F.col("d") <= max_d) & (F.col("id1") != F.col("id2"))).select(
+        F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "d"
+    ).groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def missing_counts(rows: DataFrame) -> DataFrame:
     """Missing dosages of each id that a distance names."""
-    return rows.select(F.col("id1").alias("id"), F.col("md1").alias("md")).unionByName(rows.select(F.col("id2").alias("id"), F.col("md2").alias("md"))).groupBy("id").agg(F.min("md").alias("md"))
+    return rows.select(F.col("id1").alias("id"), F.col("md1").alias("md")).unionByName(
+        rows.select(F.col("id2").alias("id"), F.col("md2").alias("md"))
+    ).groupBy("id").agg(F.min("md").alias("md"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -45,7 +49,9 @@ def prune(edges: DataFrame, factor: float = PRUNE) -> DataFrame:
     parts = components(edges)
     size = parts.groupBy("cluster").agg(F.count("*").alias("size"))
     weak = parts.join(size, "cluster").join(degree, "id").filter(F.col("degree") < factor * (F.col("size") - 1)).select("id")
-    return edges.join(weak.withColumnRenamed("id", "a"), "a", "left_anti").join(weak.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "d")
+    return edges.join(
+        weak.withColumnRenamed("id", "a"), "a", "left_anti"
+    ).join(weak.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "d")
 
 
 def members(pairs: DataFrame, md: DataFrame, threshold: float = THRESHOLD, factor: float = PRUNE) -> DataFrame:
@@ -58,7 +64,10 @@ def members(pairs: DataFrame, md: DataFrame, threshold: float = THRESHOLD, facto
     square = both_ways(inside).groupBy(F.col("a").alias("id")).agg(F.sum(F.col("d") * F.col("d")).alias("dd"))
     rows = parts.join(size, "cluster").join(degree, "id").join(md, "id", "left").join(square, "id", "left")
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("md", F.desc("degree"), "id"))
-    return rows.select("cluster", "id", "degree", "md", F.round(F.sqrt(F.coalesce("dd", F.lit(0.0)) / (F.col("size") - 1)), 9).alias("rms_d"), rank.alias("rank"))
+    return rows.select(
+        "cluster", "id", "degree", "md", F.round(F.sqrt(F.coalesce("dd", F.lit(0.0)) / (F.col("size") - 1)), 9).alias("rms_d"),
+        rank.alias("rank")
+    )
 
 
 def _inside(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -67,22 +76,40 @@ def _inside(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter("cluster = other").select("cluster", "a", "b", "d")
 
 
-def cluster_table(pairs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, near: float = NEAR, min_ratio: float = -1.0) -> DataFrame:
-    """A row per cluster: size, min_d, avg_d, max_d, gap (100 if there's no other), n_near, n_pts_near, n_far, n_unknown, min_degree, ids by rank.
+def cluster_table(
+    pairs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, near: float = NEAR, min_ratio: float = -1.0
+) -> DataFrame:
+    """A row per cluster: size, min_d, avg_d, max_d, gap (100 if there's no other), n_near, n_pts_near, n_far, n_unknown,
+    min_degree, ids by rank.
 
     n_far counts inner pairs beyond the threshold, n_unknown those without a distance. Near means below near * threshold, strictly.
     """
-    inside = _inside(pairs, found.select("id", "cluster")).groupBy("cluster").agg(F.min("d").alias("min_d"), F.avg("d").alias("avg_d"), F.max("d").alias("max_d"), F.count_if(F.col("d") > threshold).alias("n_far"), F.count("*").alias("n_known"))
+    inside = _inside(pairs, found.select("id", "cluster")).groupBy("cluster").agg(
+        F.min("d").alias("min_d"), F.avg("d").alias("avg_d"), F.max("d").alias("max_d"),
+        F.count_if(F.col("d") > threshold).alias("n_far"), F.count("*").alias("n_known")
+    )
     own = found.select(F.col("id").alias("a"), "cluster")
-    beyond = both_ways(pairs).join(own, "a").join(found.select(F.col("id").alias("b"), F.col("cluster").alias("other")), "b", "left").filter("other is null or other <> cluster")
+    beyond = both_ways(pairs).join(own, "a").join(
+        found.select(F.col("id").alias("b"), F.col("cluster").alias("other")), "b", "left"
+    ).filter("other is null or other <> cluster")
     close = F.col("d") < near * threshold
-    outside = beyond.groupBy("cluster").agg(F.min("d").alias("gap"), F.count_distinct(F.when(close, F.col("b"))).alias("n_near"), F.count_distinct(F.when(close, F.col("a"))).alias("n_pts_near"))
-    shape = found.groupBy("cluster").agg(F.count("*").alias("size"), F.min("degree").alias("min_degree"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    outside = beyond.groupBy("cluster").agg(
+        F.min("d").alias("gap"), F.count_distinct(F.when(close, F.col("b"))).alias("n_near"),
+        F.count_distinct(F.when(close, F.col("a"))).alias("n_pts_near")
+    )
+    shape = found.groupBy("cluster").agg(
+        F.count("*").alias("size"), F.min("degree").alias("min_degree"),
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids")
+    )
     rows = shape.join(inside, "cluster").join(outside, "cluster", "left")
     gap = F.coalesce("gap", F.lit(100.0))
     rows = rows.filter((F.col("max_d") == 0) | (gap / F.nullif("max_d", F.lit(0.0)) >= min_ratio))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return rows.select("cluster", "size", "min_d", F.round("avg_d", 9).alias("avg_d"), "max_d", gap.alias("gap"), zero("n_near"), zero("n_pts_near"), "n_far", (F.expr("size * (size - 1) div 2") - F.col("n_known")).alias("n_unknown"), "min_degree", F.array_join("ids", ",").alias("ids"))
+    return rows.select(
+        "cluster", "size", "min_d", F.round("avg_d", 9).alias("avg_d"), "max_d", gap.alias("gap"), zero("n_near"), zero("n_pts_near"),
+        "n_far", (F.expr("size * (size - 1) div 2") - F.col("n_known")).alias("n_unknown"), "min_degree",
+        F.array_join("ids", ",").alias("ids")
+    )
 
 
 def ordered(table: DataFrame) -> DataFrame:
@@ -91,24 +118,34 @@ def ordered(table: DataFrame) -> DataFrame:
 
 
 def consensus(genotypes: DataFrame, found: DataFrame, share: float = 2 / 3) -> DataFrame:
-    """C11: per cluster and marker the dosage that at least `share` of the members have, else null; and each member's distance to it comes from `consensus_distance`."""
-    counted = genotypes.join(found.select(F.col("id").alias("acc_id"), "cluster"), "acc_id").groupBy("cluster", "marker").agg(F.count("*").alias("n"), *(tally(f"dosage = {d}").alias(f"n{d}") for d in (0, 1, 2)))
-    pick = F.when(F.col("n0") >= share * F.col("n"), 0).when(F.col("n1") >= share * F.col("n"), 1).when(F.col("n2") >= share * F.col("n"), 2)
+    """C11: per cluster and marker the dosage that at least `share` of the members have, else null; and each member's distance to it comes
+    from `consensus_distance`."""
+    counted = genotypes.join(found.select(F.col("id").alias("acc_id"), "cluster"), "acc_id").groupBy("cluster", "marker").agg(
+        F.count("*").alias("n"), *(tally(f"dosage = {d}").alias(f"n{d}") for d in (0, 1, 2))
+    )
+    pick = F.when(
+        F.col("n0") >= share * F.col("n"), 0
+    ).when(F.col("n1") >= share * F.col("n"), 1).when(F.col("n2") >= share * F.col("n"), 2)
     return counted.select("cluster", "marker", pick.alias("dosage"))
 
 
 def consensus_distance(genotypes: DataFrame, found: DataFrame, share: float = 2 / 3) -> DataFrame:
     """C11: agmr of each member and its cluster's consensus."""
     agreed = consensus(genotypes, found, share).withColumnRenamed("dosage", "c")
-    rows = genotypes.join(found.select(F.col("id").alias("acc_id"), "cluster"), "acc_id").join(agreed, ["cluster", "marker"]).filter("dosage is not null and c is not null")
-    return rows.groupBy("cluster", "acc_id").agg(tally("dosage <> c").alias("n"), F.count("*").alias("d")).withColumn("agmr", ratio("n", "d"))
+    rows = genotypes.join(
+        found.select(F.col("id").alias("acc_id"), "cluster"), "acc_id"
+    ).join(agreed, ["cluster", "marker"]).filter("dosage is not null and c is not null")
+    return rows.groupBy("cluster", "acc_id").agg(
+        tally("dosage <> c").alias("n"), F.count("*").alias("d")
+    ).withColumn("agmr", ratio("n", "d"))
 
 
 FOREST_EDGES = 200_000
 
 
 def _kruskal(rows: pd.DataFrame) -> tuple[list[int], list[tuple[str, str, float]]]:
-    """The edges (by place, rows come in order) that join two parts, and the merges: smaller name, larger name, height; a part is named by its smallest id."""
+    """The edges (by place, rows come in order) that join two parts, and the merges: smaller name, larger name, height; a part is named by
+    its smallest id."""
     root: dict[str, str] = {}
 
     def find(x: str) -> str:
@@ -138,10 +175,13 @@ def _merges(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def linkage_tree(pairs: DataFrame, most: int = FOREST_EDGES) -> DataFrame:
-    """Merges (a: smaller name, b: larger name, height) of the single-linkage tree, by Kruskal's rule; a part is named by its smallest id.
+    """Merges (a: smaller name, b: larger name, height) of the single-linkage tree, by Kruskal's rule; a part is named by its
+    smallest id.
 
-    Each component is split into parts of about `most` edges, and only the edges of a part's minimum spanning forest are kept, until a component is one
-    part; its merges are then read off in one task. So no task holds more than `most` edges or two edges for each accession of one component, and none reach the driver."""
+    Each component is split into parts of about `most` edges, and only the edges of a part's minimum spanning forest are kept, until a
+    component is one
+    part; its merges are then read off in one task. So no task holds more than `most` edges or two edges for each accession of one
+    component, and none reach the driver."""
     edges = pairs.select("a", "b", "d").filter("a <> b and d is not null")
     parts = components(edges).withColumnRenamed("id", "a")
     rows = checkpoint(edges.join(parts, "a").select("cluster", "a", "b", "d"))

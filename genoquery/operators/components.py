@@ -52,7 +52,8 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", small: int = 0) -> DataFrame:
     """(node, component) for every node that an edge names; component is the smallest node of its component.
 
-    With `small`, a graph that has been counted to have no more edges than that is settled by one task instead of by rounds; the result is the same.
+    With `small`, a graph that has been counted to have no more edges than that is settled by one task instead of by rounds; the result is
+    the same.
     Null ends and self-loops are skipped (a node with nothing but a self-loop is its own component). Ids may be of any
     type with an order. Row order, repeated and reversed edges make no difference.
     """
@@ -61,7 +62,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
     now, seen = checkpoint(clean.filter("u <> v").distinct()), None
     if small and now.count() <= small:
         kind = dict(now.dtypes)["u"]
-        found = checkpoint(now.coalesce(1).mapInPandas(_joined, f"node {kind}, component {kind}")) if not now.isEmpty() else now.toDF("node", "component")
+        found = checkpoint(
+            now.coalesce(1).mapInPandas(_joined, f"node {kind}, component {kind}")
+        ) if not now.isEmpty() else now.toDF("node", "component")
         alone = loops.distinct().join(found.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
         return found.unionByName(alone)
     for _ in range(MAX_ROUNDS):

@@ -21,7 +21,9 @@ def rejected_accessions(genotypes: DataFrame, max_missing: float = 1.0) -> DataF
 
 
 def _split_accessions(genotypes: DataFrame, max_missing: float) -> tuple[DataFrame, DataFrame]:
-    good = genotypes.groupBy("acc_id").agg(F.count("*").alias("n"), tally("dosage is null").alias("x")).filter(F.col("x") <= max_missing * F.col("n")).select("acc_id")
+    good = genotypes.groupBy("acc_id").agg(
+        F.count("*").alias("n"), tally("dosage is null").alias("x")
+    ).filter(F.col("x") <= max_missing * F.col("n")).select("acc_id")
     return genotypes.join(good, "acc_id", "left_semi"), genotypes.join(good, "acc_id", "left_anti")
 
 
@@ -43,11 +45,16 @@ def missing_threshold(genotypes: DataFrame, factor: float) -> float:
 
 
 def marker_filter(genotypes: DataFrame, max_missing: float = 0.25, min_maf: float = 0.05, ploidy: int = 2) -> DataFrame:
-    """genotypes of markers with few missing dosages and an alt frequency within [min_maf, 1 - min_maf], all bounds inclusive; markers are numbered anew from 0."""
+    """genotypes of markers with few missing dosages and an alt frequency within [min_maf, 1 - min_maf], all bounds inclusive; markers
+    are numbered anew from 0."""
     if max_missing < 0:
         max_missing = missing_threshold(genotypes, max_missing)
     known = ploidy * (F.col("n_acc") - F.col("n_missing"))
-    good = marker_counts(genotypes).filter((F.col("n_missing") <= max_missing * F.col("n_acc")) & (F.col("n_alt") >= known * min_maf) & (F.col("n_alt") <= known * (1 - min_maf)))
+    good = marker_counts(genotypes).filter(
+        (
+            F.col("n_missing") <= max_missing * F.col("n_acc")
+        ) & (F.col("n_alt") >= known * min_maf) & (F.col("n_alt") <= known * (1 - min_maf))
+    )
     dense = good.select("marker", (F.row_number().over(Window.orderBy("marker")) - 1).alias("__dense"))  # one row per marker
     return genotypes.join(dense, "marker").withColumn("marker", F.col("__dense")).select(*genotypes.columns)
 
@@ -61,17 +68,28 @@ def rectify_markers(genotypes: DataFrame) -> DataFrame:
     """markers whose alt frequency is above a half have alleles swapped, so that 2 is the rarer homozygote."""
     flip = marker_counts(genotypes).select("marker", (F.col("n_alt") > F.col("n_acc") - F.col("n_missing")).alias("__flip"))
     joined = genotypes.join(flip, "marker")
-    return joined.withColumn("dosage", F.when(F.col("__flip"), 2 - F.col("dosage")).otherwise(F.col("dosage"))).withColumn("phase", F.when(F.col("__flip"), -F.col("phase")).otherwise(F.col("phase"))).select(*genotypes.columns)
+    return joined.withColumn(
+        "dosage", F.when(F.col("__flip"), 2 - F.col("dosage")).otherwise(F.col("dosage"))
+    ).withColumn("phase", F.when(F.col("__flip"), -F.col("phase")).otherwise(F.col("phase"))).select(*genotypes.columns)
 
 
 def check_counts(genotypes: DataFrame) -> DataFrame:
     """one row that says whether counts by accession and by marker agree."""
-    by_acc = genotypes.groupBy("acc_id").agg(*(tally(f"dosage = {d}").alias(f"n{d}") for d in (0, 1, 2)), tally("dosage is null").alias("nx"), F.count("*").alias("n"))
-    by_marker = genotypes.groupBy("marker").agg(*(tally(f"dosage = {d}").alias(f"n{d}") for d in (0, 1, 2)), tally("dosage is null").alias("nx"), F.count("*").alias("n"))
-    sums = lambda df, p: df.agg(*(F.sum(c).alias(f"{p}_{c}") for c in ("n0", "n1", "n2", "nx")), F.min("n").alias(f"{p}_min"), F.max("n").alias(f"{p}_max"))
+    by_acc = genotypes.groupBy("acc_id").agg(
+        *(tally(f"dosage = {d}").alias(f"n{d}") for d in (0, 1, 2)), tally("dosage is null").alias("nx"), F.count("*").alias("n")
+    )
+    by_marker = genotypes.groupBy("marker").agg(
+        *(tally(f"dosage = {d}").alias(f"n{d}") for d in (0, 1, 2)), tally("dosage is null").alias("nx"), F.count("*").alias("n")
+    )
+    sums = lambda df, p: df.agg(
+        *(F.sum(c).alias(f"{p}_{c}") for c in ("n0", "n1", "n2", "nx")), F.min("n").alias(f"{p}_min"), F.max("n").alias(f"{p}_max")
+    )
     both = sums(by_acc, "a").join(sums(by_marker, "m"))  # one row on either side
     same = " and ".join(f"a_{c} = m_{c}" for c in ("n0", "n1", "n2", "nx"))
-    return both.select(F.col("a_n0").alias("n0"), F.col("a_n1").alias("n1"), F.col("a_n2").alias("n2"), F.col("a_nx").alias("nx"), F.expr(f"{same} and a_min = a_max and m_min = m_max").alias("consistent"))
+    return both.select(
+        F.col("a_n0").alias("n0"), F.col("a_n1").alias("n1"), F.col("a_n2").alias("n2"), F.col("a_nx").alias("nx"),
+        F.expr(f"{same} and a_min = a_max and m_min = m_max").alias("consistent")
+    )
 
 
 def select_columns(df: DataFrame, places: list[int]) -> DataFrame:
@@ -105,7 +123,9 @@ def quadrants(df: DataFrame, x: str, y: str, x_cut: float, y_cut: float) -> Data
 def distinct_ids(df: DataFrame, id_col: str, order: str) -> DataFrame:
     """the second and later rows of an id get a suffix __2, __3 and so on."""
     k = F.row_number().over(Window.partitionBy(id_col).orderBy(order))
-    return df.withColumn("__k", k).withColumn(id_col, F.when(F.col("__k") > 1, F.concat(F.col(id_col), F.lit("__"), F.col("__k").cast("string"))).otherwise(F.col(id_col))).drop("__k")
+    return df.withColumn("__k", k).withColumn(
+        id_col, F.when(F.col("__k") > 1, F.concat(F.col(id_col), F.lit("__"), F.col("__k").cast("string"))).otherwise(F.col(id_col))
+    ).drop("__k")
 
 
 def sorted_numbers(lines: DataFrame, place: int = 1, separator: str = r"\s+") -> DataFrame:

@@ -14,7 +14,8 @@ WIDTHS = (100, 125, 200, 250, 400, 500, 800)
 
 
 def column_algebra(spec: str, at) -> list[Column]:
-    """A10: the columns that a spec stands for; at(i) is column i (from 1) as a double. `5+8-12` is a signed sum, `3u8` two series, `a/b` and `a*b` a ratio and a product, `log13` a base-10 logarithm (of 0: minus infinity, an underflow)."""
+    """A10: the columns that a spec stands for; at(i) is column i (from 1) as a double. `5+8-12` is a signed sum, `3u8` two series, `a/b`
+    and `a*b` a ratio and a product, `log13` a base-10 logarithm (of 0: minus infinity, an underflow)."""
     import re
 
     if "u" in spec:
@@ -70,7 +71,10 @@ def auto_bins(values: DataFrame, column: str = "x") -> Bins:
     """From the 5 to 95 % range over the cube root of the count; whole numbers have a width of 1 at least and edges at halves."""
     x = F.col(column)
     finite = values.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
-    row = finite.agg(F.percentile(x, F.array(F.lit(0.05), F.lit(0.95))).alias("p"), F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.bool_and(x == F.floor(x)).alias("whole")).first()
+    row = finite.agg(
+        F.percentile(x, F.array(F.lit(0.05), F.lit(0.95))).alias("p"), F.count("*").alias("n"), F.min(x).alias("lo"),
+        F.max(x).alias("hi"), F.bool_and(x == F.floor(x)).alias("whole")
+    ).first()
     if not row["n"]:
         return Bins(0.0, 1.0, 1.0)
     half = (row["p"][1] - row["p"][0]) / 2 or max(abs(row["hi"]), 1.0) / 2
@@ -84,7 +88,8 @@ def auto_bins(values: DataFrame, column: str = "x") -> Bins:
 
 
 def histogram(values: DataFrame, bins: Bins, column: str = "x", series: str | None = None) -> DataFrame:
-    """Per series and bin: count and cumulative count; bin -1 is the underflow (x < lo), bin `count` the overflow (x >= hi). Undefined values are left out."""
+    """Per series and bin: count and cumulative count; bin -1 is the underflow (x < lo), bin `count` the overflow (x >= hi).
+    Undefined values are left out."""
     x = F.col(column)
     place = F.when(x < bins.lo, -1).when(x >= bins.hi, bins.count).otherwise(F.floor((x - bins.lo) / bins.width)).cast("int")
     keys = [series] if series else []
@@ -97,7 +102,10 @@ def summary(values: DataFrame, column: str = "x", series: str | None = None) ->
     """Count, mean, population standard deviation, standard error, median."""
     x = F.col(column)
     rows = values.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*([series] if series else []))
-    return rows.agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("sd"), F.round(F.stddev_pop(x) / F.sqrt(F.count("*")), 6).alias("se"), F.round(F.percentile(x, 0.5), 6).alias("median"))
+    return rows.agg(
+        F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("sd"),
+        F.round(F.stddev_pop(x) / F.sqrt(F.count("*")), 6).alias("se"), F.round(F.percentile(x, 0.5), 6).alias("median")
+    )
 
 
 def fields_per_line(lines: DataFrame, separator: str = r"\s+") -> DataFrame:
@@ -110,21 +118,30 @@ def compare_sets(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: distinct values only on the left, on both sides, only on the right."""
     a, b = left.select("value").distinct().withColumn("l", F.lit(1)), right.select("value").distinct().withColumn("r", F.lit(1))
     both = a.join(b, "value", "full")
-    return both.agg(F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"), F.count_if(F.col("l").isNull()).alias("right_only"))
+    return both.agg(
+        F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"),
+        F.count_if(F.col("l").isNull()).alias("right_only")
+    )
 
 
 def compare_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Values of two tables (id1, id2, d) by unordered pair; null where a side lacks it. Of repeated pairs the smallest value counts."""
+    """Values of two tables (id1, id2, d) by unordered pair; null where a side lacks it. Of repeated pairs the smallest value
+    counts."""
     side = lambda df, n: df.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).agg(F.min("d").alias(n))
     return side(left, "d1").join(side(right, "d2"), ["a", "b"], "full")
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
     """Each id1's smallest distance and the id2 it's to (the smaller id of equal ones)."""
-    return pairs.groupBy("id1").agg(F.min(F.struct("d", "id2")).alias("x")).select("id1", F.col("x.d").alias("d"), F.col("x.id2").alias("id2"))
+    return pairs.groupBy("id1").agg(F.min(F.struct("d", "id2")).alias("x")).select(
+        "id1", F.col("x.d").alias("d"), F.col("x.id2").alias("id2")
+    )
 
 
 def error_curve(rows: DataFrame, score: str, is_null: str, order: str) -> DataFrame:
-    """Rows by falling score (then `order`), with running counts of null and other ids. Counts per score are summed first; rows without a score are left out."""
-    per = rows.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(is_null)).alias("f"), F.count_if(~F.col(is_null)).alias("t"))
+    """Rows by falling score (then `order`), with running counts of null and other ids. Counts per score are summed first; rows
+    without a score are left out."""
+    per = rows.filter(F.col(score).isNotNull()).groupBy(score).agg(
+        F.count_if(F.col(is_null)).alias("f"), F.count_if(~F.col(is_null)).alias("t")
+    )
     return running(per, score, {"n_null": F.col("f"), "n_other": F.col("t")}, descending=True).drop("f", "t")

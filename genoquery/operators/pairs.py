@@ -24,7 +24,10 @@ COUNTS = ("n02", "n00_22", "n01_12", "n11")
 def pair_counts(get):
     """The four counts as bit conditions, by name; get('a', '0') is a's word for dosage 0."""
     a0, a1, a2, b0, b1, b2 = (get(s, d) for s in "ab" for d in "012")
-    return {"n02": (a0.bitwiseAND(b2)).bitwiseOR(a2.bitwiseAND(b0)), "n00_22": (a0.bitwiseAND(b0)).bitwiseOR(a2.bitwiseAND(b2)), "n01_12": a1.bitwiseAND(b0.bitwiseOR(b2)).bitwiseOR(b1.bitwiseAND(a0.bitwiseOR(a2))), "n11": a1.bitwiseAND(b1)}
+    return {
+        "n02": (a0.bitwiseAND(b2)).bitwiseOR(a2.bitwiseAND(b0)), "n00_22": (a0.bitwiseAND(b0)).bitwiseOR(a2.bitwiseAND(b2)),
+        "n01_12": a1.bitwiseAND(b0.bitwiseOR(b2)).bitwiseOR(b1.bitwiseAND(a0.bitwiseOR(a2))), "n11": a1.bitwiseAND(b1)
+    }
 
 
 def with_counts(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -70,10 +73,18 @@ def _kernel(keep):
 
 
 def grid(wide: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Accessions dealt to a triangle of block pairs (bi <= bj): no task holds more than two blocks, and no pair is ever a row before it's wanted."""
+    """Accessions dealt to a triangle of block pairs (bi <= bj): no task holds more than two blocks, and no pair is ever a row before it's
+    wanted."""
     blocks = max(1, -(-wide.count() // block))
     own = wide.withColumn("b", F.pmod(F.xxhash64("acc_id"), F.lit(blocks)).cast("int"))
-    cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj"), F.when(F.col("b") <= o, 0).otherwise(1).alias("side"))))
+    cells = F.explode(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(blocks - 1)),
+            lambda o: F.struct(
+                F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj"), F.when(F.col("b") <= o, 0).otherwise(1).alias("side")
+            )
+        )
+    )
     return own.withColumn("c", cells).select("acc_id", *NAMES, "n_missing", "is_ref", "c.bi", "c.bj", "c.side")
 
 
@@ -84,7 +95,8 @@ def _wide(genotypes: DataFrame) -> DataFrame:
 
 
 def similar_pairs(genotypes: DataFrame, max_distance: float = 0.2) -> DataFrame:
-    """Every pair with agmr <= max_distance, exactly. A row's query (q) is new; its match (m) is new with a smaller id, or a reference (is_ref)."""
+    """Every pair with agmr <= max_distance, exactly. A row's query (q) is new; its match (m) is new with a smaller id, or a
+    reference (is_ref)."""
 
     def keep(n):
         total = n["n02"] + n["n00_22"] + n["n01_12"] + n["n11"]
@@ -113,7 +125,8 @@ def _counting(cell: pd.DataFrame) -> pd.DataFrame:
 
 
 def distance_counts(genotypes: DataFrame) -> DataFrame:
-    """All pairs' distances, as counts: x (agmr) and n (pairs that have it). Pairs never become rows: a task gives the fractions of its two blocks."""
+    """All pairs' distances, as counts: x (agmr) and n (pairs that have it). Pairs never become rows: a task gives the fractions of
+    its two blocks."""
     found = grid(_wide(genotypes)).groupBy("bi", "bj").applyInPandas(_counting, "num bigint, den bigint, n bigint")
     return found.groupBy(ratio("num", "den").alias("x")).agg(F.sum("n").alias("n"))
 
@@ -129,21 +142,28 @@ def related_pairs(genotypes: DataFrame, max_hgmr: float) -> DataFrame:
 
 
 def chunk_patterns(genotypes: DataFrame, size: int = 7, passes: int = 1, seed: int = 1) -> DataFrame:
-    """acc_id, chunk, pattern (base 3 number of the chunk's dosages; null if one is missing). Markers are put in an order by hash, once for each pass; left-over markers are not used."""
+    """acc_id, chunk, pattern (base 3 number of the chunk's dosages; null if one is missing). Markers are put in an order by hash,
+    once for each pass; left-over markers are not used."""
     markers = genotypes.select("marker", "marker_id").distinct()
     found = None
     for p in range(passes):
         place = F.row_number().over(Window.orderBy(key(seed + p, "marker_id"), "marker_id")) - 1  # one row per marker
         ordered = markers.select("marker", place.alias("place"), F.count("*").over(Window.partitionBy()).alias("n"))
         used = ordered.filter(F.col("place") < F.floor(F.col("n") / size) * size)
-        used = used.select("marker", (F.expr(f"place div {size}") + F.lit(p) * F.floor(F.col("n") / size)).cast("int").alias("chunk"), F.pow(F.lit(3.0), F.col("place") % size).cast("bigint").alias("weight"))
+        used = used.select(
+            "marker", (F.expr(f"place div {size}") + F.lit(p) * F.floor(F.col("n") / size)).cast("int").alias("chunk"),
+            F.pow(F.lit(3.0), F.col("place") % size).cast("bigint").alias("weight")
+        )
         found = used if found is None else found.unionByName(used)
     rows = genotypes.join(found, "marker")
-    return rows.groupBy("acc_id", "chunk").agg(F.when(F.count_if(F.col("dosage").isNull()) == 0, F.sum(F.col("dosage") * F.col("weight"))).alias("pattern"))
+    return rows.groupBy("acc_id", "chunk").agg(
+        F.when(F.count_if(F.col("dosage").isNull()) == 0, F.sum(F.col("dosage") * F.col("weight"))).alias("pattern")
+    )
 
 
 def chunk_matches(patterns: DataFrame) -> DataFrame:
-    """For each pair (q_id > m_id) that shares a pattern, the number of chunks in which it does. The inverted index is the shuffle on (chunk, pattern)."""
+    """For each pair (q_id > m_id) that shares a pattern, the number of chunks in which it does. The inverted index is the shuffle
+    on (chunk, pattern)."""
     known = patterns.filter("pattern is not null")
     left, right = (known.select("chunk", "pattern", F.col("acc_id").alias(n)) for n in ("q_id", "m_id"))
     return left.join(right, ["chunk", "pattern"]).filter("q_id > m_id").groupBy("q_id", "m_id").agg(F.count("*").alias("matches"))
@@ -152,15 +172,25 @@ def chunk_matches(patterns: DataFrame) -> DataFrame:
 def chunk_statistics(patterns: DataFrame) -> DataFrame:
     """Chunks and accessions, pairs per chunk possible, lost to missing data, and matching."""
     per = patterns.groupBy("chunk").agg(F.count("*").alias("n"), F.count("pattern").alias("ok"))
-    match = patterns.filter("pattern is not null").groupBy("chunk", "pattern").agg(F.count("*").alias("k")).groupBy("chunk").agg(F.sum(F.expr("k * (k - 1) div 2")).alias("matching"))
-    return per.join(match, "chunk", "left").select("chunk", F.expr("n * (n - 1) div 2").alias("possible"), F.expr("n * (n - 1) div 2 - ok * (ok - 1) div 2").alias("lost"), F.coalesce("matching", F.lit(0)).cast("bigint").alias("matching"))
-
-
-def estimated_pairs(genotypes: DataFrame, max_distance: float = 0.2, size: int = 7, passes: int = 1, seed: int = 1, prefilter: bool = True) -> DataFrame:
-    """Pairs with enough matching chunks, and agmr as estimated from them: 1 - (matches / usable)^(1/size). Approximate: see the recall test."""
+    match = patterns.filter("pattern is not null").groupBy("chunk", "pattern").agg(F.count("*").alias("k")).groupBy("chunk").agg(
+        F.sum(F.expr("k * (k - 1) div 2")).alias("matching")
+    )
+    return per.join(match, "chunk", "left").select(
+        "chunk", F.expr("n * (n - 1) div 2").alias("possible"), F.expr("n * (n - 1) div 2 - ok * (ok - 1) div 2").alias("lost"),
+        F.coalesce("matching", F.lit(0)).cast("bigint").alias("matching")
+    )
+
+
+def estimated_pairs(
+    genotypes: DataFrame, max_distance: float = 0.2, size: int = 7, passes: int = 1, seed: int = 1, prefilter: bool = True
+) -> DataFrame:
+    """Pairs with enough matching chunks, and agmr as estimated from them: 1 - (matches / usable)^(1/size). Approximate: see the
+    recall test."""
     patterns = checkpoint(chunk_patterns(genotypes, size, passes, seed))
     ok = patterns.groupBy("acc_id").agg(F.count("pattern").alias("ok"), F.count("*").alias("chunks"))
-    rows = chunk_matches(patterns).join(ok.select(F.col("acc_id").alias("q_id"), F.col("ok").alias("q_ok"), "chunks"), "q_id").join(ok.select(F.col("acc_id").alias("m_id"), F.col("ok").alias("m_ok")), "m_id")
+    rows = chunk_matches(patterns).join(
+        ok.select(F.col("acc_id").alias("q_id"), F.col("ok").alias("q_ok"), "chunks"), "q_id"
+    ).join(ok.select(F.col("acc_id").alias("m_id"), F.col("ok").alias("m_ok")), "m_id")
     usable = ratio(F.col("q_ok") * F.col("m_ok"), F.col("chunks"))
     rows = rows.select("q_id", "m_id", "matches", usable.alias("usable"))
     if prefilter and max_distance < 1:
@@ -172,17 +202,25 @@ def filtered_pairs(genotypes: DataFrame, max_distance: float = 0.2, size: int =
     """The prefilter's pairs, verified exactly with bit counts."""
     wide = _wide(genotypes).select("acc_id", F.struct(*NAMES).alias("x"))
     found = estimated_pairs(genotypes, max_distance, size, passes, seed)
-    both = found.join(wide.select(F.col("acc_id").alias("q_id"), F.col("x").alias("a")), "q_id").join(wide.select(F.col("acc_id").alias("m_id"), F.col("x").alias("b")), "m_id")
+    both = found.join(
+        wide.select(F.col("acc_id").alias("q_id"), F.col("x").alias("a")), "q_id"
+    ).join(wide.select(F.col("acc_id").alias("m_id"), F.col("x").alias("b")), "m_id")
     return with_ratios(with_counts(both)).drop("a", "b").filter(F.col("agmr") <= max_distance)
 
 
 def phase_switches(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For given pairs (q_id, m_id), how often agreement of phase changes along a chromosome, over markers phased in both; d is the number of chances."""
+    """For given pairs (q_id, m_id), how often agreement of phase changes along a chromosome, over markers phased in both; d is
+    the number of chances."""
     phased = genotypes.filter("phase is not null").select("acc_id", "marker", "chrom", "phase")
-    rows = pairs.select("q_id", "m_id").join(phased.withColumnsRenamed({"acc_id": "q_id", "phase": "p"}), "q_id").join(phased.select(F.col("acc_id").alias("m_id"), "marker", F.col("phase").alias("r")), ["m_id", "marker"])
+    rows = pairs.select("q_id", "m_id").join(phased.withColumnsRenamed({"acc_id": "q_id", "phase": "p"}), "q_id").join(
+        phased.select(F.col("acc_id").alias("m_id"), "marker", F.col("phase").alias("r")), ["m_id", "marker"]
+    )
     along = Window.partitionBy("q_id", "m_id", "chrom").orderBy("marker")
     rows = rows.withColumn("agree", F.col("p") == F.col("r")).withColumn("before", F.lag("agree").over(along))
-    return rows.groupBy("q_id", "m_id").agg(F.count_if(F.col("agree") != F.col("before")).alias("switches"), F.count("before").alias("chances"), F.count_if("agree").alias("n_agree"))
+    return rows.groupBy("q_id", "m_id").agg(
+        F.count_if(F.col("agree") != F.col("before")).alias("switches"), F.count("before").alias("chances"),
+        F.count_if("agree").alias("n_agree")
+    )
 
 
 def ordered(pairs: DataFrame) -> DataFrame:

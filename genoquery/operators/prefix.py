@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from genoquery.checkpoints import checkpoint
 
 
-def running(df: DataFrame, by: str, sums: dict[str, Column], minima: dict[str, Column] | None = None, following: str | None = None, descending: bool = False) -> DataFrame:
-    """df with inclusive running sums and minima in order of `by`, whose values are distinct and not null; `following` names a column for the next row's `by`."""
+def running(
+    df: DataFrame, by: str, sums: dict[str, Column], minima: dict[str, Column] | None = None, following: str | None = None,
+    descending: bool = False
+) -> DataFrame:
+    """df with inclusive running sums and minima in order of `by`, whose values are distinct and not null; `following` names a column for
+    the next row's `by`."""
     order = F.col(by).desc() if descending else F.col(by).asc()
     minima = minima or {}
     parts = {**{n: (F.sum, c) for n, c in sums.items()}, **{n: (F.min, c) for n, c in minima.items()}}
@@ -23,7 +27,10 @@ def running(df: DataFrame, by: str, sums: dict[str, Column], minima: dict[str, C
     totals = dealt.groupBy("__part").agg(first, *(f(f"__t_{n}").alias(f"__b_{n}") for n, (f, _) in parts.items()))
     along = Window.orderBy("__part")  # a row per partition
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = totals.select("__part", F.lead("__first").over(along).alias("__ahead"), *(f(f"__b_{n}").over(before).alias(f"__b_{n}") for n, (f, _) in parts.items()))
+    ahead = totals.select(
+        "__part", F.lead("__first").over(along).alias("__ahead"),
+        *(f(f"__b_{n}").over(before).alias(f"__b_{n}") for n, (f, _) in parts.items())
+    )
     own = Window.partitionBy("__part").orderBy(order)
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = dealt.join(F.broadcast(ahead), "__part")  # as many rows as partitions

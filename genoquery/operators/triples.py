@@ -73,21 +73,31 @@ def statistics(triples: DataFrame, means: dict[str, float] | None = None, denomi
     made = [F.when(both, bits(F.col("k.m0"), lambda get, n=n: _conditions(get)[n])).alias(n) for n in names]
     for par, t in (("i", 1), ("j", 2)):
         for n in ("n02", "n00_22", "n_hom_1"):
-            made.append(F.when(F.col(par).isNotNull(), bits(F.col("k.m0"), lambda get, n=n, par=par: _pair_conditions(get, par)[n])).alias(f"{n}_{t}"))
+            made.append(
+                F.when(
+                    F.col(par).isNotNull(), bits(F.col("k.m0"), lambda get, n=n, par=par: _pair_conditions(get, par)[n])
+                ).alias(f"{n}_{t}")
+            )
     made.append(both.alias("__both"))
     c = F.col
     mean = {"hgmr": 1.0, "r": 1.0, "ftr": 1.0, "z": 1.0} | (means or {})
     out = [c("n_known").alias("n_good"), ratio("n_differ", "n_known").alias("agmr12")]
     for t in (1, 2):
         missed, same, het = c(f"n02_{t}"), c(f"n00_22_{t}"), c(f"n_hom_1_{t}")
-        out += [(ratio(missed, missed + same) / mean["hgmr"]).alias(f"hgmr{t}"), (F.when(c("__both"), ratio(het, het + same)).otherwise(ratio(missed + het, missed + het + same)) / mean["r"]).alias(f"r{t}")]
+        out += [
+            (ratio(missed, missed + same) / mean["hgmr"]).alias(f"hgmr{t}"),
+            (F.when(c("__both"), ratio(het, het + same)).otherwise(ratio(missed + het, missed + het + same)) / mean["r"]).alias(f"r{t}")
+        ]
         if denominators:
             known = F.when(c("__both"), het + same).otherwise(missed + het + same)
             out += [(missed + same).alias(f"hgmr{t}_d"), known.alias(f"r{t}_d")]
     if denominators:
         out += [c("n_known").alias("agmr12_d"), c("n_known").alias("ftr_d"), c("n_hom").alias("z_d")]
     forbidden = c("n_opposed") + c("n_hom_het") + c("n_hom_other")
-    out += [(ratio(forbidden, c("n_known")) / mean["ftr"]).alias("ftr"), forbidden.alias("ftr_n"), (ratio("n_hom_het", "n_hom") / mean["z"]).alias("z"), ratio("n_11_1", "n_11").alias("h"), ratio("n_het_1", "n_het").alias("hhr")]
+    out += [
+        (ratio(forbidden, c("n_known")) / mean["ftr"]).alias("ftr"), forbidden.alias("ftr_n"),
+        (ratio("n_hom_het", "n_hom") / mean["z"]).alias("z"), ratio("n_11_1", "n_11").alias("h"), ratio("n_het_1", "n_het").alias("hhr")
+    ]
     keep = [x for x in triples.columns if x not in "ijk"]
     return triples.select(*keep, *made).select(*keep, *out)
 
@@ -112,18 +122,26 @@ def state_counts(genotypes: DataFrame, triples: DataFrame) -> DataFrame:
 
 def shares(genotypes: DataFrame) -> DataFrame:
     known = F.col("n0") + F.col("n1") + F.col("n2")
-    return marker_counts(genotypes).select("marker", *(ratio(F.col(f"n{d}"), known).alias(f"f{d}") for d in (0, 1, 2)), ratio("n_alt", 2 * known).alias("q"))
+    return marker_counts(genotypes).select(
+        "marker", *(ratio(F.col(f"n{d}"), known).alias(f"f{d}") for d in (0, 1, 2)), ratio("n_alt", 2 * known).alias("q")
+    )
 
 
 _FORBIDDEN = "(i = 0 and j = 0 and k > 0) or (i = 2 and j = 2 and k < 2) or (i + j = 1 and k = 2) or (i + j = 3 and k = 0) or (i + j = 2 and i <> j and k <> 1)"
 
 
 def expected_forbidden(genotypes: DataFrame, triples: DataFrame) -> DataFrame:
-    """Forbidden triples seen over those expected from the progeny's marker frequencies (xftr), and over all known markers (rate)."""
+    """Forbidden triples seen over those expected from the progeny's marker frequencies (xftr), and over all known markers
+    (rate)."""
     rows = long_triples(genotypes, triples).join(shares(genotypes), "marker")
-    chance = F.expr("case when i = 0 and j = 0 then f1 + f2 when i = 2 and j = 2 then f0 + f1 when i + j = 1 then f2 when i + j = 3 then f0 when i <> j then f0 + f2 else 0.0 end")
+    chance = F.expr(
+        "case when i = 0 and j = 0 then f1 + f2 when i = 2 and j = 2 then f0 + f1 when i + j = 1 then f2 when i + j = 3 then f0 when i <> j then f0 + f2 else 0.0 end"
+    )
     counted = rows.groupBy("prog", "p1", "p2").agg(tally(_FORBIDDEN).alias("seen"), F.sum(chance).alias("e"), F.count("*").alias("n"))
-    return counted.select("prog", "p1", "p2", "seen", F.round("e", 6).alias("expected"), F.round(F.when(F.col("e") > 0, F.col("seen") / F.nullif("e", F.lit(0.0))), 6).alias("xftr"), ratio("seen", "n").alias("rate"))
+    return counted.select(
+        "prog", "p1", "p2", "seen", F.round("e", 6).alias("expected"),
+        F.round(F.when(F.col("e") > 0, F.col("seen") / F.nullif("e", F.lit(0.0))), 6).alias("xftr"), ratio("seen", "n").alias("rate")
+    )
 
 
 def mixed_rate(rows: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -131,36 +149,54 @@ def mixed_rate(rows: DataFrame, alpha: float = 0.5) -> DataFrame:
     return rows.withColumn("xxftr", F.round(alpha * F.col("xftr") + (1 - alpha) * F.col("rate"), 6))
 
 
-def pedigree_class(rows: DataFrame, max_agmr: float = 0.04, max_hgmr: float = 0.05, max_r: float = 0.15, max_ftr: float = 0.05) -> DataFrame:
+def pedigree_class(
+    rows: DataFrame, max_agmr: float = 0.04, max_hgmr: float = 0.05, max_r: float = 0.15, max_ftr: float = 0.05
+) -> DataFrame:
     """What a pedigree's statistics say: self, biparental, one or both parents wrong, or unclear if one is undefined."""
     good1, good2 = F.col("hgmr1") <= max_hgmr, F.col("hgmr2") <= max_hgmr
-    verdict = F.when(F.col("ftr").isNull() | F.col("agmr12").isNull(), "unclear").when((F.col("agmr12") <= max_agmr) & good1 & (F.col("r1") <= max_r), "self").when((F.col("ftr") <= max_ftr) & good1 & good2, "biparental").when(good1 | good2, "one").otherwise("none")
+    verdict = F.when(F.col("ftr").isNull() | F.col("agmr12").isNull(), "unclear").when(
+        (F.col("agmr12") <= max_agmr) & good1 & (F.col("r1") <= max_r), "self"
+    ).when((F.col("ftr") <= max_ftr) & good1 & good2, "biparental").when(good1 | good2, "one").otherwise("none")
     return rows.withColumn("class", verdict)
 
 
 def pair_rows(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
     """prog, par, marker, k, i of markers known in both."""
     own = genotypes.filter("dosage is not null").select("acc_id", "marker", "dosage")
-    return pairs.select("prog", "par").join(own.withColumnsRenamed({"acc_id": "prog", "dosage": "k"}), "prog").join(own.select(F.col("acc_id").alias("par"), "marker", F.col("dosage").alias("i")), ["par", "marker"])
+    return pairs.select("prog", "par").join(own.withColumnsRenamed({"acc_id": "prog", "dosage": "k"}), "prog").join(
+        own.select(F.col("acc_id").alias("par"), "marker", F.col("dosage").alias("i")), ["par", "marker"]
+    )
 
 
 def one_parent(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Hgmr and both forms of R of pairs (prog, par), from masks."""
     from genoquery.operators.candidates import pair_tallies, paired
 
-    rows = pair_tallies(paired(genotypes, pairs), **{n: (lambda get, known, n=n: _pair_conditions(get, "i")[n]) for n in ("n02", "n00_22", "n_hom_1")})
+    rows = pair_tallies(
+        paired(genotypes, pairs), **{n: (lambda get, known, n=n: _pair_conditions(get, "i")[n]) for n in ("n02", "n00_22", "n_hom_1")}
+    )
     missed, same, het = F.col("n02"), F.col("n00_22"), F.col("n_hom_1")
-    return rows.select("prog", "par", ratio(missed, missed + same).alias("hgmr"), ratio(missed + het, missed + het + same).alias("r_all"), ratio(het, het + same).alias("r"))
+    return rows.select(
+        "prog", "par", ratio(missed, missed + same).alias("hgmr"), ratio(missed + het, missed + het + same).alias("r_all"),
+        ratio(het, het + same).alias("r")
+    )
 
 
 def direction(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Log likelihoods of the progeny's dosages given the parent's, of the reverse, and of chance, with an error rate of 0.01; and the crosswise counts n01, n10, n12, n21."""
+    """Log likelihoods of the progeny's dosages given the parent's, of the reverse, and of chance, with an error rate of
+    0.01; and the crosswise counts n01, n10, n12, n21."""
     rows = pair_rows(genotypes, pairs).join(shares(genotypes).select("marker", "q"), "marker").filter("q > 0 and q < 1")
 
     def given(parent: str, child: str) -> Column:
         # the chance of the child's dosage if one allele is the parent's and the other is drawn at frequency q
-        p = F.expr(f"case {parent} when 0 then (case {child} when 0 then 1 - q when 1 then q else 0.0 end) when 1 then (case {child} when 0 then (1 - q) / 2 when 1 then 0.5 else q / 2 end) else (case {child} when 0 then 0.0 when 1 then 1 - q else q end) end")
+        p = F.expr(
+            f"case {parent} when 0 then (case {child} when 0 then 1 - q when 1 then q else 0.0 end) when 1 then (case {child} when 0 then (1 - q) / 2 when 1 then 0.5 else q / 2 end) else (case {child} when 0 then 0.0 when 1 then 1 - q else q end) end"
+        )
         return F.log(0.99 * p + 0.01 / 3)
 
     chance = F.expr("case k when 0 then (1 - q) * (1 - q) when 1 then 2 * q * (1 - q) else q * q end")
-    return rows.groupBy("prog", "par").agg(F.round(F.sum(given("i", "k")), 6).alias("log_par_prog"), F.round(F.sum(given("k", "i")), 6).alias("log_prog_par"), F.round(F.sum(F.log(0.99 * chance + 0.01 / 3)), 6).alias("log_chance"), *(tally(f"i = {a} and k = {b}").alias(f"n{a}{b}") for a, b in ((0, 1), (1, 0), (1, 2), (2, 1))))
+    return rows.groupBy("prog", "par").agg(
+        F.round(F.sum(given("i", "k")), 6).alias("log_par_prog"), F.round(F.sum(given("k", "i")), 6).alias("log_prog_par"),
+        F.round(F.sum(F.log(0.99 * chance + 0.01 / 3)), 6).alias("log_chance"),
+        *(tally(f"i = {a} and k = {b}").alias(f"n{a}{b}") for a, b in ((0, 1), (1, 0), (1, 2), (2, 1)))
+    )

@@ -43,8 +43,14 @@ ped AS (
   FROM embeddings WHERE vec_id % 10 IN (3, 8))
 """
 
-_DUCK = dict(div_m16="m // 16", div_m3="m // 3", div_a10="b.a // 10", div_c2="b.chrom // 2", item="embedding[m+1]", source="embeddings, range(64) t(m)", text="VARCHAR")
-_SPARK = dict(div_m16="m div 16", div_m3="(m div 3)", div_a10="(b.a div 10)", div_c2="(b.chrom div 2)", item="element_at(embedding, m+1)", source="embeddings LATERAL VIEW explode(sequence(0, 63)) t AS m", text="STRING")
+_DUCK = dict(
+    div_m16="m // 16", div_m3="m // 3", div_a10="b.a // 10", div_c2="b.chrom // 2", item="embedding[m+1]",
+    source="embeddings, range(64) t(m)", text="VARCHAR"
+)
+_SPARK = dict(
+    div_m16="m div 16", div_m3="(m div 3)", div_a10="(b.a div 10)", div_c2="(b.chrom div 2)", item="element_at(embedding, m+1)",
+    source="embeddings LATERAL VIEW explode(sequence(0, 63)) t AS m", text="STRING"
+)
 
 #: The start of an oracle query; it continues with more common tables or SELECT.
 PREFIX = "WITH RECURSIVE " + _RULE.format(**_DUCK)

@@ -42,7 +42,9 @@ def load(lines: DataFrame, p: Parameters) -> DataFrame:
         rows = vcf.parse(lines, None, vcf.Options(min_gp=p.min_gp))
         order = F.row_number().over(Window.orderBy("chrom", "pos", "marker_id")) - 1  # one row per marker
         markers = rows.select("marker_id", "chrom", "pos").distinct().withColumn("marker", order)
-        rows = rows.join(markers.select("marker_id", "marker"), "marker_id").select("acc_id", "marker", "marker_id", "chrom", "dosage", "phase")
+        rows = rows.join(markers.select("marker_id", "marker"), "marker_id").select(
+            "acc_id", "marker", "marker_id", "chrom", "dosage", "phase"
+        )
     good = filters.accession_filter(rows, p.max_accession_missing)
     return checkpoint(filters.marker_filter(good, p.max_marker_missing, p.min_maf))
 
@@ -60,11 +62,15 @@ def find_duplicates(lines: DataFrame, p: Parameters = FINDER) -> dict[str, DataF
         threshold = clusters.THRESHOLD if best is None else best
     own = checkpoint(clusters.members(loaded, missing.withColumnRenamed("acc_id", "id"), threshold, p.prune))
     values = loaded.select(F.col("d").alias("x"))
-    return {"genotypes": g, "pairs": found, "members": own, "clusters": clusters.ordered(clusters.cluster_table(loaded, own, threshold)), "histogram": histogram.histogram(values, histogram.Bins(0.0, p.max_distance, 0.002))}
+    return {
+        "genotypes": g, "pairs": found, "members": own, "clusters": clusters.ordered(clusters.cluster_table(loaded, own, threshold)),
+        "histogram": histogram.histogram(values, histogram.Bins(0.0, p.max_distance, 0.002))
+    }
 
 
 def vcf_to_parents(lines: DataFrame, pedigrees: DataFrame | None = None, p: Parameters = Parameters()) -> dict[str, DataFrame]:
-    """Duplicates are found and reduced to one accession each, in genotypes and pedigrees; then recorded parents are checked and others looked for."""
+    """Duplicates are found and reduced to one accession each, in genotypes and pedigrees; then recorded parents are checked and
+    others looked for."""
     out = find_duplicates(lines, p)
     g, own = out["genotypes"], out["members"]
     kept = dedup.unique_genotypes(g, own)
@@ -72,9 +78,13 @@ def vcf_to_parents(lines: DataFrame, pedigrees: DataFrame | None = None, p: Para
         voted = dedup.vote(g, own).withColumnRenamed("dosage", "__v")
         kept = kept.join(voted, ["acc_id", "marker"], "left").withColumn("__in", F.col("acc_id").isin([]))
         reps = dedup.representatives(own).select(F.col("rep").alias("acc_id")).distinct().withColumn("__r", F.lit(True))
-        kept = kept.join(reps, "acc_id", "left").withColumn("phase", F.when(F.col("__r") & ~F.col("__v").eqNullSafe(F.col("dosage")), None).otherwise(F.col("phase"))).withColumn("dosage", F.when(F.col("__r"), F.col("__v")).otherwise(F.col("dosage"))).drop("__v", "__in", "__r")
+        kept = kept.join(reps, "acc_id", "left").withColumn(
+            "phase", F.when(F.col("__r") & ~F.col("__v").eqNullSafe(F.col("dosage")), None).otherwise(F.col("phase"))
+        ).withColumn("dosage", F.when(F.col("__r"), F.col("__v")).otherwise(F.col("dosage"))).drop("__v", "__in", "__r")
     kept = checkpoint(kept)
     records = None
     if pedigrees is not None:
-        records = checkpoint(dedup.unique_pedigrees(pedigrees if "line" in pedigrees.columns else pedigrees.withColumn("line", F.col("prog")), own))
+        records = checkpoint(
+            dedup.unique_pedigrees(pedigrees if "line" in pedigrees.columns else pedigrees.withColumn("line", F.col("prog")), own)
+        )
     return out | {"unique": kept, "pedigrees": records, "parents": parents.find_parents(kept, records, p.level)}

@@ -47,7 +47,9 @@ def in_order(rows: DataFrame) -> DataFrame:
     for part in sorted(before):
         starts[part], total = total, total + before[part]
     first = F.create_map(*(F.lit(x) for kv in (starts or {0: 0}).items() for x in kv))
-    return numbered.withColumn("place", F.col("__id") - F.shiftleft(F.col("__part").cast("bigint"), 33) + first[F.col("__part")]).drop("__part", "__id")
+    return numbered.withColumn(
+        "place", F.col("__id") - F.shiftleft(F.col("__part").cast("bigint"), 33) + first[F.col("__part")]
+    ).drop("__part", "__id")
 
 
 # ---- common tables of the oracles -------------------------------------------------------------------------------------------------
@@ -150,14 +152,19 @@ BEST = ALT + TRIPLE.format(t="q1") + """, bs AS (
 ROWS = "acc_id, marker, dosage"
 
 
-@entry("f1_accession_filter", "SELECT acc_id, marker, dosage FROM g WHERE acc_id IN (SELECT acc_id FROM g GROUP BY acc_id HAVING count(*) FILTER (dosage IS NULL) <= 0.03 * count(*))")
+@entry(
+    "f1_accession_filter",
+    "SELECT acc_id, marker, dosage FROM g WHERE acc_id IN (SELECT acc_id FROM g GROUP BY acc_id HAVING count(*) FILTER (dosage IS NULL) <= 0.03 * count(*))"
+)
 def _(spark, d):
     return filters.accession_filter(genotypes(spark, d), 0.03).select("acc_id", "marker", "dosage")
 
 
 @entry("f1_rejected_accessions", "SELECT acc_id, n_missing FROM ac WHERE n_missing > 0.03 * 64", ACC)
 def _(spark, d):
-    return filters.rejected_accessions(genotypes(spark, d), 0.03).groupBy("acc_id").agg(F.count_if(F.col("dosage").isNull()).alias("n_missing"))
+    return filters.rejected_accessions(genotypes(spark, d), 0.03).groupBy("acc_id").agg(
+        F.count_if(F.col("dosage").isNull()).alias("n_missing")
+    )
 
 
 F2_SQL = ", ok AS (SELECT marker, row_number() OVER (ORDER BY marker) - 1 AS place FROM mc WHERE n_missing <= 0.027 * n_acc AND n_alt >= 2 * (n_acc - n_missing) * 0.47 AND n_alt <= 2 * (n_acc - n_missing) * (1 - 0.47))"
@@ -178,12 +185,19 @@ def _(spark, d):
     return filters.thin_markers(genotypes(spark, d), 0.4).select("acc_id", "marker", "dosage")
 
 
-@entry("f5_rectify_markers", "SELECT acc_id, g.marker, CASE WHEN n_alt > g2.n_acc - g2.n_missing THEN 2 - dosage ELSE dosage END AS dosage, CASE WHEN n_alt > g2.n_acc - g2.n_missing THEN -phase ELSE phase END AS phase FROM g JOIN mc g2 ON g.marker = g2.marker", MARK)
+@entry(
+    "f5_rectify_markers",
+    "SELECT acc_id, g.marker, CASE WHEN n_alt > g2.n_acc - g2.n_missing THEN 2 - dosage ELSE dosage END AS dosage, CASE WHEN n_alt > g2.n_acc - g2.n_missing THEN -phase ELSE phase END AS phase FROM g JOIN mc g2 ON g.marker = g2.marker",
+    MARK
+)
 def _(spark, d):
     return filters.rectify_markers(genotypes(spark, d)).select("acc_id", "marker", "dosage", "phase")
 
 
-@entry("f6_check_counts", "SELECT count(*) FILTER (dosage = 0) AS n0, count(*) FILTER (dosage = 1) AS n1, count(*) FILTER (dosage = 2) AS n2, count(*) FILTER (dosage IS NULL) AS nx, true AS consistent FROM g")
+@entry(
+    "f6_check_counts",
+    "SELECT count(*) FILTER (dosage = 0) AS n0, count(*) FILTER (dosage = 1) AS n1, count(*) FILTER (dosage = 2) AS n2, count(*) FILTER (dosage IS NULL) AS nx, true AS consistent FROM g"
+)
 def _(spark, d):
     return filters.check_counts(genotypes(spark, d))
 
@@ -204,15 +218,26 @@ def _(spark, d):
 
 @entry("f9_select_accessions", "SELECT acc_id, marker, dosage FROM g WHERE acc_id IN (SELECT mpar FROM ped)")
 def _(spark, d):
-    return filters.select_accessions(genotypes(spark, d), pedigrees(spark, d).select(F.col("mpar").alias("acc_id"))).select("acc_id", "marker", "dosage")
+    return filters.select_accessions(
+        genotypes(spark, d), pedigrees(spark, d).select(F.col("mpar").alias("acc_id"))
+    ).select("acc_id", "marker", "dosage")
 
 
-@entry("f10_quadrants", "SELECT quadrant, count(*) AS n FROM (SELECT CASE WHEN hgmr IS NULL THEN 'nan' ELSE (CASE WHEN hgmr <= 0.05 THEN 'L' ELSE 'U' END) || (CASE WHEN agmr <= 0.2 THEN 'L' ELSE 'R' END) END AS quadrant FROM pr) GROUP BY quadrant", PAIRS)
+@entry(
+    "f10_quadrants",
+    "SELECT quadrant, count(*) AS n FROM (SELECT CASE WHEN hgmr IS NULL THEN 'nan' ELSE (CASE WHEN hgmr <= 0.05 THEN 'L' ELSE 'U' END) || (CASE WHEN agmr <= 0.2 THEN 'L' ELSE 'R' END) END AS quadrant FROM pr) GROUP BY quadrant",
+    PAIRS
+)
 def _(spark, d):
-    return filters.quadrants(pairs.similar_pairs(genotypes(spark, d), 1.0), "agmr", "hgmr", 0.2, 0.05).groupBy("quadrant").agg(F.count("*").alias("n"))
+    return filters.quadrants(
+        pairs.similar_pairs(genotypes(spark, d), 1.0), "agmr", "hgmr", 0.2, 0.05
+    ).groupBy("quadrant").agg(F.count("*").alias("n"))
 
 
-@entry("f11_distinct_ids", "SELECT CASE WHEN k > 1 THEN mpar || '__' || k ELSE mpar END AS mpar, prog FROM (SELECT *, row_number() OVER (PARTITION BY mpar ORDER BY prog) AS k FROM ped)")
+@entry(
+    "f11_distinct_ids",
+    "SELECT CASE WHEN k > 1 THEN mpar || '__' || k ELSE mpar END AS mpar, prog FROM (SELECT *, row_number() OVER (PARTITION BY mpar ORDER BY prog) AS k FROM ped)"
+)
 def _(spark, d):
     return filters.distinct_ids(pedigrees(spark, d), "mpar", "prog").select("mpar", "prog")
 
@@ -240,12 +265,18 @@ def _(spark, d):
     return filters.marker_counts(genotypes(spark, d))
 
 
-@entry("a2_grand_totals", "SELECT chrom, count(*) FILTER (dosage = 0) AS n0, count(*) FILTER (dosage = 1) AS n1, count(*) FILTER (dosage = 2) AS n2, count(*) FILTER (dosage IS NULL) AS nx FROM g GROUP BY ROLLUP (chrom)")
+@entry(
+    "a2_grand_totals",
+    "SELECT chrom, count(*) FILTER (dosage = 0) AS n0, count(*) FILTER (dosage = 1) AS n1, count(*) FILTER (dosage = 2) AS n2, count(*) FILTER (dosage IS NULL) AS nx FROM g GROUP BY ROLLUP (chrom)"
+)
 def _(spark, d):
     return counts.grand_totals(genotypes(spark, d))
 
 
-@entry("a5_phase_counts", "SELECT acc_id, count(*) FILTER (dosage = 1 AND phase IS NOT NULL) AS het_phased, count(*) FILTER (dosage = 1 AND phase IS NULL) AS het_unphased, count(*) FILTER (dosage IN (0, 2) AND phase IS NOT NULL) AS hom_phased FROM g GROUP BY acc_id")
+@entry(
+    "a5_phase_counts",
+    "SELECT acc_id, count(*) FILTER (dosage = 1 AND phase IS NOT NULL) AS het_phased, count(*) FILTER (dosage = 1 AND phase IS NULL) AS het_unphased, count(*) FILTER (dosage IN (0, 2) AND phase IS NOT NULL) AS hom_phased FROM g GROUP BY acc_id"
+)
 def _(spark, d):
     return counts.phase_counts(genotypes(spark, d))
 
@@ -285,7 +316,10 @@ def orders_lines(spark, d):
 def _(spark, d):
     lines = orders_lines(spark, d)
     at = lambda i: F.try_element_at(F.split("value", "\t"), F.lit(i)).try_cast("double")
-    both = [lines.select(F.lit(n).alias("series"), histogram.column_algebra(spec, at)[0].alias("x")) for n, spec in (("log", "log2"), ("ratio", "2/3"))]
+    both = [
+        lines.select(F.lit(n).alias("series"), histogram.column_algebra(spec, at)[0].alias("x")) for n,
+        spec in (("log", "log2"), ("ratio", "2/3"))
+    ]
     return histogram.histogram(both[0].unionByName(both[1]), histogram.Bins(0.0, 6.0, 0.25), series="series")
 
 
@@ -313,13 +347,20 @@ def _(spark, d):
 @entry("a13_summary", """SELECT CASE WHEN l_quantity > 25 THEN 'large' ELSE 'small' END AS series, count(*) AS n, round(avg(CAST(l_extendedprice AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST(l_extendedprice AS DOUBLE)), 6) AS sd,
   round(stddev_pop(CAST(l_extendedprice AS DOUBLE)) / sqrt(count(*)), 6) AS se, round(median(CAST(l_extendedprice AS DOUBLE)), 6) AS median FROM lineitem GROUP BY 1""")
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.when(F.col("l_quantity") > 25, "large").otherwise("small").alias("series"), F.col("l_extendedprice").cast("double").alias("x"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        F.when(F.col("l_quantity") > 25, "large").otherwise("small").alias("series"), F.col("l_extendedprice").cast("double").alias("x")
+    )
     return histogram.summary(rows, series="series")
 
 
-@entry("a14_fields_per_line", """SELECT CAST(CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(text), ' ')) END AS INT) AS fields, count(*) AS n, min(text) AS sample FROM benchmark WHERE text IS NOT NULL GROUP BY 1""")
+@entry(
+    "a14_fields_per_line",
+    """SELECT CAST(CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(text), ' ')) END AS INT) AS fields, count(*) AS n, min(text) AS sample FROM benchmark WHERE text IS NOT NULL GROUP BY 1"""
+)
 def _(spark, d):
-    return histogram.fields_per_line(spark.read.parquet(f"{d}/benchmark.parquet").filter("text is not null").select(F.col("text").alias("value")), " ")
+    return histogram.fields_per_line(
+        spark.read.parquet(f"{d}/benchmark.parquet").filter("text is not null").select(F.col("text").alias("value")), " "
+    )
 
 
 @entry("a15_compare_sets", """SELECT count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS both, count(*) FILTER (l IS NULL) AS right_only
@@ -329,19 +370,34 @@ def _(spark, d):
     return histogram.compare_sets(p.filter("fpar is not null").select(F.col("fpar").alias("value")), p.select(F.col("mpar").alias("value")))
 
 
-@entry("a16_compare_pairs", "SELECT m_id AS a, q_id AS b, CASE WHEN agmr <= 0.2 THEN agmr END AS d1, CASE WHEN hgmr <= 0.02 THEN hgmr END AS d2 FROM pr WHERE agmr <= 0.2 OR hgmr <= 0.02", PAIRS)
+@entry(
+    "a16_compare_pairs",
+    "SELECT m_id AS a, q_id AS b, CASE WHEN agmr <= 0.2 THEN agmr END AS d1, CASE WHEN hgmr <= 0.02 THEN hgmr END AS d2 FROM pr WHERE agmr <= 0.2 OR hgmr <= 0.02",
+    PAIRS
+)
 def _(spark, d):
     g = genotypes(spark, d)
     side = lambda df, c: df.select(F.col("q_id").alias("id1"), F.col("m_id").alias("id2"), F.col(c).alias("d"))
     return histogram.compare_pairs(side(pairs.similar_pairs(g, 0.2), "agmr"), side(pairs.related_pairs(g, 0.02), "hgmr"))
 
 
-@entry("a17_nearest", "SELECT id1, min(agmr) AS d, arg_min(id2, (agmr, id2)) AS id2 FROM (SELECT q_id AS id1, m_id AS id2, agmr FROM pr WHERE agmr <= 0.5) GROUP BY id1", PAIRS)
+@entry(
+    "a17_nearest",
+    "SELECT id1, min(agmr) AS d, arg_min(id2, (agmr, id2)) AS id2 FROM (SELECT q_id AS id1, m_id AS id2, agmr FROM pr WHERE agmr <= 0.5) GROUP BY id1",
+    PAIRS
+)
 def _(spark, d):
-    return histogram.nearest(pairs.similar_pairs(genotypes(spark, d), 0.5).select(F.col("q_id").alias("id1"), F.col("m_id").alias("id2"), F.col("agmr").alias("d")))
+    return histogram.nearest(
+        pairs.similar_pairs(genotypes(spark, d), 0.5).select(
+            F.col("q_id").alias("id1"), F.col("m_id").alias("id2"), F.col("agmr").alias("d")
+        )
+    )
 
 
-@entry("a18_error_curve", "SELECT o_totalprice, CAST(sum(f) OVER w AS BIGINT) AS n_null, CAST(sum(t) OVER w AS BIGINT) AS n_other FROM (SELECT o_totalprice, count(*) FILTER (o_custkey % 2 = 0) AS f, count(*) FILTER (o_custkey % 2 <> 0) AS t FROM orders GROUP BY 1) WINDOW w AS (ORDER BY o_totalprice DESC ROWS UNBOUNDED PRECEDING)")
+@entry(
+    "a18_error_curve",
+    "SELECT o_totalprice, CAST(sum(f) OVER w AS BIGINT) AS n_null, CAST(sum(t) OVER w AS BIGINT) AS n_other FROM (SELECT o_totalprice, count(*) FILTER (o_custkey % 2 = 0) AS f, count(*) FILTER (o_custkey % 2 <> 0) AS t FROM orders GROUP BY 1) WINDOW w AS (ORDER BY o_totalprice DESC ROWS UNBOUNDED PRECEDING)"
+)
 def _(spark, d):
     rows = spark.read.parquet(f"{d}/orders.parquet").withColumn("null_id", F.col("o_custkey") % 2 == 0)
     return histogram.error_curve(rows, "o_totalprice", "null_id", "o_orderkey")
@@ -357,7 +413,9 @@ def _(spark, d):
     return pairs.ordered(pairs.similar_pairs(genotypes(spark, d), NEAR))
 
 
-@entry("p11_order", f"""SELECT q_id, m_id, row_number() OVER (ORDER BY q_id, agmr, m_id) - 1 AS place FROM pr WHERE agmr <= {NEAR}""", PAIRS)
+@entry(
+    "p11_order", f"""SELECT q_id, m_id, row_number() OVER (ORDER BY q_id, agmr, m_id) - 1 AS place FROM pr WHERE agmr <= {NEAR}""", PAIRS
+)
 def _(spark, d):
     # the place of each row as the sorted output has it: partitions of a sort are in order, and so are the rows in them
     rows = checkpoint(pairs.ordered(pairs.similar_pairs(genotypes(spark, d), NEAR)), wide=True)
@@ -390,12 +448,20 @@ def _(spark, d):
     return pairs.chunk_matches(checkpoint(pairs.chunk_patterns(genotypes(spark, d), 4)))
 
 
-@entry("p5_p9_estimated_pairs", "SELECT q_id, m_id, matches, usable, greatest(0.0, round(1 - power(matches / usable, 0.25), 6)) AS est_agmr FROM es WHERE matches >= power(0.8, 4) * usable", CHUNKS)
+@entry(
+    "p5_p9_estimated_pairs",
+    "SELECT q_id, m_id, matches, usable, greatest(0.0, round(1 - power(matches / usable, 0.25), 6)) AS est_agmr FROM es WHERE matches >= power(0.8, 4) * usable",
+    CHUNKS
+)
 def _(spark, d):
     return pairs.estimated_pairs(genotypes(spark, d), NEAR, 4)
 
 
-@entry("p6_filtered_pairs", f"SELECT es.q_id, es.m_id, matches, n02, n00_22, n01_12, n11, agmr FROM es JOIN pr ON es.q_id = pr.q_id AND es.m_id = pr.m_id WHERE matches >= power(0.8, 4) * usable AND agmr <= {NEAR}", CHUNKS + PAIRS)
+@entry(
+    "p6_filtered_pairs",
+    f"SELECT es.q_id, es.m_id, matches, n02, n00_22, n01_12, n11, agmr FROM es JOIN pr ON es.q_id = pr.q_id AND es.m_id = pr.m_id WHERE matches >= power(0.8, 4) * usable AND agmr <= {NEAR}",
+    CHUNKS + PAIRS
+)
 def _(spark, d):
     return pairs.filtered_pairs(genotypes(spark, d), NEAR, 4).select("q_id", "m_id", "matches", "n02", "n00_22", "n01_12", "n11", "agmr")
 
@@ -440,7 +506,10 @@ tq AS (SELECT * FROM (SELECT place, sum(q) OVER (ORDER BY place ROWS 32 PRECEDIN
 # ---- clusters and duplicates ------------------------------------------------------------------------------------------------------
 
 def distances(spark, d) -> DataFrame:
-    return pairs.similar_pairs(genotypes(spark, d), NEAR).select(F.col("q_id").alias("id1"), F.col("q_md").alias("md1"), F.col("m_id").alias("id2"), F.col("m_md").alias("md2"), F.col("agmr").alias("d"))
+    return pairs.similar_pairs(genotypes(spark, d), NEAR).select(
+        F.col("q_id").alias("id1"), F.col("q_md").alias("md1"), F.col("m_id").alias("id2"), F.col("m_md").alias("md2"),
+        F.col("agmr").alias("d")
+    )
 
 
 def found_clusters(spark, d, threshold: float):
@@ -452,7 +521,10 @@ def found_clusters(spark, d, threshold: float):
 @entry("c1_load_pairs", "SELECT a, b, d FROM ds", DIST)
 def _(spark, d):
     rows = distances(spark, d)
-    back = rows.select(F.col("id2").alias("id1"), F.col("md2").alias("md1"), F.col("id1").alias("id2"), F.col("md1").alias("md2"), (F.col("d") + 0.01).alias("d"))
+    back = rows.select(
+        F.col("id2").alias("id1"), F.col("md2").alias("md1"), F.col("id1").alias("id2"), F.col("md1").alias("md2"),
+        (F.col("d") + 0.01).alias("d")
+    )
     return clusters.load_pairs(rows.unionByName(back))
 
 
@@ -496,7 +568,11 @@ for _name, _threshold in (("c6_c7_c8_cluster_table", 0.035), ("c10_ordered_wide"
         return clusters.ordered(clusters.cluster_table(loaded, found, threshold))
 
 
-@entry("c10_order", f"SELECT cluster, row_number() OVER (ORDER BY size, avg_d, max_d, gap DESC, ids) - 1 AS place FROM ({cluster_sql(NEAR)})", threshold_clusters(NEAR))
+@entry(
+    "c10_order",
+    f"SELECT cluster, row_number() OVER (ORDER BY size, avg_d, max_d, gap DESC, ids) - 1 AS place FROM ({cluster_sql(NEAR)})",
+    threshold_clusters(NEAR)
+)
 def _(spark, d):
     loaded, found = found_clusters(spark, d, NEAR)
     return in_order(checkpoint(clusters.ordered(clusters.cluster_table(loaded, found, NEAR)), wide=True).select("cluster"))
@@ -515,7 +591,10 @@ def _(spark, d):
     return clusters.linkage_tree(clusters.load_pairs(distances(spark, d)))
 
 
-@entry("u1_u2_unique_genotypes", "SELECT acc_id, marker, dosage FROM g WHERE acc_id NOT IN (SELECT id FROM rp WHERE id <> rep)", threshold_clusters(0.035))
+@entry(
+    "u1_u2_unique_genotypes", "SELECT acc_id, marker, dosage FROM g WHERE acc_id NOT IN (SELECT id FROM rp WHERE id <> rep)",
+    threshold_clusters(0.035)
+)
 def _(spark, d):
     return dedup.unique_genotypes(genotypes(spark, d), found_clusters(spark, d, 0.035)[1]).select("acc_id", "marker", "dosage")
 
@@ -535,7 +614,11 @@ UPED = """, up AS (SELECT *, row_number() OVER (PARTITION BY prog ORDER BY prog)
 ur AS (SELECT coalesce(a.rep, prog) AS prog, coalesce(b.rep, fpar) AS fpar, coalesce(c.rep, mpar) AS mpar, up.prog AS line FROM up LEFT JOIN rp a ON a.id = prog LEFT JOIN rp b ON b.id = fpar LEFT JOIN rp c ON c.id = mpar WHERE k = 1)"""
 
 
-@entry("u4_u7_unique_pedigrees", "SELECT prog, fpar, mpar FROM (SELECT *, row_number() OVER (PARTITION BY prog ORDER BY CAST(fpar IS NULL AS INT) + CAST(mpar IS NULL AS INT), line) AS k FROM ur) WHERE k = 1", threshold_clusters(NEAR) + UPED)
+@entry(
+    "u4_u7_unique_pedigrees",
+    "SELECT prog, fpar, mpar FROM (SELECT *, row_number() OVER (PARTITION BY prog ORDER BY CAST(fpar IS NULL AS INT) + CAST(mpar IS NULL AS INT), line) AS k FROM ur) WHERE k = 1",
+    threshold_clusters(NEAR) + UPED
+)
 def _(spark, d):
     return dedup.unique_pedigrees(pedigrees(spark, d).withColumn("line", F.col("prog")), found_clusters(spark, d, NEAR)[1])
 
@@ -545,7 +628,10 @@ def _(spark, d):
     return filters.select_columns(pedigrees(spark, d), [-2])
 
 
-@entry("u6_keep_share", f"SELECT DISTINCT acc_id FROM g WHERE acc_id NOT IN (SELECT id FROM rp WHERE id <> rep AND {u('1', 'id')} >= 0.5)", threshold_clusters(NEAR))
+@entry(
+    "u6_keep_share", f"SELECT DISTINCT acc_id FROM g WHERE acc_id NOT IN (SELECT id FROM rp WHERE id <> rep AND {u('1', 'id')} >= 0.5)",
+    threshold_clusters(NEAR)
+)
 def _(spark, d):
     return dedup.keep_share(genotypes(spark, d), found_clusters(spark, d, NEAR)[1], 0.5).select("acc_id").distinct()
 
@@ -571,7 +657,10 @@ def _(spark, d):
     return cand.roles_by_heterozygosity(genotypes(spark, d), 0.3, 1.3, 50)
 
 
-@entry("h4_roles_by_pedigree", "SELECT acc_id, CASE WHEN acc_id IN (SELECT mpar FROM ped) OR acc_id IN (SELECT fpar FROM ped WHERE fpar IS NOT NULL) THEN 'b' ELSE 'o' END AS role FROM (SELECT DISTINCT acc_id FROM g)")
+@entry(
+    "h4_roles_by_pedigree",
+    "SELECT acc_id, CASE WHEN acc_id IN (SELECT mpar FROM ped) OR acc_id IN (SELECT fpar FROM ped WHERE fpar IS NOT NULL) THEN 'b' ELSE 'o' END AS role FROM (SELECT DISTINCT acc_id FROM g)"
+)
 def _(spark, d):
     return cand.roles_by_pedigree(genotypes(spark, d), pedigrees(spark, d))
 
@@ -581,13 +670,21 @@ def _(spark, d):
     return cand.candidates(genotypes(spark, d))
 
 
-@entry("h2_candidates_by_role", "SELECT prog, par, n11, hgmr FROM cd WHERE prog IN (SELECT acc_id FROM ro WHERE role IN ('o', 'b')) AND par IN (SELECT acc_id FROM ro WHERE role IN ('p', 'b'))", ACC + ROLES + CAND)
+@entry(
+    "h2_candidates_by_role",
+    "SELECT prog, par, n11, hgmr FROM cd WHERE prog IN (SELECT acc_id FROM ro WHERE role IN ('o', 'b')) AND par IN (SELECT acc_id FROM ro WHERE role IN ('p', 'b'))",
+    ACC + ROLES + CAND
+)
 def _(spark, d):
     g = genotypes(spark, d)
     return cand.candidates(g, cand.roles_by_heterozygosity(g, 0.3, 1.3, 50))
 
 
-@entry("h5_recorded_candidates", "SELECT prog, par, n11, hgmr FROM cd WHERE par IN (SELECT mpar FROM ped) OR par IN (SELECT fpar FROM ped WHERE fpar IS NOT NULL)", CAND)
+@entry(
+    "h5_recorded_candidates",
+    "SELECT prog, par, n11, hgmr FROM cd WHERE par IN (SELECT mpar FROM ped) OR par IN (SELECT fpar FROM ped WHERE fpar IS NOT NULL)",
+    CAND
+)
 def _(spark, d):
     return cand.recorded_candidates(cand.candidates(genotypes(spark, d)), pedigrees(spark, d))
 
@@ -612,7 +709,11 @@ def _(spark, d):
     return cand.reject_het_het(p, cand.het_overlap(genotypes(spark, d), p), 20, 0.6)
 
 
-@entry("h8_top_candidates", "SELECT prog, par, hgmr, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prog ORDER BY hgmr, par) AS rank FROM cd) WHERE rank <= 2", CAND)
+@entry(
+    "h8_top_candidates",
+    "SELECT prog, par, hgmr, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prog ORDER BY hgmr, par) AS rank FROM cd) WHERE rank <= 2",
+    CAND
+)
 def _(spark, d):
     return cand.top_candidates(cand.candidates(genotypes(spark, d)), 2).select("prog", "par", "hgmr", "rank")
 
@@ -665,16 +766,25 @@ def _(spark, d):
     return triples.one_parent(genotypes(spark, d), recorded_pairs(spark, d))
 
 
-@entry("t7_normalized", "SELECT prog, ftr / 0.25 AS ftr, hgmr1 / 0.5 AS hgmr1, r2 / 0.4 AS r2, z / 0.2 AS z FROM ts", PEDT + TRIPLE.format(t="pt"))
+@entry(
+    "t7_normalized", "SELECT prog, ftr / 0.25 AS ftr, hgmr1 / 0.5 AS hgmr1, r2 / 0.4 AS r2, z / 0.2 AS z FROM ts",
+    PEDT + TRIPLE.format(t="pt")
+)
 def _(spark, d):
-    return triples.statistics(triples.with_masks(recorded_triples(spark, d), pack(genotypes(spark, d))), {"hgmr": 0.5, "r": 0.4, "ftr": 0.25, "z": 0.2}).select("prog", "ftr", "hgmr1", "r2", "z")
+    return triples.statistics(
+        triples.with_masks(recorded_triples(spark, d), pack(genotypes(spark, d))), {"hgmr": 0.5, "r": 0.4, "ftr": 0.25, "z": 0.2}
+    ).select("prog", "ftr", "hgmr1", "r2", "z")
 
 
 TL = PEDT + ", tl AS (SELECT t.*, k.marker, i.dosage AS i, j.dosage AS j, k.dosage AS k FROM pt t JOIN g k ON k.acc_id = prog AND k.dosage IS NOT NULL JOIN g i ON i.acc_id = p1 AND i.marker = k.marker AND i.dosage IS NOT NULL JOIN g j ON j.acc_id = p2 AND j.marker = k.marker AND j.dosage IS NOT NULL)"
 FORBID = "(i = 0 AND j = 0 AND k > 0) OR (i = 2 AND j = 2 AND k < 2) OR (i + j = 1 AND k = 2) OR (i + j = 3 AND k = 0) OR (i + j = 2 AND i <> j AND k <> 1)"
 
 
-@entry("t10_state_counts", f"""SELECT i, j, k, count(*) AS n, CAST(CASE WHEN {FORBID} THEN 1 ELSE 0 END + CASE WHEN i = j AND i <> 1 AND abs(i - k) = 2 THEN 1 ELSE 0 END AS INT) AS weight, {FORBID} AS forbidden FROM tl GROUP BY i, j, k""", TL)
+@entry(
+    "t10_state_counts",
+    f"""SELECT i, j, k, count(*) AS n, CAST(CASE WHEN {FORBID} THEN 1 ELSE 0 END + CASE WHEN i = j AND i <> 1 AND abs(i - k) = 2 THEN 1 ELSE 0 END AS INT) AS weight, {FORBID} AS forbidden FROM tl GROUP BY i, j, k""",
+    TL
+)
 def _(spark, d):
     return triples.state_counts(genotypes(spark, d), recorded_triples(spark, d))
 
@@ -685,9 +795,15 @@ def _(spark, d):
     return triples.mixed_rate(triples.expected_forbidden(genotypes(spark, d), recorded_triples(spark, d)))
 
 
-@entry("t11_pedigree_class", """SELECT prog, CASE WHEN ftr IS NULL OR agmr12 IS NULL THEN 'unclear' WHEN agmr12 <= 0.04 AND hgmr1 <= 0.05 AND r1 <= 0.15 THEN 'self' WHEN ftr <= 0.05 AND hgmr1 <= 0.05 AND hgmr2 <= 0.05 THEN 'biparental' WHEN hgmr1 <= 0.05 OR hgmr2 <= 0.05 THEN 'one' ELSE 'none' END AS class FROM ts""", PEDT + TRIPLE.format(t="pt"))
+@entry(
+    "t11_pedigree_class",
+    """SELECT prog, CASE WHEN ftr IS NULL OR agmr12 IS NULL THEN 'unclear' WHEN agmr12 <= 0.04 AND hgmr1 <= 0.05 AND r1 <= 0.15 THEN 'self' WHEN ftr <= 0.05 AND hgmr1 <= 0.05 AND hgmr2 <= 0.05 THEN 'biparental' WHEN hgmr1 <= 0.05 OR hgmr2 <= 0.05 THEN 'one' ELSE 'none' END AS class FROM ts""",
+    PEDT + TRIPLE.format(t="pt")
+)
 def _(spark, d):
-    return triples.pedigree_class(triples.statistics(triples.with_masks(recorded_triples(spark, d), pack(genotypes(spark, d))))).select("prog", "class")
+    return triples.pedigree_class(
+        triples.statistics(triples.with_masks(recorded_triples(spark, d), pack(genotypes(spark, d))))
+    ).select("prog", "class")
 
 
 GIVEN = "ln(0.99 * (CASE {p} WHEN 0 THEN (CASE {c} WHEN 0 THEN 1 - q WHEN 1 THEN q ELSE 0.0 END) WHEN 1 THEN (CASE {c} WHEN 0 THEN (1 - q) / 2 WHEN 1 THEN 0.5 ELSE q / 2 END) ELSE (CASE {c} WHEN 0 THEN 0.0 WHEN 1 THEN 1 - q ELSE q END) END) + 0.01 / 3)"
@@ -728,11 +844,17 @@ def _(spark, d):
     return parents.alternatives(g, cand.candidates(g), phased=False).select("prog", "p1", "p2", "ftr", "rank")
 
 
-@entry("q3_by_hgmr", "SELECT prog, p1, p2, ftr, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prog ORDER BY greatest(hgmr1, hgmr2), p1, p2) AS rank FROM ts WHERE ftr <= 0.5) WHERE rank <= 2", ALT + TRIPLE.format(t="q1"))
+@entry(
+    "q3_by_hgmr",
+    "SELECT prog, p1, p2, ftr, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prog ORDER BY greatest(hgmr1, hgmr2), p1, p2) AS rank FROM ts WHERE ftr <= 0.5) WHERE rank <= 2",
+    ALT + TRIPLE.format(t="q1")
+)
 def _(spark, d):
     g = genotypes(spark, d)
     pairs_ = parents.candidate_pairs(cand.top_candidates(cand.candidates(g)))
-    return parents.rank_pairs(triples.statistics(triples.with_masks(pairs_, pack(g))), "hgmr", most=2).select("prog", "p1", "p2", "ftr", "rank")
+    return parents.rank_pairs(
+        triples.statistics(triples.with_masks(pairs_, pack(g))), "hgmr", most=2
+    ).select("prog", "p1", "p2", "ftr", "rank")
 
 
 @entry("q5_q6_level0", CHECK_SQL, CHECK)
@@ -770,16 +892,26 @@ def level_sql(level: int) -> str:
     return out
 
 
-_LIMIT = {1: "", 2: " AND prog IN (SELECT prog FROM ck_c WHERE coalesce(ftr, 100) > 0.025)", 3: " AND (par IN (SELECT mpar FROM ped) OR par IN (SELECT fpar FROM ped WHERE fpar IS NOT NULL))"}
+_LIMIT = {
+    1: "", 2: " AND prog IN (SELECT prog FROM ck_c WHERE coalesce(ftr, 100) > 0.025)",
+    3: " AND (par IN (SELECT mpar FROM ped) OR par IN (SELECT fpar FROM ped WHERE fpar IS NOT NULL))"
+}
 
 for _level in (1, 2, 3):
 
-    @entry(f"q6_q7_q8_level{_level}", level_sql(_level), _CHECK2 + BEST.replace("AS rank FROM cd)", f"AS rank FROM cd WHERE true{_LIMIT[_level]})") + ALTX)
+    @entry(
+        f"q6_q7_q8_level{_level}", level_sql(_level),
+        _CHECK2 + BEST.replace("AS rank FROM cd)", f"AS rank FROM cd WHERE true{_LIMIT[_level]})") + ALTX
+    )
     def _(spark, d, level=_level):
         return parents.find_parents(genotypes(spark, d), pedigrees(spark, d), level)
 
 
-@entry("q9_wide_output", "SELECT coalesce(c.prog, a.prog) AS prog, c.p1 AS fpar, c.p2 AS mpar, c.ftr, a.p1 AS fpar_1, a.p2 AS mpar_1, a.ftr AS ftr_1 FROM ck_c c FULL JOIN (SELECT * FROM bx WHERE rank = 1) a ON a.prog = c.prog", _CHECK2 + BEST + ALTX)
+@entry(
+    "q9_wide_output",
+    "SELECT coalesce(c.prog, a.prog) AS prog, c.p1 AS fpar, c.p2 AS mpar, c.ftr, a.p1 AS fpar_1, a.p2 AS mpar_1, a.ftr AS ftr_1 FROM ck_c c FULL JOIN (SELECT * FROM bx WHERE rank = 1) a ON a.prog = c.prog",
+    _CHECK2 + BEST + ALTX
+)
 def _(spark, d):
     rows = checkpoint(parents.find_parents(genotypes(spark, d), pedigrees(spark, d), 1).filter("fpar is not null or mpar is not null"))
     return parents.wide_output(rows, 1).select("prog", "fpar", "mpar", "ftr", "fpar_1", "mpar_1", "ftr_1")
@@ -864,7 +996,13 @@ def _(spark, d):
     return phasing.triple_hypotheses(genotypes(spark, d), recorded_triples(spark, d))
 
 
-@entry("x3_totals", "SELECT prog, p1, p2, " + ", ".join(f"CAST(sum(least(xa{t}, xb{t})) AS BIGINT) AS alone_min{t}, CAST(sum(greatest(xa{t}, xb{t})) AS BIGINT) AS alone_max{t}, CAST(sum(n_het{t}) AS BIGINT) AS n_het{t}, CAST(sum(min{t}) AS BIGINT) AS min{t}, CAST(sum(max{t}) AS BIGINT) AS max{t}" for t in (1, 2)) + " FROM z3 GROUP BY 1, 2, 3", KNOWN3 + sides())
+@entry(
+    "x3_totals",
+    "SELECT prog, p1, p2, " + ", ".join(
+        f"CAST(sum(least(xa{t}, xb{t})) AS BIGINT) AS alone_min{t}, CAST(sum(greatest(xa{t}, xb{t})) AS BIGINT) AS alone_max{t}, CAST(sum(n_het{t}) AS BIGINT) AS n_het{t}, CAST(sum(min{t}) AS BIGINT) AS min{t}, CAST(sum(max{t}) AS BIGINT) AS max{t}" for t in (1, 2)
+    ) + " FROM z3 GROUP BY 1, 2, 3",
+    KNOWN3 + sides()
+)
 def _(spark, d):
     return phasing.hypothesis_totals(phasing.triple_hypotheses(genotypes(spark, d), recorded_triples(spark, d)))
 
@@ -890,10 +1028,16 @@ def _(spark, d):
 
 
 X7 = """, tt AS (SELECT prog, par, CAST(sum(x_min) AS BIGINT) AS x_min, CAST(sum(x_max) AS BIGINT) AS x_max, CAST(sum(n_het) AS BIGINT) AS n_het, CASE WHEN sum(n_het) > 0 THEN sum(x_min) / CAST(sum(n_het) AS DOUBLE) END AS rate FROM hy GROUP BY 1, 2)"""
-_BOTHWAYS = hypotheses(False).replace(PAIRT, PAIRT.replace(", pp AS", ", p0 AS") + ", pp AS (SELECT prog, par FROM p0 UNION SELECT par, prog FROM p0)")
+_BOTHWAYS = hypotheses(False).replace(
+    PAIRT, PAIRT.replace(", pp AS", ", p0 AS") + ", pp AS (SELECT prog, par FROM p0 UNION SELECT par, prog FROM p0)"
+)
 
 
-@entry("x7_pair_totals", "SELECT t.*, r.x_min AS rev_x_min, r.x_max AS rev_x_max, r.n_het AS rev_n_het, r.rate AS rev_rate FROM tt t LEFT JOIN tt r ON r.prog = t.par AND r.par = t.prog", _BOTHWAYS + X7)
+@entry(
+    "x7_pair_totals",
+    "SELECT t.*, r.x_min AS rev_x_min, r.x_max AS rev_x_max, r.n_het AS rev_n_het, r.rate AS rev_rate FROM tt t LEFT JOIN tt r ON r.prog = t.par AND r.par = t.prog",
+    _BOTHWAYS + X7
+)
 def _(spark, d):
     p = recorded_pairs(spark, d)
     both = p.unionByName(p.select(F.col("par").alias("prog"), F.col("prog").alias("par"))).distinct()
@@ -907,7 +1051,11 @@ def _(spark, d):
     return phasing.triple_quality(h, recorded_triples(spark, d))
 
 
-@entry("x9_annotated_pairs", "SELECT cd.prog, par, CASE WHEN par = fpar AND par = mpar THEN 'FM' WHEN par = fpar THEN 'F' WHEN par = mpar THEN 'M' END AS recorded FROM cd LEFT JOIN ped ON ped.prog = cd.prog", CAND)
+@entry(
+    "x9_annotated_pairs",
+    "SELECT cd.prog, par, CASE WHEN par = fpar AND par = mpar THEN 'FM' WHEN par = fpar THEN 'F' WHEN par = mpar THEN 'M' END AS recorded FROM cd LEFT JOIN ped ON ped.prog = cd.prog",
+    CAND
+)
 def _(spark, d):
     return phasing.annotate_pairs(cand.candidates(genotypes(spark, d)), pedigrees(spark, d)).select("prog", "par", "recorded")
 
@@ -927,11 +1075,18 @@ def agmr_values(spark, d):
 def _(spark, d):
     names = ("n_left", "threshold", "quality", "smooth", "smooth_quality", "left_edge", "right_edge")
     found = cluster1d.left_boundary(agmr_values(spark, d)) or dict.fromkeys(names)
-    row = one(spark, found, "n_left bigint, threshold double, quality double, smooth double, smooth_quality double, left_edge double, right_edge double")
+    row = one(
+        spark, found,
+        "n_left bigint, threshold double, quality double, smooth double, smooth_quality double, left_edge double, right_edge double"
+    )
     return row.select("n_left", *(F.round(n, {"quality": 6, "smooth_quality": 3}.get(n, 9)).alias(n) for n in names[1:]))
 
 
-@entry("d2_two_means", "SELECT CAST(nl AS BIGINT) AS n_left, round((x + nx) / 2, 9) AS threshold, round(w, 6) AS within FROM (SELECT *, ql - sl*sl/nl + (qt - ql) - (st - sl)*(st - sl)/(nt - nl) AS w FROM sp WHERE nx IS NOT NULL) ORDER BY w, x LIMIT 1", PAIRS + SPLITS)
+@entry(
+    "d2_two_means",
+    "SELECT CAST(nl AS BIGINT) AS n_left, round((x + nx) / 2, 9) AS threshold, round(w, 6) AS within FROM (SELECT *, ql - sl*sl/nl + (qt - ql) - (st - sl)*(st - sl)/(nt - nl) AS w FROM sp WHERE nx IS NOT NULL) ORDER BY w, x LIMIT 1",
+    PAIRS + SPLITS
+)
 def _(spark, d):
     return cluster1d.two_means(agmr_values(spark, d))
 
@@ -942,7 +1097,13 @@ def _(spark, d):
     return one(spark, found, "n_left bigint, threshold double, density double, quality double")
 
 
-@entry("d4_jenks", "SELECT CAST(nl AS BIGINT) AS n_left, round((x + nx) / 2, 9) AS threshold, round(w, 6) AS between FROM (SELECT *, sl*sl/nl + (st - sl)*(st - sl)/(nt - nl) AS w FROM sp WHERE nx IS NOT NULL) ORDER BY w DESC, x LIMIT 1".replace("AS between", 'AS "between"'), PAIRS + SPLITS)
+@entry(
+    "d4_jenks",
+    "SELECT CAST(nl AS BIGINT) AS n_left, round((x + nx) / 2, 9) AS threshold, round(w, 6) AS between FROM (SELECT *, sl*sl/nl + (st - sl)*(st - sl)/(nt - nl) AS w FROM sp WHERE nx IS NOT NULL) ORDER BY w DESC, x LIMIT 1".replace(
+        "AS between", 'AS "between"'
+    ),
+    PAIRS + SPLITS
+)
 def _(spark, d):
     return cluster1d.jenks(agmr_values(spark, d))
 
@@ -970,13 +1131,22 @@ def log_split(name: str, *columns: str) -> str:
 {name} AS (SELECT exp(round((x + nx) / 2, 9)) AS t FROM {name}s WHERE nx IS NOT NULL ORDER BY round(ql - sl*sl/nl + (qt - ql) - (st - sl)*(st - sl)/(nt - nl), 9), x LIMIT 1)"""
 
 
-MARKED = "".join(log_split(n, *cols) for n, cols in {"ta": ["agmr12"], "th": ["hgmr1", "hgmr2"], "tr": ["r1", "r2"], "tz": ["z"], "tf": ["ftr"]}.items())
+MARKED = "".join(
+    log_split(n, *cols) for n,
+    cols in {"ta": ["agmr12"], "th": ["hgmr1", "hgmr2"], "tr": ["r1", "r2"], "tz": ["z"], "tf": ["ftr"]}.items()
+)
 _MARK = "CASE WHEN {c} IS NULL THEN 'x' WHEN {c} <= {t}.t THEN '0' ELSE '1' END"
-_MARKS = [_MARK.format(c=c, t=t) for c, t in (("agmr12", "ta"), ("hgmr1", "th"), ("r1", "tr"), ("hgmr2", "th"), ("r2", "tr"), ("z", "tz"), ("ftr", "tf"))]
+_MARKS = [
+    _MARK.format(c=c, t=t) for c,
+    t in (("agmr12", "ta"), ("hgmr1", "th"), ("r1", "tr"), ("hgmr2", "th"), ("r2", "tr"), ("z", "tz"), ("ftr", "tf"))
+]
 CATEGORY = f"({_MARKS[0]}) || ' ' || ({_MARKS[1]}) || ({_MARKS[2]}) || ' ' || ({_MARKS[3]}) || ({_MARKS[4]}) || ' ' || ({_MARKS[5]}) || ({_MARKS[6]})"
 
 
-@entry("d7_categories", f"SELECT {CATEGORY} AS category, count(*) AS n FROM ts, ta, th, tr, tz, tf GROUP BY 1", PEDT + TRIPLE.format(t="pt") + MARKED)
+@entry(
+    "d7_categories", f"SELECT {CATEGORY} AS category, count(*) AS n FROM ts, ta, th, tr, tz, tf GROUP BY 1",
+    PEDT + TRIPLE.format(t="pt") + MARKED
+)
 def _(spark, d):
     rows = checkpoint(triples.statistics(triples.with_masks(recorded_triples(spark, d), pack(genotypes(spark, d)))))
     return cluster1d.categories(rows, cluster1d.category_thresholds(rows)).groupBy("category").agg(F.count("*").alias("n"))
@@ -996,7 +1166,9 @@ def _(spark, d):
     found = parents.alternatives(g, cand.candidates(g), phased=False, wide=wide).join(recorded.select("prog"), "prog", "left_semi")
     rows = recorded.withColumn("kind", F.lit("P")).unionByName(found.drop("rank").withColumn("kind", F.lit("A")))
     best = cluster1d.best_pedigrees(cluster1d.categories(rows, cluster1d.category_thresholds(recorded)))
-    said = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(" ", *(F.col(f"{c}.{n}") for n in ("kind", "p1", "p2", "category")))).alias(c)
+    said = lambda c: F.when(
+        F.col(c).isNotNull(), F.concat_ws(" ", *(F.col(f"{c}.{n}") for n in ("kind", "p1", "p2", "category")))
+    ).alias(c)
     return best.select("prog", "n_good", "verdict", said("first"), said("second"))
 
 
@@ -1009,7 +1181,10 @@ EDGES = DEEP + ", ed AS (SELECT fpar AS parent, prog AS child FROM dp UNION SELE
 def deep_pedigrees(spark, d):
     """A pedigree of many generations: the parents of n are a half and a third of it."""
     rows = spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id > 0")
-    return rows.select(F.col("vec_id").alias("prog"), F.expr("vec_id div 2").alias("fpar"), F.expr("case when vec_id % 5 <> 0 then vec_id div 3 end").alias("mpar"))
+    return rows.select(
+        F.col("vec_id").alias("prog"), F.expr("vec_id div 2").alias("fpar"),
+        F.expr("case when vec_id % 5 <> 0 then vec_id div 3 end").alias("mpar")
+    )
 
 
 @entry("g1_family_triples", """SELECT 1 AS "case", a.child AS acc, a.parent AS x, b.parent AS y FROM ed a JOIN ed b ON a.child = b.child AND a.parent < b.parent
@@ -1018,17 +1193,27 @@ def _(spark, d):
     return graph.family_triples(graph.edges(deep_pedigrees(spark, d)))
 
 
-@entry("g2_ancestors", "SELECT id, ancestor, CAST(min(depth) AS INT) AS depth FROM an GROUP BY 1, 2", EDGES + ", an AS (SELECT child AS id, parent AS ancestor, 1 AS depth FROM ed UNION SELECT an.id, ed.parent, an.depth + 1 FROM an JOIN ed ON ed.child = an.ancestor WHERE an.depth < 100)")
+@entry(
+    "g2_ancestors", "SELECT id, ancestor, CAST(min(depth) AS INT) AS depth FROM an GROUP BY 1, 2",
+    EDGES + ", an AS (SELECT child AS id, parent AS ancestor, 1 AS depth FROM ed UNION SELECT an.id, ed.parent, an.depth + 1 FROM an JOIN ed ON ed.child = an.ancestor WHERE an.depth < 100)"
+)
 def _(spark, d):
     return graph.ancestors(checkpoint(graph.edges(deep_pedigrees(spark, d))))
 
 
-@entry("g2_cycles", "SELECT id FROM an WHERE id = ancestor GROUP BY id", EDGES + ", an AS (SELECT child AS id, parent AS ancestor FROM ed UNION SELECT an.id, ed.parent FROM an JOIN ed ON ed.child = an.ancestor)")
+@entry(
+    "g2_cycles", "SELECT id FROM an WHERE id = ancestor GROUP BY id",
+    EDGES + ", an AS (SELECT child AS id, parent AS ancestor FROM ed UNION SELECT an.id, ed.parent FROM an JOIN ed ON ed.child = an.ancestor)"
+)
 def _(spark, d):
     return graph.cycles(graph.edges(deep_pedigrees(spark, d)))
 
 
-@entry("g2_degrees", "SELECT coalesce(u.id, v.id) AS id, coalesce(n_parents, 0) AS n_parents, coalesce(n_offspring, 0) AS n_offspring FROM (SELECT child AS id, count(*) AS n_parents FROM ed GROUP BY 1) u FULL JOIN (SELECT parent AS id, count(*) AS n_offspring FROM ed GROUP BY 1) v ON u.id = v.id", EDGES)
+@entry(
+    "g2_degrees",
+    "SELECT coalesce(u.id, v.id) AS id, coalesce(n_parents, 0) AS n_parents, coalesce(n_offspring, 0) AS n_offspring FROM (SELECT child AS id, count(*) AS n_parents FROM ed GROUP BY 1) u FULL JOIN (SELECT parent AS id, count(*) AS n_offspring FROM ed GROUP BY 1) v ON u.id = v.id",
+    EDGES
+)
 def _(spark, d):
     return graph.degrees(graph.edges(deep_pedigrees(spark, d)))
 
@@ -1038,7 +1223,10 @@ def _(spark, d):
     return graph.childless(graph.edges(deep_pedigrees(spark, d)))
 
 
-@entry("g3_grandparents", "SELECT a.prog, a.s || b.s AS line, a.p AS parent, b.p AS grandparent FROM lg a JOIN lg b ON b.prog = a.p", DEEP + ", lg AS (SELECT prog, 'F' AS s, fpar AS p FROM dp UNION ALL SELECT prog, 'M', mpar FROM dp WHERE mpar IS NOT NULL)")
+@entry(
+    "g3_grandparents", "SELECT a.prog, a.s || b.s AS line, a.p AS parent, b.p AS grandparent FROM lg a JOIN lg b ON b.prog = a.p",
+    DEEP + ", lg AS (SELECT prog, 'F' AS s, fpar AS p FROM dp UNION ALL SELECT prog, 'M', mpar FROM dp WHERE mpar IS NOT NULL)"
+)
 def _(spark, d):
     return graph.grandparents(deep_pedigrees(spark, d)).filter("grandparent is not null")
 
@@ -1049,12 +1237,21 @@ def _(spark, d):
     return graph.random_pedigrees(genotypes(spark, d))
 
 
-@entry("g5_genome_positions", "SELECT marker_id, chrom, pos, CAST(pos + coalesce(o, 0) AS BIGINT) AS cum_pos FROM mp JOIN (SELECT chrom, sum(e) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM (SELECT chrom, max(pos) AS e FROM mp GROUP BY chrom)) USING (chrom)", ", mp AS (SELECT DISTINCT marker_id, chrom, 100 * (marker % 16 + 1) AS pos FROM g)")
+@entry(
+    "g5_genome_positions",
+    "SELECT marker_id, chrom, pos, CAST(pos + coalesce(o, 0) AS BIGINT) AS cum_pos FROM mp JOIN (SELECT chrom, sum(e) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM (SELECT chrom, max(pos) AS e FROM mp GROUP BY chrom)) USING (chrom)",
+    ", mp AS (SELECT DISTINCT marker_id, chrom, 100 * (marker % 16 + 1) AS pos FROM g)"
+)
 def _(spark, d):
-    return graph.genome_positions(genotypes(spark, d).select("marker_id", "chrom", F.expr("cast(100 * (marker % 16 + 1) as int)").alias("pos")).distinct())
+    return graph.genome_positions(
+        genotypes(spark, d).select("marker_id", "chrom", F.expr("cast(100 * (marker % 16 + 1) as int)").alias("pos")).distinct()
+    )
 
 
-@entry("g6_noisy_duplicates", f"""SELECT acc_id, marker, dosage FROM g UNION ALL SELECT acc_id || '_dup', marker, CASE WHEN {u('1noise', 'acc_id', 'marker')} < 0.05 THEN CAST((dosage + 1 + floor({u('1which', 'acc_id', 'marker')} * 2)) % 3 AS INT) ELSE dosage END FROM g WHERE {u('1', 'acc_id')} < 0.3""")
+@entry(
+    "g6_noisy_duplicates",
+    f"""SELECT acc_id, marker, dosage FROM g UNION ALL SELECT acc_id || '_dup', marker, CASE WHEN {u('1noise', 'acc_id', 'marker')} < 0.05 THEN CAST((dosage + 1 + floor({u('1which', 'acc_id', 'marker')} * 2)) % 3 AS INT) ELSE dosage END FROM g WHERE {u('1', 'acc_id')} < 0.3"""
+)
 def _(spark, d):
     return graph.duplicates(genotypes(spark, d), 0.3, 0.05).select("acc_id", "marker", "dosage")
 
@@ -1062,7 +1259,10 @@ def _(spark, d):
 @entry("g7_average_phenotypes", """SELECT acc_id, round(avg(value * s), 9) AS value, count(*) AS n FROM ph JOIN (SELECT rep, CASE WHEN regr_slope(value, base) < 0 THEN -1 ELSE 1 END AS s FROM ph JOIN (SELECT acc_id, value AS base FROM ph WHERE rep = 0) USING (acc_id) GROUP BY rep) USING (rep) GROUP BY acc_id""",
        ", ph AS (SELECT vec_id AS acc_id, r AS rep, CAST(embedding[r + 1] AS DOUBLE) * CASE WHEN r % 2 = 1 THEN -1 ELSE 1 END + CAST(embedding[1] AS DOUBLE) * CASE WHEN r % 2 = 1 THEN -4 ELSE 4 END AS value FROM embeddings, range(4) t(r))")
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("acc_id"), F.posexplode(F.slice("embedding", 1, 4)).alias("rep", "x"), F.col("embedding")[0].cast("double").alias("e"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(
+        F.col("vec_id").alias("acc_id"), F.posexplode(F.slice("embedding", 1, 4)).alias("rep", "x"),
+        F.col("embedding")[0].cast("double").alias("e")
+    )
     sign = F.when(F.col("rep") % 2 == 1, -1).otherwise(1)
     return graph.average_phenotypes(rows.select("acc_id", "rep", (F.col("x").cast("double") * sign + F.col("e") * sign * 4).alias("value")))
 
@@ -1073,15 +1273,29 @@ def vcf_lines(spark, d):
     return checkpoint(vcf.from_genotypes(genotypes(spark, d))).select("value")
 
 
-@entry("s1_s7_vcf_scan", "SELECT acc_id, marker_id, chrom, CAST(100 * (marker + 1) AS BIGINT) AS pos, dosage, CASE WHEN dosage = 1 THEN phase END AS phase FROM g")
+@entry(
+    "s1_s7_vcf_scan",
+    "SELECT acc_id, marker_id, chrom, CAST(100 * (marker + 1) AS BIGINT) AS pos, dosage, CASE WHEN dosage = 1 THEN phase END AS phase FROM g"
+)
 def _(spark, d):
     return vcf.parse(vcf_lines(spark, d))
 
 
-@entry("s4_s5_ds_gp", """SELECT CASE WHEN n_chars % 7 = 0 THEN NULL WHEN abs(x - floor(x + 0.5)) <= 0.1 AND floor(x + 0.5) <= 2 THEN CAST(floor(x + 0.5) AS INT) END AS dosage, count(*) AS n FROM (SELECT n_chars, (n_chars % 33) / 10.0 AS x FROM documents) GROUP BY 1""")
+@entry(
+    "s4_s5_ds_gp",
+    """SELECT CASE WHEN n_chars % 7 = 0 THEN NULL WHEN abs(x - floor(x + 0.5)) <= 0.1 AND floor(x + 0.5) <= 2 THEN CAST(floor(x + 0.5) AS INT) END AS dosage, count(*) AS n FROM (SELECT n_chars, (n_chars % 33) / 10.0 AS x FROM documents) GROUP BY 1"""
+)
 def _(spark, d):
-    token = F.concat(F.format_string("%.1f", (F.col("n_chars") % 33) / 10.0), F.when(F.col("n_chars") % 7 == 0, ":0.5,0.3,0.2").otherwise(":0.95,0.03,0.02"))
-    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.concat_ws("\t", F.lit("1"), F.col("doc_id").cast("string"), F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("A\tG\t.\t.\t.\tDS:GP"), token).alias("value"))
+    token = F.concat(
+        F.format_string("%.1f", (F.col("n_chars") % 33) / 10.0),
+        F.when(F.col("n_chars") % 7 == 0, ":0.5,0.3,0.2").otherwise(":0.95,0.03,0.02")
+    )
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(
+        F.concat_ws(
+            "\t", F.lit("1"), F.col("doc_id").cast("string"), F.concat(F.lit("d"), F.col("doc_id").cast("string")),
+            F.lit("A\tG\t.\t.\t.\tDS:GP"), token
+        ).alias("value")
+    )
     return vcf.parse(rows, ["only"]).groupBy("dosage").agg(F.count("*").alias("n"))
 
 
@@ -1090,22 +1304,34 @@ def _(spark, d):
     return vcf.parse(vcf_lines(spark, d), None, vcf.Options(chrom_pos_ids=True)).select("marker_id").distinct()
 
 
-@entry("s8_s9_vcf_filters", "SELECT acc_id, g.marker_id, dosage FROM g JOIN mc ON mc.marker = g.marker WHERE mc.n_missing <= 0.027 * n_acc AND n_alt >= 0.45 * 2 * (n_acc - mc.n_missing) AND n_alt <= 0.55 * 2 * (n_acc - mc.n_missing) AND acc_id IN (SELECT acc_id FROM ac WHERE n_missing <= 0.03 * 64)", MARK + ACC)
+@entry(
+    "s8_s9_vcf_filters",
+    "SELECT acc_id, g.marker_id, dosage FROM g JOIN mc ON mc.marker = g.marker WHERE mc.n_missing <= 0.027 * n_acc AND n_alt >= 0.45 * 2 * (n_acc - mc.n_missing) AND n_alt <= 0.55 * 2 * (n_acc - mc.n_missing) AND acc_id IN (SELECT acc_id FROM ac WHERE n_missing <= 0.03 * 64)",
+    MARK + ACC
+)
 def _(spark, d):
     rows = vcf.parse(vcf_lines(spark, d))
     good, _ = vcf.split_accessions(rows, 0.03)
-    return vcf.marker_filter(rows, 0.027, 0.45).join(good.select("acc_id").distinct(), "acc_id", "left_semi").select("acc_id", "marker_id", "dosage")
+    return vcf.marker_filter(rows, 0.027, 0.45).join(
+        good.select("acc_id").distinct(), "acc_id", "left_semi"
+    ).select("acc_id", "marker_id", "dosage")
 
 
 TOKEN = "CASE WHEN dosage IS NULL THEN 'X' WHEN dosage = 1 AND phase = 1 THEN '+1' WHEN dosage = 1 AND phase = -1 THEN '-1' ELSE CAST(dosage AS VARCHAR) END"
 
 
-@entry("s10_s15_matrix_lines", f"SELECT acc_id || chr(9) || string_agg({TOKEN}, chr(9) ORDER BY marker) AS value FROM g GROUP BY acc_id UNION ALL SELECT 'MARKER' || chr(9) || string_agg(marker_id, chr(9) ORDER BY marker) FROM (SELECT DISTINCT marker, marker_id FROM g) UNION ALL SELECT 'CHROMOSOME' || chr(9) || string_agg(CAST(chrom AS VARCHAR), chr(9) ORDER BY marker) FROM (SELECT DISTINCT marker, chrom FROM g)")
+@entry(
+    "s10_s15_matrix_lines",
+    f"SELECT acc_id || chr(9) || string_agg({TOKEN}, chr(9) ORDER BY marker) AS value FROM g GROUP BY acc_id UNION ALL SELECT 'MARKER' || chr(9) || string_agg(marker_id, chr(9) ORDER BY marker) FROM (SELECT DISTINCT marker, marker_id FROM g) UNION ALL SELECT 'CHROMOSOME' || chr(9) || string_agg(CAST(chrom AS VARCHAR), chr(9) ORDER BY marker) FROM (SELECT DISTINCT marker, chrom FROM g)"
+)
 def _(spark, d):
     return matrix.to_lines(genotypes(spark, d)).select("value")
 
 
-@entry("s11_shuffled_rows", "SELECT acc_id, row_number() OVER (ORDER BY md5(concat_ws(':', '7', acc_id)), acc_id) AS place FROM (SELECT DISTINCT acc_id FROM g)")
+@entry(
+    "s11_shuffled_rows",
+    "SELECT acc_id, row_number() OVER (ORDER BY md5(concat_ws(':', '7', acc_id)), acc_id) AS place FROM (SELECT DISTINCT acc_id FROM g)"
+)
 def _(spark, d):
     from pyspark.sql import Window
 
@@ -1143,26 +1369,44 @@ def _(spark, d):
         except ValueError:
             return "error"
 
-    files = vcf_lines(spark, d), matrix.to_lines(genotypes(spark, d)), spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("text").alias("value"))
+    files = vcf_lines(spark, d), matrix.to_lines(genotypes(spark, d)), spark.read.parquet(f"{d}/benchmark.parquet").select(
+        F.col("text").alias("value")
+    )
     # lines of both kinds: the #CHROM line decides
     found = [kind(x) for x in (*files, files[1].select("value").unionByName(files[0].select("value")))]
     return one(spark, dict(enumerate(found)), "first string, second string, third string, fourth string")
 
 
-@entry("s19_distance_matrix", """SELECT 'v' || a.vec_id AS id1, 'v' || (c - 1) AS id2, CAST(a.embedding[c] AS DOUBLE) AS d FROM embeddings a, range(1, 65) t(c) WHERE c - 1 < a.vec_id AND CAST(a.embedding[c] AS DOUBLE) <= -0.2""")
+@entry(
+    "s19_distance_matrix",
+    """SELECT 'v' || a.vec_id AS id1, 'v' || (c - 1) AS id2, CAST(a.embedding[c] AS DOUBLE) AS d FROM embeddings a, range(1, 65) t(c) WHERE c - 1 < a.vec_id AND CAST(a.embedding[c] AS DOUBLE) <= -0.2"""
+)
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("line"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(
+        F.col("vec_id").alias("line"), F.transform("embedding", lambda x: x.cast("double")).alias("values")
+    )
     return tables.distance_matrix(rows, rows.select("line", F.concat(F.lit("v"), F.col("line").cast("string")).alias("id")), -0.2)
 
 
-@entry("s20_ped", "SELECT acc_id || ' ' || acc_id || ' 0 0 0 -9 ' || string_agg(CASE dosage WHEN 0 THEN 'L L' WHEN 1 THEN 'L H' WHEN 2 THEN 'H H' ELSE '0 0' END, ' ' ORDER BY marker) AS value FROM g GROUP BY acc_id")
+@entry(
+    "s20_ped",
+    "SELECT acc_id || ' ' || acc_id || ' 0 0 0 -9 ' || string_agg(CASE dosage WHEN 0 THEN 'L L' WHEN 1 THEN 'L H' WHEN 2 THEN 'H H' ELSE '0 0' END, ' ' ORDER BY marker) AS value FROM g GROUP BY acc_id"
+)
 def _(spark, d):
     return tables.to_ped(genotypes(spark, d)).select("value")
 
 
-@entry("s20_map", "SELECT DISTINCT chrom, 'S' || chrom || '_' || (marker + 5) AS marker_id, 0 AS cm, CAST(marker + 5 AS BIGINT) AS pos FROM g")
+@entry(
+    "s20_map",
+    "SELECT DISTINCT chrom, 'S' || chrom || '_' || (marker + 5) AS marker_id, 0 AS cm, CAST(marker + 5 AS BIGINT) AS pos FROM g"
+)
 def _(spark, d):
-    return tables.to_map(genotypes(spark, d).select("chrom", F.concat(F.lit("S"), F.col("chrom").cast("string"), F.lit("_"), (F.col("marker") + 5).cast("string")).alias("marker_id")).distinct())
+    return tables.to_map(
+        genotypes(spark, d).select(
+            "chrom",
+            F.concat(F.lit("S"), F.col("chrom").cast("string"), F.lit("_"), (F.col("marker") + 5).cast("string")).alias("marker_id")
+        ).distinct()
+    )
 
 
 @entry("s21_vcf_subset", "SELECT acc_id, marker_id, dosage FROM g WHERE acc_id IN (SELECT mpar FROM ped)")
@@ -1178,36 +1422,64 @@ def _(spark, d):
 
 
 # a line per document whose token, by the number's remainder, is sound or broken in one way
-@entry("s22_bad_tokens", """SELECT 'GT:DS:GP' AS format, kind, count(*) AS n FROM (SELECT CASE n_chars % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'colons' WHEN 2 THEN 'GT' WHEN 3 THEN 'DS' WHEN 4 THEN 'GP' WHEN 5 THEN 'colons' WHEN 6 THEN 'GT' WHEN 7 THEN 'ok' ELSE 'DS' END AS kind FROM documents WHERE n_chars IS NOT NULL) GROUP BY kind""")
+@entry(
+    "s22_bad_tokens",
+    """SELECT 'GT:DS:GP' AS format, kind, count(*) AS n FROM (SELECT CASE n_chars % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'colons' WHEN 2 THEN 'GT' WHEN 3 THEN 'DS' WHEN 4 THEN 'GP' WHEN 5 THEN 'colons' WHEN 6 THEN 'GT' WHEN 7 THEN 'ok' ELSE 'DS' END AS kind FROM documents WHERE n_chars IS NOT NULL) GROUP BY kind"""
+)
 def _(spark, d):
-    tokens = ["0/1:1.0:0,1,0", "0/1:1.0", "0-1:1.0:0,1,0", "0/1:x:0,1,0", "0/1:1:0;1;0", "0/1:1:0,1,0:7", ":1:0,1,0", "1|1:.5:1e-3,0.9,0", "./.::0,1,0"]
+    tokens = [
+        "0/1:1.0:0,1,0", "0/1:1.0", "0-1:1.0:0,1,0", "0/1:x:0,1,0", "0/1:1:0;1;0", "0/1:1:0,1,0:7", ":1:0,1,0", "1|1:.5:1e-3,0.9,0",
+        "./.::0,1,0"
+    ]
     docs = spark.read.parquet(f"{d}/documents.parquet").filter("n_chars is not null")
     token = F.element_at(F.array(*map(F.lit, tokens)), (F.col("n_chars") % 9 + 1).cast("int"))
     fields = ["1", "5", ".", "A", "G", ".", ".", ".", "GT:DS:GP"]
     return vcf.check_format(docs.select(F.concat_ws("\t", *map(F.lit, fields), token).alias("value")))
 
 
-@entry("s23_phased_vcf", "SELECT acc_id, count(*) FILTER (phase = 1 AND dosage = 1) AS plus, count(*) FILTER (phase = -1 AND dosage = 1) AS minus FROM g GROUP BY acc_id")
+@entry(
+    "s23_phased_vcf",
+    "SELECT acc_id, count(*) FILTER (phase = 1 AND dosage = 1) AS plus, count(*) FILTER (phase = -1 AND dosage = 1) AS minus FROM g GROUP BY acc_id"
+)
 def _(spark, d):
-    return vcf.parse(vcf_lines(spark, d), None, vcf.Options(fields=("GT",))).groupBy("acc_id").agg(F.count_if(F.col("phase") == 1).alias("plus"), F.count_if(F.col("phase") == -1).alias("minus"))
+    return vcf.parse(vcf_lines(spark, d), None, vcf.Options(fields=("GT",))).groupBy("acc_id").agg(
+        F.count_if(F.col("phase") == 1).alias("plus"), F.count_if(F.col("phase") == -1).alias("minus")
+    )
 
 
-@entry("s24_ad_dosage", """SELECT CASE WHEN r + a >= 5 THEN CAST(floor(2 * a / CAST(r + a AS DOUBLE) + 0.5) AS INT) END AS dosage, count(*) AS n FROM (SELECT n_chars % 11 AS r, n_chars % 7 AS a FROM documents) GROUP BY 1""")
+@entry(
+    "s24_ad_dosage",
+    """SELECT CASE WHEN r + a >= 5 THEN CAST(floor(2 * a / CAST(r + a AS DOUBLE) + 0.5) AS INT) END AS dosage, count(*) AS n FROM (SELECT n_chars % 11 AS r, n_chars % 7 AS a FROM documents) GROUP BY 1"""
+)
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.concat_ws("\t", F.lit("1"), F.col("doc_id").cast("string"), F.lit("."), F.lit("A\tG\t.\t.\t.\tAD"), F.concat((F.col("n_chars") % 11).cast("string"), F.lit(","), (F.col("n_chars") % 7).cast("string"))).alias("value"))
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(
+        F.concat_ws(
+            "\t", F.lit("1"), F.col("doc_id").cast("string"), F.lit("."), F.lit("A\tG\t.\t.\t.\tAD"),
+            F.concat((F.col("n_chars") % 11).cast("string"), F.lit(","), (F.col("n_chars") % 7).cast("string"))
+        ).alias("value")
+    )
     return vcf.parse(rows, ["only"], vcf.Options(fields=("GT", "DS", "AD"))).groupBy("dosage").agg(F.count("*").alias("n"))
 
 
-@entry("s25_ds_only", "SELECT CASE WHEN abs(x - floor(x + 0.5)) <= 0.3 AND floor(x + 0.5) <= 2 THEN CAST(floor(x + 0.5) AS INT) END AS dosage, count(*) AS n FROM (SELECT (n_chars % 33) / 10.0 AS x FROM documents) GROUP BY 1")
+@entry(
+    "s25_ds_only",
+    "SELECT CASE WHEN abs(x - floor(x + 0.5)) <= 0.3 AND floor(x + 0.5) <= 2 THEN CAST(floor(x + 0.5) AS INT) END AS dosage, count(*) AS n FROM (SELECT (n_chars % 33) / 10.0 AS x FROM documents) GROUP BY 1"
+)
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.concat_ws("\t", F.lit("1"), F.col("doc_id").cast("string"), F.lit("."), F.lit("A\tG\t.\t.\t.\tDS"), F.format_string("%.1f", (F.col("n_chars") % 33) / 10.0)).alias("value"))
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(
+        F.concat_ws(
+            "\t", F.lit("1"), F.col("doc_id").cast("string"), F.lit("."), F.lit("A\tG\t.\t.\t.\tDS"),
+            F.format_string("%.1f", (F.col("n_chars") % 33) / 10.0)
+        ).alias("value")
+    )
     return vcf.parse(rows, ["only"], vcf.Options(fields=("DS",), delta=0.3)).groupBy("dosage").agg(F.count("*").alias("n"))
 
 
 # ---- whole pipelines --------------------------------------------------------------------------------------------------------------
 
 def whole_run_sql() -> str:
-    """The level 0 check of q5_q6_level0 over the accessions and pedigrees that u1_u2 and u4_u7 leave at 0.035; inner names hide outer ones."""
+    """The level 0 check of q5_q6_level0 over the accessions and pedigrees that u1_u2 and u4_u7 leave at 0.035; inner names hide outer
+    ones."""
     check = ENTRIES["q5_q6_level0"][1].removeprefix(PREFIX)
     return f"SELECT * FROM (WITH g AS (SELECT * FROM gu), ped AS (SELECT * FROM pu){check})"
 

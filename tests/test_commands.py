@@ -17,7 +17,12 @@ def test_from_vcf_to_parents(spark, small, tmp_path):
     main(["duplicates", "--input", at("m"), "--output", at("pairs"), "--distance-max", "0.2"])
     main(["clusters", "--input", at("pairs"), "--output", at("clusters")])
     main(["clusters", "--input", at("pairs"), "--output", at("full"), "--full-output", "--cluster-distance", "0.2"])
-    main(["uniquify", "--clusters", at("clusters"), "--input", at("m"), "--output", at("u"), "--pedigrees", at("ped"), "--pedigrees-output", at("uped")])
+    main(
+        [
+            "uniquify", "--clusters", at("clusters"), "--input", at("m"), "--output", at("u"), "--pedigrees", at("ped"),
+            "--pedigrees-output", at("uped")
+        ]
+    )
     main(["uniquify", "--clusters", at("full"), "--input", at("m"), "--output", at("v"), "--vote"])
     main(["parents", "--input", at("u"), "--pedigrees", at("uped"), "--output", at("out"), "--alternative-pedigrees-level", "2"])
     main(["histogram", "--input", at("pairs"), "--columns", "5u6", "--output", at("h"), "--binwidth", "0.02"])
@@ -36,16 +41,33 @@ def test_whole_runs_equal_their_steps(spark, small, tmp_path):
     vcf.from_genotypes(genotypes(spark, small)).orderBy("k").select("value").write.text(at("vcf"))
     pedigrees(spark, small).na.fill("NA").selectExpr("concat_ws('\t', prog, fpar, mpar) as value").write.text(at("ped"))
     chosen = ["--maf-min", "0.05", "--marker-max-missing-data", "0.25", "--accession-max-missing-data", "0.5"]
-    main(["vcf-to-parents", "--input", at("vcf"), "--pedigrees", at("ped"), "--output", at("w1"), "--alternative-pedigrees-level", "2", *chosen])
+    main(
+        [
+            "vcf-to-parents", "--input", at("vcf"), "--pedigrees", at("ped"), "--output", at("w1"), "--alternative-pedigrees-level", "2",
+            *chosen
+        ]
+    )
     main(["duplicate-finder", "--input", at("vcf"), "--output", at("w2"), "--cluster-distance", "0.035", *chosen])
     main(["duplicates", "--input", at("vcf"), "--output", at("pairs"), "--filtered-out", at("m"), *chosen])
     main(["clusters", "--input", at("pairs"), "--output", at("clusters")])
-    main(["uniquify", "--clusters", at("clusters"), "--input", at("m"), "--output", at("u"), "--pedigrees", at("ped"), "--pedigrees-output", at("uped")])
-    main(["parents", "--input", at("u"), "--pedigrees", at("uped"), "--output", at("out"), "--alternative-pedigrees-level", "2", "--maf-min", "0", "--marker-max-missing-data", "1", "--accession-max-missing-data", "1"])
+    main(
+        [
+            "uniquify", "--clusters", at("clusters"), "--input", at("m"), "--output", at("u"), "--pedigrees", at("ped"),
+            "--pedigrees-output", at("uped")
+        ]
+    )
+    main(
+        [
+            "parents", "--input", at("u"), "--pedigrees", at("uped"), "--output", at("out"), "--alternative-pedigrees-level", "2",
+            "--maf-min", "0", "--marker-max-missing-data", "1", "--accession-max-missing-data", "1"
+        ]
+    )
     step = [[r[0], r[2], *r[4:]] for r in read(spark, at("pairs"))]
     assert read(spark, at("w1/pairs")) == read(spark, at("w2/pairs")) == step and step
     assert read(spark, at("w1/clusters")) == read(spark, at("w2/clusters")) == read(spark, at("clusters"))
-    assert sorted(read(spark, at("w1/unique"))) == sorted(read(spark, at("u"))) and read(spark, at("w1/pedigrees")) == read(spark, at("uped"))
+    assert sorted(
+        read(spark, at("w1/unique"))
+    ) == sorted(read(spark, at("u"))) and read(spark, at("w1/pedigrees")) == read(spark, at("uped"))
     assert read(spark, at("w1/parents")) == read(spark, at("out"))
     main(["duplicate-finder", "--input", at("vcf"), "--output", at("auto")])
     assert read(spark, at("auto/histogram"))

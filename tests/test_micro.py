@@ -23,7 +23,9 @@ def geno(spark, rows, chrom=None, phase=None):
     for a, text in rows.items():
         for m, c in enumerate(text):
             p = (phase or {}).get(a, "")
-            made.append((a, m, f"m{m:03d}", int(chrom[m]) if chrom else 1, None if c == "X" else int(c), {"+": 1, "-": -1}.get(p[m : m + 1])))
+            made.append(
+                (a, m, f"m{m:03d}", int(chrom[m]) if chrom else 1, None if c == "X" else int(c), {"+": 1, "-": -1}.get(p[m : m + 1]))
+            )
     return spark.createDataFrame(made, GENO)
 
 
@@ -37,10 +39,17 @@ def test_masks_and_counts_agree_with_naive_counts(spark, size):
 
     r = random.Random(size)
     data = {f"a{i}": "".join(r.choice("012X") for _ in range(size)) for i in range(5)}
-    found = {(x["q_id"], x["m_id"]): (x["n02"], x["n00_22"], x["n01_12"], x["n11"]) for x in pairs.similar_pairs(geno(spark, data), 1.0).collect()}
+    found = {
+        (x["q_id"], x["m_id"]): (
+            x["n02"], x["n00_22"], x["n01_12"], x["n11"]
+        ) for x in pairs.similar_pairs(geno(spark, data), 1.0).collect()
+    }
     for a, b in itertools.combinations(sorted(data), 2):
         both = [(int(x), int(y)) for x, y in zip(data[a], data[b], strict=True) if "X" not in (x, y)]
-        wanted = (sum(abs(x - y) == 2 for x, y in both), sum(x == y != 1 for x, y in both), sum(abs(x - y) == 1 for x, y in both), sum(x == y == 1 for x, y in both))
+        wanted = (
+            sum(abs(x - y) == 2 for x, y in both), sum(x == y != 1 for x, y in both), sum(abs(x - y) == 1 for x, y in both),
+            sum(x == y == 1 for x, y in both)
+        )
         assert found[b, a] == wanted
 
 
@@ -92,8 +101,12 @@ def test_components_of_chains_stars_and_repeats(spark):
     star = [(100, i) for i in range(101, 160)]
     df = spark.createDataFrame([*chain, *star, (3, 2), (200, 200), (None, 5)], "src int, dst int")
     found = dict(rows(connected_components(df), "node", "component"))
-    assert {found[i] for i in range(61)} == {0} and {found[i] for i in range(100, 160)} == {100} and found[200] == 200 and len(found) == 61 + 60 + 1
-    assert dict(rows(connected_components(df, small=10**6), "node", "component")) == found and connected_components(df.limit(0), small=5).count() == 0
+    assert {found[i] for i in range(61)} == {0} and {
+        found[i] for i in range(100, 160)
+    } == {100} and found[200] == 200 and len(found) == 61 + 60 + 1
+    assert dict(
+        rows(connected_components(df, small=10**6), "node", "component")
+    ) == found and connected_components(df.limit(0), small=5).count() == 0
     assert connected_components(df.limit(0)).count() == 0
 
 
@@ -110,7 +123,9 @@ def test_cluster_rules(spark):
     table = {r["cluster"]: r for r in clusters.cluster_table(loaded, found).collect()}
     a = table["a"]
     # a-c has no distance; z is near c (0.0419 < 1.2 * 0.035) but not near a (0.042 is not below it)
-    assert (a["size"], a["n_unknown"], a["n_near"], a["n_pts_near"], a["gap"], a["min_degree"], a["ids"]) == (3, 1, 1, 1, 0.0419, 1, "a,b,c")
+    assert (
+        a["size"], a["n_unknown"], a["n_near"], a["n_pts_near"], a["gap"], a["min_degree"], a["ids"]
+    ) == (3, 1, 1, 1, 0.0419, 1, "a,b,c")
     assert table["x"]["gap"] == 100 and table["x"]["max_d"] == 0
 
 
@@ -136,7 +151,10 @@ def test_votes(spark):
 
 
 def test_unique_pedigrees(spark):
-    p = spark.createDataFrame([(1, "k", "f", None), (2, "l", "f", "m"), (3, "k", "x", "y"), (4, None, "a", "b"), (5, "n", None, None), (6, "o", "k", "l")], "line int, prog string, fpar string, mpar string")
+    p = spark.createDataFrame(
+        [(1, "k", "f", None), (2, "l", "f", "m"), (3, "k", "x", "y"), (4, None, "a", "b"), (5, "n", None, None), (6, "o", "k", "l")],
+        "line int, prog string, fpar string, mpar string"
+    )
     found = rows(dedup.unique_pedigrees(p, members(spark, [["l", "k"]])), "prog", "fpar", "mpar")
     assert found == [("l", "f", "m"), ("o", "l", "l")]
 
@@ -149,7 +167,10 @@ def test_roles(spark):
 
 
 def test_best_pairs_with_ties_and_selfing(spark):
-    t = spark.createDataFrame([("k", "a", "a", 0.1), ("k", "a", "b", 0.1), ("k", "b", "b", None), ("k", "c", "c", 0.6)], "prog string, p1 string, p2 string, ftr double")
+    t = spark.createDataFrame(
+        [("k", "a", "a", 0.1), ("k", "a", "b", 0.1), ("k", "b", "b", None), ("k", "c", "c", 0.6)],
+        "prog string, p1 string, p2 string, ftr double"
+    )
     assert rows(parents.rank_pairs(t, most=3), "p1", "p2", "rank") == [("a", "a", 1), ("a", "b", 2)]
     c = spark.createDataFrame([("k", "a", 1), ("k", "b", 2)], "prog string, par string, rank int")
     assert rows(parents.candidate_pairs(c), "p1", "p2") == [("a", "a"), ("a", "b"), ("b", "b")]
@@ -226,9 +247,14 @@ def test_reference_set(spark):
 
 
 def test_pedigree_file(spark):
-    lines = spark.createDataFrame([(1, "k\tf\tm"), (2, "k NA m"), (3, "NA f m"), (4, "x f m"), (5, "l NA NA"), (6, ""), (7, "# c"), (8, "m\tq\tf")], "line bigint, value string")
+    lines = spark.createDataFrame(
+        [(1, "k\tf\tm"), (2, "k NA m"), (3, "NA f m"), (4, "x f m"), (5, "l NA NA"), (6, ""), (7, "# c"), (8, "m\tq\tf")],
+        "line bigint, value string"
+    )
     known = spark.createDataFrame([(i,) for i in "kflm"], "acc_id string")
-    assert rows(tables.known_pedigrees(tables.pedigree_records(lines), known), "prog", "fpar", "mpar") == [("k", None, "m"), ("m", None, "f")]
+    assert rows(
+        tables.known_pedigrees(tables.pedigree_records(lines), known), "prog", "fpar", "mpar"
+    ) == [("k", None, "m"), ("m", None, "f")]
 
 
 def test_prefilter_recall(spark, small):
@@ -243,7 +269,9 @@ def test_prefilter_recall(spark, small):
 
 def test_histogram_bins(spark):
     x = spark.createDataFrame([(float(v),) for v in [-1, 0, 0.5, 1, 2, 2, 9]] + [(float("nan"),), (None,)], "x double")
-    assert rows(histogram.histogram(x, histogram.Bins(0.0, 3.0, 1.0)), "bin", "n", "cumulative") == [(-1, 1, 1), (0, 2, 3), (1, 1, 4), (2, 2, 6), (3, 1, 7)]
+    assert rows(
+        histogram.histogram(x, histogram.Bins(0.0, 3.0, 1.0)), "bin", "n", "cumulative"
+    ) == [(-1, 1, 1), (0, 2, 3), (1, 1, 4), (2, 2, 6), (3, 1, 7)]
     whole = histogram.auto_bins(spark.range(1000).select(F.col("id").cast("double").alias("x")))
     assert whole.lo == -0.5 and whole.width >= 1
     assert histogram.nice_width(0.0037) == pytest.approx(0.0025) and histogram.Bins(0, 10, 1.0).notched(1).width == pytest.approx(1.25)
@@ -254,7 +282,9 @@ def test_linkage_tree(spark):
     merges = [("a", "b", 0.1), ("a", "c", 0.3)]
     assert clusters.newick(merges) == ["((a:0.05,b:0.05):0.1,c:0.15);"]
     rng = np.random.default_rng(3)
-    edges = {(f"n{i:02}", f"n{j:02}"): float(round(rng.random(), 2)) for i, j in (sorted(rng.choice(40, 2, replace=False)) for _ in range(90))}
+    edges = {
+        (f"n{i:02}", f"n{j:02}"): float(round(rng.random(), 2)) for i, j in (sorted(rng.choice(40, 2, replace=False)) for _ in range(90))
+    }
     root, wanted = {}, []
     for (a, b), d in sorted(edges.items(), key=lambda x: (x[1], x[0])):  # every step relabels all members
         x, y = sorted((root.get(a, a), root.get(b, b)))
@@ -343,7 +373,11 @@ def slow_density_split(x):
 @pytest.mark.parametrize("seed", [5, 6])
 def test_densities_match_plain_loops(spark, seed):
     rng = np.random.Generator(np.random.PCG64(seed))
-    x = np.sort(np.round(np.concatenate([rng.normal(0.02, 0.004, 340), rng.normal(0.4, 0.03, 2_500), rng.uniform(0, 0.4, 60)]), 4 if seed == 5 else 9))
+    x = np.sort(
+        np.round(
+            np.concatenate([rng.normal(0.02, 0.004, 340), rng.normal(0.4, 0.03, 2_500), rng.uniform(0, 0.4, 60)]), 4 if seed == 5 else 9
+        )
+    )
     values = spark.createDataFrame([(float(v),) for v in x], "x double")
     found = cluster1d.left_boundary(values)
     assert found == pytest.approx(slow_boundary(x)) and 200 <= found["n_left"] <= 400
@@ -361,7 +395,11 @@ def test_best_pedigrees(spark):
         ("b", "P", "x", "y", bad, 0.4), ("b", "A", "u", "v", good, 0.03), ("b", "A", "s", "t", good, 0.02), ("b", "A", "q", "r", good, None),
         ("c", "P", "x", "y", bad, 0.4), ("c", "A", "u", "v", part, 0.01), ("c", "A", "u", "w", bad, 0.3), ("d", "P", "x", None, "x 00 xx xx", None),
     ]
-    found = {r["prog"]: (r["n_good"], r["verdict"], r["first"] and r["first"]["p1"], r["second"] and r["second"]["p1"]) for r in cluster1d.best_pedigrees(spark.createDataFrame(data, "prog string, kind string, p1 string, p2 string, category string, ftr double")).collect()}
+    found = {
+        r["prog"]: (r["n_good"], r["verdict"], r["first"] and r["first"]["p1"], r["second"] and r["second"]["p1"]) for r in cluster1d.best_pedigrees(
+            spark.createDataFrame(data, "prog string, kind string, p1 string, p2 string, category string, ftr double")
+        ).collect()
+    }
     assert found == {"a": (2, "ped", "x", "u"), "b": (3, "alt", "s", "u"), "c": (0, "none", "u", "x"), "d": (0, "none", None, None)}
 
 
@@ -370,7 +408,9 @@ def test_best_pairs_of_many_candidates_match_the_ranking_of_all_pairs(spark, mon
     n = 60
     dosages = {f"c{i:03}": "".join(rng.choice(list("012X"), 70, p=[0.35, 0.3, 0.3, 0.05])) for i in range(n)}
     g = geno(spark, dosages)
-    found = spark.createDataFrame([(p, c, r + 1) for p in ("c000", "c001") for r, c in enumerate(sorted(dosages)[2:])], "prog string, par string, rank int")
+    found = spark.createDataFrame(
+        [(p, c, r + 1) for p in ("c000", "c001") for r, c in enumerate(sorted(dosages)[2:])], "prog string, par string, rank int"
+    )
     wide = pack(g)
     every = parents.rank_pairs(triples.statistics(triples.with_masks(parents.candidate_pairs(found), wide)), max_ftr=0.9, most=5)
     for cells in (100, 1 << 18):
@@ -381,11 +421,15 @@ def test_best_pairs_of_many_candidates_match_the_ranking_of_all_pairs(spark, mon
 
 def test_phases_are_flipped_from_the_switch_on(spark):
     # a progeny whose first chromosome is its first parent's up to marker 9, and its second parent's from marker 10 on
-    data = [("p", m, "m", 1, 0, None) for m in range(20)] + [("q", m, "m", 1, 2, None) for m in range(20)] + [("k", m, "m", 1, 1, 1 if m < 10 else -1) for m in range(20)]
+    data = [("p", m, "m", 1, 0, None) for m in range(20)] + [("q", m, "m", 1, 2, None) for m in range(20)] + [
+        ("k", m, "m", 1, 1, 1 if m < 10 else -1) for m in range(20)
+    ]
     g = spark.createDataFrame(data, GENO)
     family = spark.createDataFrame([("k", "p", "q")], "prog string, p1 string, p2 string")
     row = phasing.phase_correction(g, family).collect()[0].asDict()
-    assert {c: row[c] for c in ("n", "ab", "ba", "misfits", "ab_ba", "ba_ab", "misfits_left", "switch_from")} == {"n": 20, "ab": 20, "ba": 20, "misfits": 20, "ab_ba": 0, "ba_ab": 20, "misfits_left": 0, "switch_from": 9}
+    assert {c: row[c] for c in ("n", "ab", "ba", "misfits", "ab_ba", "ba_ab", "misfits_left", "switch_from")} == {
+        "n": 20, "ab": 20, "ba": 20, "misfits": 20, "ab_ba": 0, "ba_ab": 20, "misfits_left": 0, "switch_from": 9
+    }
     flipped = phasing.flip_phases(g, phasing.phase_correction(g, family)).filter("acc_id = 'k'")
     assert [r["phase"] for r in flipped.orderBy("marker").collect()] == [1] * 9 + [-1] + [1] * 10
     same = phasing.phase_correction(g.withColumn("phase", F.abs("phase")), family).collect()[0]
@@ -396,9 +440,16 @@ def test_running_sums(spark):
     data = [(i * 7 % 101, float(i)) for i in range(101)]
     df = spark.createDataFrame(data, "k int, v double")
     for down in (False, True):
-        got = sorted((r["k"], r["s"], r["m"], r["next"]) for r in running(df, "k", {"s": F.col("v")}, {"m": F.col("v")}, following="next", descending=down).collect())
+        got = sorted(
+            (r["k"], r["s"], r["m"], r["next"]) for r in running(
+                df, "k", {"s": F.col("v")}, {"m": F.col("v")}, following="next", descending=down
+            ).collect()
+        )
         order = sorted(data, reverse=down)
-        wanted = [(k, sum(v for _, v in order[: i + 1]), min(v for _, v in order[: i + 1]), order[i + 1][0] if i < 100 else None) for i, (k, _) in enumerate(order)]
+        wanted = [
+            (k, sum(v for _, v in order[: i + 1]), min(v for _, v in order[: i + 1]), order[i + 1][0] if i < 100 else None) for i,
+            (k, _) in enumerate(order)
+        ]
         assert got == sorted(wanted, key=lambda x: x[0])
     assert running(df.limit(0), "k", {"s": F.col("v")}).count() == 0
 
@@ -430,7 +481,9 @@ def test_graph(spark):
 def test_pipeline_of_a_matrix(spark, small):
     from genoquery.plans.fixture import genotypes, pedigrees
 
-    out = pipeline.vcf_to_parents(matrix.to_lines(genotypes(spark, small)).select("value"), pedigrees(spark, small), pipeline.Parameters(vote=True, level=2))
+    out = pipeline.vcf_to_parents(
+        matrix.to_lines(genotypes(spark, small)).select("value"), pedigrees(spark, small), pipeline.Parameters(vote=True, level=2)
+    )
     assert out["unique"].select("acc_id").distinct().count() < out["genotypes"].select("acc_id").distinct().count()
     assert out["parents"].filter("kind = 'P'").count() > 0
 
@@ -442,6 +495,8 @@ def test_stream_of_new_accessions(spark, tmp_path):
     g.filter("acc_id <> 'r1'").write.parquet(str(tmp_path / "in"))
     found = {}
     stream = spark.readStream.schema(GENO).parquet(str(tmp_path / "in"))
-    run = find_duplicates(stream, g.filter("acc_id = 'r1'"), lambda df, n: found.update({n: rows(df, "q_id", "m_id")})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run = find_duplicates(
+        stream, g.filter("acc_id = 'r1'"), lambda df, n: found.update({n: rows(df, "q_id", "m_id")})
+    ).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert found == {0: [("n1", "r1")]}
