@@ -358,5 +358,6 @@ def test_windows_are_deleted_after_use(spark):
 
     from genoquery.checkpoints import checkpoint_dir
 
-    sd.repeated_passages(frame(spark, [(1, "a b"), (2, "a b")])).collect()
-    assert not list(Path(checkpoint_dir(spark).removeprefix("file:")).rglob("windows-*"))
+    sd.repeated_passages(frame(spark, [(1, "a b"), (2, "a b"), (2, "a c")])).collect()
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    assert folder.is_dir() and not list(folder.rglob("windows-*")) and not list(folder.rglob("documents-*"))
