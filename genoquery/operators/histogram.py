@@ -109,8 +109,8 @@ def summary(values: DataFrame, column: str = "x", series: str | None = None) ->
 
 
 def fields_per_line(lines: DataFrame, separator: str = r"\s+") -> DataFrame:
-    """For each number of fields, the lines that have it and the first of them in order."""
-    n = F.when(F.trim("value") == "", 0).otherwise(F.size(F.split(F.trim("value"), separator)))
+    """For each number of fields, the lines that have it and the first of them in order; a null line has none."""
+    n = F.when(F.coalesce(F.trim("value"), F.lit("")) == "", 0).otherwise(F.size(F.split(F.trim("value"), separator)))
     return lines.groupBy(n.cast("int").alias("fields")).agg(F.count("*").alias("n"), F.min("value").alias("sample"))
 
 

@@ -355,11 +355,11 @@ def _(spark, d):
 
 @entry(
     "a14_fields_per_line",
-    """SELECT CAST(CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(text), ' ')) END AS INT) AS fields, count(*) AS n, min(text) AS sample FROM benchmark WHERE text IS NOT NULL GROUP BY 1"""
+    """SELECT CAST(CASE WHEN coalesce(trim(text), '') = '' THEN 0 ELSE len(string_split(trim(text), ' ')) END AS INT) AS fields, count(*) AS n, min(text) AS sample FROM documents GROUP BY 1"""
 )
 def _(spark, d):
     return histogram.fields_per_line(
-        spark.read.parquet(f"{d}/benchmark.parquet").filter("text is not null").select(F.col("text").alias("value")), " "
+        spark.read.parquet(f"{d}/documents.parquet").select(F.col("text").alias("value")), " "
     )
 
 
@@ -1411,7 +1411,7 @@ def _(spark, d):
 
 @entry("s21_vcf_subset", "SELECT acc_id, marker_id, dosage FROM g WHERE acc_id IN (SELECT mpar FROM ped)")
 def _(spark, d):
-    keep = [r["mpar"] for r in pedigrees(spark, d).select("mpar").distinct().collect()]
+    keep = pedigrees(spark, d).select(F.col("mpar").alias("acc_id"))
     lines = checkpoint(vcf.subset(vcf_lines(spark, d), keep))
     return vcf.parse(lines).select("acc_id", "marker_id", "dosage")
 

@@ -25,12 +25,10 @@ class Options:
     chrom_pos_ids: bool = False
 
 
-def header(lines: DataFrame) -> list[str]:
-    """Accession ids from the first #CHROM line."""
-    row = lines.filter(F.startswith("value", F.lit("#CHROM"))).orderBy("value").first()
-    if row is None:
-        raise ValueError("no #CHROM line")
-    return row["value"].rstrip("\n").split("\t")[9:]
+def header(lines: DataFrame) -> DataFrame:
+    """One row with the fields of the first #CHROM line (c); none without such a line."""
+    first = lines.filter(F.startswith("value", F.lit("#CHROM"))).orderBy("value").limit(1)
+    return first.select(F.split(F.rtrim(F.col("value")), "\t").alias("c"))
 
 
 def gt_dosage(gt: Column) -> Column:
@@ -75,9 +73,7 @@ def parse(lines: DataFrame, accessions: list[str] | None = None, options: Option
     has gives the dosage."""
     cols = F.split("value", "\t")
     if accessions is None:
-        first = lines.filter(F.startswith("value", F.lit("#CHROM"))).orderBy("value").limit(1).select(
-            F.split(F.rtrim(F.col("value")), "\t").alias("c")
-        )
+        first = header(lines)
         size = first.select(F.size("c")).first()
         if size is None:
             raise ValueError("no #CHROM line")
@@ -154,12 +150,14 @@ def check_format(lines: DataFrame) -> DataFrame:
     return rows.groupBy("format", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-def subset(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """VCF lines with the listed accessions' columns only."""
-    places = [i + 10 for i, a in enumerate(header(lines)) if a in set(keep)]
+def subset(lines: DataFrame, keep: DataFrame) -> DataFrame:
+    """VCF lines with the listed accessions' (acc_id) columns only, in the file's order."""
+    found = header(lines).select(F.posexplode(F.slice("c", 10, F.greatest(F.size("c") - 9, F.lit(0)))).alias("k", "acc_id"))
+    places = found.join(keep.select("acc_id").distinct(), "acc_id").agg(F.sort_array(F.collect_list(F.col("k") + 10)).alias("__at"))
     cols = F.split("value", "\t")
-    chosen = F.concat_ws("\t", F.slice(cols, 1, 9), F.array(*(F.element_at(cols, p) for p in places)))
-    return lines.withColumn("value", F.when(F.startswith("value", F.lit("##")), F.col("value")).otherwise(chosen))
+    chosen = F.concat_ws("\t", F.slice(cols, 1, 9), F.transform("__at", lambda p: F.element_at(cols, p)))
+    both = lines.crossJoin(F.broadcast(places))  # one row with a number for each accession kept
+    return both.withColumn("value", F.when(F.startswith("value", F.lit("##")), F.col("value")).otherwise(chosen)).drop("__at")
 
 
 def from_genotypes(genotypes: DataFrame) -> DataFrame:
