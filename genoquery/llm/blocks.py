@@ -34,7 +34,8 @@ from genoquery.llm.common import column, lean, ship, table, word_hashes
 
 # HTML's own element names, by what they do to a run of text.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext"
+    "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt "
+    "msub msup mtext"
     " object output q s samp semantics small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,7 +45,8 @@ CLOSES = {
     "option": {"option"}
 }
 ENDS_P = frozenset(
-    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu "
+    "nav ol p pre section table ul".split()
 )
 SCOPE = {
     "p": "div section article td body", "li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table", "th": "table",
@@ -423,7 +425,8 @@ class _Composer:
         more = f"<button>{self.words(1, 2)}</button>" if self.odds(0.4) else ""
         return self.named(
             "div div section aside p",
-            "notice cookie cookies consent gdpr alert popup modal subscribe newsletter paywall warning message announcement toast disclaimer cookiebar notification status hint",
+            "notice cookie cookies consent gdpr alert popup modal subscribe newsletter paywall warning message announcement toast "
+            "disclaimer cookiebar notification status hint",
             self.prose(1, 2, 25) + more, True
         )
 
@@ -458,7 +461,8 @@ class _Composer:
         )
         return self.named(
             "div section ol ul aside",
-            "comments comment-list commentlist responses discussion disqus_thread replies reviews user-comments reader-comments comment-section feedback",
+            "comments comment-list commentlist responses discussion disqus_thread replies reviews user-comments reader-comments "
+            "comment-section feedback",
             f"<h3>{self.words(1, 3)}</h3>" + each + (self.form() if self.odds(0.3) else ""), True
         )
 

@@ -145,7 +145,8 @@ WITH v AS (
   SELECT row_number() OVER () AS row, vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
 s AS (
-  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(CASE WHEN len(q.e) > 0 AND len(c.e) > 0 THEN list_dot_product(q.e, c.e) ELSE 0 END AS BIGINT) AS score
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(CASE WHEN len(q.e) > 0 AND len(c.e) > 0 THEN list_dot_product(q.e, c.e)
+    ELSE 0 END AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.row <> c.row),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
