@@ -200,7 +200,8 @@ def normalizing_means(genotypes: DataFrame, samples: int = 100_000, seed: int =
     n = rows.count()
     if n < 2:
         return {}
-    number = lambda what, m: F.expr(f"cast(conv(substring(md5(concat_ws(':', '{seed}', '{what}', id)), 1, 8), 16, 10) as bigint) % {m}")
+    number = lambda what, m: F.expr(f"cast(conv(substring(md5(concat_ws(':', '{seed}', '{what}', id)), 1, 8), 16, "
+        f"10) as bigint) % {m}")
     picks = genotypes.sparkSession.range(samples).withColumn("o", number("o", n) + 1)
     for c in ("a", "b"):
         picks = picks.withColumn(c, F.pmod(F.col("o") + number(c, n - 1), F.lit(n)) + 1)

@@ -140,7 +140,8 @@ def triple_hypotheses(genotypes: DataFrame, triples: DataFrame) -> DataFrame:
     for t, (g, ph) in enumerate((("i", "ip"), ("j", "jp")), 1):
         for c, plus in (("a", 1), ("b", -1)):
             side = F.expr(
-                f"case when {g} = 1 and {ph} is not null then case when k = 0 then {ph} = -1 when k = 2 then {ph} = 1 when kp = {plus} then {ph} = -1 when kp = {-plus} then {ph} = 1 end end"
+                f"case when {g} = 1 and {ph} is not null then case when k = 0 then {ph} = -1 when k = 2 then {ph} = 1 when kp = "
+                f"{plus} then {ph} = -1 when kp = {-plus} then {ph} = 1 end end"
             )
             rows = rows.withColumn(f"{c}{t}", side)
             rows = rows.withColumn(

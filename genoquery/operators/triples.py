@@ -135,7 +135,8 @@ def expected_forbidden(genotypes: DataFrame, triples: DataFrame) -> DataFrame:
     (rate)."""
     rows = long_triples(genotypes, triples).join(shares(genotypes), "marker")
     chance = F.expr(
-        "case when i = 0 and j = 0 then f1 + f2 when i = 2 and j = 2 then f0 + f1 when i + j = 1 then f2 when i + j = 3 then f0 when i <> j then f0 + f2 else 0.0 end"
+        "case when i = 0 and j = 0 then f1 + f2 when i = 2 and j = 2 then f0 + f1 when i + j = 1 then f2 when i + j = 3 then f0 "
+        "when i <> j then f0 + f2 else 0.0 end"
     )
     counted = rows.groupBy("prog", "p1", "p2").agg(tally(_FORBIDDEN).alias("seen"), F.sum(chance).alias("e"), F.count("*").alias("n"))
     return counted.select(
@@ -190,7 +191,9 @@ def direction(genotypes: DataFrame, pairs: DataFrame) -> DataFrame:
     def given(parent: str, child: str) -> Column:
         # the chance of the child's dosage if one allele is the parent's and the other is drawn at frequency q
         p = F.expr(
-            f"case {parent} when 0 then (case {child} when 0 then 1 - q when 1 then q else 0.0 end) when 1 then (case {child} when 0 then (1 - q) / 2 when 1 then 0.5 else q / 2 end) else (case {child} when 0 then 0.0 when 1 then 1 - q else q end) end"
+            f"case {parent} when 0 then (case {child} when 0 then 1 - q when 1 then q else 0.0 end) when 1 then (case {child} when "
+            f"0 then (1 - q) / 2 when 1 then 0.5 else q / 2 end) else (case {child} when 0 then 0.0 when 1 then 1 - q else q end) "
+            f"end"
         )
         return F.log(0.99 * p + 0.01 / 3)
 

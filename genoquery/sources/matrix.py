@@ -92,7 +92,8 @@ def to_lines(genotypes: DataFrame, seed: int | None = None) -> DataFrame:
     """Matrix lines (k, value) in order of k: MARKER, CHROMOSOME, then accessions by id, or in a repeatable random order by
     seed."""
     token = F.expr(
-        "case when dosage is null then 'X' when dosage = 1 and phase = 1 then '+1' when dosage = 1 and phase = -1 then '-1' else cast(dosage as string) end"
+        "case when dosage is null then 'X' when dosage = 1 and phase = 1 then '+1' when dosage = 1 and phase = -1 then '-1' else "
+        "cast(dosage as string) end"
     )
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("marker", c))), lambda x: x["v"])
     body = genotypes.groupBy("acc_id").agg(ordered(token.alias("v")).alias("vs"))

@@ -163,7 +163,8 @@ def subset(lines: DataFrame, keep: DataFrame) -> DataFrame:
 def from_genotypes(genotypes: DataFrame) -> DataFrame:
     """VCF lines (GT:GP) of genotypes, for round trips: a line per marker, header lines first when sorted by `k`."""
     gt = F.expr(
-        "case when dosage is null then '.|.' when dosage = 0 then '0|0' when dosage = 2 then '1|1' when phase = -1 then '1|0' when phase = 1 then '0|1' else '0/1' end"
+        "case when dosage is null then '.|.' when dosage = 0 then '0|0' when dosage = 2 then '1|1' when phase = -1 then '1|0' when "
+        "phase = 1 then '0|1' else '0/1' end"
     )
     token = F.concat(
         gt, F.expr("case when dosage = 0 then ':0.98,0.01,0.01' when dosage = 1 then ':0.01,0.98,0.01' else ':0.01,0.01,0.98' end")
