@@ -396,6 +396,15 @@ def test_left_boundary_of_tied_values(spark, seed):
     assert cluster1d.left_boundary(values) == pytest.approx(slow_boundary(x))
 
 
+def test_left_boundary_of_billions_of_tied_values(spark):
+    # 2.6 billion values, 60 of them different: work follows the different ones
+    few = [(0.001 * k, 7 + k % 3) for k in range(20)] + [(0.5 + 0.01 * k, 9 - k % 4) for k in range(40)]
+    many = spark.createDataFrame([(x, 6_000_000 * n) for x, n in few], "x double, n bigint")
+    found = cluster1d.left_boundary(many)
+    # the least size whose middle half is all 0.0 and whose valley ends at 0.001
+    assert found["n_left"] == 4 * 9_333_334 and found["threshold"] == 0 and found["quality"] == pytest.approx(2 * 0.001 / 1e-9)
+
+
 def test_best_pedigrees(spark):
     good, self_, bad, part = "0 00 00 00", "1 01 01 00", "1 11 00 11", "0 0x 00 00"
     data = [
