@@ -288,6 +288,13 @@ def test_all_estimates_are_no_rows_before_their_block_gives_them(spark, small):
     assert "Join" not in plan_of(pairs.estimated_pairs(genotypes(spark, small), 1.0, 4, prefilter=False))
 
 
+def test_only_pairs_with_enough_matches_become_rows(patterned):
+    patterns, wanted = patterned
+    found = pairs._matches(patterns, lambda n, q_ok, m_ok, chunks: n >= 0.3 * (q_ok * m_ok / chunks))
+    ok, chunks = ({r["acc_id"]: r["n"] for r in patterns.groupBy("acc_id").agg(F.count(c).alias("n")).collect()} for c in ("pattern", "chunk"))
+    assert {(r["q_id"], r["m_id"]) for r in found.collect()} == {(q, m) for (q, m), n in wanted.items() if n >= 0.3 * (ok[q] * ok[m] / chunks[q])}
+
+
 def test_prefilter_recall(spark, small):
     from genoquery.plans.fixture import genotypes
 
