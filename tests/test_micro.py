@@ -295,6 +295,13 @@ def test_only_pairs_with_enough_matches_become_rows(patterned):
     assert {(r["q_id"], r["m_id"]) for r in found.collect()} == {(q, m) for (q, m), n in wanted.items() if n >= 0.3 * (ok[q] * ok[m] / chunks[q])}
 
 
+def test_filtered_pairs_fetch_masks_for_the_wanted_pairs_only(spark, small):
+    from genoquery.plans.fixture import genotypes
+
+    plan = plan_of(pairs.filtered_pairs(genotypes(spark, small), 0.2, 4))
+    assert plan.count("Join ") == 2
+
+
 def test_prefilter_recall(spark, small):
     from genoquery.plans.fixture import genotypes
 
