@@ -521,8 +521,7 @@ def _(spark, d):
     ORDER BY x.marker) AS before
   FROM pr JOIN g x ON x.acc_id = q_id AND x.phase IS NOT NULL JOIN g y ON y.acc_id = m_id AND y.marker = x.marker AND y.phase IS NOT NULL WHERE agmr <= 0.5) GROUP BY 1, 2""", PAIRS)
 def _(spark, d):
-    g = genotypes(spark, d)
-    return pairs.phase_switches(g, pairs.similar_pairs(g, 0.5))
+    return pairs.similar_phase_switches(genotypes(spark, d), 0.5)
 
 
 RANKED = ", vr AS (SELECT agmr AS x, row_number() OVER (ORDER BY agmr) - 1 AS k, count(*) OVER () AS n FROM pr)"

@@ -302,6 +302,24 @@ def test_filtered_pairs_fetch_masks_for_the_wanted_pairs_only(spark, small):
     assert plan.count("Join ") == 2
 
 
+def test_phase_switches_of_similar_pairs_equal_those_of_listed_pairs(spark, small, monkeypatch):
+    from genoquery.plans import queries
+
+    monkeypatch.setattr(pairs, "BITS_AT_ONCE", 1000)
+    rng = np.random.default_rng(4)
+    data = []
+    for i in range(25):
+        for m in range(150):  # chromosomes take turns, and one marker has none
+            d = int(rng.integers(0, 3)) if rng.random() > 0.1 else None
+            data.append((f"a{i:02}", m, f"m{m}", None if m == 7 else m % 3, d, int(rng.choice([1, -1])) if d == 1 and rng.random() > 0.3 and i else None))
+    g = spark.createDataFrame(data, "acc_id string, marker int, marker_id string, chrom int, dosage int, phase int")
+    order = ["q_id", "m_id", "switches", "chances", "n_agree"]
+    for distance in (0.6, 1.0):
+        found = rows(pairs.similar_phase_switches(g, distance), *order)
+        assert found == rows(pairs.phase_switches(g, pairs.similar_pairs(g, distance)), *order) and len(found) > 5
+    assert "Join" not in plan_of(queries.queries()["p15_phase_switches"](spark, small))
+
+
 def test_prefilter_recall(spark, small):
     from genoquery.plans.fixture import genotypes
 
