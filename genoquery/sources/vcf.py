@@ -151,13 +151,25 @@ def check_format(lines: DataFrame) -> DataFrame:
 
 
 def subset(lines: DataFrame, keep: DataFrame) -> DataFrame:
-    """VCF lines with the listed accessions' (acc_id) columns only, in the file's order."""
+    """VCF lines with the listed accessions' (acc_id) columns only, in the file's order. A line is split once, whatever the number of
+    columns; one that ends before the last column kept is an error, an empty one stays."""
     found = header(lines).select(F.posexplode(F.slice("c", 10, F.greatest(F.size("c") - 9, F.lit(0)))).alias("k", "acc_id"))
-    places = found.join(keep.select("acc_id").distinct(), "acc_id").agg(F.sort_array(F.collect_list(F.col("k") + 10)).alias("__at"))
+    listed = found.join(keep.select("acc_id").distinct().withColumn("kept", F.lit(True)), "acc_id", "left")
+    kept = F.transform(
+        F.sort_array(F.collect_list(F.struct("k", F.coalesce("kept", F.lit(False)).alias("kept")))), lambda x: x["kept"]
+    )
+    places = listed.agg(
+        F.concat(F.array_repeat(F.lit(True), 9), kept).alias("__kept"), F.coalesce(F.max(F.when(F.col("kept"), F.col("k") + 10)), F.lit(0)).alias("__last")
+    )
     cols = F.split("value", "\t")
-    chosen = F.concat_ws("\t", F.slice(cols, 1, 9), F.transform("__at", lambda p: F.element_at(cols, p)))
-    both = lines.crossJoin(F.broadcast(places))  # one row with a number for each accession kept
-    return both.withColumn("value", F.when(F.startswith("value", F.lit("##")), F.col("value")).otherwise(chosen)).drop("__at")
+    each = F.filter(F.arrays_zip(cols.alias("t"), F.col("__kept").alias("kept")), lambda x: x["kept"])
+    chosen = F.concat_ws("\t", F.transform(each, lambda x: x["t"]))
+    short = F.raise_error(F.concat(F.lit("a line ends before the last accession kept: "), F.substring("value", 1, 80)))
+    both = lines.crossJoin(F.broadcast(places))  # one row with a mark for each accession
+    value = F.when(F.startswith("value", F.lit("##")) | (F.trim("value") == ""), F.col("value")).when(
+        F.size(cols) < F.col("__last"), short
+    ).otherwise(chosen)
+    return both.withColumn("value", value).drop("__kept", "__last")
 
 
 def from_genotypes(genotypes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -330,6 +331,31 @@ def test_prefilter_recall(spark, small):
         assert found <= exact and len(found) >= 0.9 * len(exact)
 
 
+def test_vcf_subset(spark):
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"
+    fixed = "chr1\t5\tm\tA\tG\t.\tPASS\t.\tGT"
+    keep = spark.createDataFrame([("c",), ("a",), ("c",), ("z",), (None,)], "acc_id string")
+    lines = spark.createDataFrame([(v,) for v in ("##x\ty", f"{head}\ta\tb\tc\td", f"{fixed}\t0/0\t0/1\t1/1\t./.", f"{fixed}\t0/1\t\t0/0", "")], "value string")
+    found = [r["value"] for r in vcf.subset(lines, keep).collect()]
+    assert found == ["##x\ty", f"{head}\ta\tc", f"{fixed}\t0/0\t1/1", f"{fixed}\t0/1\t0/0", ""]
+    assert [r["value"] for r in vcf.subset(lines, keep.filter("acc_id = 'z'")).collect()][1:3] == [head, fixed]
+    short = lines.unionByName(spark.createDataFrame([(f"{fixed}\t0/1\t0/0",)], "value string"))
+    with pytest.raises(Exception, match="last accession kept"):
+        vcf.subset(short, keep).collect()
+
+
+def test_vcf_subset_splits_a_line_once(spark):
+    n = 30_000  # a split for each column kept takes minutes here
+    names = spark.range(n).select(F.concat(F.lit("a"), F.col("id")).alias("acc_id"))
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(f"a{i}" for i in range(n))
+    fixed = "chr1\t5\tm\tA\tG\t.\tPASS\t.\tGT"
+    body = fixed + "".join(f"\t{i % 2}/1" for i in range(n))
+    lines = spark.createDataFrame([(head,), (body,), (body,)], "value string")
+    began = time.monotonic()
+    assert [r["value"] for r in vcf.subset(lines, names.filter("acc_id <> 'a7'")).collect()][1:] == [fixed + "".join(f"\t{i % 2}/1" for i in range(n) if i != 7)] * 2
+    assert time.monotonic() - began < 20
+
+
 def test_histogram_bins(spark):
     x = spark.createDataFrame([(float(v),) for v in [-1, 0, 0.5, 1, 2, 2, 9]] + [(float("nan"),), (None,)], "x double")
     assert rows(
