@@ -14,6 +14,9 @@ smaller neighbour of such a node is one too, the tree is built on the centres al
 4. A group's first document may hold only a shorter common line. So where all functions' windows are shared, some by three documents
    or more, but no passage found so far covers them, the windows of MIN_WORDS words are linked once more by a hash of all their words:
    there the first document with the place still open has the whole window, and exact repeats are found whatever the lines they are made of.
+5. Near passages that common lines hide in the same way: where windows of AGREE functions are shared, some by three documents or more, and
+   the place is still open, documents are paired by rare 5-grams. Two windows that agree in ALIKE of their 5-grams share one of the rarest
+   of each (as many as may differ, and one more), so windows with more 5-grams of their own drop out, and every pair left is verified.
 
 The number of hash functions follows from the target recall: a passage that agrees in a share s of its 5-grams shares the
 signature of one function with probability s, and AGREE of k functions with that of the binomial distribution.
@@ -32,7 +35,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -206,7 +209,7 @@ def _coded(column_: pa.Array) -> tuple[np.ndarray, list]:
     return codes, [dict(v) for v in values]
 
 
-FIELDS = ("id", "centre", "lo", "hi", "runs")
+FIELDS = ("id", "centre", "lo", "hi", "runs", "near")
 
 
 def _judge(table_: pa.Table, min_words: int, agree: int, k: int) -> pa.RecordBatch:
@@ -223,8 +226,8 @@ def _judge(table_: pa.Table, min_words: int, agree: int, k: int) -> pa.RecordBat
     is_own = np.array([code.get(plain(v), -1) for v in id_values], np.int64)[ids] == centres
     out: dict[str, list] = {n: [] for n in FIELDS}
 
-    def put(*row) -> None:
-        for x, v in zip(out.values(), row, strict=True):
+    def put(*row, near: bool = False) -> None:
+        for x, v in zip(out.values(), (*row, near), strict=True):
             x.append(v)
 
     own = np.flatnonzero(is_own)
@@ -244,38 +247,49 @@ def _judge(table_: pa.Table, min_words: int, agree: int, k: int) -> pa.RecordBat
     group, first, last = agreed(ids[shared], function[shared], lo[shared], hi[shared], min_words, k)
     for i, runs in _lists(group, first, last + min_words - 1).items():
         put(id_values[i], None, runs[0]["lo"], runs[-1]["hi"], runs)
-    types = [kind, kind, pa.int32(), pa.int32(), RUNS]
+    some = agreed(ids[many], np.zeros(np.count_nonzero(many), np.int64), lo[many], hi[many], min_words, 1)
+    each = agreed(ids[shared], function[shared], lo[shared], hi[shared], min_words, agree)
+    group, first, last = (np.concatenate(x) for x in zip(some, each, strict=True))
+    which = np.repeat(np.array([0, 1]), [len(some[0]), len(each[0])])
+    group, first, last = agreed(group, which, first, last + min_words - 1, min_words, 2)
+    for i, runs in _lists(*_joined(group, first, last + min_words - 1)).items():
+        put(id_values[i], None, runs[0]["lo"], runs[-1]["hi"], runs, near=True)
+    types = [kind, kind, pa.int32(), pa.int32(), RUNS, pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types, strict=True)], names=list(out))
 
 
 def _candidates(min_words: int, agree: int, k: int, most: int = 500_000):
     """From windows in order of ids: (id, centre, lo, hi, runs) of two documents that share windows, with the candidates' ranges and their
     whole
-    range; (id, id, lo, hi) of each that stands for a group; and with a null centre the ranges where all functions' windows are shared."""
+    range; (id, id, lo, hi) of each that stands for a group; and with a null centre the ranges where all functions' windows are shared, or
+    (near) those of `agree` functions, one of them by three documents or more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0)
-            last = ids[len(ids) - 1]
-            if sum(b.num_rows for b in held) + batch.num_rows < most or ids[0] == last:
-                held.append(batch)
-                continue
-            n = len(ids) - 1  # a document's windows stay together: the last one's wait for the next batch
-            while ids[n - 1] == last:
-                n -= 1
-            yield _judge(pa.Table.from_batches([*held, batch.slice(0, n)]), min_words, agree, k)
-            held = [batch.slice(n)]
-        if held:
-            yield _judge(pa.Table.from_batches(held), min_words, agree, k)
+    return lambda batches: (_judge(pa.Table.from_batches(held), min_words, agree, k) for held in _whole(batches, most))
 
-    return run
+
+def _whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in order of ids (the column id), put together to `most` rows or more, so that a document's rows stay together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(batch.schema.get_field_index("id"))
+        last = ids[len(ids) - 1]
+        if sum(b.num_rows for b in held) + batch.num_rows < most or ids[0] == last:
+            held.append(batch)
+            continue
+        n = len(ids) - 1  # the last document's rows wait for the next batch
+        while ids[n - 1] == last:
+            n -= 1
+        yield [*held, batch.slice(0, n)]
+        held = [batch.slice(n)]
+    if held:
+        yield held
 
 
-def _open(min_words: int):
-    """The parts of each document's ranges that no passage found covers: (id, asked)."""
+def _open(min_words: int, slack: int = 0):
+    """The parts of each document's ranges that no passage found covers: (id, asked). A window with up to `slack` words beyond a passage is
+    covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,10 +298,10 @@ def _open(min_words: int):
                 rest = []
                 for r in runs:
                     at = r["lo"]
-                    for x in sorted(spans or (), key=lambda x: x["start_word"]):
-                        if x["start_word"] > at:
-                            rest.append({"lo": at, "hi": min(r["hi"], x["start_word"] + min_words - 2)})
-                        at = max(at, x["end_word"] - min_words + 1)
+                    for a, b in sorted((x["start_word"] - slack, x["end_word"] + slack) for x in spans or ()):
+                        if a > at:
+                            rest.append({"lo": at, "hi": min(r["hi"], a + min_words - 2)})
+                        at = max(at, b - min_words + 1)
                     rest.append({"lo": at, "hi": r["hi"]})
                 if rest := [r for r in rest if r["hi"] - r["lo"] + 1 >= min_words]:
                     ids.append(id_)
@@ -458,7 +472,7 @@ def _left_over(base: DataFrame, met: DataFrame, found: DataFrame, n: int, min_wo
     """Exact passages by the hash of whole windows, where all functions' windows are shared but `found` leaves them open."""
     spark, kind = base.sparkSession, dict(base.dtypes)["id"]
     spans = found.groupBy("id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    ranges = met.filter("centre is null").select("id", "runs").join(checkpoint(spans), "id", "left")
+    ranges = met.filter("centre is null and not near").select("id", "runs").join(checkpoint(spans), "id", "left")
     asked = checkpoint(ranges.mapInArrow(lean(_open(min_words)), f"id {kind}, asked {_RUNS}"))
     texts = base.join(asked, "id").select("id", "text", "asked")
     rows = checkpoint(texts.mapInArrow(lean(_exact(min_words - n + 1, n)), f"sign bigint, id {kind}, lo int"))
@@ -483,6 +497,171 @@ def _left_over(base: DataFrame, met: DataFrame, found: DataFrame, n: int, min_wo
     )
 
 
+def _grams(width: int, n: int):
+    """(gram, id, at, open, target) of each place in a document's ranges: `open` where a whole window that is asked for starts, `target` in
+    documents that have such places. A 5-gram that was there less than a window before has no gram: it neither agrees nor differs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for row, (text, runs, asked) in enumerate(zip(*(column(batch, c) for c in ("text", "runs", "asked")), strict=True)):
+                grams = shingles(word_hashes(text), n)
+                order = np.argsort(grams, kind="stable")
+                again = np.zeros(len(grams), bool)
+                again[order[1:]] = (grams[order][1:] == grams[order][:-1]) & (np.diff(order) < width)
+                wanted, begins = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
+                for r in runs:
+                    wanted[r["lo"] : r["hi"] - n + 2] = True
+                for r in asked or ():
+                    begins[r["lo"] : r["hi"] - width - n + 3] = True
+                at = np.flatnonzero(wanted)
+                for part, x in zip(
+                    parts, (np.full(len(at), row), grams[at].view(np.int64), at, begins[at], again[at]), strict=True
+                ):
+                    part.append(x)
+                parts[4][-1] = np.stack((again[at], np.full(len(at), bool(asked))), axis=1)
+            row, gram, at, begins = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in parts[:4])
+            again, target = np.concatenate([*parts[4], np.empty((0, 2), bool)]).T
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(gram, mask=again), ids.take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(begins.astype(bool)),
+                    pa.array(target)
+                ], names=["gram", "id", "at", "open", "target"]
+            )
+
+    return run
+
+
+MARKS = ("id", "gram", "target", "lo", "hi", "runs")
+WINDOWS_AT_ONCE = 1 << 15
+GROWTH = 8
+
+
+def rare_grams(
+    at: np.ndarray, gram: np.ndarray, times: np.ndarray, begins: np.ndarray, width: int, alike: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a document's shared grams (`times` 0: neither agrees nor differs) by place: the windows of `width` places with `alike` shared ones
+    or more: their starts, whether these are open, and the grams among the rarest width - alike + 1 of any of them, with whether an open
+    one is."""
+    free = times == 0
+    names, code = np.unique(gram, return_inverse=True)
+    often = np.zeros(len(names), np.int64)
+    np.maximum.at(often, code, times)
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, often))] = np.arange(len(names))
+    base, none = int(at[0]), len(names)
+    line = np.full(max(int(at[-1]) - base + 1, width), -1, np.int32)
+    line[at - base] = np.where(free, none, rank[code])
+    opens = np.zeros(len(line), bool)
+    opens[at - base] = begins
+    by_rank = names[np.argsort(rank)]
+    few = width - alike + 1
+    starts, marks = [], np.zeros((2, none + 1), bool)
+    views = np.lib.stride_tricks.sliding_window_view(line, width)
+    for a in range(0, len(views), WINDOWS_AT_ONCE):
+        part = views[a : a + WINDOWS_AT_ONCE]
+        good = np.flatnonzero((part < 0).sum(axis=1) < few)
+        least = np.partition(part[good], few - 1, axis=1)[:, :few]
+        for m, rows in ((marks[0], least), (marks[1], least[opens[a + good]])):
+            m[rows[rows >= 0]] = True
+        starts.append(a + good)
+    starts = np.concatenate(starts)
+    kept = np.flatnonzero(marks[0, :none])
+    return starts + base, opens[starts], by_rank[kept], marks[1][kept]
+
+
+def _rare(width: int, n: int, alike: int):
+    """From places with shared grams in order of ids: (id, gram, target) of the grams by which documents are paired; without gram, the
+    ranges (lo, hi: the whole of it) of the windows that may have a counterpart, and those (runs) of the open ones among them."""
+
+    def judge(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        kind = rows.schema.field("id").type
+        ids, values = _coded(rows.column("id").combine_chunks())
+        gram = rows.column("gram").fill_null(0).to_numpy()
+        at, times, begins = (rows.column(c).to_numpy() for c in ("at", "times", "open"))
+        out: dict[str, list] = {c: [] for c in MARKS}
+        edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if not times[a:b].any():
+                continue
+            starts, opens, grams, targets = rare_grams(at[a:b].astype(np.int64), gram[a:b], times[a:b], begins[a:b], width, alike)
+            if not len(starts):
+                continue
+            id_, words = values[ids[a]], width + n - 2
+            single = lambda x: _joined(np.zeros(len(x), np.int64), x, x + words)
+            runs = [{"lo": lo, "hi": hi} for lo, hi in zip(*(x.tolist() for x in single(starts[opens])[1:]), strict=True)]
+            whole = (id_, None, len(runs) > 0, max(0, int(starts[0]) - REACH), int(starts[-1]) + words + REACH, runs)
+            for x, v in zip(out.values(), whole, strict=True):
+                x.append(v)
+            for g, t in zip(grams.tolist(), targets.tolist(), strict=True):
+                for x, v in zip(out.values(), (id_, g, t, None, None, None), strict=True):
+                    x.append(v)
+        types = [kind, pa.int64(), pa.bool_(), pa.int32(), pa.int32(), RUNS]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types, strict=True)], names=list(out))
+
+    return lambda batches: (judge(held) for held in _whole(batches, 200_000))
+
+
+def _hidden(base: DataFrame, met: DataFrame, found: DataFrame, n: int, min_words: int, similarity: float) -> DataFrame:
+    """Near passages between documents that share windows, but with an even earlier document too, so that they were not compared: pairs by
+    their rarest grams, where `found` leaves a place open."""
+    spark, kind, width = base.sparkSession, dict(base.dtypes)["id"], min_words - n + 1
+    # sets of one size with that similarity have as many 5-grams in common; one less, as windows may lie a little apart
+    alike = ceil(2 * similarity / (1 + similarity) * width) - 1
+    slack = min_words - ceil(similarity * min_words)
+    spans = lambda x: checkpoint(x.groupBy("id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans")))
+    still = lambda x, y: x.join(spans(y), "id", "left").mapInArrow(lean(_open(min_words, slack)), f"id {kind}, asked {_RUNS}")
+    ranges = met.filter("near").select("id", "runs")
+    places = checkpoint(ranges.join(checkpoint(still(ranges, found)), "id", "left"))
+    texts = base.join(places, "id").select("id", "text", "runs", "asked")
+    rows, path = _kept(
+        texts.mapInArrow(lean(_grams(width, n)), f"gram bigint, id {kind}, at int, open boolean, target boolean"), "grams"
+    )
+    # no gram that only one document has, or no document with an open place
+    common = rows.filter("gram is not null").groupBy("gram").agg(
+        F.count("*").alias("times"), F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or("target").alias("asked")
+    ).filter("first < last and asked")
+    common = checkpoint(common.select("gram", "times"))
+    sweep(spark)
+    shared = rows.join(common, "gram").select("id", "at", "open", "gram", "times").unionByName(
+        rows.filter("gram is null").select("id", "at", "open", "gram", F.lit(0).cast("bigint").alias("times"))
+    )
+    marks = checkpoint(
+        shared.repartition("id").sortWithinPartitions("id", "at").mapInArrow(
+            lean(_rare(width, n, alike)), f"id {kind}, gram bigint, target boolean, lo int, hi int, runs {_RUNS}"
+        )
+    )
+    _remove(spark, path)
+    sweep(spark)
+    whole = marks.filter("gram is null")
+    along = Window.partitionBy("gram").orderBy("id")
+    keys = checkpoint(marks.filter("gram is not null").select("gram", "id", "target", F.row_number().over(along).alias("rank")))
+    last = keys.agg(F.max("rank")).first()[0] or 0
+    # earlier documents come in growing parts, so that the many that have the same passage leave after the first
+    asked, least, parts = checkpoint(whole.filter("target").select("id", "runs")), 1, []
+    # a passage may reach beyond its windows
+    wider = F.transform("runs", lambda x: F.struct(F.greatest(x["lo"] - MAX_GAP, F.lit(0)).alias("lo"), (x["hi"] + MAX_GAP).alias("hi")))
+    while least < last:
+        sources = keys.filter(F.col("rank").between(least, least * GROWTH)).select("gram", F.col("id").alias("centre"))
+        pairs = keys.filter("target").join(asked.select("id"), "id", "left_semi").select("gram", "id").join(sources, "gram")
+        pairs = checkpoint(pairs.filter("centre < id").select("id", "centre").distinct())
+        sweep(spark)
+        compared = pairs.join(asked, "id").select(
+            "id", "centre", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), wider.alias("runs")
+        ).unionByName(
+            whole.select("id", F.col("id").alias("centre"), "lo", "hi", "runs")
+        )
+        parts.append(_compared(base, checkpoint(compared), n, min_words, similarity))
+        asked = checkpoint(still(asked, parts[-1]).select("id", F.col("asked").alias("runs")))
+        least = least * GROWTH + 1
+    out = parts[0] if parts else found.limit(0)
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df, written once in the shared folder as Parquet, and its path: it is deleted after use."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -531,14 +710,15 @@ def _found(base: DataFrame, written: str | None, min_words: int, n: int, similar
     hits = windows.join(groups, "sign").select(
         "id", "centre", F.expr(" | ".join(sorted(parts))).alias("place")
     ).repartition("id").sortWithinPartitions("id")
-    met = checkpoint(hits.mapInArrow(lean(_candidates(min_words, agree, k)), f"id {kind}, centre {kind}, lo int, hi int, runs {_RUNS}"))
+    met = checkpoint(hits.mapInArrow(lean(_candidates(min_words, agree, k)), f"id {kind}, centre {kind}, lo int, hi int, runs {_RUNS}, near boolean"))
     _remove(spark, path)
     sweep(spark)
     found = _compared(base, met, n, min_words, similarity)
-    more = _left_over(base, met, found, n, min_words)
+    found = found.unionByName(_left_over(base, met, found, n, min_words))
+    found = found.unionByName(_hidden(base, met, found, n, min_words, similarity))
     if written:
         _remove(spark, written)
-    return found.unionByName(more).distinct()
+    return found.distinct()
 
 
 def repeated_passages(

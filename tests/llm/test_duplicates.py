@@ -230,6 +230,25 @@ def test_near_passages_are_found_and_clean_texts_left(spark):
     assert covered(found, texts)[2][70:190].mean() > 0.95 and all(x["similarity"] >= 0.8 for x in found)
 
 
+def hidden(r, k, line):
+    """A common line in an early text, and two texts with a passage of 52 words around it that differ in one word."""
+    own = words(r, 52 - line, 10**6)
+    shared = words(r, line, 10**6)
+    passage = [*own[::2], *shared, *own[1::2]]
+    other = list(passage)
+    other[r.randrange(6, 46)] = "changed"
+    around = lambda x: " ".join([*words(r, 30, 10**6), *x, *words(r, 30, 10**6)])
+    return [(10 * k, around(shared)), (10 * k + 1, around(passage)), (10 * k + 2, around(other))]
+
+
+def test_near_passages_around_a_line_of_an_earlier_text(spark):
+    r = random.Random(15)
+    texts = [x for k in range(60) for x in hidden(r, k, (40, 44)[k % 2])]
+    found = sd.repeated_passages(frame(spark, texts)).collect()
+    assert len({x["doc_id"] for x in found if x["doc_id"] - x["source_id"] == 1}) >= 59
+    assert {x["doc_id"] % 10 for x in found} == {2}
+
+
 def test_one_passage_in_many_texts(spark):
     r = random.Random(6)
     passage = words(r, 70)
