@@ -249,6 +249,13 @@ def test_near_passages_around_a_line_of_an_earlier_text(spark):
     assert {x["doc_id"] % 10 for x in found} == {2}
 
 
+def test_near_passages_around_a_common_line_are_removed(spark):
+    r = random.Random(16)
+    texts = [x for k in range(30) for x in hidden(r, k, 44)]
+    kept = {x["doc_id"]: len(x["text"].split()) for x in sd.remove_repeats(frame(spark, texts)).collect()}
+    assert sum(kept[10 * k + 2] <= 64 for k in range(30)) >= 29 and all(kept[10 * k + 1] == 112 for k in range(30))
+
+
 def test_one_passage_in_many_texts(spark):
     r = random.Random(6)
     passage = words(r, 70)
