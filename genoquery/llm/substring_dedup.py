@@ -397,8 +397,40 @@ def passages(mine: np.ndarray, theirs: np.ndarray, n: int, min_words: int, simil
         both = len(np.intersect1d(mine_set, their_set, assume_unique=True))
         return both / max(1, len(mine_set) + len(their_set) - both), lo, hi
 
-    # runs with small gaps between them, or too short to stand alone, are judged together, or else on either side of their widest gap
+    def judged(first: int, last: int) -> bool:
+        start, stop = runs[first][0], runs[last][1]
+        if upto[stop] - upto[start] < similarity * (stop - start):  # too few are shared
+            return False
+        score, lo, hi = compare(start, stop)
+        if score < similarity or hi - lo + n - 1 < similarity * min_words:
+            return False
+        found.append((start, stop + n - 1, lo, hi + n - 1, score))
+        return True
+
+    def covered(first: int, last: int) -> None:
+        """Passages of neighbouring runs, from the first on, that hold as many of the runs as can be."""
+        run = first
+        while run <= last:
+            reach, begin = run, run
+            while reach == run and begin >= first and (begin >= run - 1 or runs[run][0] - runs[begin][1] < min_words):
+                start, end = runs[begin][0], last
+                while end >= run:
+                    stop = runs[end][1]
+                    if stop - start + n - 1 < min_words:
+                        break
+                    # the counterpart has the n-grams over each gap's ends too
+                    least = stop - start + (n - 1) * int(wide[end] - wide[begin])
+                    if (begin, end) != (first, last) and upto[stop] - upto[start] >= similarity * least and judged(begin, end):
+                        reach = end + 1
+                        break
+                    end -= 1
+                begin -= 1
+            run = max(reach, run + 1)
+
+    # runs with small gaps between them, or too short to stand alone, are judged together, or else on either side of their widest gap, or,
+    # where all gaps are small, in overlapping parts
     gaps = np.array([y[0] - x[1] for x, y in zip(runs, runs[1:], strict=False)], np.int64)
+    wide = np.concatenate(([0], np.cumsum(gaps >= n - 1)))
     waiting = [(0, len(runs) - 1)]
     while waiting:
         first, last = waiting.pop()
@@ -411,13 +443,11 @@ def passages(mine: np.ndarray, theirs: np.ndarray, n: int, min_words: int, simil
             if gaps[widest] > MAX_GAP and alone:
                 waiting += [(first, widest), (widest + 1, last)]
                 continue
-        score, lo, hi = 0.0, 0, 0
-        if upto[stop] - upto[start] >= similarity * (stop - start):  # else too few are shared
-            score, lo, hi = compare(start, stop)
-        if score >= similarity and hi - lo + n - 1 >= similarity * min_words:
-            found.append((start, stop + n - 1, lo, hi + n - 1, score))
-        elif last > first:
-            waiting += [(first, widest), (widest + 1, last)]
+        if not judged(first, last) and last > first:
+            if gaps[widest] > MAX_GAP:
+                waiting += [(first, widest), (widest + 1, last)]
+            else:
+                covered(first, last)
     return found
 
 

@@ -371,6 +371,18 @@ def test_passages_with_a_wide_gap(spark):
     assert sorted(x[:2] for x in sd.passages(d, c, 5, 50, 0.8)) == [(0, 300), (330, 630)]
 
 
+@pytest.mark.parametrize("step", [30, 33, 40])
+def test_passages_with_changes_at_even_distances_are_whole(step):
+    r = random.Random(step)
+    text = words(r, 700, 10**6)
+    other = ["changed" if i % step == step // 2 else x for i, x in enumerate(text)]
+    hashed = [(word_hashes(" ".join(x)) >> np.uint64(32)).astype(np.uint32) for x in (other, text)]
+    held = np.zeros(len(text), bool)
+    for a, b, *_ in sd.passages(*hashed, 5, 50, 0.8):
+        held[a:b] = True
+    assert held.sum() >= 650
+
+
 def test_a_very_long_and_a_repetitive_text_have_their_passages(spark):
     r = random.Random(24)
     long, p = words(r, 120_000, 10**6), words(r, 60, 10**6)
