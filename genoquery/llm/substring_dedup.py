@@ -17,6 +17,8 @@ smaller neighbour of such a node is one too, the tree is built on the centres al
 5. Near passages that common lines hide in the same way: where windows of AGREE functions are shared, some by three documents or more, and
    the place is still open, documents are paired by rare 5-grams. Two windows that agree in ALIKE of their 5-grams share one of the rarest
    of each (as many as may differ, and one more), so windows with more 5-grams of their own drop out, and every pair left is verified.
+   A later document's open windows count 5-grams that an earlier one has, an earlier one's those of such windows; of the passages found
+   those with a word that none before them has are kept.
 
 The number of hash functions follows from the target recall: a passage that agrees in a share s of its 5-grams shares the
 signature of one function with probability s, and AGREE of k functions with that of the binomial distribution.
@@ -41,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from genoquery.checkpoints import checkpoint, checkpoint_dir, sweep
+from genoquery.checkpoints import PLAIN_FILES, checkpoint, checkpoint_dir, sweep
 from genoquery.llm.common import SHINGLE, SIMILARITY, column, lean, mix, shingles, ship, table, unused, word_hashes
 
 MIN_WORDS = 50
@@ -209,7 +211,7 @@ def _coded(column_: pa.Array) -> tuple[np.ndarray, list]:
     return codes, [dict(v) for v in values]
 
 
-FIELDS = ("id", "centre", "lo", "hi", "runs", "near")
+FIELDS = ("id", "centre", "lo", "hi", "runs", "near", "early")
 
 
 def _judge(table_: pa.Table, min_words: int, agree: int, k: int) -> pa.RecordBatch:
@@ -226,8 +228,8 @@ def _judge(table_: pa.Table, min_words: int, agree: int, k: int) -> pa.RecordBat
     is_own = np.array([code.get(plain(v), -1) for v in id_values], np.int64)[ids] == centres
     out: dict[str, list] = {n: [] for n in FIELDS}
 
-    def put(*row, near: bool = False) -> None:
-        for x, v in zip(out.values(), (*row, near), strict=True):
+    def put(*row, near: bool = False, early: list | None = None) -> None:
+        for x, v in zip(out.values(), (*row, near, early), strict=True):
             x.append(v)
 
     own = np.flatnonzero(is_own)
@@ -247,14 +249,20 @@ def _judge(table_: pa.Table, min_words: int, agree: int, k: int) -> pa.RecordBat
     group, first, last = agreed(ids[shared], function[shared], lo[shared], hi[shared], min_words, k)
     for i, runs in _lists(group, first, last + min_words - 1).items():
         put(id_values[i], None, runs[0]["lo"], runs[-1]["hi"], runs)
-    some = agreed(ids[many], np.zeros(np.count_nonzero(many), np.int64), lo[many], hi[many], min_words, 1)
-    each = agreed(ids[shared], function[shared], lo[shared], hi[shared], min_words, agree)
-    group, first, last = (np.concatenate(x) for x in zip(some, each, strict=True))
-    which = np.repeat(np.array([0, 1]), [len(some[0]), len(each[0])])
-    group, first, last = agreed(group, which, first, last + min_words - 1, min_words, 2)
-    for i, runs in _lists(*_joined(group, first, last + min_words - 1)).items():
-        put(id_values[i], None, runs[0]["lo"], runs[-1]["hi"], runs, near=True)
-    types = [kind, kind, pa.int32(), pa.int32(), RUNS, pa.bool_()]
+
+    def near(rows: np.ndarray) -> dict[int, list[dict]]:
+        rare, each = rows & many, rows & shared
+        some = agreed(ids[rare], np.zeros(np.count_nonzero(rare), np.int64), lo[rare], hi[rare], min_words, 1)
+        several = agreed(ids[each], function[each], lo[each], hi[each], min_words, agree)
+        group, first, last = (np.concatenate(x) for x in zip(some, several, strict=True))
+        which = np.repeat(np.array([0, 1]), [len(some[0]), len(several[0])])
+        group, first, last = agreed(group, which, first, last + min_words - 1, min_words, 2)
+        return _lists(*_joined(group, first, last + min_words - 1))
+
+    early = near(~is_own)
+    for i, runs in near(np.ones(len(ids), bool)).items():
+        put(id_values[i], None, runs[0]["lo"], runs[-1]["hi"], runs, near=True, early=early.get(i))
+    types = [kind, kind, pa.int32(), pa.int32(), RUNS, pa.bool_(), RUNS]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types, strict=True)], names=list(out))
 
 
@@ -262,7 +270,7 @@ def _candidates(min_words: int, agree: int, k: int, most: int = 500_000):
     """From windows in order of ids: (id, centre, lo, hi, runs) of two documents that share windows, with the candidates' ranges and their
     whole
     range; (id, id, lo, hi) of each that stands for a group; and with a null centre the ranges where all functions' windows are shared, or
-    (near) those of `agree` functions, one of them by three documents or more."""
+    (near) those of `agree` functions, one of them by three documents or more; `early` where an earlier document stands for the windows."""
 
     return lambda batches: (_judge(pa.Table.from_batches(held), min_words, agree, k) for held in _whole(batches, most))
 
@@ -288,17 +296,23 @@ def _whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Rec
 
 
 def _open(min_words: int, slack: int = 0):
-    """The parts of each document's ranges that no passage found covers: (id, asked). A window with up to `slack` words beyond a passage is
-    covered."""
+    """The parts of each document's ranges that no passage found covers: (id, asked). With `slack`, a window with up to so many words beyond
+    passages that lie side by side is covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, asked = [], []
             for id_, runs, spans in zip(*(column(batch, c) for c in ("id", "runs", "spans")), strict=True):
                 rest = []
+                done: list[list[int]] = []
+                for a, b in sorted((x["start_word"], x["end_word"]) for x in spans or ()):
+                    if slack and done and a <= done[-1][1] + SHINGLE:  # passages side by side are one
+                        done[-1][1] = max(done[-1][1], b)
+                    else:
+                        done.append([a, b])
                 for r in runs:
                     at = r["lo"]
-                    for a, b in sorted((x["start_word"] - slack, x["end_word"] + slack) for x in spans or ()):
+                    for a, b in ((a - slack, b + slack) for a, b in done):
                         if a > at:
                             rest.append({"lo": at, "hi": min(r["hi"], a + min_words - 2)})
                         at = max(at, b - min_words + 1)
@@ -527,15 +541,36 @@ def _left_over(base: DataFrame, met: DataFrame, found: DataFrame, n: int, min_wo
     )
 
 
-def _grams(width: int, n: int):
-    """(gram, id, at, open, target) of each place in a document's ranges: `open` where a whole window that is asked for starts, `target` in
-    documents that have such places. A 5-gram that was there less than a window before has no gram: it neither agrees nor differs."""
+FILTER_BITS = 1 << 26
+
+
+def _bits(grams: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits (8 MB, whatever the input) of the grams. It only saves work: what it lets through is joined, and a
+    full one lets all through."""
+    spots = F.explode(F.array(F.pmod("gram", F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned("gram", 32), F.lit(FILTER_BITS)))).alias("p")
+    words = grams.filter("gram is not null").select(spots).groupBy(F.expr("p div 64").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")
+    ).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _passing(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    mask = np.uint64(FILTER_BITS - 1)
+    spots = (grams & mask, (grams >> np.uint64(32)) & mask)
+    return np.logical_and(*((bits[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool) for x in spots))
+
+
+def _grams(width: int, n: int, alike: int, shared=None):
+    """(gram, id, at, open) of each place in a document's ranges, `open` where a whole window of them starts. A 5-gram that was there less than a window before has no gram: it neither agrees
+    nor differs. With `shared`, a broadcast filter, the places of windows of which it lets `alike` grams through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for row, (text, runs, asked) in enumerate(zip(*(column(batch, c) for c in ("text", "runs", "asked")), strict=True)):
+            for row, (text, runs) in enumerate(zip(*(column(batch, c) for c in ("text", "runs")), strict=True)):
                 grams = shingles(word_hashes(text), n)
                 order = np.argsort(grams, kind="stable")
                 again = np.zeros(len(grams), bool)
@@ -543,27 +578,30 @@ def _grams(width: int, n: int):
                 wanted, begins = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
                 for r in runs:
                     wanted[r["lo"] : r["hi"] - n + 2] = True
-                for r in asked or ():
                     begins[r["lo"] : r["hi"] - width - n + 3] = True
+                if shared is not None:
+                    wanted &= again | _passing(grams, shared.value)
+                    upto = np.concatenate(([0], np.cumsum(np.concatenate((wanted, np.zeros(width, bool))))))
+                    good = upto[width:] - upto[:-width] >= alike
+                    from_ = np.cumsum(np.concatenate((np.zeros(width, np.int64), good)))
+                    wanted &= from_[width:][: len(wanted)] > from_[: len(wanted)]
                 at = np.flatnonzero(wanted)
                 for part, x in zip(
-                    parts, (np.full(len(at), row), grams[at].view(np.int64), at, begins[at], again[at]), strict=True
+                    parts, (np.full(len(at), row), grams[at].view(np.int64), at, again[at], begins[at]), strict=True
                 ):
                     part.append(x)
-                parts[4][-1] = np.stack((again[at], np.full(len(at), bool(asked))), axis=1)
-            row, gram, at, begins = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in parts[:4])
-            again, target = np.concatenate([*parts[4], np.empty((0, 2), bool)]).T
+            row, gram, at, again, begins = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in parts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(gram, mask=again), ids.take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(begins.astype(bool)),
-                    pa.array(target)
-                ], names=["gram", "id", "at", "open", "target"]
+                    pa.array(gram, mask=again.astype(bool)), ids.take(pa.array(row)), pa.array(at.astype(np.int32)),
+                    pa.array(begins.astype(bool))
+                ], names=["gram", "id", "at", "open"]
             )
 
     return run
 
 
-MARKS = ("id", "gram", "target", "lo", "hi", "runs")
+MARKS = ("id", "gram", "times", "lo", "hi", "runs")
 WINDOWS_AT_ONCE = 1 << 15
 GROWTH = 8
 
@@ -571,9 +609,9 @@ GROWTH = 8
 def rare_grams(
     at: np.ndarray, gram: np.ndarray, times: np.ndarray, begins: np.ndarray, width: int, alike: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document's shared grams (`times` 0: neither agrees nor differs) by place: the windows of `width` places with `alike` shared ones
-    or more: their starts, whether these are open, and the grams among the rarest width - alike + 1 of any of them, with whether an open
-    one is."""
+    """Of a document's shared grams (`times` 0: neither agrees nor differs) by place: the starts of the windows of `width` places, among
+    those that may begin there, with `alike` shared ones or more; and the grams among the rarest width - alike + 1 of any of them, with
+    the first and the last of their windows."""
     free = times == 0
     names, code = np.unique(gram, return_inverse=True)
     often = np.zeros(len(names), np.int64)
@@ -587,23 +625,25 @@ def rare_grams(
     opens[at - base] = begins
     by_rank = names[np.argsort(rank)]
     few = width - alike + 1
-    starts, marks = [], np.zeros((2, none + 1), bool)
+    first, last = np.full(none, len(line)), np.full(none, -1)
     views = np.lib.stride_tricks.sliding_window_view(line, width)
-    for a in range(0, len(views), WINDOWS_AT_ONCE):
-        part = views[a : a + WINDOWS_AT_ONCE]
-        good = np.flatnonzero((part < 0).sum(axis=1) < few)
-        least = np.partition(part[good], few - 1, axis=1)[:, :few]
-        for m, rows in ((marks[0], least), (marks[1], least[opens[a + good]])):
-            m[rows[rows >= 0]] = True
-        starts.append(a + good)
-    starts = np.concatenate(starts)
-    kept = np.flatnonzero(marks[0, :none])
-    return starts + base, opens[starts], by_rank[kept], marks[1][kept]
-
-
-def _rare(width: int, n: int, alike: int):
-    """From places with shared grams in order of ids: (id, gram, target) of the grams by which documents are paired; without gram, the
-    ranges (lo, hi: the whole of it) of the windows that may have a counterpart, and those (runs) of the open ones among them."""
+    differ = np.cumsum(np.concatenate(([0], line < 0)))
+    good = np.flatnonzero((differ[width:] - differ[:-width] < few) & opens[: len(views)])
+    for a in range(0, len(good), WINDOWS_AT_ONCE):
+        part = good[a : a + WINDOWS_AT_ONCE]
+        least = np.partition(views[part], few - 1, axis=1)[:, :few].ravel()
+        real = (least >= 0) & (least < none)
+        place = np.repeat(part, few)[real]
+        np.minimum.at(first, least[real], place)
+        np.maximum.at(last, least[real], place)
+    kept = np.flatnonzero(last >= 0)
+    return good + base, by_rank[kept], first[kept] + base, last[kept] + base
+
+
+def _rare(width: int, n: int, alike: int, whole: bool):
+    """From places with shared grams in order of ids: (id, gram, lo, hi) of the grams by which documents are paired, with the first and the
+    last start of their windows; without gram, the ranges (lo, hi: the whole of it) of the windows that may have a counterpart, and those
+    windows' runs; and, if `whole`, with neither, all grams in such windows, with how often they are there."""
 
     def judge(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
@@ -612,28 +652,56 @@ def _rare(width: int, n: int, alike: int):
         gram = rows.column("gram").fill_null(0).to_numpy()
         at, times, begins = (rows.column(c).to_numpy() for c in ("at", "times", "open"))
         out: dict[str, list] = {c: [] for c in MARKS}
+
+        def put(*row: list) -> None:
+            for x, v in zip(out.values(), row, strict=True):
+                x += v
+
         edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if not times[a:b].any():
                 continue
-            starts, opens, grams, targets = rare_grams(at[a:b].astype(np.int64), gram[a:b], times[a:b], begins[a:b], width, alike)
+            starts, grams, lo, hi = rare_grams(at[a:b].astype(np.int64), gram[a:b], times[a:b], begins[a:b], width, alike)
             if not len(starts):
                 continue
             id_, words = values[ids[a]], width + n - 2
-            single = lambda x: _joined(np.zeros(len(x), np.int64), x, x + words)
-            runs = [{"lo": lo, "hi": hi} for lo, hi in zip(*(x.tolist() for x in single(starts[opens])[1:]), strict=True)]
-            whole = (id_, None, len(runs) > 0, max(0, int(starts[0]) - REACH), int(starts[-1]) + words + REACH, runs)
-            for x, v in zip(out.values(), whole, strict=True):
-                x.append(v)
-            for g, t in zip(grams.tolist(), targets.tolist(), strict=True):
-                for x, v in zip(out.values(), (id_, g, t, None, None, None), strict=True):
-                    x.append(v)
-        types = [kind, pa.int64(), pa.bool_(), pa.int32(), pa.int32(), RUNS]
+            runs = _joined(np.zeros(len(starts), np.int64), starts, starts + words)[1:]
+            own = [{"lo": x, "hi": y} for x, y in zip(*(x.tolist() for x in runs), strict=True)]
+            put([id_], [None], [None], [max(0, int(starts[0]) - REACH)], [int(starts[-1]) + words + REACH], [own])
+            m = len(grams)
+            put([id_] * m, grams.tolist(), [None] * m, lo.tolist(), hi.tolist(), [None] * m)
+            if whole:
+                inside = np.searchsorted(runs[0], at[a:b], side="right") - 1
+                inside = (inside >= 0) & (at[a:b] <= runs[1][inside] - n + 1) & (times[a:b] > 0)
+                held_, spot = np.unique(gram[a:b][inside], return_index=True)
+                m = len(held_)
+                put([id_] * m, held_.tolist(), times[a:b][inside][spot].tolist(), [None] * m, [None] * m, [None] * m)
+        types = [kind, pa.int64(), pa.int64(), pa.int32(), pa.int32(), RUNS]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types, strict=True)], names=list(out))
 
     return lambda batches: (judge(held) for held in _whole(batches, 200_000))
 
 
+def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of passages in order of ids and sources those with a word that none of the document's passages before them has."""
+    for held in _whole(batches, 50_000):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        ids = _coded(rows.column("id").combine_chunks())[0].tolist()
+        kept, before, spans = [], None, []
+        for i, (id_, a, b) in enumerate(zip(ids, rows.column("start_word").to_pylist(), rows.column("end_word").to_pylist(), strict=True)):
+            spans, before = spans if id_ == before else [], id_
+            at = a
+            for lo, hi in spans:  # in order, without overlaps
+                if lo <= at < hi:
+                    at = hi
+            if at < b:
+                kept.append(i)
+                wide = [x for x in spans if x[0] <= b and x[1] >= a]
+                one = (min([a, *(x[0] for x in wide)]), max([b, *(x[1] for x in wide)]))
+                spans = sorted([*(x for x in spans if x not in wide), one])
+        yield from rows.take(kept).combine_chunks().to_batches()
+
+
 def _hidden(base: DataFrame, met: DataFrame, found: DataFrame, n: int, min_words: int, similarity: float) -> DataFrame:
     """Near passages between documents that share windows, but with an even earlier document too, so that they were not compared: pairs by
     their rarest grams, where `found` leaves a place open."""
@@ -643,49 +711,68 @@ def _hidden(base: DataFrame, met: DataFrame, found: DataFrame, n: int, min_words
     slack = min_words - ceil(similarity * min_words)
     spans = lambda x: checkpoint(x.groupBy("id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans")))
     still = lambda x, y: x.join(spans(y), "id", "left").mapInArrow(lean(_open(min_words, slack)), f"id {kind}, asked {_RUNS}")
-    ranges = met.filter("near").select("id", "runs")
-    places = checkpoint(ranges.join(checkpoint(still(ranges, found)), "id", "left"))
-    texts = base.join(places, "id").select("id", "text", "runs", "asked")
-    rows, path = _kept(
-        texts.mapInArrow(lean(_grams(width, n)), f"gram bigint, id {kind}, at int, open boolean, target boolean"), "grams"
-    )
-    # no gram that only one document has, or no document with an open place
-    common = rows.filter("gram is not null").groupBy("gram").agg(
-        F.count("*").alias("times"), F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or("target").alias("asked")
-    ).filter("first < last and asked")
-    common = checkpoint(common.select("gram", "times"))
-    sweep(spark)
-    shared = rows.join(common, "gram").select("id", "at", "open", "gram", "times").unionByName(
-        rows.filter("gram is null").select("id", "at", "open", "gram", F.lit(0).cast("bigint").alias("times"))
+    ranges = met.filter("near and early is not null").select("id", F.col("early").alias("runs"))
+    asked = checkpoint(still(ranges, found))
+    schema = f"gram bigint, id {kind}, at int, open boolean"
+    late_rows, late_path = _kept(
+        base.join(asked, "id").select("id", "text", F.col("asked").alias("runs")).mapInArrow(lean(_grams(width, n, alike)), schema), "grams"
     )
-    marks = checkpoint(
-        shared.repartition("id").sortWithinPartitions("id", "at").mapInArrow(
-            lean(_rare(width, n, alike)), f"id {kind}, gram bigint, target boolean, lo int, hi int, runs {_RUNS}"
+    shared = spark.sparkContext.broadcast(_bits(late_rows.select("gram")))
+    places = base.join(met.filter("near").select("id", "runs"), "id").select("id", "text", "runs")
+    rows, path = _kept(places.mapInArrow(lean(_grams(width, n, alike, shared)), schema), "grams")
+    marked = lambda x, whole: checkpoint(
+        x.select("id", "at", "open", "gram", "times").repartition("id").sortWithinPartitions("id", "at").mapInArrow(
+            lean(_rare(width, n, alike, whole)), f"id {kind}, gram bigint, times bigint, lo int, hi int, runs {_RUNS}"
         )
     )
+    free = lambda x: x.filter("gram is null").withColumn("times", F.lit(0).cast("bigint"))
+    # a later document's open windows agree with an earlier one in grams that an earlier one has
+    known = rows.filter("gram is not null").groupBy("gram").agg(F.count("*").alias("times"), F.min("id").alias("first"))
+    known = checkpoint(known)
+    sweep(spark)
+    later = marked(
+        late_rows.join(known, "gram").filter("first < id").unionByName(free(late_rows), allowMissingColumns=True), True
+    )
+    _remove(spark, late_path)
+    # and an earlier one with a later one in those of its windows that are left
+    sought = later.filter("times is not null").groupBy("gram").agg(F.max("times").alias("times"), F.max("id").alias("last"))
+    sought = checkpoint(sought)
+    sweep(spark)
+    facing = rows.join(sought, "gram").filter("id < last").drop("last").unionByName(free(rows))
+    earlier = marked(facing.withColumn("open", F.lit(True)), False)
     _remove(spark, path)
     sweep(spark)
-    whole = marks.filter("gram is null")
     along = Window.partitionBy("gram").orderBy("id")
-    keys = checkpoint(marks.filter("gram is not null").select("gram", "id", "target", F.row_number().over(along).alias("rank")))
-    last = keys.agg(F.max("rank")).first()[0] or 0
+    sources = earlier.filter("gram is not null").select("gram", F.col("id").alias("centre"), F.row_number().over(along).alias("rank"))
+    sources = checkpoint(sources.join(later.filter("lo is not null").select("gram").distinct(), "gram", "left_semi"))
+    last = sources.agg(F.max("rank")).first()[0] or 0
+    wholes = earlier.filter("runs is not null").select("id", F.col("id").alias("centre"), "lo", "hi", F.expr(f"cast(array() as {_RUNS})").alias("runs"))
+    keys = later.filter("lo is not null and gram is not null").select("gram", "id", "lo", "hi")
     # earlier documents come in growing parts, so that the many that have the same passage leave after the first
-    asked, least, parts = checkpoint(whole.filter("target").select("id", "runs")), 1, []
-    # a passage may reach beyond its windows
-    wider = F.transform("runs", lambda x: F.struct(F.greatest(x["lo"] - MAX_GAP, F.lit(0)).alias("lo"), (x["hi"] + MAX_GAP).alias("hi")))
-    while least < last:
-        sources = keys.filter(F.col("rank").between(least, least * GROWTH)).select("gram", F.col("id").alias("centre"))
-        pairs = keys.filter("target").join(asked.select("id"), "id", "left_semi").select("gram", "id").join(sources, "gram")
-        pairs = checkpoint(pairs.filter("centre < id").select("id", "centre").distinct())
+    asked, least, parts = later.filter("runs is not null").select("id", "runs"), 1, []
+    # of what is open, that of the windows by which the two are paired; a passage may reach beyond these
+    near = lambda x: (x["lo"] <= F.col("b") + min_words - 1) & (x["hi"] >= F.col("a"))
+    wider = lambda x: F.struct(
+        F.greatest(x["lo"] - MAX_GAP, F.col("a") - MAX_GAP, F.lit(0)).alias("lo"),
+        F.least(x["hi"] + MAX_GAP, F.col("b") + (min_words - 1 + MAX_GAP)).alias("hi")
+    )
+    while least <= last:
+        still_open = F.exists("runs", lambda x: (x["lo"] <= F.col("hi")) & (x["hi"] - (min_words - 1) >= F.col("lo")))
+        keys = checkpoint(keys.join(asked, "id").filter(still_open).drop("runs"))
+        pairs = keys.join(sources.filter(F.col("rank").between(least, least * GROWTH)), "gram").filter("centre < id")
+        pairs = checkpoint(pairs.groupBy("id", "centre").agg(F.min("lo").alias("a"), F.max("hi").alias("b")))
         sweep(spark)
         compared = pairs.join(asked, "id").select(
-            "id", "centre", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), wider.alias("runs")
-        ).unionByName(
-            whole.select("id", F.col("id").alias("centre"), "lo", "hi", "runs")
-        )
-        parts.append(_compared(base, checkpoint(compared), n, min_words, similarity))
-        asked = checkpoint(still(asked, parts[-1]).select("id", F.col("asked").alias("runs")))
+            "id", "centre", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"),
+            F.transform(F.filter("runs", near), wider).alias("runs")
+        ).filter("size(runs) > 0")
         least = least * GROWTH + 1
+        if pairs.isEmpty():
+            continue
+        agreed_ = _compared(base, checkpoint(compared.unionByName(wholes)), n, min_words, similarity)
+        agreed_ = agreed_.repartition("id").sortWithinPartitions("id", "source_id", "start_word", "end_word")
+        parts.append(checkpoint(agreed_.mapInArrow(lean(_adding), agreed_.schema)))
+        asked = checkpoint(still(asked, parts[-1]).select("id", F.col("asked").alias("runs")))
     out = parts[0] if parts else found.limit(0)
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -695,7 +782,7 @@ def _hidden(base: DataFrame, met: DataFrame, found: DataFrame, n: int, min_words
 def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df, written once in the shared folder as Parquet, and its path: it is deleted after use."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path)
     return df.sparkSession.read.parquet(path), path
 
 
@@ -740,7 +827,7 @@ def _found(base: DataFrame, written: str | None, min_words: int, n: int, similar
     hits = windows.join(groups, "sign").select(
         "id", "centre", F.expr(" | ".join(sorted(parts))).alias("place")
     ).repartition("id").sortWithinPartitions("id")
-    met = checkpoint(hits.mapInArrow(lean(_candidates(min_words, agree, k)), f"id {kind}, centre {kind}, lo int, hi int, runs {_RUNS}, near boolean"))
+    met = checkpoint(hits.mapInArrow(lean(_candidates(min_words, agree, k)), f"id {kind}, centre {kind}, lo int, hi int, runs {_RUNS}, near boolean, early {_RUNS}"))
     _remove(spark, path)
     sweep(spark)
     found = _compared(base, met, n, min_words, similarity)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +257,13 @@ def test_near_passages_around_a_common_line_are_removed(spark):
     assert sum(kept[10 * k + 2] <= 64 for k in range(30)) >= 29 and all(kept[10 * k + 1] == 112 for k in range(30))
 
 
+def test_passages_that_add_no_word_are_left_out():
+    rows = [(1, 0, 50), (1, 10, 50), (1, 40, 100), (1, 120, 180), (1, 0, 180), (1, 99, 130), (2, 0, 50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["id", "start_word", "end_word"])
+    kept = [tuple(r.values()) for b in sd._adding(iter([batch])) for r in b.to_pylist()]
+    assert kept == [rows[0], rows[2], rows[3], rows[4], rows[6]]
+
+
 def test_one_passage_in_many_texts(spark):
     r = random.Random(6)
     passage = words(r, 70)
