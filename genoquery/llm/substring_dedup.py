@@ -397,6 +397,11 @@ def passages(mine: np.ndarray, theirs: np.ndarray, n: int, min_words: int, simil
     found: list[tuple[int, int, int, int, float]] = []
     upto = np.concatenate(([0], np.cumsum(hit)))
 
+    def alike(mine_set: np.ndarray, lo: int, hi: int) -> float:
+        their_set = np.unique(b[lo:hi])
+        both = len(np.intersect1d(mine_set, their_set, assume_unique=True))
+        return both / max(1, len(mine_set) + len(their_set) - both)
+
     def compare(start: int, stop: int) -> tuple[float, int, int]:
         """Jaccard similarity with the counterpart, and where that is."""
         mine_set = np.unique(a[start:stop])
@@ -407,9 +412,13 @@ def passages(mine: np.ndarray, theirs: np.ndarray, n: int, min_words: int, simil
         else:  # nothing but repetition: its longest run
             ends = np.flatnonzero(np.diff(np.concatenate(([0], np.isin(b, mine_set).view(np.int8), [0])))).reshape(-1, 2)
             lo, hi = ends[np.argmax(ends[:, 1] - ends[:, 0])].tolist()
-        their_set = np.unique(b[lo:hi])
-        both = len(np.intersect1d(mine_set, their_set, assume_unique=True))
-        return both / max(1, len(mine_set) + len(their_set) - both), lo, hi
+        score = alike(mine_set, lo, hi)
+        if score < similarity and len(mine_set) < stop - start:  # a counterpart that repeats itself less often is shorter
+            spots = np.flatnonzero(np.isin(b[lo:hi], mine_set))
+            if len(spots):
+                lo, hi = lo + int(spots[0]), lo + int(spots[-1]) + 1
+                score = alike(mine_set, lo, hi)
+        return score, lo, hi
 
     def judged(first: int, last: int) -> bool:
         start, stop = runs[first][0], runs[last][1]
@@ -562,40 +571,142 @@ def _passing(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.logical_and(*((bits[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool) for x in spots))
 
 
-def _grams(width: int, n: int, alike: int, shared=None):
-    """(gram, id, at, open) of each place in a document's ranges, `open` where a whole window of them starts. A 5-gram that was there less than a window before has no gram: it neither agrees
-    nor differs. With `shared`, a broadcast filter, the places of windows of which it lets `alike` grams through."""
+def _before(grams: np.ndarray, width: int) -> np.ndarray:
+    """The place before each where its gram is, -width if there is none."""
+    order = np.argsort(grams, kind="stable")
+    before = np.full(len(grams), -width)
+    same = grams[order][1:] == grams[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    return before
+
+
+def _firsts(places: np.ndarray, before: np.ndarray, size: int, width: int) -> np.ndarray:
+    """For the windows that start at 0 to size - 1, how many of the places they hold first of their kind: these start after the one before."""
+    begins = np.bincount(np.clip(np.maximum(before + 1, places - width + 1), 0, size), minlength=size + 1)
+    return np.cumsum(begins - np.bincount(np.minimum(places + 1, size), minlength=size + 1))[:size]
+
+
+def spared(before: np.ndarray, width: int, alike: int, similarity: float) -> np.ndarray:
+    """How many grams may differ of the window that starts at each place, where another is as similar: width - alike, and less where repetition
+    leaves few different grams (one more, as windows may lie a little apart)."""
+    different = _firsts(np.arange(len(before)), before, len(before), width)
+    return np.minimum(width - alike, np.floor((1 - similarity) * different + 1e-9).astype(np.int64) + 1)
+
+
+def _roots(again: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """For each place whose gram is there again, where that began; -1 for others."""
+    root = np.where(again, before, np.arange(len(before)))
+    while again[root].any():
+        root = root[root]
+    return np.where(again, root, -1)
+
+
+def _spelt(width: int, n: int):
+    """The 5-grams of each document's ranges and of a window before them, from the place `start` on: (id, start, grams, runs, asked)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, grams = [], []
+            for text, runs in zip(*(column(batch, c) for c in ("text", "runs")), strict=True):
+                starts.append(max(0, runs[0]["lo"] - width))
+                grams.append(shingles(word_hashes(text), n)[starts[-1] : runs[-1]["hi"] - n + 2].tobytes())
+            rest = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "runs", "asked")]
+            yield pa.RecordBatch.from_arrays(
+                [rest[0], pa.array(starts, pa.int32()), pa.array(grams, pa.binary()), *rest[1:]], names=["id", "start", "grams", "runs", "asked"]
+            )
+
+    return run
+
+
+def _inside(runs: list[dict], start: int, size: int, less: int) -> np.ndarray:
+    """Whether each place from `start` on lies in the ranges, without their last `less` words."""
+    found = np.zeros(size, bool)
+    for r in runs:
+        found[max(0, r["lo"] - start) : max(0, r["hi"] - less + 1 - start)] = True
+    return found
+
+
+PART = 3
+
+
+def _some(n: int):
+    """(gram, id, at) of a third of the places in a document's ranges, the same grams everywhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[list[np.ndarray]] = [[] for _ in range(3)]
+            for row, (start, held, runs) in enumerate(zip(*(column(batch, c) for c in ("start", "grams", "runs")), strict=True)):
+                grams = np.frombuffer(held, np.uint64)
+                at = np.flatnonzero(_inside(runs, start, len(grams), n - 1) & (grams % np.uint64(PART) == 0))
+                names, first = np.unique(grams[at], return_index=True)
+                for part, x in zip(parts, (np.full(len(first), row), names.view(np.int64), at[first] + start), strict=True):
+                    part.append(x)
+            row, gram, at = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram), batch.column(batch.schema.get_field_index("id")).take(pa.array(row)), pa.array(at.astype(np.int32))],
+                names=["gram", "id", "at"]
+            )
+
+    return run
+
+
+def _grams(width: int, n: int, alike: int, similarity: float, shared=None):
+    """(gram, id, at, more, spare, root) of each place in a document's ranges, or (`more`) so many more with the same; `spare`: how many grams may differ of the window that starts there, null
+    if it is not whole in them. Places of windows with more places than that among the `missing` are left out. A 5-gram that was there less
+    than a window before, in the ranges, has no gram, but the place where that began (`root`). With `shared`, a broadcast filter, the places
+    of windows of which it lets `alike` grams through: a 5-gram that was there less than a window before, wherever, has neither, and neither
+    agrees nor differs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for row, (text, runs) in enumerate(zip(*(column(batch, c) for c in ("text", "runs")), strict=True)):
-                grams = shingles(word_hashes(text), n)
-                order = np.argsort(grams, kind="stable")
-                again = np.zeros(len(grams), bool)
-                again[order[1:]] = (grams[order][1:] == grams[order][:-1]) & (np.diff(order) < width)
-                wanted, begins = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
-                for r in runs:
-                    wanted[r["lo"] : r["hi"] - n + 2] = True
-                    begins[r["lo"] : r["hi"] - width - n + 3] = True
-                if shared is not None:
+            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for row, (start, held, runs, missing) in enumerate(
+                zip(*(column(batch, c) for c in ("start", "grams", "runs", "missing")), strict=True)
+            ):
+                grams = np.frombuffer(held, np.uint64)
+                before = _before(grams, width)
+                again = np.arange(len(grams)) - before < width
+                wanted = _inside(runs, start, len(grams), n - 1)
+
+                def of_windows(good: np.ndarray) -> np.ndarray:
+                    """The places of the windows that start at the places marked."""
+                    upto = np.cumsum(np.concatenate((np.zeros(width, np.int64), good)))  # noqa: B023
+                    return upto[width:] > upto[:-width]
+
+                if shared is None:
+                    spare = np.where(_inside(runs, start, len(grams), width + n - 2), spared(before, width, alike, similarity), -1)
+                    lacks = np.zeros(len(grams) + width, np.int64)
+                    lacks[np.array(missing or [], np.int64) - start] = 1
+                    upto = np.concatenate(([0], np.cumsum(lacks)))
+                    spare[upto[width:-1] - upto[: -width - 1] > spare] = -1
+                    wanted &= of_windows(np.append(spare >= 0, False))[: len(grams)]
+                    again &= wanted[before]
+                    root = _roots(again, before)
+                else:
+                    spare, root = np.full(len(grams), width - alike), np.full(len(grams), -1 - start)
                     wanted &= again | _passing(grams, shared.value)
                     upto = np.concatenate(([0], np.cumsum(np.concatenate((wanted, np.zeros(width, bool))))))
-                    good = upto[width:] - upto[:-width] >= alike
-                    from_ = np.cumsum(np.concatenate((np.zeros(width, np.int64), good)))
-                    wanted &= from_[width:][: len(wanted)] > from_[: len(wanted)]
+                    wanted &= of_windows(upto[width:] - upto[:-width] >= alike)[: len(wanted)]
+                    if not (wanted & ~again).any():
+                        continue
                 at = np.flatnonzero(wanted)
+                on = (np.diff(at) == 1) & again[at[1:]] & again[at[:-1]]
+                first = np.flatnonzero(np.append(True, ~(on & (spare[at[1:]] == spare[at[:-1]]) & (root[at[1:]] == root[at[:-1]]))))
+                first = first[: len(at)]
+                more, at = np.diff(np.append(first, len(at))) - 1, at[first]
                 for part, x in zip(
-                    parts, (np.full(len(at), row), grams[at].view(np.int64), at, again[at], begins[at]), strict=True
+                    parts, (np.full(len(at), row), grams[at].view(np.int64), at + start, more, again[at], spare[at], root[at] + start),
+                    strict=True
                 ):
                     part.append(x)
-            row, gram, at, again, begins = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in parts)
+            row, gram, at, more, again, spare, root = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in parts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(gram, mask=again.astype(bool)), ids.take(pa.array(row)), pa.array(at.astype(np.int32)),
-                    pa.array(begins.astype(bool))
-                ], names=["gram", "id", "at", "open"]
+                    pa.array(more.astype(np.int32)), pa.array(spare.astype(np.int32), mask=spare < 0),
+                    pa.array(root.astype(np.int32), mask=~again.astype(bool))
+                ], names=["gram", "id", "at", "more", "spare", "root"]
             )
 
     return run
@@ -607,40 +718,61 @@ GROWTH = 8
 
 
 def rare_grams(
-    at: np.ndarray, gram: np.ndarray, times: np.ndarray, begins: np.ndarray, width: int, alike: int
+    at: np.ndarray, gram: np.ndarray, times: np.ndarray, spare: np.ndarray, root: np.ndarray, width: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document's shared grams (`times` 0: neither agrees nor differs) by place: the starts of the windows of `width` places, among
-    those that may begin there, with `alike` shared ones or more; and the grams among the rarest width - alike + 1 of any of them, with
-    the first and the last of their windows."""
+    """Of a document's shared grams by place (`times` 0: as at `root`, or unknown if that is below 0, so that it neither agrees nor differs):
+    the starts of the windows of `width` places that lack at most `spare` (of their first place; below 0: none starts there); and the grams
+    among the rarest spare + 1 of any of them, with the first and the last of their windows."""
     free = times == 0
+    base = int(at[0])
+    size = max(int(at[-1]) - base + 1, width)
+    may, absent = np.full(size, -1), np.ones(size, bool)
+    may[at - base], absent[at - base] = spare, False
+    differ = np.cumsum(np.concatenate(([0], absent)))
+    lacking = differ[width:] - differ[:-width]
+    own = free & (root >= 0) & ~np.isin(root, at[~free])  # repeated, and not shared
+    if own.any():
+        places, roots = at[own] - base, root[own] - base
+        order = np.lexsort((places, roots))
+        places, before = places[order], roots[order]
+        along = np.flatnonzero(before[1:] == before[:-1]) + 1
+        before[along] = places[along - 1]
+        lacking += _firsts(places, before, len(lacking), width)
+    good = np.flatnonzero(lacking <= may[: len(lacking)])
+    if not len(good):
+        none = np.empty(0, np.int64)
+        return none, none, none, none
     names, code = np.unique(gram, return_inverse=True)
     often = np.zeros(len(names), np.int64)
     np.maximum.at(often, code, times)
     rank = np.empty(len(names), np.int64)
     rank[np.lexsort((names, often))] = np.arange(len(names))
-    base, none = int(at[0]), len(names)
-    line = np.full(max(int(at[-1]) - base + 1, width), -1, np.int32)
+    none = len(names)
+    line = np.full(size, -1, np.int32)
     line[at - base] = np.where(free, none, rank[code])
-    opens = np.zeros(len(line), bool)
-    opens[at - base] = begins
     by_rank = names[np.argsort(rank)]
-    few = width - alike + 1
-    first, last = np.full(none, len(line)), np.full(none, -1)
+    few = int(spare.max()) + 1
+    first, last, bare = np.full(none, size), np.full(none, -1), np.zeros(size + 1, bool)
     views = np.lib.stride_tricks.sliding_window_view(line, width)
-    differ = np.cumsum(np.concatenate(([0], line < 0)))
-    good = np.flatnonzero((differ[width:] - differ[:-width] < few) & opens[: len(views)])
     for a in range(0, len(good), WINDOWS_AT_ONCE):
         part = good[a : a + WINDOWS_AT_ONCE]
-        least = np.partition(views[part], few - 1, axis=1)[:, :few].ravel()
+        least = np.sort(np.partition(views[part], few - 1, axis=1)[:, :few], axis=1)
+        least[np.arange(few) > may[part][:, None]] = -1
+        least = least.ravel()
         real = (least >= 0) & (least < none)
         place = np.repeat(part, few)[real]
         np.minimum.at(first, least[real], place)
         np.maximum.at(last, least[real], place)
+        bare[part[~real.reshape(-1, few).any(axis=1)]] = True
     kept = np.flatnonzero(last >= 0)
+    # windows of nothing but repetition go with those beside them
+    ends = np.flatnonzero(~bare)
+    last[kept] = ends[np.searchsorted(ends, last[kept] + 1)] - 1
+    first[kept] = np.append(-1, ends)[np.searchsorted(ends, first[kept])] + 1
     return good + base, by_rank[kept], first[kept] + base, last[kept] + base
 
 
-def _rare(width: int, n: int, alike: int, whole: bool):
+def _rare(width: int, n: int, whole: bool):
     """From places with shared grams in order of ids: (id, gram, lo, hi) of the grams by which documents are paired, with the first and the
     last start of their windows; without gram, the ranges (lo, hi: the whole of it) of the windows that may have a counterpart, and those
     windows' runs; and, if `whole`, with neither, all grams in such windows, with how often they are there."""
@@ -650,7 +782,12 @@ def _rare(width: int, n: int, alike: int, whole: bool):
         kind = rows.schema.field("id").type
         ids, values = _coded(rows.column("id").combine_chunks())
         gram = rows.column("gram").fill_null(0).to_numpy()
-        at, times, begins = (rows.column(c).to_numpy() for c in ("at", "times", "open"))
+        at, times, spare, root = (rows.column(c).fill_null(-1).to_numpy() for c in ("at", "times", "spare", "root"))
+        each = np.repeat(np.arange(len(at)), rows.column("more").to_numpy() + 1)
+        begin = np.append(True, each[1:] != each[:-1])[: len(each)]
+        along = np.arange(len(each)) - np.maximum.accumulate(np.where(begin, np.arange(len(each)), 0))
+        ids, gram, at, times, spare, root = (x[each] for x in (ids, gram, at, times, spare, root))
+        at = at + along
         out: dict[str, list] = {c: [] for c in MARKS}
 
         def put(*row: list) -> None:
@@ -659,9 +796,9 @@ def _rare(width: int, n: int, alike: int, whole: bool):
 
         edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if not times[a:b].any():
+            if not times[a:b].any() or spare[a:b].max() < 0:
                 continue
-            starts, grams, lo, hi = rare_grams(at[a:b].astype(np.int64), gram[a:b], times[a:b], begins[a:b], width, alike)
+            starts, grams, lo, hi = rare_grams(at[a:b].astype(np.int64), gram[a:b], times[a:b], spare[a:b], root[a:b], width)
             if not len(starts):
                 continue
             id_, words = values[ids[a]], width + n - 2
@@ -713,16 +850,31 @@ def _hidden(base: DataFrame, met: DataFrame, found: DataFrame, n: int, min_words
     still = lambda x, y: x.join(spans(y), "id", "left").mapInArrow(lean(_open(min_words, slack)), f"id {kind}, asked {_RUNS}")
     ranges = met.filter("near and early is not null").select("id", F.col("early").alias("runs"))
     asked = checkpoint(still(ranges, found))
-    schema = f"gram bigint, id {kind}, at int, open boolean"
-    late_rows, late_path = _kept(
-        base.join(asked, "id").select("id", "text", F.col("asked").alias("runs")).mapInArrow(lean(_grams(width, n, alike)), schema), "grams"
+    places = base.join(met.filter("near").select("id", "runs").join(asked, "id", "left"), "id").select("id", "text", "runs", "asked")
+    spelt, spelt_path = _kept(
+        places.mapInArrow(lean(_spelt(width, n)), f"id {kind}, start int, grams binary, runs {_RUNS}, asked {_RUNS}"), "spelt"
     )
+    later_ones = spelt.filter("asked is not null").select("id", "start", "grams", F.col("asked").alias("runs"))
+    # a third of the grams tells most windows that lack too many
+    some = f"gram bigint, id {kind}, at int"
+    firsts = spelt.select("id", "start", "grams", "runs").mapInArrow(lean(_some(n)), some).groupBy("gram").agg(
+        F.min("id").alias("first"), F.max("id").alias("last")
+    )
+    firsts = checkpoint(firsts.filter("first < last").select("gram", "first"))
+    some_rows, some_path = _kept(later_ones.mapInArrow(lean(_some(n)), some), "grams")
+    known_too = (some_rows["gram"] == firsts["gram"]) & (firsts["first"] < some_rows["id"])
+    missing = checkpoint(some_rows.join(firsts, known_too, "left_anti").groupBy("id").agg(F.collect_list("at").alias("missing")))
+    _remove(spark, some_path)
+    sweep(spark)
+    schema = f"gram bigint, id {kind}, at int, more int, spare int, root int"
+    late_rows, late_path = _kept(later_ones.join(missing, "id", "left").mapInArrow(lean(_grams(width, n, alike, similarity)), schema), "grams")
     shared = spark.sparkContext.broadcast(_bits(late_rows.select("gram")))
-    places = base.join(met.filter("near").select("id", "runs"), "id").select("id", "text", "runs")
-    rows, path = _kept(places.mapInArrow(lean(_grams(width, n, alike, shared)), schema), "grams")
+    near_ones = spelt.select("id", "start", "grams", "runs", F.expr("cast(null as array<int>)").alias("missing"))
+    rows, path = _kept(near_ones.mapInArrow(lean(_grams(width, n, alike, similarity, shared)), schema), "grams")
+    _remove(spark, spelt_path)
     marked = lambda x, whole: checkpoint(
-        x.select("id", "at", "open", "gram", "times").repartition("id").sortWithinPartitions("id", "at").mapInArrow(
-            lean(_rare(width, n, alike, whole)), f"id {kind}, gram bigint, times bigint, lo int, hi int, runs {_RUNS}"
+        x.select("id", "at", "more", "spare", "root", "gram", "times").repartition("id").sortWithinPartitions("id", "at").mapInArrow(
+            lean(_rare(width, n, whole)), f"id {kind}, gram bigint, times bigint, lo int, hi int, runs {_RUNS}"
         )
     )
     free = lambda x: x.filter("gram is null").withColumn("times", F.lit(0).cast("bigint"))
@@ -739,7 +891,7 @@ def _hidden(base: DataFrame, met: DataFrame, found: DataFrame, n: int, min_words
     sought = checkpoint(sought)
     sweep(spark)
     facing = rows.join(sought, "gram").filter("id < last").drop("last").unionByName(free(rows))
-    earlier = marked(facing.withColumn("open", F.lit(True)), False)
+    earlier = marked(facing, False)
     _remove(spark, path)
     sweep(spark)
     along = Window.partitionBy("gram").orderBy("id")
@@ -748,6 +900,7 @@ def _hidden(base: DataFrame, met: DataFrame, found: DataFrame, n: int, min_words
     last = sources.agg(F.max("rank")).first()[0] or 0
     wholes = earlier.filter("runs is not null").select("id", F.col("id").alias("centre"), "lo", "hi", F.expr(f"cast(array() as {_RUNS})").alias("runs"))
     keys = later.filter("lo is not null and gram is not null").select("gram", "id", "lo", "hi")
+    texts = checkpoint(base.join(checkpoint(keys.select("id").union(wholes.select("id")).distinct()), "id"), wide=True)
     # earlier documents come in growing parts, so that the many that have the same passage leave after the first
     asked, least, parts = later.filter("runs is not null").select("id", "runs"), 1, []
     # of what is open, that of the windows by which the two are paired; a passage may reach beyond these
@@ -769,7 +922,7 @@ def _hidden(base: DataFrame, met: DataFrame, found: DataFrame, n: int, min_words
         least = least * GROWTH + 1
         if pairs.isEmpty():
             continue
-        agreed_ = _compared(base, checkpoint(compared.unionByName(wholes)), n, min_words, similarity)
+        agreed_ = _compared(texts, checkpoint(compared.unionByName(wholes)), n, min_words, similarity)
         agreed_ = agreed_.repartition("id").sortWithinPartitions("id", "source_id", "start_word", "end_word")
         parts.append(checkpoint(agreed_.mapInArrow(lean(_adding), agreed_.schema)))
         asked = checkpoint(still(asked, parts[-1]).select("id", F.col("asked").alias("runs")))

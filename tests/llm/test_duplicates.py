@@ -257,6 +257,48 @@ def test_near_passages_around_a_common_line_are_removed(spark):
     assert sum(kept[10 * k + 2] <= 64 for k in range(30)) >= 29 and all(kept[10 * k + 1] == 112 for k in range(30))
 
 
+def test_common_lines_after_repetition_make_no_pairs(spark, monkeypatch):
+    r = random.Random(17)
+    line, compared, counts = words(r, 13, 10**6), sd._compared, []
+
+    def counted(base, met, *rest):
+        counts.append(met.filter("id <> centre").count())
+        return compared(base, met, *rest)
+
+    monkeypatch.setattr(sd, "_compared", counted)
+    odd = lambda i: [f"w{i}"] * 60 if i % 2 else words(r, 30, 10**6) * 3
+    found = sd.repeated_passages(frame(spark, [(i, " ".join([*odd(i), *line])) for i in range(60)])).collect()
+    assert not found and sum(counts) <= 120
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_windows_by_what_they_lack_match_brute_force(seed):
+    r = np.random.default_rng(seed)
+    width, kinds = int(r.integers(3, 9)), int(r.integers(2, 60))
+    n, alike = int(r.integers(width + 3, 60)), width - int(r.integers(1, width))
+    grams, shared = r.integers(1, kinds + 1, n).astype(np.uint64), set(r.permutation(kinds)[: kinds // 2 + 1].tolist())
+    before = sd._before(grams, width)
+    again, spare = np.arange(n) - before < width, sd.spared(before, width, alike, 0.8)
+    at = np.array([a for a in range(n) if again[a] or int(grams[a]) in shared])
+    may = np.where(at <= n - width, spare[at], -1)
+    if not len(at) or may.max() < 0:
+        return
+    starts = sd.rare_grams(at, grams[at].view(np.int64), np.where(again[at], 0, 5), may, sd._roots(again, before)[at], width)[0]
+    wanted = []
+    for p in (p for p in at.tolist() if p + width - 1 <= at[-1]):
+        own = set(grams[p : p + width].tolist())
+        assert spare[p] == min(width - alike, len(own) // 5 + 1)
+        if len(own - shared) <= spare[p]:
+            wanted.append(p)
+    assert [p for p in starts.tolist() if p + width - 1 <= at[-1]] == wanted
+
+
+def test_a_passage_whose_counterpart_repeats_itself_less_often():
+    mine = np.array([1] * 70 + [2] * 50, np.uint32)
+    theirs = np.array([*range(10, 40), *[1] * 43, *[2] * 50], np.uint32)
+    assert [x[:4] for x in sd.passages(mine, theirs, 5, 50, 0.8)] == [(0, 120, 30, 123)]
+
+
 def test_passages_that_add_no_word_are_left_out():
     rows = [(1, 0, 50), (1, 10, 50), (1, 40, 100), (1, 120, 180), (1, 0, 180), (1, 99, 130), (2, 0, 50)]
     batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["id", "start_word", "end_word"])
